@@ -1,9 +1,11 @@
 """Queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontamination, simhash
+from . import decontamination, language_id, quality, simhash
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_language_id": language_id.op2_language_id,
     "op4_simhash": simhash.op4_simhash,
+    "op10_quality": quality.op10_quality,
 }
 SQL = {**decontamination.SQL}
