@@ -1,11 +1,16 @@
 """Queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontamination, language_id, quality, simhash
+from . import decontamination, language_id, licenses, line_dedup, media, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_language_id": language_id.op2_language_id,
+    "op3_sharding": sharding.op3_sharding,
     "op4_simhash": simhash.op4_simhash,
+    "op5_media": media.op5_media,
+    "op6_licenses": licenses.op6_licenses,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
 }
-SQL = {**decontamination.SQL}
+SQL = {**decontamination.SQL, **sharding.SQL, **mixing.SQL}
