@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontamination, language_id, licenses, line_dedup, media, mixing, quality, sharding, simhash
+from . import decontamination, language_id, licenses, line_dedup, media, mixing, quality, repeats, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_media": media.op5_media,
     "op6_licenses": licenses.op6_licenses,
+    "op7_repeats": repeats.op7_repeats,
     "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
