@@ -210,13 +210,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         count = np.concatenate(counts)
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
         data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+        # equal segments of several groups are pooled: the sort sees one of each, that of the smallest document
         size = count + width - 1
-        start = np.cumsum(size + 1) - size - 1
-        segment = np.repeat(np.arange(count.size), size + 1)
+        begin = np.cumsum(size) - size
+        h = common.span_hashes(data, begin, begin + size)
+        order = np.lexsort((ids, h))
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        kind = np.empty(order.size, np.int64)
+        kind[order] = np.cumsum(new) - 1
+        head = order[new]
+        pooled = size[head]
+        start = np.cumsum(pooled + 1) - pooled - 1
+        segment = np.repeat(np.arange(head.size), pooled + 1)
         joined = np.zeros(segment.size, np.uint8)
-        owner = np.repeat(np.arange(count.size), size)
-        joined[np.arange(owner.size) + owner] = data + np.uint8(1)
-        masks = shard_masks(joined, segment, start, count, ids, width)
+        owner, at = common.expand(begin[head], begin[head] + pooled)
+        joined[np.arange(owner.size) + owner] = data[at] + np.uint8(1)
+        masks = shard_masks(joined, segment, start, count[head], ids[head], width)
+        masks = np.where(ids > ids[head][kind], np.uint32(0xFFFFFFFF), masks[kind])
         cut = np.cumsum([0, *(c.size for c in counts)])
         blobs = [masks[a:b].tobytes() if masks[a:b].any() else None for a, b in zip(cut[:-1], cut[1:])]
         made = pa.table({"part": table.column("part"), "shard": table.column("shard"), "masks": pa.array(blobs, pa.binary())})
