@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -50,13 +49,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark) -> None:
-    """After a cut, once the frame that was cut is no longer referenced: what was shuffled to make it is unreachable,
-    and a collection in the driver lets Spark's cleaner delete those files now instead of at its next half hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def not_held_out(id_column: str):
     """True for rows that may be learned from: crc32(id as text) mod 3 is not 1 (null ids count as learnable)."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 != 1, F.lit(True))

@@ -268,8 +268,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"doc_id": ids, "n_bytes": pa.array(np.diff(g.offsets)), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array([kept[a:b] for a, b in zip(kept_at[:-1], kept_at[1:])], pa.binary())})
 
     replies = slim.groupBy("part").applyInArrow(send, "part long, bucket long, x binary").groupBy("bucket").applyInArrow(tell, "part long, bucket long, bits binary")
-    replies = common.cut(replies)
-    common.release(docs.sparkSession)
     sent = slim.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(ship, "part long, shard long, bytes binary, count binary, ids binary")
     masks = sent.groupBy("shard").applyInArrow(sort_shard, "part long, shard long, masks binary")
     told = replies.select("part", "bucket", "bits", F.lit(None).cast("binary").alias("masks")).unionByName(masks.select("part", F.col("shard").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "masks"))
