@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Modulus of the MinHash permutations: products of two residues stay below 2^62.
+MERSENNE_31 = 2147483647
 #: A short list of English function words, used wherever stop words are dropped.
 STOPWORDS = ("the", "and", "of", "to", "in", "is", "it", "that", "for", "was", "on", "with", "as", "be", "by", "at", "this", "are", "or", "from", "an", "which", "you", "were", "not", "have", "has", "had", "but", "they")
 
@@ -37,7 +39,7 @@ def shingles(words: Column, n: int = 3) -> Column:
 
 def hash31(value: Column) -> Column:
     """31 bits of an md5, the same in any engine."""
-    return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(2147483647)
+    return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(MERSENNE_31)
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -65,16 +67,6 @@ def minhash_coefficients(n: int, seed: int = 42) -> list[tuple[int, int]]:
     """Multipliers and offsets modulo 2^31 - 1, from md5 of the seed and their place."""
     import hashlib
 
-    p = 2147483647
+    p = MERSENNE_31
     value = lambda s: int(hashlib.md5(f"{seed}:{s}".encode()).hexdigest()[:8], 16) % p
     return [(1 + value(f"a{i}") % (p - 1), value(f"b{i}")) for i in range(n)]
-
-
-def minhash(hashes: Column, n: int = 64, seed: int = 42) -> Column:
-    """n smallest affine images modulo 2^31 - 1 of 31-bit hashes (products stay below 2^62); zeros for none."""
-    p = 2147483647
-    pairs = minhash_coefficients(n, seed)
-    a, b = (F.array(*[F.lit(x[k]).cast("long") for x in pairs]) for k in (0, 1))
-    return F.when(F.size(hashes) == 0, F.array_repeat(F.lit(0).cast("long"), n)).otherwise(
-        F.zip_with(a, b, lambda x, y: F.array_min(F.transform(hashes, lambda h: (x * h + y) % F.lit(p))))
-    )
