@@ -97,9 +97,9 @@ Q["bootstrap_suite"] = (lambda s, d: ranking.bootstrap(ranks(s, d), TIMES), f"{_
 _e = lambda m, c: _EXPR[m].replace("rank", c)
 Q["paired_bootstrap"] = (
     lambda s, d: ranking.paired_bootstrap(ranks(s, d, "atire"), ranks(s, d, "robertson", tx.lower_words), TIMES),
-    f"WITH {_R.replace('rk AS', 'unused AS')}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', lambda x: WS(f'lower({x})'), 'w_')}, {ranks_sql('w_')}, both AS (SELECT query_id, a_rk.rank AS ra, w_rk.rank AS rb FROM a_rk JOIN w_rk USING (query_id)), "
-    + _DRAW.format(src="both", aggs=f"round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 9) AS dd")
-    + f", mn AS (SELECT round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 6) AS delta_rr, round(avg(({_e('recall_1', 'ra')}) - ({_e('recall_1', 'rb')})), 6) AS delta_r1 FROM both), ci AS (SELECT {_CI.format('dd')}, least(1.0::DOUBLE, 2 * least(avg((dd <= 0)::INT::DOUBLE), avg((dd >= 0)::INT::DOUBLE))) AS p FROM bs) SELECT *, low >= -0.03 AS equivalent, low > 0 OR high < 0 AS significant FROM mn, ci",
+    f"WITH {_R.replace('rk AS', 'unused AS')}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', lambda x: WS(f'lower({x})'), 'w_')}, {ranks_sql('w_')}, pairs AS (SELECT query_id, a_rk.rank AS ra, w_rk.rank AS rb FROM a_rk JOIN w_rk USING (query_id)), "
+    + _DRAW.format(src="pairs", aggs=f"round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 9) AS dd")
+    + f", mn AS (SELECT round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 6) AS delta_rr, round(avg(({_e('recall_1', 'ra')}) - ({_e('recall_1', 'rb')})), 6) AS delta_r1 FROM pairs), ci AS (SELECT {_CI.format('dd')}, least(1.0::DOUBLE, 2 * least(avg((dd <= 0)::INT::DOUBLE), avg((dd >= 0)::INT::DOUBLE))) AS p FROM bs) SELECT *, low >= -0.03 AS equivalent, low > 0 OR high < 0 AS significant FROM mn, ci",
 )
 
 # mining: the skeleton of prose is its source and number of lines
