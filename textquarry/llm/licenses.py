@@ -67,7 +67,7 @@ class Templates:
     def best(self, grams: np.ndarray, threshold: float) -> tuple[float, int]:
         """Highest Dice of a segment's distinct bigrams with a template within the bounds; ties take the first."""
         top, at = 0.0, -1
-        for t in np.flatnonzero((grams.size * (2 - threshold) >= threshold * self.sizes) & (grams.size * threshold <= (2 - threshold) * self.sizes)).tolist():
+        for t in np.flatnonzero((grams.size * (2 - threshold) >= threshold * self.sizes - 1e-9) & (grams.size * threshold <= (2 - threshold) * self.sizes + 1e-9)).tolist():
             dice = 2 * np.intersect1d(grams, self.grams[t], assume_unique=True).size / (grams.size + self.sizes[t])
             if dice > top:
                 top, at = dice, t
