@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import code_ast
@@ -201,8 +202,6 @@ def _bpe(path: str):
 
 def bpe_encode(s, d, path: str = "/opt/tokenizers/byte_bpe_50k.json", size: int = 256):
     """doc_id, ids (padded or cut to `size`) and n_tokens, by a public vocabulary file at `path` on every worker."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series([e.ids for e in _bpe(path).encode_batch([t or "" for t in texts], add_special_tokens=False)])
