@@ -4,7 +4,8 @@ A rolling hash over the hashes of two consecutive lines decides whether a chunk
 with the content and an inserted line shifts none but its own. Chunks of at least two lines whose hash occurs more
 than once are fetched with their bytes and grouped by these; of equal chunks the one at the smallest (document,
 position) stays. Hashes are counted with partial aggregation, so a chunk that a third of all documents hold is
-summed where it stands; only repeated chunks' bytes are ever shuffled.
+summed where it stands; only repeated chunks' bytes are ever shuffled, and the join that marks a chunk's places is
+salted by how many there are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import common
 #: One pair of lines in so many ends a chunk.
 DIVISOR = 3
 LEAST_LINES = 2
+#: Places of a chunk that meet in one part of the join with the chunk that stays; a chunk with more is dealt to several.
+PART_PLACES = 256
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, divisor: int = DIVISOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,12 +81,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
     hashes = slim.mapInArrow(_chunk_rows(divisor, least, False), T.StructType(base))
     # one place or several? two extremes tell it, and repeated rows share a place
-    repeated = hashes.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h")
+    repeated = hashes.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.ceil(F.count("*") / PART_PLACES).alias("parts")).where("low != high").select("h", "parts")
     repeated = common.cut(repeated)
-    full = slim.mapInArrow(_chunk_rows(divisor, least, True), T.StructType([*base, T.StructField("bytes", T.BinaryType())])).join(repeated, "h", "left_semi")
+    full = slim.mapInArrow(_chunk_rows(divisor, least, True), T.StructType([*base, T.StructField("bytes", T.BinaryType())])).join(repeated, "h")
     full = common.cut(full)
-    keepers = full.groupBy("h", "bytes").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("h", "bytes", "low")
-    gone = full.join(keepers, ["h", "bytes"]).where(place != F.col("low")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("start")).alias("removed"))
+    keepers = full.groupBy("h", "bytes").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("parts").alias("parts")).where("low != high")
+    keepers = keepers.select("h", "bytes", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = full.withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "start"), F.col("parts"))).drop("parts")
+    gone = dealt.join(keepers, ["h", "bytes", "part"]).where(place != F.col("low")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("start")).alias("removed"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "removed")
     joined = slim.join(gone, slim.doc_id.eqNullSafe(gone.gone_id) & slim.key.eqNullSafe(gone.gone_key), "left").select("doc_id", "text", "removed")
 
