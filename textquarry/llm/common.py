@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once by a vectorised step; a longer document forms a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
