@@ -169,13 +169,16 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """df with columns that `compute` derives from each Arrow batch; all other columns pass through."""
-    schema = T.StructType([*df.schema.fields, *fields])
+    """df with columns that `compute` derives from each Arrow batch; all other columns pass through, but for those
+    named like a new one (in any case), which it replaces."""
     names = [f.name for f in fields]
+    taken = {n.lower() for n in names}
+    stay = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in taken]
+    schema = T.StructType([*(df.schema.fields[i] for i in stay), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = compute(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *made], names=[*(batch.schema.names[i] for i in stay), *names])
 
     return df.mapInArrow(run, schema)

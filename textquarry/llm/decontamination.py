@@ -154,7 +154,7 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     """docs with a struct column `name`: n_words, n_hit, items (ids, sorted as strings), spans (hit runs of words).
 
     Null text has no words; repeated rows are judged one by one; items with null text are left out, a null item
-    id reads 'None'; an empty benchmark hits nothing. Other columns, of any names, pass through.
+    id reads 'None', rows with one item id are one item; an empty benchmark hits nothing. Other columns pass through.
     """
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.LongType()))])
     arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))])
@@ -170,7 +170,7 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
                 n_words, first, hit, pairs = scan(data, offsets, index)
                 cuts = np.searchsorted(pairs[:, 0], np.arange(n_words.size + 1))
                 for d in range(n_words.size):
-                    items_here = sorted(x for i in pairs[cuts[d] : cuts[d + 1], 1] for x in index.ids[i]) if cuts[d] < cuts[d + 1] else []
+                    items_here = sorted({x for i in pairs[cuts[d] : cuts[d + 1], 1] for x in index.ids[i]}) if cuts[d] < cuts[d + 1] else []
                     spans: list[int] = []
                     n_hit = 0
                     if items_here:
@@ -181,7 +181,7 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
                         spans = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).tolist()
                         n_hit = int(own.sum())
                         if old is not None:
-                            items_here = sorted(items_here + old[row + d]["items"])
+                            items_here = sorted({*items_here, *old[row + d]["items"]})
                     elif old is not None:
                         items_here, spans, n_hit = old[row + d]["items"], old[row + d]["spans"], old[row + d]["n_hit"]
                     out.append({"n_words": int(n_words[d]), "n_hit": n_hit, "items": items_here, "spans": spans})
@@ -231,7 +231,7 @@ def brute_force(text: str | None, items: list[tuple[object, str | None]], window
         at = [i for i in range(len(words) - n + 1) if n and tuple(words[i : i + n]) in grams]
         hit.update(j for i in at for j in range(i, i + n))
         ids += [str(item_id)] * bool(at)
-    return len(words), len(hit), sorted(ids)
+    return len(words), len(hit), sorted(set(ids))
 
 
 SQL = {

@@ -141,8 +141,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 2.
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
-    """Trains on a bounded sample, chosen by hash, of rows that may be learned from and have text and lang."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & common.not_held_out("doc_id"))
+    """Trains on a bounded sample, chosen by hash of the id, of rows that may be learned from and have text and lang;
+    rows with a null id are left out, as one hash would take or leave all of them."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & common.not_held_out("doc_id"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     wanted = sum(min(1.0, SAMPLE_PER_LANG / r.n) * r.chars for r in counts)
     shrink = min(1.0, SAMPLE_CHARS / max(1, wanted))
@@ -156,7 +157,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and accepted. `und` with score 0 where the text is null or has no letter, or where
-    nothing was learned; empty tables give empty results; repeated rows are predicted one by one."""
+    nothing was learned; empty tables give empty results; repeated rows are predicted one by one; other columns pass
+    through, but for any of these three names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:

@@ -95,10 +95,14 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
-        return decode_netpbm(data)
-    if data[:2] == b"BM":
-        return decode_bmp(data)
+    """The image's samples; whatever is wrong with the bytes raises MediaError."""
+    try:
+        if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
+            return decode_netpbm(data)
+        if data[:2] == b"BM":
+            return decode_bmp(data)
+    except (ValueError, OverflowError) as error:  # numbers that are none or too large, offsets behind the end
+        raise MediaError(str(error)) from error
     raise MediaError("neither Netpbm nor BMP")
 
 
@@ -165,7 +169,7 @@ def media_columns(df: DataFrame, media: str, side: int = TILE) -> DataFrame:
             try:
                 image = decode(value.as_buffer().to_pybytes()) if value.is_valid else None
                 rows.append((*image.shape[:2], 1 if image.ndim == 2 else 3, *tile(image, side), None) if image is not None else (None,) * 6)
-            except (MediaError, ValueError) as error:
+            except MediaError as error:
                 rows.append((*[None] * 5, str(error)))
         return [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(kinds)]
 
