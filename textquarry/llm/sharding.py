@@ -100,16 +100,19 @@ class ShardStore:
         version = self.version() + 1
         planned = common.cut(self.plan(self.manifest(version - 1)))
         runs = planned.where("run is not null").select(F.col("path").alias("__file"), F.col("run").alias("__run"))
-        n_runs = runs.select("__run").distinct().count()
+        names = runs.select("__run").distinct()
+        n_runs = names.count()
         if not n_runs:
             return version - 1
+        # runs are numbered, so that each is rewritten by a task of its own; the list is as long as that of the files at most
+        runs = common.cut(runs.join(names.withColumn("__task", F.row_number().over(Window.orderBy("__run")) - 1), "__run"))
         folder = f"{self.root}/data/{version:09d}-{uuid.uuid4().hex[:8]}"
         paths = [r[0] for r in runs.select("__file").toLocalIterator()]
         # the list of files is broadcast while it is short; a longer one is joined by shuffle
         side = F.broadcast(runs) if len(paths) <= BROADCAST_FILES else runs
         rows = self._read(paths).withColumn("__path", F.col("_metadata.file_path"))
         rows = rows.join(side, F.col("__path") == F.col("__file")).drop("__path", "__file")
-        rows.repartition(n_runs, "__run").write.option("compression", "zstd").partitionBy("__run").parquet(folder)
+        rows.repartitionById(n_runs, "__task").drop("__task").write.option("compression", "zstd").partitionBy("__run").parquet(folder)
         kept = planned.where("run is null").select("path", "bytes", "rows", "version")
         return self.commit(kept.unionByName(self._written(folder, version)), version)
 
