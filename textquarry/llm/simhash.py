@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     distinct = common.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     tree = contract(links(distinct, distinct.count()))
     rooted = distinct.join(tree, distinct.fp == tree.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # cut, so that the join below is between two plain shuffles, of which Spark splits the part of a root with many fingerprints
+    named = common.cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
     return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp", "left")
 
 
