@@ -1,15 +1,18 @@
-"""Line dedup: content-defined chunks of lines, the globally repeated ones removed after comparing their bytes.
-
-A rolling hash over the hashes of two consecutive lines decides whether a chunk ends after them, so boundaries move
-with the content and an inserted line shifts none but its own. Chunks of at least two lines whose hash occurs more
-than once are fetched with their bytes and grouped by these; of equal chunks the one at the smallest (document,
-position) stays. Hashes are counted with partial aggregation, so a chunk that a third of all documents hold is
-summed where it stands; only repeated chunks' bytes are ever shuffled, and the join that marks a chunk's places is
-salted by how many there are.
+"""Line dedup: every run of at least two lines, and every long line, that stands at an earlier place goes.
+
+All pairs of consecutive lines are looked up, not only those at chunk boundaries: a run of lines repeats exactly if each
+of its pairs does, so the union of the repeated pairs is the whole repeated run, wherever it begins and whatever stands
+around it. A long line is looked up by itself. Of equal pairs the one at the smallest (document, position) stays, so the
+first place of a line is never removed. Blank lines are lines.
+
+A pair is told by the 64-bit hashes of its two lines. That equal hashes mean equal bytes is checked on the bytes of all
+lines: least and greatest bytes of a hash, with partial aggregation, so a line that a third of all documents hold is
+compared where it stands. Lines whose hash stands for different bytes are told by SHA-256 instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,101 +24,124 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: One pair of lines in so many ends a chunk.
-DIVISOR = 3
-LEAST_LINES = 2
-#: Places of a chunk that meet in one part of the join with the chunk that stays; a chunk with more is dealt to several.
-PART_PLACES = 256
+#: A line of more words, or of at least so many bytes, is looked up by itself.
+LONG_WORDS = 50
+LONG_BYTES = 400
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, divisor: int = DIVISOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: starts and ends (newline included) of all chunks, their number of lines, their document.
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: starts of all lines, their ends with and without the newline, their document.
 
-    Every byte belongs to one chunk; a line ends behind its newline or with its text."""
+    Every byte belongs to one line; a line ends behind its newline or with its text."""
     ends = np.union1d(np.flatnonzero(data == 10) + 1, offsets[1:][np.diff(offsets) > 0])
     starts = np.concatenate([[0], ends[:-1]])[: ends.size]
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    h = common.span_hashes(data, starts, ends - (data[ends - 1] == 10)) if ends.size else np.zeros(0, np.uint64)
-    pair = np.concatenate([[np.uint64(1)], common.gram_hashes(h, 2)])[: h.size]
-    first = np.concatenate([[True], doc[1:] != doc[:-1]])[: doc.size]
-    cut = ((pair % np.uint64(divisor)) == 0) & ~first
-    cut |= np.concatenate([first[1:], [True]])[: cut.size]
-    last = np.flatnonzero(cut)
-    begin = np.concatenate([[0], last[:-1] + 1])[: last.size]
-    return starts[begin], ends[last], last - begin + 1, doc[begin]
-
-
-def _chunk_rows(divisor: int, least: int, with_bytes: bool):
+    bare = ends - (data[ends - 1] == 10) if ends.size else ends
+    return starts, ends, bare, np.searchsorted(offsets, starts, "right") - 1
+
+
+def line_hashes(data: np.ndarray, starts: np.ndarray, bare: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """Hash of each line; those in `clashes` (sorted) are replaced by 64 bits of the line's SHA-256."""
+    h = common.span_hashes(data, starts, bare).view(np.int64) if starts.size else np.zeros(0, np.int64)
+    if clashes.size:
+        for i in np.flatnonzero(np.isin(h, clashes)).tolist():
+            h[i] = int.from_bytes(hashlib.sha256(data[starts[i] : bare[i]].tobytes()).digest()[:8], "little", signed=True)
+    return h
+
+
+def is_long(data: np.ndarray, starts: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    word = common.NONSPACE_BYTE[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    count = np.concatenate([[0], np.cumsum(begins)])
+    return (count[bare] - count[starts] > LONG_WORDS) | (bare - starts >= LONG_BYTES)
+
+
+def _line_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nothing = np.zeros(0, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in common.text_blocks(batch.column(0)):
+            starts, _, bare, _ = lines_of(data, offsets)
+            h, at = np.unique(line_hashes(data, starts, bare, nothing), return_inverse=True)
+            raw, made = data.tobytes(), {}
+            for k, x, y in zip(at.tolist(), starts.tolist(), bare.tolist()):
+                made.setdefault((k, raw[x:y]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[[k for k, _ in made]] if made else nothing), pa.array([b for _, b in made], pa.binary())], names=["h", "bytes"])
+
+
+def _unit_rows(clashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             for row, _, data, offsets in common.text_blocks(batch.column(2)):
-                a, b, lines, doc = chunks(data, offsets, divisor)
-                kept = np.flatnonzero(lines >= least)
-                if not kept.size:
+                starts, _, bare, doc = lines_of(data, offsets)
+                if not starts.size:
                     continue
-                a, b, doc = a[kept], b[kept], doc[kept]
-                # the last line of a text has no newline: its chunk equals the same lines elsewhere
-                bare = b - (data[b - 1] == 10)
-                at = pa.array(row + doc)
-                made = [ids.take(at), keys.take(at), pa.array(a - offsets[doc]), pa.array(common.span_hashes(data, a, bare).view(np.int64))]
-                names = ["doc_id", "key", "start", "h"]
-                if with_bytes:
-                    raw = data.tobytes()
-                    made += [pa.array([raw[x:y] for x, y in zip(a.tolist(), bare.tolist())], pa.binary())]
-                    names += ["bytes"]
-                yield pa.RecordBatch.from_arrays(made, names=names)
+                h = line_hashes(data, starts, bare, clashes)
+                two = np.flatnonzero(doc[1:] == doc[:-1])
+                one = np.flatnonzero(is_long(data, starts, bare))
+                first = np.concatenate([two, one])
+                at = pa.array(row + doc[first])
+                single = pa.array(np.arange(first.size) >= two.size)
+                second = pa.array(np.concatenate([h[two + 1], np.zeros(one.size, np.int64)]))
+                yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array((starts - offsets[doc])[first]), single, pa.array(h[first]), second], names=["doc_id", "key", "start", "single", "a", "b"])
 
     return run
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """One row per row of docs: doc_id, text, kept (text without the removed chunks), n_lines, n_removed (lines),
-    removed (start bytes of the removed chunks).
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, text, kept (text without the removed lines), n_lines, n_removed (lines),
+    removed (start bytes of the removed runs of lines).
 
     Null text stays null and has no lines. Rows with the same id and text are one document, treated alike; a null id
     comes after all others.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    base = [slim.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("h", T.LongType())]
+    seen = slim.select("text").mapInArrow(_line_bytes, "h long, bytes binary").groupBy("h").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+    clashes = np.sort(np.array([r.h for r in seen.where("least != most").select("h").collect()], np.int64))
+    base = [slim.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("single", T.BooleanType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
+    units = slim.mapInArrow(_unit_rows(clashes), T.StructType(base))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
-    hashes = slim.mapInArrow(_chunk_rows(divisor, least, False), T.StructType(base))
     # one place or several? two extremes tell it, and repeated rows share a place
-    repeated = hashes.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.ceil(F.count("*") / PART_PLACES).alias("parts")).where("low != high").select("h", "parts")
-    repeated = common.cut(repeated)
-    full = slim.mapInArrow(_chunk_rows(divisor, least, True), T.StructType([*base, T.StructField("bytes", T.BinaryType())])).join(repeated, "h")
-    full = common.cut(full)
-    keepers = full.groupBy("h", "bytes").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("parts").alias("parts")).where("low != high")
-    keepers = keepers.select("h", "bytes", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    dealt = full.withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "start"), F.col("parts"))).drop("parts")
-    gone = dealt.join(keepers, ["h", "bytes", "part"]).where(place != F.col("low")).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("start")).alias("removed"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "removed")
-    joined = slim.join(gone, slim.doc_id.eqNullSafe(gone.gone_id) & slim.key.eqNullSafe(gone.gone_key), "left").select("doc_id", "text", "removed")
+    keepers = units.groupBy("single", "a", "b").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("single", "a", "b", "low")
+    keepers = common.cut(keepers)  # with a shuffle of its own on both sides, the join can split a pair with many places
+    # a unit's first byte, doubled, plus 1 for a line by itself
+    found = units.join(keepers, ["single", "a", "b"]).where(place != F.col("low")).select("doc_id", "key", (F.col("start") * 2 + F.col("single").cast("long")).alias("unit"))
+    gone = found.groupBy("doc_id", "key").agg(F.collect_set("unit").alias("units"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "units")
+    joined = slim.join(gone, slim.doc_id.eqNullSafe(gone.gone_id) & slim.key.eqNullSafe(gone.gone_key), "left").select("doc_id", "text", "units")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            removed = batch.column(2).to_pylist()
-            kept, n_lines, n_removed = [], [], []
+            hits = batch.column(2)
+            kept, n_lines, n_removed, removed = [], [], [], []
             for row, stop, data, offsets in common.text_blocks(column):
-                a, b, lines, doc = chunks(data, offsets, divisor)
-                n_lines.append(np.bincount(doc, lines, offsets.size - 1).astype(np.int64))
+                starts, ends, _, doc = lines_of(data, offsets)
+                n_lines.append(np.bincount(doc, minlength=offsets.size - 1).astype(np.int64))
                 lost = np.zeros(offsets.size - 1, np.int64)
                 raw = data.tobytes()
-                cut = np.searchsorted(doc, np.arange(offsets.size))
+                edge = np.searchsorted(doc, np.arange(offsets.size))
                 for i in range(stop - row):
-                    out = removed[row + i]
-                    if not out:
+                    if not hits[row + i].is_valid:
                         kept.append(raw[offsets[i] : offsets[i + 1]])
+                        removed.append(None)
                         continue
-                    own = slice(cut[i], cut[i + 1])
-                    stay = ~np.isin(a[own] - offsets[i], out)
-                    lost[i] = lines[own][~stay].sum()
-                    kept.append(b"".join(raw[x:y] for x, y in zip(a[own][stay].tolist(), b[own][stay].tolist())))
+                    unit = hits[row + i].values.to_numpy(zero_copy_only=False)
+                    a, b = starts[edge[i] : edge[i + 1]], ends[edge[i] : edge[i + 1]]
+                    first = np.searchsorted(a - offsets[i], unit >> 1)
+                    out = np.zeros(a.size + 1, bool)
+                    out[first] = True
+                    out[first[unit % 2 == 0] + 1] = True
+                    out = out[: a.size]
+                    lost[i] = out.sum()
+                    begins = out.copy()
+                    begins[1:] &= ~out[:-1]
+                    removed.append((a - offsets[i])[begins].tolist())
+                    kept.append(b"".join(raw[x:y] for x, y in zip(a[~out].tolist(), b[~out].tolist())))
                 n_removed.append(lost)
             texts = pa.array([None if v is None else v.decode() for v in kept], pa.string()) if kept else pa.array([], pa.string())
             texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, texts, pa.array(np.concatenate([*n_lines, np.zeros(0, np.int64)])), pa.array(np.concatenate([*n_removed, np.zeros(0, np.int64)])), batch.column(2)], names=["doc_id", "text", "kept", "n_lines", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, texts, pa.array(np.concatenate([*n_lines, np.zeros(0, np.int64)])), pa.array(np.concatenate([*n_removed, np.zeros(0, np.int64)])), pa.array(removed, pa.list_(pa.int64()))], names=["doc_id", "text", "kept", "n_lines", "n_removed", "removed"])
 
     schema = T.StructType([slim.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType()))])
     return joined.mapInArrow(rebuild, schema)
@@ -127,18 +153,19 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_removed", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_chunks_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], divisor: int = DIVISOR, least: int = LEAST_LINES) -> dict[int, str | None]:
-    """Kept texts by a dictionary of all chunks in order, for tests."""
-    seen: set[bytes] = set()
+def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
+    """Kept texts by a set of all pairs of lines and all long lines in order, for tests."""
+    seen: set[tuple[bytes, ...]] = set()
     out: dict[int, str | None] = {}
     for doc, text in sorted(rows):
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        raw, kept = data.tobytes(), b""
-        for a, b, lines, _ in zip(*(x.tolist() for x in chunks(data, np.array([0, data.size]), divisor))):
-            body = raw[a:b].removesuffix(b"\n")
-            if lines < least or body not in seen:
-                kept += raw[a:b]
-            if lines >= least:
-                seen.add(body)
-        out[doc] = None if text is None else kept.decode()
+        lines = (text or "").encode().split(b"\n")
+        ended = [x + b"\n" for x in lines[:-1]] + [lines[-1]] * bool(lines[-1])
+        bare, gone = [x.removesuffix(b"\n") for x in ended], set()
+        for i, line in enumerate(bare):
+            units = [(line,)] * (len(line.split()) > LONG_WORDS or len(line) >= LONG_BYTES) + [tuple(bare[i : i + 2])] * (i + 1 < len(bare))
+            for unit in units:
+                if unit in seen:
+                    gone.update(range(i, i + len(unit)))
+                seen.add(unit)
+        out[doc] = None if text is None else b"".join(x for i, x in enumerate(ended) if i not in gone).decode()
     return out
