@@ -15,13 +15,17 @@ from .bm25 import top_k
 BLOCK_FLOATS = 4_000_000
 
 
-def scores(queries: DataFrame, corpus: DataFrame, keep: int | None = None) -> DataFrame:
+def scores(queries: DataFrame, corpus: DataFrame, keep: int | None = None, other_label: bool = False) -> DataFrame:
     """(query_id, doc_id, score) of queries (query_id, v) with corpus (doc_id, v), unit vectors of one length.
 
     Queries are read in blocks of bounded size; each is multiplied with every batch of the corpus. With `keep`, a
-    batch only returns each query's `keep` best, so that the exact top k needs no all-pairs result.
+    batch only returns each query's `keep` best, so that the exact top k needs no all-pairs result. With `other_label`,
+    both have an integer label, and only pairs of different labels count (null differs from none).
     """
-    rows = iter(queries.select("query_id", "v").toLocalIterator())
+    label = [F.col("label").cast("long").alias("label")] if other_label else []
+    if other_label:
+        queries, corpus = queries.where("label is not null"), corpus.where("label is not null")
+    rows = iter(queries.select("query_id", "v", *label).toLocalIterator())
     parts: list[DataFrame] = []
     while True:
         block = []
@@ -33,22 +37,28 @@ def scores(queries: DataFrame, corpus: DataFrame, keep: int | None = None) -> Da
             break
         ids = np.array([r.query_id for r in block], np.int64)
         matrix = np.array([r.v for r in block], np.float64).reshape(len(block), -1)
+        own = np.array([r.label for r in block], np.int64) if other_label else None
 
-        def multiply(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+        def multiply(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, own=own) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows or not ids.size:
                     continue
                 docs = np.asarray(batch.column(0))
                 vectors = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(docs), -1)
                 s = np.round(matrix @ vectors.T, 6)
+                if own is not None:
+                    s[own[:, None] == np.asarray(batch.column(2))[None, :]] = -np.inf
                 if keep is not None and keep < len(docs):
                     order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :keep]
                 else:
                     order = np.broadcast_to(np.arange(len(docs)), s.shape)
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[order.ravel()]), pa.array(s[q, order.ravel()])], names=["query_id", "doc_id", "score"])
+                q, at = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
+                if own is not None:
+                    other = s[q, at] > -np.inf
+                    q, at = q[other], at[other]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[at]), pa.array(s[q, at])], names=["query_id", "doc_id", "score"])
 
-        parts.append(corpus.select(F.col("doc_id").cast("long"), "v").where("v is not null").mapInArrow(multiply, "query_id long, doc_id long, score double"))
+        parts.append(corpus.select(F.col("doc_id").cast("long"), "v", *label).where("v is not null").mapInArrow(multiply, "query_id long, doc_id long, score double"))
         if not block:
             break
     out = parts[0]

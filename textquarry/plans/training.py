@@ -12,7 +12,6 @@ from ..functions import text as tx
 from ..operators import bm25, dedup, dense, mining, ranking
 from .base import HASH, PAIRED, SHINGLES, TOK, WS, docs, index_sql, paired_queries, paired_scores, paired_sql, ranks_sql, table, truth
 from .dense import _ALL, vectors
-from .dense import queries as vector_queries
 from .retrieval import ranks
 
 Q: dict = {}
@@ -154,13 +153,10 @@ Q["mine_simple_negatives"] = (
 
 
 def mine_dense(s, d):
-    """The 7 best of a pool of 50 vectors, without the own one and those of its label."""
+    """The 7 best of all vectors of another label (so never the own one)."""
     v = vectors(s, d)
-    pool = bm25.top_k(dense.scores(vector_queries(s, d), v, keep=50), 50)
-    labels = v.select("doc_id", "label")
-    own = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("own"))
-    left = pool.join(labels, "doc_id").join(own, "query_id").where("doc_id != query_id and label != own")
-    return bm25.top_k(left.select("query_id", "doc_id", "score"), K).select("query_id", F.col("rank").alias("neg_pos"), "doc_id")
+    own = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "v", "label")
+    return bm25.top_k(dense.scores(own, v, keep=K, other_label=True), K).select("query_id", F.col("rank").alias("neg_pos"), "doc_id")
 
 
 Q["mine_dense_negatives"] = (
