@@ -1,6 +1,6 @@
 """Cases that a sampled or shortened version of an operator would miss."""
 
-from textquarry.llm import line_dedup
+from textquarry.llm import licenses, line_dedup
 
 
 def test_line_dedup_takes_every_repeated_run(spark):
@@ -13,3 +13,18 @@ def test_line_dedup_takes_every_repeated_run(spark):
     assert got[1].kept.split("\n") == sum((own(1, k) for k in [*range(40), "last", "end"]), [])
     assert got[1].n_removed == sum(map(len, shared)) + 1 and len(got[1].removed) == 41
     assert {i: r.kept for i, r in got.items()} == line_dedup.brute_force(rows)
+
+
+def test_licenses_across_lines_paragraphs_and_within_lines(spark):
+    mit = licenses.TEMPLATES["MIT"][2]
+    cut = [mit.index("The above copyright"), mit.index("THE SOFTWARE IS PROVIDED")]
+    paragraphs = "\n\n".join([mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]])
+    body = " ".join(f"word{i} of the other{i}" for i in range(80))
+    bsd = licenses.TEMPLATES["BSD-2-Clause"][-1].replace("1. R", "\n\n1. R").replace("THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")
+    short = "First sentence here. Released under the MIT License. Another sentence follows it."
+    texts = [f"{body}\n\n{paragraphs}\n\n{body}", f"Copyright someone\n\n{bsd}", short, f"{paragraphs}\n{bsd}\n{short}\n{paragraphs}", bsd.replace("EVEN IF", f"{short} EVEN IF"), body, None]
+    made = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [(m.start, m.end, m.license, m.dice) for m in r.license_matches] for r in made}
+    assert [[m[2] for m in got[i]] for i in range(7)] == [["MIT"], ["BSD-2-Clause"], ["MIT"], ["MIT", "BSD-2-Clause", "MIT", "MIT"], ["BSD-2-Clause", "MIT"], [], []]
+    assert got == {i: licenses.brute_force(t) for i, t in enumerate(texts)}
+    assert texts[2][slice(*got[2][0][:2])] == "Released under the MIT License"

@@ -1,8 +1,10 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Segments of a text (its lines, its paragraphs and the whole) are compared. A segment with a distinct bigrams can only
-reach a Dice of t with a template of b if t / (2 - t) <= a / b <= (2 - t) / t; templates outside these bounds aren't
-compared. Segments that share no bigram with any template are passed over by a hash lookup.
+Windows slide over all words of a text, across lines and paragraphs. A window begins and ends with a bigram of the
+template it is compared with. For a Dice of t it must share at least t / (2 - t) of the template's distinct bigrams, and
+it has at most (2 - t) / t as many bigrams as the template; all such windows are compared, from the starts behind which
+enough shared bigrams stand. Of the windows of a template that overlap, the best one stays; of those of different
+templates, the one that shares most bigrams claims them, and others stay if at most half of theirs are claimed.
 """
 
 from __future__ import annotations
@@ -41,6 +43,16 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
+# The excerpts above stay beside the whole wordings.
+for _name, _rest in {
+    "BSD-2-Clause": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "GPL-3.0": "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "ISC": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Unlicense": "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org",
+}.items():
+    TEMPLATES[_name].append(TEMPLATES[_name][-1] + " " + _rest)
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bigram hashes of consecutive words, the byte where each bigram starts and where it ends."""
     data = common.LOWER[data]
@@ -50,69 +62,84 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Templates:
-    """Distinct bigram hashes of each wording, and the sorted hashes of all."""
+    """Distinct bigram hashes of each wording (numbered over all of them), how many, and how many with repeats."""
 
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES):
-        self.names, self.grams = [], []
+        self.names, grams, lengths = [], [], []
         for name, texts in sorted(templates.items()):
             for text in texts:
                 data = np.frombuffer(text.encode(), np.uint8)
-                grams = np.unique(_grams(data, np.array([0, data.size]))[0])
-                if grams.size:
+                g = _grams(data, np.array([0, data.size]))[0]
+                if g.size:
                     self.names.append(name)
-                    self.grams.append(grams)
-        self.sizes = np.array([g.size for g in self.grams], np.int64)
-        self.all = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.uint64)
-
-    def best(self, grams: np.ndarray, threshold: float) -> tuple[float, int]:
-        """Highest Dice of a segment's distinct bigrams with a template within the bounds; ties take the first."""
-        top, at = 0.0, -1
-        for t in np.flatnonzero((grams.size * (2 - threshold) >= threshold * self.sizes - 1e-9) & (grams.size * threshold <= (2 - threshold) * self.sizes + 1e-9)).tolist():
-            dice = 2 * np.intersect1d(grams, self.grams[t], assume_unique=True).size / (grams.size + self.sizes[t])
-            if dice > top:
-                top, at = dice, t
-        return top, at
-
-
-def segments(data: np.ndarray) -> list[tuple[int, int]]:
-    """Lines, runs of lines without blank ones between (if of several lines), and the whole text (if of several runs)."""
-    breaks = np.flatnonzero(data == 10)
-    edges = np.concatenate([[-1], breaks, [data.size]])
-    lines = [(a + 1, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if b > a + 1]
-    out, run = list(lines), []
-    runs = []
-    for line in lines:
-        if run and line[0] > run[-1][1] + 1:
-            runs.append((run[0][0], run[-1][1], len(run)))
-            run = []
-        run.append(line)
-    if run:
-        runs.append((run[0][0], run[-1][1], len(run)))
-    out += [(a, b) for a, b, n in runs if n > 1]
-    return out + [(lines[0][0], lines[-1][1])] * (len(runs) > 1)
-
-
-def scan_text(data: np.ndarray, grams: np.ndarray, begin: np.ndarray, end: np.ndarray, shared: np.ndarray, templates: Templates, threshold: float) -> list[tuple[int, int, str, float]]:
-    """(start, end, licence, Dice) of the matching segments of one text; shared marks the bigrams of any template."""
-    counts = np.concatenate([[0], np.cumsum(shared)])
-    found = []
-    for a, b in segments(data):
-        lo, hi = int(np.searchsorted(begin, a)), int(np.searchsorted(end, b, "right"))
-        # at most as many distinct bigrams match as are shared, and a segment's own are at least those
-        if hi <= lo or counts[hi] == counts[lo]:
-            continue
-        own = np.unique(grams[lo:hi])
-        dice, at = templates.best(own, threshold)
-        if at >= 0 and dice >= threshold:
-            found.append((a, b, templates.names[at], round(float(dice), 6)))
-    return found
+                    grams.append(np.unique(g))
+                    lengths.append(g.size)
+        self.sizes, self.lengths = np.array([g.size for g in grams], np.int64), np.array(lengths, np.int64)
+        self.all = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        self.has = np.array([np.isin(self.all, g) for g in grams]).reshape(len(grams), self.all.size)
+
+
+#: Cells of the table of windows that is made at once.
+CELLS = 1 << 20
+
+
+def _windows(hit: np.ndarray, before: np.ndarray, size: int, most: int, least: float, threshold: float) -> list[tuple[float, int, int, int]]:
+    """(Dice, first bigram, last bigram, shared) of the best window from each start that reaches the threshold; hit
+    marks the template's bigrams, before has the place of each bigram's previous occurrence (or -1)."""
+    at = np.flatnonzero(hit)
+    starts = at[np.searchsorted(at, at + most) - np.arange(at.size) >= least]
+    step, out = max(1, CELLS // most), []
+    for k in range(0, starts.size, step):
+        first = starts[k : k + step, None]
+        place = first + np.arange(most)
+        inside = place < hit.size
+        place = np.minimum(place, hit.size - 1)
+        new, own = (before[place] < first) & inside, hit[place] & inside
+        shared = np.cumsum(new & own, axis=1)
+        dice = np.where(own, 2 * shared / (np.cumsum(new, axis=1) + size), 0.0)
+        best = dice.argmax(axis=1)
+        rows = np.arange(best.size)
+        top = dice[rows, best]
+        good = np.flatnonzero(top >= threshold)
+        out += zip(top[good].tolist(), first[good, 0].tolist(), (first[good, 0] + best[good]).tolist(), shared[good, best[good]].tolist())
+    return out
+
+
+def scan_text(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, number: np.ndarray, templates: Templates, threshold: float) -> list[tuple[int, int, str, float]]:
+    """(start, end, licence, Dice) of the matching windows of one text; number is that of a bigram of any template, or -1."""
+    least = templates.sizes * threshold / (2 - threshold) - 1e-9
+    known = np.flatnonzero(number >= 0)
+    possible = np.flatnonzero(templates.has[:, np.unique(number[known])].sum(axis=1) >= least)
+    if not possible.size:
+        return []
+    order = np.argsort(grams, kind="stable")
+    before = np.full(grams.size, -1)
+    same = grams[order[1:]] == grams[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    found, hits = [], {}
+    for t in possible.tolist():
+        hit = hits[t] = np.zeros(grams.size, bool)
+        hit[known] = templates.has[t, number[known]]
+        most = int(templates.lengths[t] * (2 - threshold) / threshold + 1e-9)
+        used = np.zeros(grams.size, bool)
+        for dice, a, b, shared in sorted(_windows(hit, before, int(templates.sizes[t]), most, least[t], threshold), key=lambda w: (-w[0], w[1], w[2])):
+            if not used[a : b + 1].any():
+                used[a : b + 1] = True
+                found.append((-shared, -dice, a, t, b))
+    claimed, out = np.zeros(grams.size, bool), []
+    for _, dice, a, t, b in sorted(found):
+        own = hits[t][a : b + 1]
+        if 2 * np.count_nonzero(claimed[a : b + 1] & own) <= np.count_nonzero(own):
+            claimed[a : b + 1] |= own
+            out.append((int(begin[a]), int(end[b]), templates.names[t], round(-dice, 6)))
+    return out
 
 
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, name: str = "license_matches") -> DataFrame:
-    """docs with an array column of (start byte, end byte, license, dice), by position, of all matching segments.
+    """docs with an array column of (start byte, end byte, license, dice), by position, of all matching windows.
 
     Null and empty texts, and texts of one word, match nothing; every row is scanned by itself, so repeated rows and
-    ties need no care (equal Dice takes the first licence by name); other columns pass through.
+    ties need no care (equals take the first place, then the first licence by name); other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Templates(templates))
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType())]))
@@ -123,16 +150,17 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, temp
         known = shared.value
         for _, _, data, offsets in common.text_blocks(batch.column(batch.schema.names.index(text))):
             grams, begin, end = _grams(data, offsets)
-            in_any = np.isin(grams, known.all) if known.all.size < 64 else known.all[np.minimum(np.searchsorted(known.all, grams), known.all.size - 1)] == grams
+            at = np.minimum(np.searchsorted(known.all, grams), max(0, known.all.size - 1))
+            number = np.where(known.all[at] == grams, at, -1) if known.all.size else np.full(grams.size, -1)
             lo = np.searchsorted(begin, offsets)
-            some = np.concatenate([[0], np.cumsum(in_any)])
+            some = np.concatenate([[0], np.cumsum(number >= 0)])
             for d in range(offsets.size - 1):
                 a, b = int(lo[d]), int(lo[d + 1])
                 if some[a] == some[b]:
                     out.append([])
                     continue
                 inside = slice(a, a + int(np.searchsorted(end[a:b], offsets[d + 1], "right")))
-                found = scan_text(data[offsets[d] : offsets[d + 1]], grams[inside], begin[inside] - offsets[d], end[inside] - offsets[d], in_any[inside], known, threshold)
+                found = scan_text(grams[inside], begin[inside] - offsets[d], end[inside] - offsets[d], number[inside], known, threshold)
                 out.append([{"start": s, "end": e, "license": x, "dice": v} for s, e, x, v in sorted(found)])
         return [pa.array(out, arrow)]
 
@@ -147,22 +175,35 @@ def op6_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def brute_force(text: str | None, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[int, int, str, float]]:
-    """The same matches by comparing every segment with every template, for tests."""
+    """The same matches by growing every window of every template bigram by bigram, for tests."""
     import re
 
-    def grams(s: bytes) -> set[tuple[bytes, bytes]]:
-        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.lower())
-        return set(zip(w, w[1:]))
-
-    data, found = (text or "").encode(), []
-    for a, b in segments(np.frombuffer(data, np.uint8)):
-        own, top, name = grams(data[a:b]), 0.0, ""
-        for known, texts in sorted(templates.items()):
-            for t in texts:
-                other = grams(t.encode())
-                dice = 2 * len(own & other) / (len(own) + len(other)) if own else 0.0
-                if dice > top:
-                    top, name = dice, known
-        if top >= threshold:
-            found.append((a, b, name, round(top, 6)))
-    return sorted(found)
+    def grams(s: bytes) -> list[tuple[tuple[bytes, bytes], int, int]]:
+        w = list(re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.lower()))
+        return [((x[0], y[0]), x.start(), y.end()) for x, y in zip(w, w[1:])]
+
+    own, found = grams((text or "").encode()), []
+    wordings = [(name, [g for g, *_ in grams(t.encode())]) for name, texts in sorted(templates.items()) for t in texts]
+    for t, (_, wording) in enumerate(wordings):
+        known, best = set(wording), []
+        for a in range(len(own)):
+            seen, top = set(), None
+            for b in range(a, min(len(own), a + int(len(wording) * (2 - threshold) / threshold + 1e-9))) if own[a][0] in known else ():
+                seen.add(own[b][0])
+                dice = 2 * len(seen & known) / (len(seen) + len(known))
+                if own[b][0] in known and dice >= threshold and (top is None or dice > -top[0]):
+                    top = (-dice, a, b, len(seen & known))
+            best += [top] if top else []
+        used: set[int] = set()
+        for dice, a, b, shared in sorted(best):
+            if not used & set(range(a, b + 1)):
+                used |= set(range(a, b + 1))
+                found.append((-shared, dice, a, t, b))
+    claimed: set[int] = set()
+    out = []
+    for _, dice, a, t, b in sorted(found):
+        hits = {i for i in range(a, b + 1) if own[i][0] in wordings[t][1]}
+        if 2 * len(hits & claimed) <= len(hits):
+            claimed |= hits
+            out.append((own[a][1], own[b][2], wordings[t][0], round(-dice, 6)))
+    return sorted(out)
