@@ -1,6 +1,9 @@
 """Cases that a sampled or shortened version of an operator would miss."""
 
-from textquarry.llm import licenses, line_dedup
+import random
+import zlib
+
+from textquarry.llm import language_id, licenses, line_dedup
 
 
 def test_line_dedup_takes_every_repeated_run(spark):
@@ -28,3 +31,22 @@ def test_licenses_across_lines_paragraphs_and_within_lines(spark):
     assert [[m[2] for m in got[i]] for i in range(7)] == [["MIT"], ["BSD-2-Clause"], ["MIT"], ["MIT", "BSD-2-Clause", "MIT", "MIT"], ["BSD-2-Clause", "MIT"], [], []]
     assert got == {i: licenses.brute_force(t) for i, t in enumerate(texts)}
     assert texts[2][slice(*got[2][0][:2])] == "Released under the MIT License"
+
+
+def test_language_id_learns_every_language(spark, monkeypatch):
+    r = random.Random(0)
+    word = lambda k: "".join(chr(0x4E00 + 20 * k + r.randrange(20)) for _ in range(3))
+    rows = [(i, " ".join(word(i % 230) for _ in range(20)), f"l{i % 230:03d}") for i in range(230 * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = language_id.fit(df)
+    assert made.langs == sorted({x[2] for x in rows})
+    got = language_id.predict(df, made).collect()
+    assert len({x.lang_pred for x in got}) > 200 and sum(x.lang_pred == x.lang for x in got) > 0.8 * len(got)
+    # frequent languages shrink, not the few rows of a rare one
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 2_000)
+    rare = [(i, "abc " * 100, "rare") for i in range(10_000, 10_009)] + [(i, "xyz " * 100, "often") for i in range(4_000)]
+    read = {}
+    monkeypatch.setattr(language_id, "train", lambda texts, labels: read.update({x: labels.count(x) for x in labels}))
+    language_id.fit(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    learnable = sum(1 for i, *_ in rare[:9] if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert read["rare"] == learnable and 5 <= read["often"] <= 60

@@ -20,11 +20,12 @@ from . import common
 SIZES = (2, 3, 4)
 BUCKET_BITS = 16
 DIM = 16
-#: The fit reads a sample of about this many rows of each language (of at most MAX_LANGS), chosen by hash.
+#: The fit reads a sample of about this many rows of each language, chosen by hash.
 SAMPLE_PER_LANG = 700
-MAX_LANGS = 200
-#: The sample's texts hold at most so many characters (the share of rows shrinks to that).
+#: Languages share so many characters: where they want more, those that want most shrink to one equal number.
 SAMPLE_CHARS = 24_000_000
+#: Of each language at least about so many rows are read (all, if it has no more), whatever characters they hold.
+LEAST_PER_LANG = 20
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -52,23 +53,24 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Folded scores per bucket, temperature and rejection threshold; langs in code point order."""
+    """Folded scores per bucket (with `weight`: embeddings still to be multiplied by it, for more languages than DIM),
+    temperature and rejection threshold; langs in code point order."""
 
-    def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
-        self.langs, self.scores, self.bias, self.temperature, self.threshold = langs, scores, bias, temperature, threshold
+    def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0, weight: np.ndarray | None = None):
+        self.langs, self.scores, self.bias, self.temperature, self.threshold, self.weight = langs, scores, bias, temperature, threshold, weight
 
     def logits(self, column: pa.Array) -> np.ndarray:
-        out = np.zeros((len(column), len(self.langs)))
+        out = np.zeros((len(column), self.scores.shape[1]))
         for row, stop, data, offsets in common.text_blocks(column, 1 << 19):
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
             if not full.size:
                 continue
-            total = np.zeros((full.size, len(self.langs)))
+            total = np.zeros((full.size, self.scores.shape[1]))
             for buckets in ngram_buckets(data, offsets):
                 total += np.add.reduceat(self.scores[buckets], offsets[:-1][full], axis=0, dtype=np.float64)
             out[row + full] = total / np.maximum(1, sum(np.maximum(0, sizes[full] - n + 1) for n in SIZES))[:, None]
-        return out + self.bias
+        return (out if self.weight is None else out @ self.weight) + self.bias
 
     def probabilities(self, column: pa.Array) -> np.ndarray:
         z = self.logits(column) / self.temperature
@@ -93,7 +95,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 2.
     langs = sorted(set(labels))
     if not langs:
         return None
-    y = np.array([langs.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(langs)}
+    y = np.array([number[x] for x in labels])
     rng = np.random.Generator(np.random.PCG64(seed))
     embedding = rng.normal(0, 0.1, ((1 << BUCKET_BITS) + 1, DIM))
     embedding[-1] = 0
@@ -106,6 +109,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 2.
         bags.append((b[real], n[real] / max(1, n[real].sum())))
     order = rng.permutation(len(texts))
     apart, learn = order[: len(order) // 5], order[len(order) // 5 :]
+    learned = np.isin(y[apart], y[learn])  # languages that are wholly held apart would never be predicted
+    apart, learn = apart[learned], np.concatenate([learn, apart[~learned]])
     steps = 0
     for _ in range(epochs):
         for i in rng.permutation(learn):
@@ -121,7 +126,10 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 2.
             weight -= step * np.outer(mean, p)
             bias -= 0.1 * step * p
             embedding[b] -= step * 8 * share[:, None] * back
-    model = Model(langs, (embedding @ weight).astype(np.float32), bias)
+    if len(langs) <= DIM:
+        model = Model(langs, (embedding @ weight).astype(np.float32), bias)
+    else:
+        model = Model(langs, embedding.astype(np.float32), bias, weight=weight)
     if apart.size >= 20:
         z = model.logits(pa.array([texts[i] for i in apart]))
         own = np.arange(apart.size)
@@ -140,17 +148,30 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 2.
     return model
 
 
+def shares(counts: list[tuple[int, int]]) -> list[float]:
+    """The share of rows to read of each language (rows, characters): SAMPLE_PER_LANG rows or, for those that want most
+    where all want more than SAMPLE_CHARS, the rows of one equal number of characters."""
+    share = [min(1.0, SAMPLE_PER_LANG / n) for n, _ in counts]
+    wanted = [x * max(1, chars) for x, (_, chars) in zip(share, counts)]
+    left, level = float(SAMPLE_CHARS), float("inf")
+    for k, w in enumerate(sorted(wanted)):
+        if w * (len(wanted) - k) > left:
+            level = left / (len(wanted) - k)
+            break
+        left -= w
+    return [x * min(1.0, level / w) for x, w in zip(share, wanted)]
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
     """Trains on a bounded sample, chosen by hash of the id, of rows that may be learned from and have text and lang;
     rows with a null id are left out, as one hash would take or leave all of them."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & common.not_held_out("doc_id"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    wanted = sum(min(1.0, SAMPLE_PER_LANG / r.n) * r.chars for r in counts)
-    shrink = min(1.0, SAMPLE_CHARS / max(1, wanted))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
     if not counts:
         return None
-    below = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(1_000_000 * shrink * min(1.0, SAMPLE_PER_LANG / r.n)) + 1)])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < below[F.col("lang")]).collect()
+    below = [(r.lang, int(1_000_000 * min(1.0, max(share, LEAST_PER_LANG / r.n))) + 1) for r, share in zip(counts, shares([(r.n, r.chars) for r in counts]))]
+    known = F.broadcast(rows.sparkSession.createDataFrame(below, "lang string, below long"))
+    sample = rows.join(known, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("below")).select("doc_id", "text", "lang").collect()
     sample.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text, r.lang))
     return train([r.text for r in sample], [r.lang for r in sample])
 
