@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,23 +34,74 @@ NONSPACE_BYTE[[32, 9, 10, 11, 12, 13]] = False
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder of the session; a temporary one is set only where none is (as in local tests)."""
+    """The shared folder of the session. Where none is set, local mode gets a temporary one; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint_")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _file_system(spark, path: str):
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
+
+
+def finished(spark, folder: str) -> bool:
+    """Whether a job wrote the folder to its end."""
+    fs, path = _file_system(spark, f"{folder}/_SUCCESS")
+    return fs.exists(path)
+
+
+def delete(spark, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Runs df once and cuts its lineage with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def free_name(taken: list[str], wanted: str) -> str:
+    """`wanted`, with as many underscores behind it as make it differ (in any case) from the names taken."""
+    known = {n.lower() for n in taken}
+    while wanted.lower() in known:
+        wanted += "_"
+    return wanted
+
+
+def reads_files(df: DataFrame) -> bool:
+    """Whether each row of df is a row of a file, so that the hidden column _metadata tells them apart."""
+    nodes = [df._jdf.queryExecution().analyzed()]
+    if any(c.lower() == "_metadata" for c in df.columns):
+        return False
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in ("Project", "Filter", "SubqueryAlias") and not node.nodeName().startswith(("LogicalRelation", "Relation")):
+            return False
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return True
+
+
+def identified(df: DataFrame) -> DataFrame:
+    """(row, at): the rows of df as structs, so that no name clashes, and what names each by file and place, the same
+    whenever it is read. A frame that isn't read from files is written to the shared folder and read from there."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    at = F.struct(F.unhex(F.md5(F.col("_metadata.file_path").cast("binary"))).alias("file"), F.col("_metadata.row_index").alias("place")).alias("at")
+    if reads_files(df):
+        return df.select(row, at)
+    folder = f"{checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.select(row).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder).select("row", at)
+
+
 def not_held_out(id_column: str):
     """True for rows that may be learned from: crc32(id as text) mod 3 is not 1 (null ids count as learnable)."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 != 1, F.lit(True))
@@ -178,7 +231,8 @@ def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = compute(batch)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *made], names=[*(batch.schema.names[i] for i in stay), *names])
+            made = compute(batch.rename_columns(given))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *made], names=[*(given[i] for i in stay), *names])
 
-    return df.mapInArrow(run, schema)
+    given = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(given))]).mapInArrow(run, schema)  # names with dots can't be handed over
