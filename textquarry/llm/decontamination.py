@@ -6,16 +6,18 @@ an item share contain one whole window in both, so both keep the same hash of it
 is missed. Fingerprints that meet are extended word by word to both sides, and runs of at least 13 words count.
 Items of fewer words are found by their whole sequence (a window of one gram as long as the item).
 
-The benchmark is read in blocks of bounded size; each block's index is broadcast, and each block passes over the
-documents' rows without a shuffle, handing on what was hit so far. One block is the usual case.
+A benchmark of at most one block of bounded size is broadcast as an index, and the documents' rows pass by it without
+a shuffle. A larger one is joined: fingerprints of documents and items meet in a shuffle, and each document that shares
+one with an item is compared with that item alone.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,58 +142,119 @@ def scan(data: np.ndarray, offsets: np.ndarray, index: Index) -> tuple[np.ndarra
     return n_words, first, np.cumsum(mark[:-1]) > 0, all_pairs
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> list[list[tuple[object, str]]]:
-    """The items' rows in blocks of about block_chars characters; a size check decides on how many."""
-    items = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    n = int(total // block_chars) + 1
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.toLocalIterator()]
+_KIND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.LongType()))])
+_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))])
 
 
-def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_chars: int = BLOCK_CHARS, name: str = "__contamination") -> DataFrame:
+def runs(flags: np.ndarray) -> list[int]:
+    """Starts and ends of the runs of set flags, flat."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))).tolist()
+
+
+def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_chars: int = BLOCK_CHARS, name: str = "contamination") -> DataFrame:
     """docs with a struct column `name`: n_words, n_hit, items (ids, sorted as strings), spans (hit runs of words).
 
-    Null text has no words; repeated rows are judged one by one; items with null text are left out, a null item
-    id reads 'None', rows with one item id are one item; an empty benchmark hits nothing. Other columns pass through.
+    Null text has no words, very long texts are read whole; repeated rows are judged one by one, so ties don't arise;
+    items with null text are left out, a null item id reads 'None', rows with one item id are one item; an empty benchmark
+    hits nothing, empty documents give an empty table. Other columns pass through; one named like the new one is replaced.
     """
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.LongType()))])
-    arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))])
-    sc = docs.sparkSession.sparkContext
-    for b, block in enumerate(item_blocks(items, item_id, item_text, block_chars)):
-        shared = sc.broadcast(Index(block, window, gram))
-
-        def compute(batch: pa.RecordBatch, shared=shared, before=b > 0) -> list[pa.Array]:
-            index, column = shared.value, batch.column(batch.schema.names.index(text))
-            old = batch.column(batch.num_columns - 1).to_pylist() if before else None
-            out: list[dict] = []
-            for row, _, data, offsets in common.text_blocks(column):
-                n_words, first, hit, pairs = scan(data, offsets, index)
-                cuts = np.searchsorted(pairs[:, 0], np.arange(n_words.size + 1))
-                for d in range(n_words.size):
-                    items_here = sorted({x for i in pairs[cuts[d] : cuts[d + 1], 1] for x in index.ids[i]}) if cuts[d] < cuts[d + 1] else []
-                    spans: list[int] = []
-                    n_hit = 0
-                    if items_here:
-                        own = hit[first[d] : first[d + 1]]
-                        if old is not None:
-                            for s, e in zip(old[row + d]["spans"][::2], old[row + d]["spans"][1::2]):
-                                own[s:e] = True
-                        spans = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).tolist()
-                        n_hit = int(own.sum())
-                        if old is not None:
-                            items_here = sorted({*items_here, *old[row + d]["items"]})
-                    elif old is not None:
-                        items_here, spans, n_hit = old[row + d]["items"], old[row + d]["spans"], old[row + d]["n_hit"]
-                    out.append({"n_words": int(n_words[d]), "n_hit": n_hit, "items": items_here, "spans": spans})
-            return [pa.array(out, arrow)]
-
-        made = name if b == 0 else f"{name}_next"
-        docs = common.append_columns(docs, [T.StructField(made, kind)], compute)
-        if b:
-            docs = docs.drop(name).withColumnRenamed(made, name)
-    return docs
+    items = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("words")).where(F.col("words").isNotNull())
+    items = items.select(F.coalesce("id", F.lit("None")).alias("id"), "words")
+    if (items.agg(F.sum(F.length("words"))).first()[0] or 0) > block_chars:
+        return annotate_joined(docs, items, text, window, gram, name)
+    shared = docs.sparkSession.sparkContext.broadcast(Index([(r.id, r.words) for r in items.toLocalIterator()], window, gram))
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        index, column = shared.value, batch.column(batch.schema.names.index(text))
+        out: list[dict] = []
+        for _, _, data, offsets in common.text_blocks(column):
+            n_words, first, hit, pairs = scan(data, offsets, index)
+            cuts = np.searchsorted(pairs[:, 0], np.arange(n_words.size + 1))
+            for d in range(n_words.size):
+                found = sorted({x for i in pairs[cuts[d] : cuts[d + 1], 1] for x in index.ids[i]}) if cuts[d] < cuts[d + 1] else []
+                own = hit[first[d] : first[d + 1]]
+                out.append({"n_words": int(n_words[d]), "n_hit": int(own.sum()) if found else 0, "items": found, "spans": runs(own) if found else []})
+        return [pa.array(out, _ARROW)]
+
+    return common.append_columns(docs, [T.StructField(name, _KIND)], compute)
+
+
+def _keys(text: bytes | None, window: int, gram: int, lengths: list[int] | None) -> np.ndarray:
+    """What a text and an item that hits it share. Of an item (lengths None): its fingerprints, or, if it is short, the
+    hash of its words; of a document: its fingerprints, and the hashes of its grams of the lengths of short items."""
+    data = common.LOWER[np.frombuffer(text or b"", np.uint8)]
+    starts, ends, _ = common.word_spans(data, np.array([0, data.size]), common.ALNUM_BYTE)
+    if not starts.size:
+        return np.zeros(0, np.int64)
+    words = common.span_hashes(data, starts, ends)
+    tag = lambda h, n: common.mix(h ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    own = [words.size] if lengths is None and words.size < window else lengths or []
+    made = [tag(common.gram_hashes(words, n), n) for n in own]
+    if lengths is not None or words.size >= window:
+        made.append(winnow(words, np.zeros(words.size, np.int64), gram, window - gram + 1)[0])
+    return np.unique(np.concatenate(made)).view(np.int64) if made else np.zeros(0, np.int64)
+
+
+def _keyed(rows: DataFrame, window: int, gram: int, lengths: list[int] | None) -> DataFrame:
+    """(key, at) of rows (at, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                keys = _keys(text.as_buffer().to_pybytes() if text.is_valid else None, window, gram, lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(np.full(keys.size, i)))], names=["key", "at"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), rows.schema["at"]]))
+
+
+def annotate_joined(docs: DataFrame, items: DataFrame, text: str, window: int = WINDOW, gram: int = GRAM, name: str = "contamination") -> DataFrame:
+    """As annotate, for items (id, words) of any number: a shuffled join of fingerprints finds pairs of a document and an
+    item, each pair is compared by itself, and what it hits is put together by document."""
+    lengths = [r.n for r in items.select(F.regexp_count("words", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("n")).where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect()]
+    rows = common.identified(docs)
+    sources = rows.select("at", F.col("row")[text].alias("text"))
+    known = common.cut(items.distinct().withColumn("at", F.xxhash64("id", "words")))
+    left = _keyed(sources, window, gram, lengths)
+    right = _keyed(known.select("at", "words"), window, gram, None).withColumnRenamed("at", "item")
+    met = left.join(right, "key").select("at", "item").distinct()
+    pairs = met.join(known, met["item"] == known["at"]).select(met["at"], "id", "words").join(sources, "at").select("at", "id", "words", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[str, Index] = {}
+        for batch in batches:
+            spans: list[list[int] | None] = []
+            for words, document in zip(batch.column(2), batch.column(3)):
+                item = words.as_py()
+                if item not in index:
+                    if len(index) >= 256:
+                        index.clear()
+                    index[item] = Index([("", item)], window, gram)
+                data = np.frombuffer(document.as_buffer(), np.uint8)
+                _, _, hit, found = scan(data, np.array([0, data.size]), index[item])
+                spans.append(runs(hit) if len(found) else None)
+            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64()))], names=["at", "id", "spans"])
+            yield made.filter(made.column(2).is_valid())
+
+    kinds = T.StructType([sources.schema["at"], T.StructField("id", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType()))])
+    hits = pairs.mapInArrow(compare, kinds).groupBy("at").agg(F.array_sort(F.collect_set("id")).alias("items"), F.collect_set("spans").alias("hits"))
+    joined = rows.join(hits, "at", "left").select("row", "items", "hits")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field(text)
+            out = []
+            for document, found, hits in zip(pc.if_else(batch.column(0).is_valid(), texts, None), batch.column(1), batch.column(2)):
+                data = common.LOWER[np.frombuffer(document.as_buffer(), np.uint8)] if document.is_valid else np.zeros(0, np.uint8)
+                starts, _, _ = common.word_spans(data, np.array([0, data.size]), common.ALNUM_BYTE)
+                own = np.zeros(starts.size, bool)
+                for spans in hits.as_py() or ():
+                    for s, e in zip(spans[::2], spans[1::2]):
+                        own[s:e] = True
+                out.append({"n_words": int(starts.size), "n_hit": int(own.sum()), "items": found.as_py() or [], "spans": runs(own)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _ARROW)], names=["row", "hit"])
+
+    made = joined.mapInArrow(settle, T.StructType([joined.schema["row"], T.StructField("hit", _KIND)]))
+    return made.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != name.lower()], F.col("hit").alias(name))
 
 
 def contaminated(n_hit, n_words, ratio: int = 20):
@@ -204,17 +267,18 @@ def items_digest(items):
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, ratio: int = 20, **options) -> DataFrame:
-    """docs without contaminated rows, with the columns of docs."""
-    made = annotate(docs, items, **options)
-    c = F.col("__contamination")
-    return made.where(~contaminated(c["n_hit"], c["n_words"], ratio)).drop("__contamination")
+    """docs without contaminated rows, with the columns of docs, whatever their names; other cases as in annotate."""
+    name = common.free_name(docs.columns, "contamination")
+    made = annotate(docs, items, name=name, **options)
+    c = F.col(name)
+    return made.where(~contaminated(c["n_hit"], c["n_words"], ratio)).drop(name)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     made = annotate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    c = F.col("__contamination")
+    c = F.col("contamination")
     return made.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), items_digest(c["items"]).alias("items_sha256"), contaminated(c["n_hit"], c["n_words"]).alias("contaminated"))
 
 
