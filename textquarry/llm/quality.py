@@ -189,8 +189,9 @@ def score(docs: DataFrame, model: Trees, text: str = "text", name: str = "score"
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs whose score is at least `least`, with the columns of docs."""
-    return score(docs, fit(docs, labels), name="__quality").where(F.col("__quality") >= least).drop("__quality")
+    """docs whose score is at least `least`, with the columns of docs, whatever their names."""
+    name = common.free_name(docs.columns, "quality_score")
+    return score(docs, fit(docs, labels), name=name).where(F.col(name) >= least).drop(name)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A fingerprint is eight bytes, each with its position. Two fingerprints that diff
 least 4 positional bytes, so the guaranteed minimum of the tally is 4 of 8. Postings of one positional byte would
 hold a 256th of all fingerprints, and tallying them would make all pairs; so the index holds the combinations of
 four positional bytes (70 postings a fingerprint): two fingerprints meet in a posting exactly when their tally
-reaches the minimum. In each posting the tally is counted, then the Hamming distance verified.
+reaches the minimum, so the index itself does the count filtering (README has the figures); the Hamming distance is
+then verified.
 
 Only distinct fingerprints enter the index, so copies cost nothing. Postings are shipped as packed arrays by
 hashed bucket. A large posting isn't compared pairwise: its members are sent to all values within 2 bits of their
@@ -21,7 +22,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,11 +95,7 @@ def near_values(free: list[int]) -> np.ndarray:
 
 def links_by_pairs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i, j = np.triu_indices(fp.size, 1)
-    x = fp[i] ^ fp[j]
-    tally = np.zeros(x.size, np.int8)
-    for p in range(8):
-        tally += ((x >> np.uint64(8 * p)) & np.uint64(255)) == 0
-    near = (tally >= MIN_TALLY) & (popcount(x) <= MAX_BITS)
+    near = popcount(fp[i] ^ fp[j]) <= MAX_BITS
     return i[near], j[near]
 
 
@@ -156,12 +153,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def _pack(columns: list[np.ndarray], bucket: np.ndarray, n: int) -> Iterator[tuple[int, list[bytes]]]:
+def _pack(columns: list[np.ndarray], bucket: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(n + 1))
+    full, first = np.unique(bucket[order], return_index=True)
     columns = [c[order] for c in columns]
-    for b in np.flatnonzero(np.diff(cut)).tolist():
-        yield b, [c[cut[b] : cut[b + 1]].tobytes() for c in columns]
+    for b, x, y in zip(full.tolist(), first.tolist(), [*first[1:].tolist(), bucket.size]):
+        yield b, [c[x:y].tobytes() for c in columns]
 
 
 def _binary(rows: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
@@ -182,7 +179,7 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
                 fp = np.asarray(batch.column(0))[at : at + 20_000].view(np.uint64)
                 keys = np.concatenate([posting_keys(fp, s) for s in range(len(SUBSETS))])
                 bucket = (common.mix(keys) % np.uint64(buckets)).astype(np.int64)
-                yield _binary(list(_pack([keys, np.tile(fp, len(SUBSETS))], bucket, buckets)))
+                yield _binary(list(_pack([keys, np.tile(fp, len(SUBSETS))], bucket)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = list(batches)
@@ -194,8 +191,8 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 
 
 def contract(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b): hash-partitioned by the smaller end, each task replaces its edges
-    by stars; repeated until all stars agree (no node has two roots and no root has a root)."""
+    """(node, root) for the nodes of edges (a, b): each task replaces the edges it holds by stars, however they are
+    dealt; repeated until all stars agree (no node has two roots and no root has a root)."""
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -220,36 +217,53 @@ def contract(edges: DataFrame) -> DataFrame:
         edges = common.cut(jumped.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("c").alias("a"), F.col("top").alias("b")))).alias("e")).select("e.*").where("a is not null and b is not null and a != b").mapInArrow(star, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (doc_id, fp signed, component_id) per row of docs.
-
-    Null and empty texts have fingerprint zero and link like any other; repeated rows stay repeated; a null doc_id
-    never names a component unless it has no other member. Linked are fingerprints within MAX_BITS, transitively.
-    """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def mark(rows: DataFrame) -> DataFrame:
+    """rows, whose last column is the text, with the fingerprint fp (signed) in its place; run once, lineage cut."""
+    keep = rows.columns[:-1]
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)).view(np.int64))], names=["doc_id", "fp"])
+            made = pa.array(fingerprints(batch.column(len(keep))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), made], names=[*keep, "fp"])
+
+    return common.cut(rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in keep), T.StructField("fp", T.LongType())])))
+
 
-    marked = common.cut(slim.mapInArrow(mark, T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType())])))
-    distinct = common.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+def rooted(marked: DataFrame, low: Column) -> DataFrame:
+    """(fp, low, root) of the distinct fingerprints: an aggregate of its rows, and what names its component."""
+    distinct = common.cut(marked.groupBy("fp").agg(low.alias("low")))
     tree = contract(links(distinct, distinct.count()))
-    rooted = distinct.join(tree, distinct.fp == tree.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(tree, distinct.fp == tree.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (doc_id, fp signed, component_id) per row of docs.
+
+    Null and empty texts have fingerprint zero and link like any other; very long texts are hashed whole, a block of
+    their own; repeated rows stay repeated, ties of a bit (half the shingles) give 0; a null doc_id never names a
+    component unless it has no other member; an empty table gives an empty one. Columns are taken by name, so others
+    don't matter. Linked are fingerprints within MAX_BITS, transitively.
+    """
+    marked = mark(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    found = rooted(marked, F.min("doc_id"))
     # cut, so that the join below is between two plain shuffles, of which Spark splits the part of a root with many fingerprints
-    named = common.cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
-    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp", "left")
+    named = common.cut(found.groupBy("root").agg(F.min("low").alias("component_id")))
+    return marked.join(found.join(named, "root").select("fp", "component_id"), "fp", "left")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group, that of the smallest doc_id (the first of rows repeating it, by text). Rows
-    without a doc_id stay only where their group has no doc_id."""
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept"]), "left_semi")
-    one = Window.partitionBy(doc_id).orderBy(text)
-    named = out.where(F.col(doc_id).isNotNull()).withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
-    return named.unionByName(out.where(F.col(doc_id).isNull()))
+    """docs with one row of each group, that of the smallest doc_id (a null one comes last; of several rows with that id,
+    one of them), for nulls, long and empty texts as in near_duplicates. docs may have columns of any names; an empty table
+    stays empty.
+
+    Rows are told apart by where they stand in their files, so equal ids and rows need no care, and the row that stays
+    is found by partial aggregation of ids and places alone."""
+    rows = common.identified(docs)
+    own = F.col("row")
+    marked = mark(rows.select(own[doc_id].alias("doc_id"), "at", own[text].alias("text")))
+    found = rooted(marked, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")))
+    stay = found.groupBy("root").agg(F.min("low")["at"].alias("at")).select("at")
+    return rows.join(stay, "at", "left_semi").select("row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
