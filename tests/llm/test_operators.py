@@ -31,12 +31,12 @@ def docs(spark):
 def test_decontamination(spark, docs):
     items = [(1, " ".join(prose(3, 60).split()[5:40])), (2, "One"), (3, None), (4, "no such words " * 9), (5, prose(4, 14)), (10, prose(4, 14)), (6, "")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    for chars in (8_000_000, 300):  # one block and several
+    for chars in (8_000_000, 300):  # broadcast and joined
         made = decontamination.annotate(docs, table, block_chars=chars)
-        got = {r.doc_id: (r.c.n_words, r.c.n_hit, r.c["items"]) for r in made.select("doc_id", F.col("__contamination").alias("c")).collect()}
+        got = {r.doc_id: (r.c.n_words, r.c.n_hit, r.c["items"]) for r in made.select("doc_id", F.col("contamination").alias("c")).collect()}
         assert got == {i: decontamination.brute_force(t, items) for i, t in ROWS}
     assert decontamination.remove_contaminated(docs, table).columns == docs.columns
-    assert decontamination.annotate(docs, table.where("false")).where("__contamination.n_hit > 0").count() == 0
+    assert decontamination.annotate(docs, table.where("false")).where("contamination.n_hit > 0").count() == 0
 
 
 def test_simhash(spark, docs):
@@ -152,6 +152,38 @@ def test_sharding(spark, docs, tmp_path):
     assert store.read().count() == len(ROWS)
 
 
+def test_of_two_writers_one_commits(spark, docs, tmp_path):
+    root = str(tmp_path / "store")
+    one, two = (sharding.ShardStore(spark, root) for _ in range(2))
+    one.append(docs.limit(3))
+    shards, version = one.manifest(), one.version() + 1
+    one._claim(version, "first")  # both have seen that the version is free
+    with pytest.raises(sharding.VersionConflict):
+        two._claim(version, "second")
+    with open(one._marker(version)) as f:
+        assert f.read() == "first"
+    with pytest.raises(sharding.VersionConflict):
+        two.commit(shards, version)
+    store = sharding.ShardStore(spark, str(tmp_path / "other"))
+    store.append(docs)
+    late, seen = sharding.ShardStore(spark, store.root), []
+    late.version = lambda: seen.append(1) or (0 if len(seen) == 1 else store.version())  # it looked before the first commit
+    assert late.append(docs) == 2 and store.read().count() == 2 * len(ROWS) and len(seen) == 2
+
+
+def test_ordered_shards_keep_the_order(spark, tmp_path):
+    rows = spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("place")).repartitionByRange(23, "id").sortWithinPartitions("id")
+    rows.write.parquet(str(tmp_path / "rows"))
+    made = sharding.shard_table(spark.read.parquet(str(tmp_path / "rows")), 150_000, place_name="place", doc_id="id", root=str(tmp_path / "store"))
+    assert made.columns == ["id", "place", "arrival", "place_"] and {r.arrival for r in made.collect()} == {0, 1, 2, 3, 4}
+    assert [r.id for r in made.orderBy("place_").collect()] == list(range(5000))
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), 150_000, ordered=True)
+    shards = store.manifest().orderBy("first").collect()
+    assert 1 < len(shards) < 23
+    ids = [[r.id for r in spark.read.parquet(s.path).select("row.id").collect()] for s in shards]
+    assert sum(ids, []) == list(range(5000))
+
+
 def test_language(spark):
     r = random.Random(0)
     text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(40))

@@ -1,6 +1,8 @@
 """The pipeline against a brute-force version of each stage, on the smallest tables."""
 
+import hashlib
 import os
+import re
 
 import pytest
 
@@ -10,6 +12,60 @@ from textquarry.llm import decontamination, mixing, quality, simhash
 SF = "/root/testdata/sf0.001"
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_mix(rows):
+    """(doc_id, words before it in its source, words, words of its source, target, schedule) of all rows, by loops."""
+    size = {i: len(WORD.findall(t or "")) for i, (t, _) in rows.items()}
+    names = sorted({s for _, s in rows.values()}, key=lambda s: (s is None, s))
+    total = {s: sum(size[i] for i, (_, x) in rows.items() if x == s) for s in names}
+    weight = {s: mixing.WEIGHTS[k % len(mixing.WEIGHTS)] for k, s in enumerate(names)}
+    left, open_, target = mixing.SHARE * sum(total.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > mixing.CAP * total[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: mixing.CAP * total[s] for s in full}
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    for k, s in enumerate(names):
+        before = 0
+        for i in sorted((i for i, (_, x) in rows.items() if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            yield i, before, size[i], total[s], round(target[s], 6), mixing.CURRICULUM[k % len(mixing.WEIGHTS) % len(mixing.CURRICULUM)]
+            before += size[i]
+
+
+def brute_copies(rows):
+    made = {i: sum(2 * (e * total + before) + n < 2 * target for e in range(mixing.CAP)) for i, before, n, total, target, _ in brute_mix(rows)}
+    return {i: n for i, n in made.items() if n}
+
+
+def brute_positions(rows):
+    """Training time of each copy: the integral of the schedule, inverted by bisection."""
+
+    def integral(schedule, t):
+        out = 0.0
+        for (t0, w0), (t1, w1) in zip(schedule[:-1], schedule[1:]):
+            if t > t0:
+                x = min(t, t1) - t0
+                out += w0 * x + (w1 - w0) / (t1 - t0) * x * x / 2
+        return out
+
+    made = {}
+    for i, before, n, total, target, schedule in brute_mix(rows):
+        for e in range(mixing.CAP):
+            if 2 * (e * total + before) + n < 2 * target:
+                u, low, high = min(1.0, (before + e * total + n / 2) / target), 0.0, 1.0
+                for _ in range(60):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if integral(schedule, mid) < u * integral(schedule, 1.0) else (low, mid)
+                made.setdefault(i, []).append(low)
+    return {i: sorted(v) for i, v in made.items()}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -27,24 +83,30 @@ def test_pipeline(spark):
     assert made.columns[: len(docs.columns)] == docs.columns
     copies = {r.doc_id: r["count"] for r in made.groupBy("doc_id").count().collect()}
     assert set(copies) <= set(rows) and max(copies.values()) <= mixing.CAP
+    assert copies == brute_copies(rows)
+    # read in order of their places, rows follow the curriculum
+    at = brute_positions(rows)
+    order = [at[r.doc_id].pop(0) for r in made.orderBy("shard_place").select("doc_id").collect()]
+    assert all(x <= y + 1e-9 for x, y in zip(order, order[1:])) and not any(at.values())
     # all columns of a row are those of its document
     assert made.select(docs.columns).distinct().join(docs, docs.columns).count() == len(copies)
-    taken, size, longest = {}, {}, {}
-    for i, (t, s) in rows.items():
-        n = len([w for w in (t or "").replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w])
-        taken[s] = taken.get(s, 0) + n * copies.get(i, 0)
-        size[s] = size.get(s, 0) + n
-        longest[s] = max(longest.get(s, 0), n)
-    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
-    left, open_, target = mixing.SHARE * sum(size.values()), set(size), {}
-    while True:
-        level = left / sum(weight[s] for s in open_)
-        full = {s for s in open_ if level * weight[s] > mixing.CAP * size[s]}
-        if not full:
-            break
-        for s in full:
-            target[s] = mixing.CAP * size[s]
-            left -= target[s]
-        open_ -= full
-    target |= {s: level * weight[s] for s in open_}
-    assert all(abs(taken[s] - target[s]) <= longest[s] for s in size)
+
+
+def test_a_failed_run_goes_on(spark, tmp_path, monkeypatch):
+    calls = []
+
+    def stage(name, broken=False):
+        def do(spark, docs, sf_dir):
+            calls.append(name)
+            if broken and calls.count(name) == 1:
+                raise ValueError("lost")
+            return docs
+        return name, do
+
+    spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b", True), stage("c")])
+    with pytest.raises(RuntimeError) as told:
+        corpus_pipeline.run(spark, str(tmp_path))
+    folder = str(told.value).split("'")[1]
+    assert corpus_pipeline.run(spark, str(tmp_path), folder).count() == 1 and calls == ["a", "b", "b", "c"]
+    assert not os.path.exists(f"{folder.removeprefix('file://')}/a") and os.path.exists(f"{folder.removeprefix('file://')}/c")
