@@ -1,6 +1,8 @@
 """A training corpus from raw documents: quality, near-duplicates, decontamination, mixing, sharding.
 
-STAGES lists the stages; run() applies them, each written as Parquet into the shared folder and read again.
+STAGES lists the stages; run() applies them, each written as Parquet into the shared folder and read again. Each stage
+takes rows with nulls in any column, empty and very long texts, ties, repeated rows, columns of any further names, and
+empty tables; what it makes of them is said where its operator is defined.
 """
 
 from __future__ import annotations
@@ -13,30 +15,39 @@ from textquarry.llm import common, decontamination, mixing, quality, sharding, s
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones among them, scores at 0.5 or more."""
+    """Documents that the quality classifier, fitted on the labelled ones among them, scores at 0.5 or more. Null texts
+    are scored as empty ones; without usable labels all stay; equal texts share their fate; an empty table stays empty."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that of the smallest doc_id."""
+    """One document of each SimHash component, that of the smallest doc_id (null last). Null, empty and blank texts form
+    one component; of repeated rows one stays; an empty table stays empty."""
     return simhash.keep_one(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark."""
+    """Documents that aren't contaminated by the benchmark. Null and empty texts are clean; repeated rows are judged one
+    by one; an empty table stays empty."""
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of the curriculum."""
+    """Documents as often as the mix takes them, range-sorted into part files by their place in the curriculum. Null
+    sources are one source; texts without words are taken like others; an empty table stays empty."""
     return mixing.mixed_rows(docs)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, through a compacted shard store, with their arrival in shard_arrival."""
-    return sharding.shard_table(docs, name="shard_arrival")
+    """All rows, through a compacted shard store that keeps the order of the files of docs. shard_arrival tells a row's
+    arrival, shard_place (sortable) its place in that order; either has an underscore more where docs has its name."""
+    store = f"{common.checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    _stores.append(store)
+    return sharding.shard_table(docs, name="shard_arrival", place_name="shard_place", root=store)
 
 
+_stores: list[str] = []
+
 STAGES = [
     ("quality", keep_quality),
     ("near_dedup", keep_one_of_each),
@@ -49,10 +60,20 @@ STAGES = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The rows of the last stage. If a stage fails, the error names a folder; given that, run() goes on behind the last
+    finished stage. Once all are finished, only the last one's files stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if not common.finished(spark, f"{folder}/{name}"):
+            try:
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
+            except Exception as error:
+                raise RuntimeError(f"stage {name} failed; run(spark, sf_dir, {folder!r}) goes on with it") from error
         docs = spark.read.parquet(f"{folder}/{name}")
+    while _stores:
+        common.delete(spark, _stores.pop())
+    for name, _ in STAGES[:-1]:
+        common.delete(spark, f"{folder}/{name}")
     return docs
