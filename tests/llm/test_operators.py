@@ -79,6 +79,28 @@ def test_induced_sorting(budget):
         assert sorted(at.tolist()) == list(range(text.size))
         keys = [raw[a : a + 12] for a in inner]
         assert keys == sorted(keys, reverse=True)
+        # prefixes tell equal neighbours from others, to the depth
+        told = np.concatenate([m[1] for m in made])
+        same = [raw[a : a + 12] == raw[b : b + 12] for a, b in zip(at[:-1], at[1:])]
+        whole = [max(a, b) < text.size - 13 for a, b in zip(at[:-1], at[1:])]
+        assert all(x == (n >= 12) for x, n, w in zip(same, told[1:], whole) if w)
+
+
+def test_an_ordinary_shard_is_sorted_on_disk():
+    r = np.random.default_rng(2)
+    text = np.append(r.integers(1, 60, repeats.SHARD_BYTES // 2), 0).astype(np.uint8)
+    told = {}
+    n = sum(at.size for at, _ in induced.scan_suffixes(text, repeats.WIDTH, told=told))
+    assert n == text.size and told["spilled"] > text.size // 2
+    start = np.arange(0, text.size - 1, 82)
+    text[start[1:] - 1] = 0
+    count = np.diff(np.append(start, text.size)) - 50
+    ids = r.integers(0, 1000, start.size)
+    text[82 * 700 : 82 * 700 + 81] = text[82 * 20 : 82 * 20 + 81]
+    masks = repeats.shard_masks(text, start, count, ids, 50)
+    later = 700 if ids[700] > ids[20] else 20
+    assert masks[later] == (1 << 32) - 1 if ids[700] != ids[20] else not masks.any()
+    assert np.count_nonzero(masks) == (ids[700] != ids[20])
 
 
 def test_line_dedup(spark, docs):

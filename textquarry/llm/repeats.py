@@ -4,7 +4,8 @@ Every string of `width` bytes (a window) that starts in a document with a smalle
 starts. Shards of suffixes must hold equal windows together, whichever documents they stand in: a window goes to the
 shard of its minimizer, the smallest hash of its `gram`-byte grams. Consecutive windows with one minimizer travel as
 one segment, the bytes they cover. Each shard's segments form one text whose suffixes are sorted by induced sorting;
-neighbours with a common prefix of `width` are equal windows, and the smallest document among them keeps its own.
+neighbours with a common prefix of `width` are equal windows, and the smallest document among them keeps its own. The
+sort holds a budget of queue entries below a shard's, so its queues are on disk in every run of any size.
 
 Most text repeats nowhere, so minimizers are counted first: each group of documents sends the distinct ones it holds
 (32 bits each, in hashed buckets), and is told which of them another group sent too. Only segments of those, and of
@@ -52,6 +53,12 @@ def rolling(data: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
+def ranges(sorted_keys: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where each key that occurs begins and ends; the cost follows the keys present, not how many there may be."""
+    keys, first = np.unique(sorted_keys, return_index=True)
+    return dict(zip(keys.tolist(), zip(first.tolist(), [*first[1:].tolist(), sorted_keys.size])))
+
+
 class Group:
     """The documents of a group in a fixed order, and their segments."""
 
@@ -94,10 +101,10 @@ class Group:
     def repeated(self, replies: pa.Table, buckets: int) -> np.ndarray:
         """Indices of the segments whose minimizer occurs in several documents, as far as 32 bits tell."""
         v, bucket, several = self.minimizers(buckets)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        place = ranges(bucket)
         for b, bits in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist()):
-            n = cut[b + 1] - cut[b]
-            several[cut[b] : cut[b + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+            x, y = place[b]
+            several[x:y] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
         known = np.sort(v[several])
         if not known.size:
             return np.zeros(0, np.int64)
@@ -122,21 +129,22 @@ def _row_key(table: pa.Table):
     return lambda i: (ids[i] is None, ids[i] or 0, keys[i] is None, keys[i] or 0)
 
 
-def shard_masks(text: np.ndarray, segment: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+def shard_masks(text: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, width: int, budget: int = induced.MEMORY_ENTRIES) -> np.ndarray:
     """For each segment, bits of the windows that also start in a segment of a smaller id. `text` holds the segments
-    (bytes plus one) with 0 behind each; `segment` tells each symbol's segment, `start` where a segment begins."""
+    (bytes plus one) with 0 behind each; `start` tells where a segment begins."""
     masks = np.zeros(start.size, np.uint32)
+    segment_of = lambda at: np.searchsorted(start, at, "right") - 1
 
     def settle(at: np.ndarray, new: np.ndarray) -> None:
         first = np.flatnonzero(new)
-        least = np.minimum.reduceat(ids[segment[at]], first)
-        own = ids[segment[at]] > np.repeat(least, np.diff(np.append(first, at.size)))
-        gone = at[own]
-        np.bitwise_or.at(masks, segment[gone], np.uint32(1) << (gone - start[segment[gone]]).astype(np.uint32))
+        segment = segment_of(at)
+        least = np.minimum.reduceat(ids[segment], first)
+        own = ids[segment] > np.repeat(least, np.diff(np.append(first, at.size)))
+        np.bitwise_or.at(masks, segment[own], np.uint32(1) << (at[own] - start[segment[own]]).astype(np.uint32))
 
     carried: tuple[np.ndarray, np.ndarray] | None = None
-    for at, prefix in induced.scan_suffixes(text, width):
-        owner = segment[at]
+    for at, prefix in induced.scan_suffixes(text, width, budget):
+        owner = segment_of(at)
         starts_here = at - start[owner] < count[owner]  # whole windows only
         at, new = at[starts_here], np.asarray(prefix)[starts_here] < width
         if not at.size:
@@ -159,7 +167,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     (the remaining bytes, which need not be whole characters).
 
     doc_id must be integral. Null text counts as empty. A null id comes after all others, and rows with the same id
-    (repeated rows too, or several nulls) take nothing from each other. Texts shorter than `width` lose nothing.
+    (repeated rows too, ties, or several nulls) take nothing from each other. Texts shorter than `width` lose nothing; a very
+    long text forms a group of its own, which must fit in a task's memory (some 50 times its bytes). An empty table gives
+    an empty one. Columns are taken by name, so others don't matter.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -169,11 +179,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def send(table: pa.Table) -> pa.Table:
         g = Group(table, width, gram)
         v, bucket, _ = g.minimizers(buckets)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        place = ranges(bucket)
         short = (common.mix(v ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
-        full = np.flatnonzero(np.diff(cut)).tolist()
         part = table.column("part")[0].as_py()
-        return pa.table({"part": pa.array([part] * len(full), pa.int64()), "bucket": pa.array(full, pa.int64()), "x": pa.array([short[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())})
+        return pa.table({"part": pa.array([part] * len(place), pa.int64()), "bucket": pa.array(list(place), pa.int64()), "x": pa.array([short[a:b].tobytes() for a, b in place.values()], pa.binary())})
 
     def tell(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, np.uint32) for x in table.column("x").to_pylist()]
@@ -195,9 +204,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not own.size:
             return empty
         _, head, shard = g.distinct(own, shards)
-        raw, cut = g.data.tobytes(), np.searchsorted(shard, np.arange(shards + 1))
-        full = np.flatnonzero(np.diff(cut)).tolist()
-        rows = [head[cut[s] : cut[s + 1]] for s in full]
+        raw, place = g.data.tobytes(), ranges(shard)
+        full, rows = list(place), [head[a:b] for a, b in place.values()]
         part = table.column("part")[0].as_py()
         return pa.table({
             "part": pa.array([part] * len(full), pa.int64()), "shard": pa.array(full, pa.int64()),
@@ -221,11 +229,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         head = order[new]
         pooled = size[head]
         start = np.cumsum(pooled + 1) - pooled - 1
-        segment = np.repeat(np.arange(head.size), pooled + 1)
-        joined = np.zeros(segment.size, np.uint8)
+        joined = np.zeros(int(pooled.sum()) + head.size, np.uint8)
         owner, at = common.expand(begin[head], begin[head] + pooled)
         joined[np.arange(owner.size) + owner] = data[at] + np.uint8(1)
-        masks = shard_masks(joined, segment, start, count[head], ids[head], width)
+        masks = shard_masks(joined, start, count[head], ids[head], width)
         masks = np.where(ids > ids[head][kind], np.uint32(0xFFFFFFFF), masks[kind])
         cut = np.cumsum([0, *(c.size for c in counts)])
         blobs = [masks[a:b].tobytes() if masks[a:b].any() else None for a, b in zip(cut[:-1], cut[1:])]
@@ -240,10 +247,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if own.size:
             kind, head, shard = g.distinct(own, shards)
             mask = np.zeros(head.size, np.uint32)
-            cut = np.searchsorted(shard, np.arange(shards + 1))
+            place = ranges(shard)
             masks = told.filter(pc.is_valid(told.column("masks")))
             for s, blob in zip(masks.column("bucket").to_pylist(), masks.column("masks").to_pylist()):
-                mask[cut[s] : cut[s + 1]] = np.frombuffer(blob, np.uint32)
+                mask[slice(*place[s])] = np.frombuffer(blob, np.uint32)
             # what a smaller document of the group holds too is removed whole
             later = g.ids[g.doc[own]] > g.ids[g.doc[head]][kind]
             bits = np.where(later, np.uint32(0xFFFFFFFF), mask[kind])
@@ -297,3 +304,22 @@ def brute_force(rows: list[tuple[int, str | None]], width: int = WIDTH) -> dict[
         edges = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
         out[i] = (len(t), int(gone.sum()), edges, bytes(np.frombuffer(t, np.uint8)[~gone].tolist()))
     return out
+
+
+SQL = {
+    "op7_repeats": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM n, unnest(range(0, n - 49)) AS r(i) WHERE n >= 50),
+f AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (g) WHERE doc_id > low),
+isl AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k
+        FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM isl GROUP BY doc_id, k),
+edge AS (SELECT doc_id, 0 AS a FROM n UNION ALL SELECT doc_id, b FROM span), stop AS (SELECT doc_id, a AS b FROM span UNION ALL SELECT doc_id, n FROM n),
+piece AS (SELECT x.doc_id, x.a, y.b FROM (SELECT doc_id, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM edge) x
+          JOIN (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS k FROM stop) y ON x.doc_id = y.doc_id AND x.k = y.k),
+kept AS (SELECT n.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM piece JOIN n USING (doc_id) GROUP BY n.doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM n JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
+}
