@@ -92,10 +92,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """One row per row of docs: doc_id, text, kept (text without the removed lines), n_lines, n_removed (lines),
     removed (start bytes of the removed runs of lines).
 
-    Null text stays null and has no lines. Rows with the same id and text are one document, treated alike; a null id
-    comes after all others.
+    Null text stays null and has no lines; an empty text has none either. Rows with the same id and text are one document,
+    treated alike; rows with one id and different texts, a tie, go by a hash of their texts; a null id comes after all
+    others. A very long text is a block of its own and must fit in a task's memory. An empty table gives an empty one.
+    Columns are taken by name, so others don't matter.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
     seen = slim.select("text").mapInArrow(_line_bytes, "h long, bytes binary").groupBy("h").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
     clashes = np.sort(np.array([r.h for r in seen.where("least != most").select("h").collect()], np.int64))
     base = [slim.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("single", T.BooleanType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
@@ -169,3 +171,20 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
                 seen.add(unit)
         out[doc] = None if text is None else b"".join(x for i, x in enumerate(ended) if i not in gone).decode()
     return out
+
+
+SQL = {
+    "op9_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS p, ends_with(text, chr(10)) AS closed FROM documents WHERE text IS NOT NULL AND text != ''),
+e AS (SELECT doc_id, CASE WHEN closed THEN p[1:len(p) - 1] ELSE p END AS p, closed FROM d),
+l AS (SELECT doc_id, i, p[i] AS t, CASE WHEN i < len(p) THEN p[i + 1] END AS nx, i < len(p) OR closed AS ended FROM e, unnest(range(1, len(p) + 1)) AS r(i)),
+u AS (SELECT doc_id, i, 2 AS n, t AS a, nx AS b FROM l WHERE nx IS NOT NULL
+      UNION ALL SELECT doc_id, i, 1, t, '' FROM l WHERE strlen(t) >= 400 OR len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) > 50),
+v AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, a, b ORDER BY doc_id, i) AS place FROM u),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM v, unnest(range(0, n)) AS r(k) WHERE place > 1),
+k AS (SELECT l.doc_id, l.i, t, ended, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i),
+s AS (SELECT doc_id, count(*) AS n_lines, sum(gone::INT) AS n_removed, sum((gone AND NOT before)::INT) AS n_runs, string_agg(CASE WHEN gone THEN '' WHEN ended THEN t || chr(10) ELSE t END, '' ORDER BY i) AS kept
+      FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM k) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_chunks_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN s USING (doc_id)""",
+}

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
 }
-SQL = {**decontamination.SQL, **sharding.SQL, **repeats.SQL, **mixing.SQL}
+SQL = {**decontamination.SQL, **sharding.SQL, **repeats.SQL, **mixing.SQL, **line_dedup.SQL}
