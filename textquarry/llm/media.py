@@ -114,8 +114,10 @@ def encode_ppm(payload: bytes, width: int = UNIT // 3) -> bytes:
 def grey(image: np.ndarray) -> np.ndarray:
     if image.ndim == 2:
         return image.astype(np.int64)
-    red, green, blue = (image[..., c].astype(np.int32) for c in range(3))
-    return (299 * red + 587 * green + 114 * blue) // 1000
+    total = np.zeros(image.shape[:2], np.int32)
+    for weight, c in ((299, 0), (587, 1), (114, 2)):  # samples of up to 16 bits stay within 31
+        total += weight * image[..., c].astype(np.int32)
+    return total // 1000
 
 
 def area_resize(plane: np.ndarray, height: int, width: int, integral: np.ndarray | None = None) -> np.ndarray:
@@ -132,7 +134,8 @@ def area_resize(plane: np.ndarray, height: int, width: int, integral: np.ndarray
 
 def integral_image(plane: np.ndarray) -> np.ndarray:
     out = np.zeros((plane.shape[0] + 1, plane.shape[1] + 1), np.int64)
-    np.cumsum(np.cumsum(plane, axis=0), axis=1, out=out[1:, 1:])
+    np.cumsum(plane, axis=0, out=out[1:, 1:])
+    np.cumsum(out[1:, 1:], axis=1, out=out[1:, 1:])
     return out
 
 
@@ -176,19 +179,23 @@ def media_columns(df: DataFrame, media: str, side: int = TILE) -> DataFrame:
     return common.append_columns(df, [T.StructField(name, kind) for name, kind, _ in kinds], compute)
 
 
-def store_payload(text_bytes: bytes) -> tuple[int, int, str, int, int, str, str]:
-    """A text as a stored P6 image, read back: the digest columns of the query."""
+def store_payload(text_bytes: bytes) -> tuple[int, int, str, int, int, str, str, str]:
+    """A text as a stored P6 image, read back: the digest columns of the query, and the digest of its NPY tile."""
     n = len(text_bytes)
     size = max(1, -(-n // UNIT)) * UNIT
     stored = encode_ppm(text_bytes + bytes([PAD]) * (size - n))
     image = decode(stored)
     payload = image.tobytes()
-    return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), tile(image)[1]
+    small, feature = tile(image)
+    return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, hashlib.sha256(small).hexdigest()
 
 
 def op5_media(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, payload and media digests and the difference hash (feature) of all documents' texts."""
-    kinds = [("n_bytes", T.LongType(), pa.int64()), ("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string())]
+    """doc_id, n_bytes, payload and media digests, the difference hash (feature) and the tile's digest of all documents'
+    texts. A null text counts as empty: one row of 255s, like an empty one; repeated rows and ties are stored one by one with
+    equal values; an empty table gives an empty one; other columns of documents aren't read. A text is held whole, and
+    its image, grey plane and integral image take some 10 times its bytes, so the longest must fit in a task's memory so often."""
+    kinds = [("n_bytes", T.LongType(), pa.int64()), ("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string()), ("tile_sha256", T.StringType(), pa.string())]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         data, offsets = common.text_views(batch.column(batch.schema.names.index("text")))
