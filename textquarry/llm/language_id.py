@@ -178,8 +178,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and accepted. `und` with score 0 where the text is null or has no letter, or where
-    nothing was learned; empty tables give empty results; repeated rows are predicted one by one; other columns pass
-    through, but for any of these three names."""
+    nothing was learned; a very long text is summed whole, as a block of its own; of equally likely languages the first by
+    code points; empty tables give empty results; repeated rows are predicted one by one; other columns pass through, but
+    for any of these three names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:

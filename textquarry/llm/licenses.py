@@ -138,8 +138,9 @@ def scan_text(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, number: np.
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, name: str = "license_matches") -> DataFrame:
     """docs with an array column of (start byte, end byte, license, dice), by position, of all matching windows.
 
-    Null and empty texts, and texts of one word, match nothing; every row is scanned by itself, so repeated rows and
-    ties need no care (equals take the first place, then the first licence by name); other columns pass through.
+    Null and empty texts, and texts of one word, match nothing; a very long text is scanned whole, as a block of its own;
+    every row is scanned by itself, so repeated rows and ties need no care (equals take the first place, then the first
+    licence by name); an empty table gives an empty one; other columns pass through, but for one of the new one's name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Templates(templates))
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType())]))
