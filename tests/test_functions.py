@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import code_ast
 from textquarry.functions import text as tx
-from textquarry.operators import bm25, dedup, fusion, ranking
+from textquarry.operators import bm25, dedup, fusion, mining, ranking
+from textquarry.sources import store
 
 
 @pytest.mark.parametrize("text,tokens", [("parseHTTPHeader2", ["parse", "http", "header2"]), ("load_jsonRow", ["load", "json", "row"]), ("XMLs", ["xm", "ls"]), ("été_A", ["t", "a"]), ("a-b", ["a", "b"]), ("  ", []), (None, [])])
@@ -36,8 +37,12 @@ def test_search_and_fusion(spark, tmp_path):
     index = bm25.build(docs)
     top = bm25.search("load json", index, 2).collect()
     assert top[0].doc_id == 1 and bm25.search("zzz", index).count() == 0
-    index.save(str(tmp_path))
-    assert bm25.search("load json", bm25.Index.load(spark, str(tmp_path)), 2).collect() == top
+    bm25.write(docs, str(tmp_path / "index"))
+    assert bm25.search("load json", bm25.Index.load(spark, str(tmp_path / "index")), 2).collect() == top
+    counts = {(r.doc_id, r.term): (r.tf, r.dl) for r in bm25.term_freq(bm25.tokenized(spark.createDataFrame([(0, "b a b"), (1, ""), (2, None)], "doc_id long, text string"))).collect()}
+    assert counts == {(0, "a"): (1, 3), (0, "b"): (2, 3)}
+    empty = bm25.build(docs.where("false"))
+    assert (empty.n, empty.avgdl) == (0, 0.0) and bm25.search("load", empty).count() == 0
     a = spark.createDataFrame([(1, 1, 3.0, 1), (1, 2, 2.0, 2)], "query_id long, doc_id long, score double, rank long")
     b = spark.createDataFrame([(1, 2, 9.0, 1)], "query_id long, doc_id long, score double, rank long")
     assert fusion.rrf(a, b, 2).where("rank = 1").first().doc_id == 2
@@ -54,10 +59,19 @@ CASES = [
     ('def f(a):\n    """Adds."""\n    return a\n', "success", "def f(a):\n    return a\n"),
     ('    def g(self):\n        """D\n        e."""\n        return 2\n', "success", "def g(self):\n    return 2\n"),
     ('def h(x): "doc"; return x\n', "success", "def h(x): return x\n"),
-    ('def s():\n    """only"""\n', "stub", None),
+    ('def s():\n    """only"""\n', "syntax_error_after_strip", None),
+    ('"""only a module\'s"""\n', "empty_after_strip", None),
     ('def m():\n    """déjà"""\n    return "é"\n', "success", 'def m():\n    return "é"\n'),
-    ("def (:\n", "syntax_error", None),
+    ("def (:\n", "parse_error", None),
     ("", "empty_input", None),
+    (None, "empty_input", None),
+    ("def n():\n    return 1\n", "success", "def n():\n    return 1\n"),
+    ('def f():\n    """a"""\n    def g():\n        """b"""\n        return 1\n    return g\n', "success", "def f():\n    def g():\n        return 1\n    return g\n"),
+    ('class C:\n    """c"""\n    x = 1\n    async def m(self):\n        \'d\'\n        return "kept"\n', "success", 'class C:\n    x = 1\n    async def m(self):\n        return "kept"\n'),
+    ('"""module"""\nx = """kept"""\n', "success", 'x = """kept"""\n'),
+    ('    def w():\n        s = """\nat column 0"""\n        return s\n', "success", 'def w():\n    s = """\nat column 0"""\n    return s\n'),
+    ('def r():\n    """a"""\n    """b"""\n    return 1\n', "residual_docstring_detected", None),
+    ('def é():\n    """ü"""; x = "ö"\n    return x\n', "success", 'def é():\n    x = "ö"\n    return x\n'),
 ]
 
 
@@ -67,3 +81,103 @@ def test_docstrings(code, status, same):
     assert told == status and (got is None) == (same is None)
     if same:
         assert ast.dump(ast.parse(got)) == ast.dump(ast.parse(same))
+
+
+def bare(tree):
+    """A tree whose docstrings are taken out by its nodes, not by bytes."""
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and ast.get_docstring(node, clean=False) is not None:
+            node.body = node.body[1:]
+    return ast.dump(tree, show_empty=True)
+
+
+def test_docstrings_of_the_standard_library():
+    import collections
+    import inspect
+    import json
+    import textwrap
+
+    wholes = [inspect.getsource(m) for m in (ast, textwrap, json, inspect, collections, json.decoder)]
+    own = lambda m: inspect.getmembers(m, lambda x: inspect.isfunction(x) and x.__module__ == m.__name__)
+    parts = [inspect.getsource(f) for m in (textwrap, inspect, json.decoder) for _, f in own(m)]
+    parts += [inspect.getsource(f) for _, f in inspect.getmembers(inspect.Signature, inspect.isfunction) + inspect.getmembers(json.JSONDecoder, inspect.isfunction) + inspect.getmembers(textwrap.TextWrapper, inspect.isfunction)]
+    done = 0
+    for code in wholes + parts:
+        got, told = code_ast.strip_docstring(code)
+        want = bare(ast.parse(textwrap.dedent(code)))
+        if told == "success":
+            assert ast.dump(ast.parse(got), show_empty=True) == want
+            done += 1
+        else:  # a body of nothing but a docstring
+            assert told == "syntax_error_after_strip" and "body=[]" in want
+    assert done > 40
+
+
+def test_skeletons():
+    code = "def f(a, b):\n    total = a * 2 + b\n    for x in range(10):\n        total += x\n    return total\n"
+    same = code.replace("total", "t").replace("f(a, b)", "g(x1, y1)").replace("a * 2 + b", "x1 * 77 + y1").replace("range", "list")
+    h = code_ast.skeleton_hash
+    assert h(code) is not None and h(code) == h(same) and 0 <= h(code) < 1 << 63
+    assert h(code) != h(code.replace("*", "-")) and h("x = 1") is None and h("def (") is None and h(None) is None and h("") is None
+    klass = "class {}:\n" + "".join("    " + line + "\n" for line in code.splitlines())
+    assert h(klass.format("A")) != h(klass.format("B"))  # classes keep their names
+    assert h(code.replace("range(10)", "a.real(10)")) != h(code.replace("range(10)", "a.imag(10)"))  # and so do attributes
+
+
+def prints_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, query_text string, skeleton string, sig array<long>")
+
+
+def test_fillers_obey_the_tiers(spark):
+    far = lambda i: [1000 * i + j for j in range(64)]
+    # of 40 documents only 5, 6 and 7 may be taken for document 0: the others share its question, skeleton or signature
+    rows = [(i, f"q{i}", f"s{i}", far(i)) if i in (0, 5, 6, 7) else (i, "q0", f"s{i}", far(i)) if i % 3 == 0 else (i, f"q{i}", "s0", far(i)) if i % 3 == 1 else (i, f"q{i}", f"s{i}", far(0)[:45] + far(i)[45:]) for i in range(40)]
+    prints, truth = prints_of(spark, rows), spark.createDataFrame([(0, 0)], "query_id long, target long")
+    none = spark.createDataFrame([], "query_id long, doc_id long, place long")
+    got = mining.filled(none, truth, prints, 3).collect()
+    assert sorted(r.neg_pos for r in got) == [1, 2, 3] and {r.doc_id for r in got} == {5, 6, 7}
+    assert mining.filled(none, truth, prints, 7).count() == 3  # nothing else may be taken
+    one = spark.createDataFrame([(0, 6, 1)], "query_id long, doc_id long, place long")
+    got = {r.neg_pos: r.doc_id for r in mining.filled(one, truth, prints, 3).collect()}
+    assert got[1] == 6 and {got[2], got[3]} == {5, 7}
+    assert mining.filled(none, truth, prints, 7, judge=False).count() == 7
+    judged = mining.judged(spark.createDataFrame([(0, i, 1.0) for i in range(12)], "query_id long, doc_id long, score double"), truth, prints, 100)
+    assert {r.doc_id: r.tier for r in judged.collect()} == {0: "self", 5: None, 6: None, 7: None, **{i: "query_text" for i in (3, 9)}, **{i: "skeleton" for i in (1, 4, 10)}, **{i: "signature" for i in (2, 8, 11)}}
+    mined = spark.createDataFrame([(0, 1, 5), (0, 2, 99)], "query_id long, neg_pos long, doc_id long")
+    with pytest.raises(ValueError):
+        mining.checked(mined, truth, prints)
+    assert mining.checked(mined.where("doc_id = 5"), truth, prints).count() == 1
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(0, 5000, 7).repartition(5)
+    assert sorted((r.id, r.at) for r in mining.numbered(df, "id", "at").collect()) == [(x, i) for i, x in enumerate(range(0, 5000, 7))]
+
+
+def test_rank_options(spark):
+    scored = spark.createDataFrame([(1, d, s) for d, s in ((0, 5.0), (1, 4.0), (2, 4.0), (3, 1.0))] + [(2, 0, 3.0)], "query_id long, doc_id long, score double")
+    truth = spark.createDataFrame([(1, 2), (2, 9)], "query_id long, doc_id long")
+    ranks = lambda **k: {r.query_id: r["rank"] for r in ranking.harmonic_ranks(scored, truth, **k).collect()}
+    rr = (1 / 2 + 1 / 3) / 2
+    assert ranks()[1] == pytest.approx(1 / rr) and ranks()[2] is None
+    assert ranks(max_candidates=2)[1] is None and ranks(max_candidates=3)[1] is not None
+    # the target of query 2 is one of nine unscored documents behind one scored
+    assert ranks(zero_policy="ties", n_docs=10)[2] == pytest.approx(9 / sum(1 / i for i in range(2, 11)))
+    assert {r.query_id: r.recall for r in ranking.expected_recall(scored, truth, 2).collect()} == {1: 0.5, 2: 0.0}
+    for wrong in ({"zero_policy": "x"}, {"zero_policy": "ties"}, {"max_candidates": 0}):
+        with pytest.raises(ValueError):
+            ranks(**wrong)
+    assert spark.range(1).select(ranking.upper_bound(F.lit(59))).first()[0] == pytest.approx(1 - 0.05 ** (1 / 59))
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    made = []
+    build = lambda at: made.append(at) or spark.range(3).write.parquet(at)
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    digest = store.files_digest(spark, str(tmp_path / "t"))
+    first = store.kept(spark, "x", digest, build)
+    assert store.kept(spark, "x", digest, build) == first and len(made) == 1
+    spark.range(6).write.mode("append").parquet(str(tmp_path / "t"))
+    assert store.kept(spark, "x", store.files_digest(spark, str(tmp_path / "t")), build) != first and len(made) == 2
+    with pytest.raises(FileNotFoundError):
+        bm25.Index.load(spark, str(tmp_path / "none"))

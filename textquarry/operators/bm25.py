@@ -1,35 +1,50 @@
-"""BM25 over a long table of postings: index, both IDF variants, scores of many queries at once, top k."""
+"""BM25 over a long table of postings: an index on disk, both IDF variants, scores of many queries at once, top k.
+
+An index is three Parquet tables. Postings are made where a document stands, without a shuffle: its tokens are sorted and
+counted in place. Queries bring their weighted terms to the postings, not the postings to the queries.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_tokens
+from ..sources import store
 
 K1, B = 1.5, 0.75
+#: Up to so many weighted query terms (some 20 MB) are broadcast; more are joined by shuffle.
+BROADCAST_TERMS = 400_000
 
 
 @dataclass
 class Index:
-    """postings(term, doc_id, tf, dl), vocab(term, df, idf) and the one row stats(n, avgdl)."""
+    """postings(term, doc_id, tf, dl), vocab(term, df, idf), n documents and their mean length."""
 
     postings: DataFrame
     vocab: DataFrame
-    stats: DataFrame
-
-    def save(self, path: str) -> None:
-        """Parquet, postings by hashed buckets of terms."""
-        bucketed = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(64)))
-        bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    n: int
+    avgdl: float
 
     @staticmethod
-    def load(spark, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/stats"))
+    def load(spark, path: str, method: str = "robertson") -> Index:
+        """"atire" (or "rank_bm25") puts a quarter of the mean raw IDF where the raw one is negative; any other method is
+        Robertson's. Raises FileNotFoundError where no index was written."""
+        if not store.finished(spark, f"{path}/stats"):
+            raise FileNotFoundError(f"no index in {path}: write one first")
+        stats = spark.read.parquet(f"{path}/stats").first()
+        vocab = spark.read.parquet(f"{path}/vocab")
+        return Index(spark.read.parquet(f"{path}/postings"), vocab.withColumn("idf", _idf(stats, method)), stats.n, stats.avgdl)
+
+
+def _idf(stats, method: str) -> Column:
+    n, df = F.lit(stats.n), F.col("df")
+    if method not in ("atire", "rank_bm25"):
+        return robertson(n, df)
+    return F.when(raw_idf(n, df) < 0, F.lit(0.25 * stats.mean_raw)).otherwise(raw_idf(n, df))
 
 
 def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens) -> DataFrame:
@@ -41,42 +56,69 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
 
 
 def term_freq(tokens: DataFrame) -> DataFrame:
-    exploded = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(doc_id, term, tf, dl) of documents (doc_id, tokens), a row each: nothing is shuffled, as a document's sorted tokens
+    hold all that its counts need."""
+    ordered = tokens.select("doc_id", F.sort_array("tokens").alias("s"))
+    n = F.size("s")
+    # where a run of equal tokens begins, and behind the last one
+    starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get("s", i) != F.get("s", i - 1)))
+    cut = ordered.select("doc_id", "s", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")).alias("at"))
+    runs = F.transform(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), lambda a, k: F.struct(F.get("s", a).alias("term"), (F.get("at", k + 1) - a).cast("long").alias("tf")))
+    # an outer explode: Spark would filter on the array before it, and make it twice
+    made = cut.select("doc_id", F.size("s").cast("long").alias("dl"), F.explode_outer(runs).alias("r"))
+    return made.where("r is not null").select("doc_id", "r.term", "r.tf", "dl")
 
 
 def robertson(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def vocabulary(postings: DataFrame, stats: DataFrame, method: str = "robertson") -> DataFrame:
-    """(term, df, idf). "atire" (or "rank_bm25") puts a quarter of the mean raw IDF where the raw one is negative; any
-    other name is Robertson's."""
-    vocab = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
-    if method not in ("atire", "rank_bm25"):
-        return vocab.select("term", "df", robertson(F.col("n"), F.col("df")).alias("idf"))
-    raw = vocab.select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    floor = raw.agg((0.25 * F.round(F.avg("raw"), 9)).alias("floor"))
-    return raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5))
+
+
+def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens) -> None:
+    """Writes the index of docs to a folder. Each file of postings is sorted by term, so that a search for a few terms
+    skips most row groups; an empty corpus gives an empty index."""
+    spark = docs.sparkSession
+    docs = store.spread(docs.select(doc_id, text))
+    term_freq(tokenized(docs, doc_id, text, tokenizer)).sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/vocab")
+    counts = docs.select(doc_id).agg(F.count("*").alias("n")).crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))
+    counts = counts.select("n", F.coalesce(F.col("all") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"))
+    raw = spark.read.parquet(f"{path}/vocab").crossJoin(F.broadcast(counts.select("n")))
+    mean = raw.agg(F.round(F.avg(raw_idf(F.col("n"), F.col("df"))), 9).alias("mean_raw"))
+    counts.crossJoin(mean).coalesce(1).write.parquet(f"{path}/stats")
 
 
 def build(docs: DataFrame, method: str = "robertson", doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens) -> Index:
-    tokens = tokenized(docs, doc_id, text, tokenizer)
-    stats, postings = corpus_stats(tokens), term_freq(tokens)
-    return Index(postings, vocabulary(postings, stats, method), stats)
+    """An index of its own, in the shared folder."""
+    spark = docs.sparkSession
+    path = f"{store.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    write(docs, path, doc_id, text, tokenizer)
+    return Index.load(spark, path, method)
 
 
 def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, tokens)."""
+    exploded = queries.select("query_id", F.explode_outer("tokens").alias("term")).where("term is not null")
+    return exploded.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
 def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with queries (query_id, tokens). Repeated query
     terms add again; scores are rounded to 6 places, so that equal documents tie."""
-    terms = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = index.postings.join(index.vocab.select("term", "idf"), "term").join(terms, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    part = F.col("qtf") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    return weighted.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    weighted = query_terms(queries).join(index.vocab.select("term", "idf"), "term")
+    weighted = store.cut(weighted.select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("qw")))
+    few = weighted.count() <= BROADCAST_TERMS
+    met = index.postings.join(F.broadcast(weighted) if few else weighted, "term")
+    part = F.col("qw") * weight(F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b)
+    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -85,15 +127,17 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
-def search(text: str, index: Index, k: int = 10) -> DataFrame:
-    """Top k of one query string."""
+def search(text: str, index: Index, k: int = 10, tokenizer=identifier_tokens) -> DataFrame:
+    """Top k of one query string. Its terms are pushed down to the scans."""
     spark = index.postings.sparkSession
-    one = spark.range(1).select(F.col("id").alias("query_id"), identifier_tokens(F.lit(text)).alias("tokens"))
-    return top_k(scores(one, index), k)
+    one = spark.range(1).select(F.col("id").alias("query_id"), tokenizer(F.lit(text)).alias("tokens"))
+    terms = [r.term for r in query_terms(one).select("term").collect()]
+    narrow = Index(index.postings.where(F.col("term").isin(terms)), index.vocab.where(F.col("term").isin(terms)), index.n, index.avgdl)
+    return top_k(scores(one, narrow), k)
 
 
 def prune_terms(queries: DataFrame, vocab: DataFrame, least_idf: float = 1.0, most: int = 8) -> DataFrame:
     """(query_id, term, idf, place) of each query's rarest terms with an IDF of at least least_idf."""
-    terms = queries.select("query_id", F.explode("tokens").alias("term")).distinct().join(vocab.select("term", "idf"), "term")
+    terms = query_terms(queries).select("query_id", "term").join(vocab.select("term", "idf"), "term")
     rarest = Window.partitionBy("query_id").orderBy(F.desc(F.round("idf", 9)), "term")
     return terms.where(F.col("idf") >= least_idf).withColumn("place", F.row_number().over(rarest).cast("long")).where(F.col("place") <= most)

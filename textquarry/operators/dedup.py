@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import store
 
 
 def keep_first(docs: DataFrame, key: str = "text", order: str = "doc_id") -> DataFrame:
-    """The row of the smallest `order` of each key. Keys are compared by value; rows travel once."""
-    first = Window.partitionBy(key).orderBy(order)
-    return docs.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    """The row of the smallest `order` of each key (keys are compared by value, a null is a key). Partial aggregation
+    finds the smallest, so that a key held by a third of all rows sends one row a task."""
+    row = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("first"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return docs.groupBy(F.col(key).alias("key")).agg(F.min(row)["row"].alias("row")).select("row.*")
 
 
 def purge(docs: DataFrame, other: DataFrame, key: str = "text") -> DataFrame:
@@ -38,30 +39,48 @@ def cross_split_purge(docs: DataFrame, key: str = "text") -> DataFrame:
     return train.unionByName(test).unionByName(val)
 
 
+def shingled(docs: DataFrame, n_words: int = 3) -> DataFrame:
+    """(doc_id, shingles) of docs (doc_id, text)."""
+    words = docs.select("doc_id", tx.lower_words(F.col("text")).alias("w"))
+    return words.select("doc_id", tx.shingles(F.col("w"), n_words).alias("shingles"))
+
+
+def _smallest(h: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Least (a * h + b) mod 2^31 - 1 of each run of hashes: 2^31 is 1 there, so the halves of a product add up."""
+    p = np.uint64(tx.MERSENNE_31)
+    x = h * np.uint64(a) + np.uint64(b)
+    x = (x & p) + (x >> np.uint64(31))
+    x = (x & p) + (x >> np.uint64(31))
+    return np.minimum.reduceat(np.where(x >= p, x - p, x), starts).astype(np.int64)
+
+
 def signatures(docs: DataFrame, n: int = 64, n_words: int = 3) -> DataFrame:
-    """(doc_id, shingles, sig): n smallest affine images modulo 2^31 - 1 of the shingles' 31-bit hashes; zeros for none.
+    """(doc_id, n_shingles, sig): n smallest affine images modulo 2^31 - 1 of the shingles' 31-bit hashes; zeros for none.
 
-    An Arrow stage: as built-in expressions the nested lambdas would be pushed into filters and evaluated anew for
-    every shingle (a join on the shingles did not end on 1,000 documents).
+    Shingles and hashes are made by built-in expressions; their minima, n of them over one array, in an Arrow stage, which
+    also keeps Spark from pushing what is done with a signature into the lambdas that make it.
     """
-    worded = docs.select("doc_id", tx.lower_words(F.col("text")).alias("w"))
-    a, b = (np.array(x, np.int64) for x in zip(*tx.minhash_coefficients(n)))
+    ab = tx.minhash_coefficients(n)
+    hashed = shingled(store.spread(docs.select("doc_id", "text")), n_words)
+    hashed = hashed.select("doc_id", F.transform("shingles", tx.hash31).alias("h"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, sigs = [], []
-            for words in batch.column(1).to_pylist():
-                own = [" ".join(words[i : i + n_words]) for i in range(len(words) - n_words + 1)] if len(words) >= n_words else words
-                own = list(dict.fromkeys(own))
-                grams.append(own)
-                low = np.full(n, 0 if not own else tx.MERSENNE_31, np.int64)
-                for i in range(0, len(own), 4096):
-                    h = np.array([int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % tx.MERSENNE_31 for s in own[i : i + 4096]], np.int64)
-                    low = np.minimum(low, ((a[:, None] * h + b[:, None]) % tx.MERSENNE_31).min(axis=1))
-                sigs.append(low.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.string())), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "shingles", "sig"])
-
-    return worded.mapInArrow(sign, "doc_id long, shingles array<string>, sig array<long>")
+            column = batch.column(1)
+            offsets = np.asarray(column.offsets).astype(np.int64)
+            h = np.asarray(column.values).astype(np.uint64)
+            size = np.diff(offsets)
+            sig = np.zeros((size.size, n), np.int64)
+            some = np.flatnonzero(size)
+            for k in range(0, some.size, 256):  # so many documents at once
+                own = some[k : k + 256]
+                low, high = offsets[own[0]], offsets[own[-1] + 1]
+                for j, (a, b) in enumerate(ab):
+                    sig[own, j] = _smallest(h[low:high], offsets[own] - low, a, b)
+            made = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), n).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), made], names=["doc_id", "n_shingles", "sig"])
+
+    return hashed.mapInArrow(sign, "doc_id long, n_shingles long, sig array<long>")
 
 
 def bands(signed: DataFrame, n_bands: int = 16, rows: int = 4) -> DataFrame:
@@ -75,11 +94,18 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     return bands(a).join(bands(b).withColumnRenamed("doc_id", "other_id"), ["band", "key"]).select("doc_id", "other_id").distinct()
 
 
-def near_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(doc_id, other_id, jaccard) of candidates whose shingle sets reach the threshold."""
-    other = b.select(F.col("doc_id").alias("other_id"), F.col("shingles").alias("other"))
-    joined = candidates(a, b).join(a.select("doc_id", "shingles"), "doc_id").join(other, "other_id")
-    return joined.select("doc_id", "other_id", F.round(tx.jaccard(F.col("shingles"), F.col("other")), 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+def near_pairs(a: DataFrame, b: DataFrame, texts_a: DataFrame, texts_b: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(doc_id, other_id, jaccard) of candidates by signature whose shingle sets reach the threshold; a and b are signed,
+    texts_a and texts_b have (doc_id, text). Documents without shingles are near to none. Only texts of candidates are
+    cut into shingles, each once."""
+    pairs = store.cut(candidates(a.where("n_shingles > 0"), b.where("n_shingles > 0")))
+    left = shingled(texts_a.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    right = shingled(texts_b.join(pairs.select(F.col("other_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    # an explicit cut between shingles and what is done with them: Spark would make them again for every use
+    left, right = store.cut(left), store.cut(right.select(F.col("doc_id").alias("other_id"), F.col("shingles").alias("other")))
+    joined = pairs.join(left, "doc_id").join(right, "other_id")
+    jaccard = F.round(tx.jaccard(F.col("shingles"), F.col("other")), 6).alias("jaccard")
+    return joined.select("doc_id", "other_id", jaccard).where(F.col("jaccard") >= threshold)
 
 
 def exact_nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -1,41 +1,118 @@
-"""Hard-negative mining: candidates by score, exclusion in tiers, and a fill in hash order."""
+"""Hard-negative mining: candidates by score, exclusion in tiers, and a fill drawn from the whole corpus."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unit_hash
+from ..sources import store
 
+#: Draws of the first round of a fill; each further round has eight times as many.
+DRAWS = 32
+#: Draws are broadcast up to so many; more are joined by shuffle.
+BROADCAST_DRAWS = 400_000
 
-def agreement(a, b):
+
+def agreement(a: Column, b: Column) -> Column:
     """Equal places of two signatures."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda t: t))
 
 
+def tier(least_agreement: int = 45) -> Column:
+    """What excludes a candidate (doc_id, query_text, skeleton, sig) of a target (target, q1, k1, s1): self, the same query
+    text, the same skeleton (null: none), or signatures that agree in at least least_agreement places; else null."""
+    return (
+        F.when(F.col("doc_id") == F.col("target"), "self")
+        .when(F.col("query_text") == F.col("q1"), "query_text")
+        .when(F.col("skeleton") == F.col("k1"), "skeleton")
+        .when(agreement(F.col("sig"), F.col("s1")) >= least_agreement, "signature")
+    )
+
+
+def targets(truth: DataFrame, prints: DataFrame) -> DataFrame:
+    """truth (query_id, target) with the prints of the targets."""
+    own = prints.select(F.col("doc_id").alias("target"), F.col("query_text").alias("q1"), F.col("skeleton").alias("k1"), F.col("sig").alias("s1"))
+    return truth.join(own, "target")
+
+
 def judged(scored: DataFrame, truth: DataFrame, prints: DataFrame, pool: int, least_agreement: int = 45) -> DataFrame:
-    """Each query's pool of best candidates with the tier that excludes them (null: none): self, the same query text,
-    the same skeleton, or signatures that agree in at least least_agreement places. truth is (query_id, target);
+    """Each query's pool of best candidates with the tier that excludes them (null: none). truth is (query_id, target);
     prints has (doc_id, query_text, skeleton, sig)."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    pooled = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= pool).join(truth, "query_id")
-    mine = prints.select(F.col("doc_id").alias("target"), F.col("query_text").alias("q1"), F.col("skeleton").alias("k1"), F.col("sig").alias("s1"))
-    joined = pooled.join(mine, "target").join(prints, "doc_id")
-    tier = (
-        F.when(F.col("doc_id") == F.col("target"), "self").when(F.col("query_text") == F.col("q1"), "query_text")
-        .when(F.col("skeleton") == F.col("k1"), "skeleton").when(agreement(F.col("sig"), F.col("s1")) >= least_agreement, "signature")
-    )
-    return joined.select("query_id", "doc_id", "score", "place", tier.alias("tier"))
-
-
-def negatives(judgement: DataFrame, truth: DataFrame, fillers: DataFrame, k: int = 7, seed: int = 42) -> DataFrame:
-    """(query_id, neg_pos, doc_id): the k best candidates that no tier excludes, then fillers (doc_id) in hash order.
-    Fewer than k rows come back where too few documents are left; nothing is repeated."""
-    ranked = judgement.where("tier is null").select("query_id", "doc_id", F.lit(0).alias("source"), F.col("place").cast("double").alias("key"))
-    fill = truth.crossJoin(F.broadcast(fillers)).join(judgement.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    fill = fill.where("doc_id != target").select("query_id", "doc_id", F.lit(1).alias("source"), unit_hash(F.lit(seed), F.col("query_id"), F.col("doc_id")).alias("key"))
-    order = Window.partitionBy("query_id").orderBy("source", "key", "doc_id")
-    return ranked.unionByName(fill).withColumn("neg_pos", F.row_number().over(order).cast("long")).where(F.col("neg_pos") <= k).select("query_id", "neg_pos", "doc_id")
+    pooled = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= pool)
+    joined = pooled.join(targets(truth, prints), "query_id").join(prints, "doc_id")
+    return joined.select("query_id", "doc_id", "score", "place", tier(least_agreement).alias("tier"))
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the place of each row, from 0, in the order of a unique key: range partitions are counted, and each adds to
+    its own numbers what stands before it."""
+    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    parts = store.cut(parts)
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    # as many rows as partitions
+    starts = F.broadcast(counts.select("part", before.alias("before")))
+    return parts.withColumn("inside", inside).join(starts, "part").withColumn(name, (F.col("inside") + F.col("before")).cast("long")).drop("part", "inside", "before")
+
+
+def fill(short: DataFrame, taken: DataFrame, prints: DataFrame, seed: int = 42, judge: bool = True) -> DataFrame:
+    """(query_id, doc_id, draw) of fillers for short (query_id, target, missing), from all documents of prints: the j-th
+    draw of a query is the document at place floor(hash(seed, query, j) * n). As a candidate, a filler must pass the tiers
+    (with judge; without, only not be the target), and it must not be in taken (query_id, doc_id). Rounds of more and
+    more draws go on for queries that still miss some; where draws outnumber the corpus eight times, all is drawn."""
+    own = targets(short.select("query_id", "target"), prints).join(short.select("query_id", "missing"), "query_id")
+    own = store.cut(own)
+    places = store.cut(numbered(prints, "doc_id", "at"))
+    n, draws, low, out = places.count(), DRAWS, 0, None
+    while n and own.limit(1).count():
+        rows = own.select("query_id", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+        rows = rows.withColumn("at", F.floor(unit_hash(F.lit(seed), F.col("query_id"), F.col("draw")) * F.lit(n)).cast("long"))
+        rows = store.cut(rows)
+        side = F.broadcast(rows) if rows.count() <= BROADCAST_DRAWS else rows
+        met = places.join(side, "at").join(own.select("query_id", "target", "q1", "k1", "s1"), "query_id")
+        fine = met.where(tier().isNull()) if judge else met.where("doc_id != target")
+        fine = fine.groupBy("query_id", "doc_id").agg(F.min("draw").alias("draw")).join(taken, ["query_id", "doc_id"], "left_anti")
+        out = fine if out is None else out.unionByName(fine).groupBy("query_id", "doc_id").agg(F.min("draw").alias("draw"))
+        out = store.cut(out)
+        found = out.groupBy("query_id").agg(F.count("*").alias("found"))
+        own = store.cut(own.join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < F.col("missing")).drop("found"))
+        if low > 8 * n:
+            break
+        low, draws = draws, draws * 8
+    return own.select("query_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("draw")).where("false") if out is None else out
+
+
+def filled(ranked: DataFrame, truth: DataFrame, prints: DataFrame, k: int, seed: int = 42, judge: bool = True) -> DataFrame:
+    """(query_id, neg_pos, doc_id): the k best of ranked (query_id, doc_id, place), then fillers in the order they are drawn.
+    Fewer than k come back only where fewer documents may be taken; nothing is repeated."""
+    best = Window.partitionBy("query_id").orderBy("place")
+    kept = store.cut(ranked.withColumn("neg_pos", F.row_number().over(best).cast("long")).where(F.col("neg_pos") <= k).select("query_id", "neg_pos", "doc_id"))
+    have = kept.groupBy("query_id").agg(F.count("*").alias("have"))
+    missing = F.lit(k) - F.coalesce("have", F.lit(0))
+    short = truth.join(have, "query_id", "left").select("query_id", "target", missing.alias("missing")).where("missing > 0")
+    more = fill(short, kept.select("query_id", "doc_id"), prints, seed, judge).join(short.select("query_id", "missing"), "query_id")
+    drawn = Window.partitionBy("query_id").orderBy("draw")
+    more = more.withColumn("i", F.row_number().over(drawn)).where(F.col("i") <= F.col("missing"))
+    return kept.unionByName(more.select("query_id", (F.lit(k) - F.col("missing") + F.col("i")).cast("long").alias("neg_pos"), "doc_id"))
+
+
+def negatives(judgement: DataFrame, truth: DataFrame, prints: DataFrame, k: int = 7, seed: int = 42) -> DataFrame:
+    """(query_id, neg_pos, doc_id): the k best candidates that no tier excludes, then fillers that none excludes."""
+    return filled(judgement.where("tier is null").select("query_id", "doc_id", "place"), truth, prints, k, seed)
+
+
+def checked(mined: DataFrame, truth: DataFrame, corpus: DataFrame) -> DataFrame:
+    """mined, or ValueError where a query has itself, an unknown document, or one document twice as a negative."""
+    wrong = mined.join(truth, "query_id", "left").where("target is null or doc_id = target").select("query_id", "doc_id")
+    wrong = wrong.unionByName(mined.join(corpus.select("doc_id"), "doc_id", "left_anti").select("query_id", "doc_id"))
+    wrong = wrong.unionByName(mined.groupBy("query_id", "doc_id").count().where("count > 1").select("query_id", "doc_id"))
+    bad = wrong.limit(5).collect()
+    if bad:
+        raise ValueError(f"negatives that can't be: {bad}")
+    return mined
 
 
 def gather(mined: DataFrame, docs: DataFrame) -> DataFrame:

@@ -13,6 +13,11 @@ def harmonic(spark, n: int) -> DataFrame:
     return spark.range(n + 1).select(F.col("id").alias("n"), F.coalesce(F.sum(F.when(F.col("id") > 0, 1.0 / F.col("id"))).over(Window.orderBy("id")), F.lit(0.0)).alias("h"))
 
 
+def upper_bound(n: Column, level: float = 0.95) -> Column:
+    """The rate that none of n trials showing an event still allows at a level (the rule of three); 1 for no trial."""
+    return F.when(n > 0, 1 - F.pow(F.lit(1 - level), 1.0 / n)).otherwise(1.0)
+
+
 def tie_counts(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, greater, equal) of the target's score among a query's; targets without a score are left out."""
     target = scored.join(truth, ["query_id", "doc_id"]).where("score > 0").select("query_id", F.col("score").alias("own"))
@@ -24,10 +29,30 @@ def expected_rr(greater: Column, equal: Column) -> Column:
     return F.aggregate(F.sequence(greater + 1, greater + equal), F.lit(0.0), lambda s, i: s + 1.0 / i) / equal
 
 
-def harmonic_ranks(scored: DataFrame, truth: DataFrame) -> DataFrame:
-    """(query_id, rank) of truth (query_id, doc_id): the inverse of the expected reciprocal rank, null if unretrieved."""
+def harmonic_ranks(scored: DataFrame, truth: DataFrame, max_candidates: int | None = None, zero_policy: str = "unretrieved", n_docs: int | None = None) -> DataFrame:
+    """(query_id, rank) of truth (query_id, doc_id): the inverse of the expected reciprocal rank, null if unretrieved or
+    beyond max_candidates. A target without a score is unretrieved, or, with zero_policy "ties", one of all documents of
+    the n_docs that the query doesn't score, on the places behind those it does."""
+    if zero_policy not in ("unretrieved", "ties") or (zero_policy == "ties" and n_docs is None):
+        raise ValueError("zero_policy is unretrieved, or ties with n_docs")
+    if max_candidates is not None and max_candidates < 1:
+        raise ValueError("max_candidates must be at least 1")
     counts = tie_counts(scored, truth)
-    return truth.select("query_id").join(counts, "query_id", "left").select("query_id", (1.0 / expected_rr(F.col("greater"), F.col("equal"))).alias("rank"))
+    found = truth.select("query_id").join(counts, "query_id", "left")
+    if zero_policy == "ties":
+        positive = scored.where("score > 0").groupBy("query_id").agg(F.count("*").alias("positive"))
+        found = found.join(positive, "query_id", "left").withColumn("positive", F.coalesce("positive", F.lit(0)))
+        found = found.select("query_id", F.coalesce("greater", "positive").alias("greater"), F.coalesce("equal", F.lit(n_docs) - F.col("positive")).alias("equal"))
+    ranks = found.select("query_id", (1.0 / expected_rr(F.col("greater"), F.col("equal"))).alias("rank"))
+    return ranks if max_candidates is None else ranks.withColumn("rank", F.when(F.col("rank") <= max_candidates, F.col("rank")))
+
+
+def expected_recall(scored: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall): the share of the places a target's tie may fall on that are among the first k; 0 if unretrieved."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    inside = F.greatest(F.least(F.lit(k) - F.col("greater"), F.col("equal")), F.lit(0)) / F.col("equal")
+    return truth.select("query_id").join(tie_counts(scored, truth), "query_id", "left").select("query_id", F.coalesce(inside, F.lit(0.0)).alias("recall"))
 
 
 def optimistic_ranks(scored: DataFrame, truth: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import bm25
+from ..operators import bm25, dedup
+from ..sources import store
 
 
 def table(spark, sf: str, name: str) -> DataFrame:
@@ -31,9 +32,35 @@ def truth(spark, sf: str) -> DataFrame:
     return docs(spark, sf).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "doc_id")
 
 
-def paired_scores(spark, sf: str, method: str = "robertson", tokenizer=tx.identifier_tokens) -> DataFrame:
-    index = bm25.build(docs(spark, sf), method, tokenizer=tokenizer)
-    return bm25.scores(paired_queries(spark, sf).select("query_id", tokenizer(F.col("query")).alias("tokens")), index)
+TOKENIZERS = {"identifiers": tx.identifier_tokens, "words": tx.lower_words}
+
+
+def body():
+    """What stands behind the first line of a column `text`."""
+    return F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 1)")
+
+
+def index(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text") -> bm25.Index:
+    """The kept index of all documents' texts (or of what follows their first lines): written by the query that needs it
+    first, found by the others for as long as the files of the table stay as they are."""
+    corpus = docs(spark, sf)
+    if part == "body":
+        corpus = corpus.select("doc_id", body().alias("text"))
+    digest = store.files_digest(spark, f"{sf}/documents.parquet")
+    path = store.kept(spark, f"bm25-{tokenizer}-{part}", digest, lambda at: bm25.write(corpus, at, tokenizer=TOKENIZERS[tokenizer]))
+    return bm25.Index.load(spark, path, method)
+
+
+def signed(spark, sf: str) -> DataFrame:
+    """The kept MinHash signatures (doc_id, n_shingles, sig) of all documents."""
+    digest = store.files_digest(spark, f"{sf}/documents.parquet")
+    path = store.kept(spark, "minhash", digest, lambda at: dedup.signatures(docs(spark, sf)).write.parquet(at))
+    return spark.read.parquet(path)
+
+
+def paired_scores(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text") -> DataFrame:
+    tokens = TOKENIZERS[tokenizer](F.col("query")).alias("tokens")
+    return bm25.scores(paired_queries(spark, sf).select("query_id", tokens), index(spark, sf, method, tokenizer, part))
 
 
 def TOK(x: str) -> str:
@@ -44,7 +71,16 @@ def WS(x: str) -> str:
     return rf"regexp_extract_all({x}, '[^ \t\n\r\f\x0B]+')"
 
 
-STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + ")"
+STOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.STOPWORDS) + ")"
+SQL_BODY = "substr(text, length(split_part(text, chr(10), 1)) + 1)"
+
+
+def CONTENT(x: str) -> str:
+    """Content tokens of an expression."""
+    return f"list_filter({TOK(x)}, lambda t: length(t) > 1 AND t NOT IN {STOP})"
+
+
+
 PAIRED = "qs AS (SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS query FROM documents WHERE doc_id % 20 = 0)"
 BENCH = "qs AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import bm25, fusion, ranking
-from .base import BENCH, METRICS, PAIRED, STOP, TOK, WS, bench_queries, docs, index_sql, paired_queries, paired_scores, paired_sql, ranks_sql, scores_sql, table, truth
+from ..operators import bm25, fusion, mining, ranking
+from ..sources import store
+from .base import BENCH, CONTENT, METRICS, PAIRED, SQL_BODY, TOK, WS, bench_queries, body, docs, index, index_sql, paired_queries, paired_scores, paired_sql, ranks_sql, scores_sql, table, truth
 
 Q: dict = {}
 
@@ -22,20 +23,20 @@ def _round(df, *names):
 
 Q["corpus_stats"] = (lambda s, d: _round(bm25.corpus_stats(_tokens(s, d)), "avgdl"), f"WITH {index_sql()} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 Q["term_freq"] = (lambda s, d: bm25.term_freq(_tokens(s, d)), f"WITH {index_sql()} SELECT doc_id, term, tf, dl::BIGINT AS dl FROM tf")
-Q["doc_freq"] = (lambda s, d: bm25.build(docs(s, d)).vocab.select("term", "df"), f"WITH {index_sql()} SELECT term, df FROM df")
+Q["doc_freq"] = (lambda s, d: index(s, d).vocab.select("term", "df"), f"WITH {index_sql()} SELECT term, df FROM df")
 for _m in ("robertson", "atire"):
-    Q[f"idf_{_m}"] = (lambda s, d, m=_m: _round(bm25.build(docs(s, d), m).vocab.select("term", "idf"), "idf"), f"WITH {index_sql(_m)} SELECT term, round(idf, 6) AS idf FROM vocab")
+    Q[f"idf_{_m}"] = (lambda s, d, m=_m: _round(index(s, d, m).vocab.select("term", "idf"), "idf"), f"WITH {index_sql(_m)} SELECT term, round(idf, 6) AS idf FROM vocab")
 
 
 def _bench_scores(s, d, method="robertson"):
-    return bm25.scores(bench_queries(s, d), bm25.build(docs(s, d), method))
+    return bm25.scores(bench_queries(s, d), index(s, d, method))
 
 
 Q["bm25_scores"] = (_bench_scores, f"WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT * FROM sc")
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
 Q["topk_bm25"] = (lambda s, d: bm25.top_k(_bench_scores(s, d), 10), f"WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT * FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= 10")
 Q["query_term_prune"] = (
-    lambda s, d: _round(bm25.prune_terms(bench_queries(s, d), bm25.build(docs(s, d)).vocab), "idf"),
+    lambda s, d: _round(bm25.prune_terms(bench_queries(s, d), index(s, d).vocab), "idf"),
     f"WITH {BENCH}, {index_sql()} SELECT query_id, term, round(idf, 6) AS idf, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, term) AS place FROM (SELECT DISTINCT query_id, unnest({TOK('query')}) AS term FROM qs) JOIN vocab USING (term) WHERE idf >= 1) WHERE place <= 8",
 )
 Q["variant_parity"] = (
@@ -44,13 +45,13 @@ Q["variant_parity"] = (
 )
 
 
-def ranks(s, d, method="robertson", tokenizer=tx.identifier_tokens):
-    return ranking.harmonic_ranks(paired_scores(s, d, method, tokenizer), truth(s, d))
+def ranks(s, d, method="robertson", tokenizer="identifiers", part="text"):
+    return ranking.harmonic_ranks(paired_scores(s, d, method, tokenizer, part), truth(s, d))
 
 
 def _arms(s, d):
     out = None
-    for name, r in (("atire", ranks(s, d, "atire")), ("robertson", ranks(s, d)), ("spaces", ranks(s, d, "robertson", tx.lower_words))):
+    for name, r in (("atire", ranks(s, d, "atire")), ("robertson", ranks(s, d)), ("spaces", ranks(s, d, "robertson", "words"))):
         m = ranking.metrics(r).withColumn("arm", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out.select("arm", "mrr", "recall_10")
@@ -71,17 +72,23 @@ Q["metrics_all"] = (lambda s, d: ranking.metrics(ranks(s, d)), f"WITH {_R} SELEC
 
 
 def strata(s, d):
-    """(query_id, coverage, overlap_bin): the IDF-weighted share of a query's content tokens that its document has.
-    IDF comes from train documents (presence only); terms unseen there count as of no document."""
+    """(query_id, coverage, overlap_bin): the IDF-weighted share of a query's content tokens that its document has behind
+    the first line, which is the query. IDF comes from train documents (presence only); terms unseen there count as of
+    no document, and repeated tokens each time."""
     train = docs(s, d).where("doc_id % 10 < 8")
-    presence = train.select("doc_id", F.explode(F.array_distinct(tx.content_tokens(tx.identifier_tokens(F.col("text"))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = train.agg(F.count("*").alias("n"))
-    q = paired_queries(s, d).select("query_id", F.explode_outer(tx.content_tokens(tx.identifier_tokens(F.col("query")))).alias("term"))
-    own = docs(s, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), tx.identifier_tokens(F.substring_index("text", "\n", -1)).alias("body"))
-    joined = q.join(presence, "term", "left").crossJoin(F.broadcast(n)).join(own, "query_id")
-    idf = bm25.robertson(F.col("n"), F.coalesce("df", F.lit(0)))
-    hit = F.array_contains("body", F.col("term"))
-    cov = joined.groupBy("query_id").agg(F.round(F.coalesce(F.sum(F.when(hit, idf)) / F.sum(F.when(F.col("term").isNotNull(), idf)), F.lit(0.0)), 6).alias("coverage"))
+    content = lambda text: tx.content_tokens(tx.identifier_tokens(text))
+    terms = train.select("doc_id", F.array_distinct(content(F.col("text"))).alias("terms"))
+    presence = terms.select(F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    n = train.count()
+    own = docs(s, d).where("doc_id % 20 = 0")
+    pairs = own.select(F.col("doc_id").alias("query_id"), content(F.substring_index("text", "\n", 1)).alias("q"), F.array_distinct(tx.identifier_tokens(body())).alias("body"))
+    # whether a token is met is told where the document stands; only tokens travel
+    marked = pairs.select("query_id", F.transform("q", lambda t: F.struct(t.alias("term"), F.array_contains("body", t).alias("hit"))).alias("q"))
+    q = marked.select("query_id", F.explode_outer("q").alias("t")).select("query_id", "t.term", "t.hit")
+    joined = q.join(presence, "term", "left")
+    idf = bm25.robertson(F.lit(n), F.coalesce("df", F.lit(0)))
+    share = F.sum(F.when(F.col("hit"), idf)) / F.sum(F.when(F.col("term").isNotNull(), idf))
+    cov = joined.groupBy("query_id").agg(F.round(F.coalesce(share, F.lit(0.0)), 6).alias("coverage"))
     return cov.select("query_id", "coverage", bin_of(F.col("coverage")).alias("overlap_bin"))
 
 
@@ -89,21 +96,35 @@ def bin_of(coverage):
     return F.when(coverage <= 1e-9, "Zero").when(coverage <= 0.30, "Low").otherwise("High")
 
 
-_CONTENT = lambda x: f"list_filter({TOK(x)}, lambda t: length(t) > 1 AND t NOT IN {STOP})"
-_STRATA = f"""pres AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_CONTENT('text')})) AS term FROM documents WHERE doc_id % 10 < 8) GROUP BY term),
-trn AS (SELECT count(*) AS n FROM documents WHERE doc_id % 10 < 8),
-qterm AS (SELECT query_id, unnest({_CONTENT('query')}) AS term FROM qs), body AS (SELECT doc_id AS query_id, {TOK("split_part(text, chr(10), -1)")} AS body FROM documents WHERE doc_id % 20 = 0),
-cov AS (SELECT qs.query_id, round(coalesce(sum(CASE WHEN list_contains(body, term) THEN ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1) END) / sum(CASE WHEN term IS NOT NULL THEN ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1) END), 0), 6) AS coverage
+_IDF = "ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1)"
+_STRATA = f"""pres AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({CONTENT('text')})) AS term FROM documents WHERE doc_id % 10 < 8) GROUP BY term),
+trn AS (SELECT count(*) AS n FROM documents WHERE doc_id % 10 < 8), qterm AS (SELECT query_id, unnest({CONTENT('query')}) AS term FROM qs),
+body AS (SELECT doc_id AS query_id, {TOK(SQL_BODY)} AS body FROM documents WHERE doc_id % 20 = 0),
+cov AS (SELECT qs.query_id, round(coalesce(sum(CASE WHEN list_contains(body, term) THEN {_IDF} END) / sum(CASE WHEN term IS NOT NULL THEN {_IDF} END), 0), 6) AS coverage
   FROM qs LEFT JOIN qterm USING (query_id) LEFT JOIN pres USING (term) JOIN body ON body.query_id = qs.query_id, trn GROUP BY qs.query_id),
 strata AS (SELECT query_id, coverage, CASE WHEN coverage <= 1e-9 THEN 'Zero' WHEN coverage <= 0.30 THEN 'Low' ELSE 'High' END AS overlap_bin FROM cov)"""
 Q["overlap_stratify"] = (strata, f"WITH {PAIRED}, {_STRATA} SELECT * FROM strata")
 
 
+CUTOFF = 1000
+
+
+def body_ranks(s, d):
+    """Ranks of the paired queries over documents without their first lines, none beyond the first 1000 places."""
+    return ranking.harmonic_ranks(paired_scores(s, d, "atire", part="body"), truth(s, d), max_candidates=CUTOFF)
+
+
 def ranked_strata(s, d):
-    return strata(s, d).join(ranks(s, d), "query_id")
+    return strata(s, d).join(body_ranks(s, d), "query_id")
+
+
+def _body_tok(x: str) -> str:
+    return TOK(SQL_BODY) if x == "text" else TOK(x)
 
 
-_RS = f"WITH {_R}, {_STRATA}, rs AS (SELECT * FROM strata JOIN rk USING (query_id))"
+_BR = f"""{PAIRED}, {paired_sql('atire', _body_tok, 'b_')}, {ranks_sql('b_').replace('b_rk AS', 'b_all AS')},
+rk AS (SELECT query_id, CASE WHEN rank <= {CUTOFF} THEN rank END AS rank FROM b_all)"""
+_RS = f"WITH {_BR}, {_STRATA}, rs AS (SELECT * FROM strata JOIN rk USING (query_id))"
 Q["rank_join_strata"] = (lambda s, d: _round(ranked_strata(s, d), "rank"), f"{_RS} SELECT query_id, coverage, overlap_bin, round(rank, 6) AS rank FROM rs")
 Q["metrics_by_stratum"] = (lambda s, d: ranking.metrics(ranked_strata(s, d), ["overlap_bin"]).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6)), f"{_RS} SELECT overlap_bin, count(*) AS n, {METRICS}, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM rs GROUP BY overlap_bin")
 Q["metrics_rollup"] = (lambda s, d: ranked_strata(s, d).rollup("overlap_bin").agg(F.count("*").alias("n"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(m) for m, c in ranking.suite(F.col("rank"))]).withColumn("overlap_bin", F.coalesce("overlap_bin", F.lit("Overall"))), f"{_RS} SELECT coalesce(overlap_bin, 'Overall') AS overlap_bin, count(*) AS n, {METRICS} FROM rs GROUP BY ROLLUP (overlap_bin)")
@@ -111,23 +132,53 @@ Q["pilot_gate"] = (
     lambda s, d: ranked_strata(s, d).agg(F.round(F.avg(ranking.reciprocal(F.col("rank"))), 6).alias("mrr"), F.round(F.coalesce(F.avg(F.when(F.col("overlap_bin") == "Low", ranking.reciprocal(F.col("rank")))), F.lit(0.0)), 6).alias("low_mrr")).withColumn("passed", (F.col("mrr") >= 0.75 * 0.5214) | (F.col("low_mrr") > 0.2489)),
     f"{_RS}, g AS (SELECT round(avg(CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, round(coalesce(avg(CASE WHEN overlap_bin = 'Low' THEN CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END END), 0), 6) AS low_mrr FROM rs) SELECT mrr, low_mrr, mrr >= 0.75::DOUBLE * 0.5214::DOUBLE OR low_mrr > 0.2489 AS passed FROM g",
 )
-GENERIC = ("get", "set", "return", "the", "to")
+# First words of under-specified queries.
+GENERIC = ("get", "set", "return", "update", "check", "create", "initialize", "reset", "clear")
+
+
+def failures(s, d, beyond: float = 10):
+    """Strata of the queries that are found behind place `beyond`, or not at all."""
+    return ranked_strata(s, d).where((F.col("rank") > beyond) | F.col("rank").isNull())
 
 
 def error_rubric(s, d):
-    """Failed queries (rank above 1 or none) by cause: C for thin ones, A for generic short ones, B for the rest."""
-    failed = ranked_strata(s, d).where("rank is null or rank > 1").join(paired_queries(s, d), "query_id").join(docs(s, d).withColumnRenamed("doc_id", "query_id"), "query_id")
+    """Failed queries by cause: C for thin ones, A for generic short ones, B for the rest; their share in percent, and
+    whether B's is at least 50. All failures are looked at, not a sample."""
+    own = docs(s, d).select(F.col("doc_id").alias("query_id"), F.trim(body(), F.lit(" \n\t\r")).alias("body"))
+    failed = failures(s, d).join(paired_queries(s, d), "query_id").join(own, "query_id")
     w = tx.lower_words(F.col("query"))
-    cause = F.when((F.size(w) < 4) | F.lower("query").contains("todo") | (F.size(F.split("text", "\n")) <= 2), "C").when((F.size(w) <= 6) & F.get(w, F.lit(0)).isin(*GENERIC) & (F.col("coverage") <= 0.10), "A").otherwise("B")
+    thin = (F.size(w) < 4) | F.lower("query").contains("todo") | (F.size(F.split("body", "\n")) <= 2)
+    generic = (F.size(w) <= 6) & F.get(w, F.lit(0)).isin(*GENERIC) & (F.col("coverage") <= 0.10)
+    cause = F.when(thin, "C").when(generic, "A").otherwise("B")
     counts = failed.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
+    # three rows at most
+    share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 4)
+    return counts.withColumn("share", share).withColumn("gate", F.when(F.col("cause") == "B", F.col("share") >= 50))
 
 
+_GENERIC = "(" + ", ".join(f"'{w}'" for w in GENERIC) + ")"
 Q["error_rubric"] = (
     error_rubric,
-    f"{_RS}, f AS (SELECT {WS('lower(query)')} AS w, query, text, coverage FROM rs JOIN qs USING (query_id) JOIN documents ON doc_id = query_id WHERE rank IS NULL OR rank > 1), c AS (SELECT CASE WHEN len(w) < 4 OR lower(query) LIKE '%todo%' OR len(string_split(text, chr(10))) <= 2 THEN 'C' WHEN len(w) <= 6 AND w[1] IN ('get', 'set', 'return', 'the', 'to') AND coverage <= 0.10 THEN 'A' ELSE 'B' END AS cause FROM f) SELECT cause, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY cause",
+    f"""{_RS}, f AS (SELECT {WS('lower(query)')} AS w, query, trim({SQL_BODY}, ' ' || chr(10) || chr(9) || chr(13)) AS body, coverage
+  FROM rs JOIN qs USING (query_id) JOIN documents ON doc_id = query_id WHERE rank IS NULL OR rank > 10),
+c AS (SELECT CASE WHEN len(w) < 4 OR lower(query) LIKE '%todo%' OR len(string_split(body, chr(10))) <= 2 THEN 'C'
+  WHEN len(w) <= 6 AND w[1] IN {_GENERIC} AND coverage <= 0.10 THEN 'A' ELSE 'B' END AS cause FROM f),
+g AS (SELECT cause, count(*) AS n, round(100 * count(*)::DOUBLE / sum(count(*)) OVER (), 4) AS share FROM c GROUP BY cause)
+SELECT *, CASE WHEN cause = 'B' THEN share >= 50 END AS gate FROM g""",
+)
+
+
+def worst_failures(s, d, n: int = 3):
+    """The n queries that are found last, behind place 50; those never found count as last of all."""
+    place = F.coalesce("rank", F.lit(float("inf")))
+    failed = failures(s, d, 50).select("query_id", F.round("rank", 6).alias("rank"), place.alias("place"))
+    return failed.orderBy(F.desc("place"), "query_id").limit(n).select("query_id", "rank")
+
+
+Q["worst_failures"] = (
+    worst_failures,
+    f"{_RS} SELECT query_id, round(rank, 6) AS rank FROM rs WHERE rank IS NULL OR rank > 50 ORDER BY coalesce(rank, 'inf'::DOUBLE) DESC, query_id LIMIT 3",
 )
-Q["worst_failures"] = (lambda s, d: _round(ranks(s, d), "rank").where("rank > 1").orderBy(F.desc("rank"), "query_id").limit(3), f"WITH {_R} SELECT query_id, round(rank, 6) AS rank FROM rk WHERE rank > 1 ORDER BY 2 DESC, 1 LIMIT 3")
 
 
 def contains_ngram(q, c, n=8):
@@ -138,37 +189,63 @@ def contains_ngram(q, c, n=8):
 
 
 def overlap_pairs(s, d):
-    """(query_id, q, body, null_body): each paired query's tokens, those of its document behind the first line, and
-    those of the next query's document (a rotation, so never its own while there are two)."""
-    base = docs(s, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), tx.identifier_tokens(F.substring_index("text", "\n", 1)).alias("q"), tx.identifier_tokens(F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")).alias("body"))
-    n = Window.orderBy("query_id")
-    numbered = base.withColumn("i", F.row_number().over(n) - 1)
-    count = numbered.agg(F.count("*").alias("n"))
-    other = numbered.select((F.col("i")).alias("j"), F.col("body").alias("null_body"))
-    return numbered.crossJoin(F.broadcast(count)).withColumn("j", (F.col("i") + 1) % F.col("n")).join(other, "j").select("query_id", "q", "body", "null_body")
+    """(query_id, q, body, null_body): each paired query's content tokens, all tokens of its document behind the first line,
+    and those of another query's document: the next one by id, the first for the last. Numbers come from the ids'
+    order in range partitions, so nothing is gathered."""
+    base = docs(s, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), tx.content_tokens(tx.identifier_tokens(F.substring_index("text", "\n", 1))).alias("q"), tx.identifier_tokens(body()).alias("body"))
+    own = store.cut(mining.numbered(base, "query_id", "i"))
+    n = own.count()
+    other = own.select(F.col("i").alias("j"), F.col("body").alias("null_body"))
+    return own.withColumn("j", (F.col("i") + 1) % F.lit(max(n, 1))).join(other, "j").select("query_id", "q", "body", "null_body")
 
 
 _GR = lambda w: f"list_transform(range(1, len({w}) - 6), lambda i: array_to_string({w}[i:i + 7], ' '))"
 _HIT = lambda c: f"coalesce(CASE WHEN len(q) >= 8 AND len({c}) >= 8 THEN list_has_any({_GR('q')}, {_GR(c)}) WHEN len(q) >= 4 AND len(q) < 8 THEN list_has_all({c}, q) END, false)"
-_OV = f"ov AS (SELECT *, lead(body, 1, NULL) OVER (ORDER BY query_id) AS nx, first_value(body) OVER (ORDER BY query_id) AS fb, row_number() OVER (ORDER BY query_id DESC) AS rn FROM (SELECT doc_id AS query_id, {TOK('split_part(text, chr(10), 1)')} AS q, {TOK('substr(text, length(split_part(text, chr(10), 1)) + 1)')} AS body FROM documents WHERE doc_id % 20 = 0)), ovp AS (SELECT query_id, q, body, CASE WHEN rn = 1 THEN fb ELSE nx END AS null_body FROM ov)"
+_OV = f"ov AS (SELECT *, lead(body, 1, NULL) OVER (ORDER BY query_id) AS nx, first_value(body) OVER (ORDER BY query_id) AS fb, row_number() OVER (ORDER BY query_id DESC) AS rn FROM (SELECT doc_id AS query_id, {CONTENT('split_part(text, chr(10), 1)')} AS q, {TOK(SQL_BODY)} AS body FROM documents WHERE doc_id % 20 = 0)), ovp AS (SELECT query_id, q, body, CASE WHEN rn = 1 THEN fb ELSE nx END AS null_body FROM ov)"
 Q["overlap_diagnostic"] = (
     lambda s, d: overlap_pairs(s, d).agg(F.count("*").alias("n"), F.round(F.avg(contains_ngram(F.col("q"), F.col("body")).cast("double")), 6).alias("true_rate"), F.round(F.avg(contains_ngram(F.col("q"), F.col("null_body")).cast("double")), 6).alias("null_rate")),
     f"WITH {_OV} SELECT count(*) AS n, round(avg({_HIT('body')}::INT::DOUBLE), 6) AS true_rate, round(avg({_HIT('null_body')}::INT::DOUBLE), 6) AS null_rate FROM ovp",
 )
 
 
-def match_categories(s, d):
-    """Where a query's tokens meet its document: the header line, a URL, a trailing comment, the body, or nowhere."""
-    own = docs(s, d).where("doc_id % 20 = 0").select("doc_id", "text", F.slice(tx.identifier_tokens(F.expr("substring_index(text, '\n', -1)")), 1, 3).alias("t"))
-    head, tail, every = (tx.identifier_tokens(c) for c in (F.substring_index("text", "\n", 1), F.substring_index("text", "#", -1), F.col("text")))
-    cat = F.when((F.size("t") > 0) & F.forall("t", lambda x: F.array_contains(head, x)), "header").when((F.contains("text", F.lit("http"))) & F.exists("t", lambda x: x.isin("http", "https", "www", "com")), "url").when(F.contains("text", F.lit("#")) & F.exists("t", lambda x: F.array_contains(tail, x)), "comment").when(F.exists("t", lambda x: F.array_contains(every, x)), "body").otherwise("none")
-    return own.groupBy(cat.alias("category")).agg(F.count("*").alias("n"))
+def matched_tokens(q, c, n=8):
+    """The tokens of a hit as in contains_ngram: the first n-gram of q that c has, or all of a shorter q; null for none."""
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+    long = (F.size(q) >= n) & (F.size(c) >= n)
+    shared = F.filter(grams(F.when(long, q)), lambda g: F.array_contains(grams(F.when(long, c)), g))
+    return F.when(long & (F.size(shared) > 0), F.split(F.get(shared, F.lit(0)), " ")).when((F.size(q) >= n // 2) & (F.size(q) < n) & (F.size(F.array_except(q, c)) == 0), q)
 
 
-_H, _T, _E = TOK("split_part(text, chr(10), 1)"), TOK("split_part(text, '#', -1)"), TOK("text")
+# Marks of links, and tokens that stand in them.
+LINKS, LINK_TOKENS = ("http", "cloud.google", "github"), ("https", "docs", "reference", "cloud")
+
+
+def match_categories(s, d):
+    """Where the matched tokens of the hits among the paired queries stand in what follows the first line: in its first line
+    (the first three tokens, as substrings), in a link, behind the last # (one of the first two), or elsewhere."""
+    texts = docs(s, d).select(F.col("doc_id").alias("query_id"), F.regexp_replace(body(), "^\n", "").alias("text"))
+    hits = overlap_pairs(s, d).select("query_id", matched_tokens(F.col("q"), F.col("body")).alias("t")).where("t is not null")
+    found, text = hits.join(texts, "query_id"), F.col("text")
+    first = F.lower(F.substring_index(text, "\n", 1))
+    linked = F.lower(text).contains(LINKS[0]) | F.lower(text).contains(LINKS[1]) | F.lower(text).contains(LINKS[2])
+    cat = (
+        F.when(F.forall(F.slice("t", 1, 3), lambda x: first.contains(x)), "signature_or_param")
+        .when(linked & F.exists("t", lambda x: x.isin(*LINK_TOKENS)), "api_or_url")
+        .when(text.contains("#") & F.exists(F.slice("t", 1, 2), lambda x: F.substring_index(text, "#", -1).contains(x)), "inline_comment")
+        .otherwise("body_statements")
+    )
+    return found.groupBy(cat.alias("category")).agg(F.count("*").alias("n"))
+
+
+_MT = f"""CASE WHEN len(q) >= 8 AND len(body) >= 8 AND list_has_any({_GR('q')}, {_GR('body')}) THEN string_split(list_filter({_GR('q')}, lambda g: list_contains({_GR('body')}, g))[1], ' ')
+  WHEN len(q) >= 4 AND len(q) < 8 AND list_has_all(body, q) THEN q END"""
 Q["match_categories"] = (
     match_categories,
-    f"SELECT CASE WHEN len(t) > 0 AND list_has_all(h, t) THEN 'header' WHEN contains(text, 'http') AND list_has_any(t, ['http', 'https', 'www', 'com']) THEN 'url' WHEN contains(text, '#') AND list_has_any(c, t) THEN 'comment' WHEN list_has_any(e, t) THEN 'body' ELSE 'none' END AS category, count(*) AS n FROM (SELECT text, ({TOK('split_part(text, chr(10), -1)')})[1:3] AS t, {_H} AS h, {_T} AS c, {_E} AS e FROM documents WHERE doc_id % 20 = 0) GROUP BY 1",
+    f"""WITH {_OV}, h AS (SELECT query_id, {_MT} AS t FROM ovp), x AS (SELECT t, regexp_replace({SQL_BODY}, '^\n', '') AS c FROM h JOIN documents ON doc_id = query_id WHERE t IS NOT NULL)
+SELECT CASE WHEN len(list_filter(t[1:3], lambda y: NOT contains(lower(split_part(c, chr(10), 1)), y))) = 0 THEN 'signature_or_param'
+  WHEN (contains(lower(c), 'http') OR contains(lower(c), 'cloud.google') OR contains(lower(c), 'github')) AND list_has_any(t, ['https', 'docs', 'reference', 'cloud']) THEN 'api_or_url'
+  WHEN contains(c, '#') AND len(list_filter(t[1:2], lambda y: contains(split_part(c, '#', -1), y))) > 0 THEN 'inline_comment' ELSE 'body_statements' END AS category, count(*) AS n
+FROM x GROUP BY 1""",
 )
 Q["hits_vs_nonhits"] = (
     lambda s, d: ranking.metrics(overlap_pairs(s, d).select("query_id", contains_ngram(F.col("q"), F.col("body")).alias("hit")).join(ranks(s, d), "query_id"), ["hit"]),
@@ -176,17 +253,9 @@ Q["hits_vs_nonhits"] = (
 )
 
 
-def _leak_ranks(s, d, leaked: bool):
-    body = F.col("text") if leaked else F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")
-    corpus = docs(s, d).select("doc_id", body.alias("text"))
-    scored = bm25.scores(paired_queries(s, d).select("query_id", tx.identifier_tokens(F.col("query")).alias("tokens")), bm25.build(corpus))
-    return ranking.harmonic_ranks(scored, truth(s, d))
-
-
-_BODY = lambda x: TOK("substr(text, length(split_part(text, chr(10), 1)) + 1)") if x == "text" else TOK(x)
 Q["leakage_delta"] = (
-    lambda s, d: ranking.metrics(_leak_ranks(s, d, True)).select(F.lit("with").alias("corpus"), "mrr").unionByName(ranking.metrics(_leak_ranks(s, d, False)).select(F.lit("without").alias("corpus"), "mrr")),
-    f"WITH {_R}, {paired_sql('robertson', _BODY, 'b_')}, {ranks_sql('b_')} SELECT 'with' AS corpus, mrr FROM (SELECT {METRICS} FROM rk) UNION ALL SELECT 'without', mrr FROM (SELECT {METRICS} FROM b_rk)",
+    lambda s, d: ranking.metrics(ranks(s, d)).select(F.lit("with").alias("corpus"), "mrr").unionByName(ranking.metrics(ranks(s, d, part="body")).select(F.lit("without").alias("corpus"), "mrr")),
+    f"WITH {_R}, {paired_sql('robertson', _body_tok, 'b_')}, {ranks_sql('b_')} SELECT 'with' AS corpus, mrr FROM (SELECT {METRICS} FROM rk) UNION ALL SELECT 'without', mrr FROM (SELECT {METRICS} FROM b_rk)",
 )
 
 # fusion: BM25 over identifier tokens (a) with BM25 over lower-cased words (b)
@@ -195,7 +264,7 @@ POOL = 50
 
 def _lists(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.lower_words(F.col("text")).alias("tokens"))
-    return bm25.top_k(_bench_scores(s, d), POOL), bm25.top_k(bm25.scores(q, bm25.build(docs(s, d), tokenizer=tx.lower_words)), POOL)
+    return bm25.top_k(_bench_scores(s, d), POOL), bm25.top_k(bm25.scores(q, index(s, d, tokenizer="words")), POOL)
 
 
 _L = f"{BENCH}, {paired_sql()}, {paired_sql('robertson', _lower_ws, 'w_')}, la AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= {POOL}), lb AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM w_sc) WHERE rank <= {POOL}), m AS (SELECT query_id, doc_id, la.score AS sa, la.rank AS ra, lb.score AS sb, lb.rank AS rb FROM la FULL JOIN lb USING (query_id, doc_id))"
@@ -210,6 +279,6 @@ _QUAD = lambda a, b: [("both", a & b), ("only_a", a & ~b), ("only_b", ~a & b), (
 Q["discordance_quadrants"] = (lambda s, d: fusion.convex(*_lists(s, d), 1000).agg(*[F.sum(c.cast("long")).alias(n) for n, c in _QUAD(F.col("norm_a") >= 0.5, F.col("norm_b") >= 0.5)]), _CX.format(1000) + " SELECT " + ", ".join(f"sum(({'' if x else 'NOT '}norm_a >= 0.5 AND {'' if y else 'NOT '}norm_b >= 0.5)::INT)::BIGINT AS {n}" for n, x, y in (("both", 1, 1), ("only_a", 1, 0), ("only_b", 0, 1), ("neither", 0, 0))) + " FROM x")
 _RR = "CASE WHEN {p}rk.rank >= 1 THEN 1.0::DOUBLE / {p}rk.rank ELSE 0 END"
 Q["oracle_bound"] = (
-    lambda s, d: ranks(s, d).withColumnRenamed("rank", "x").join(ranks(s, d, "robertson", tx.lower_words).withColumnRenamed("rank", "y"), "query_id").select(F.round(ranking.reciprocal(F.col("x")), 9).alias("a"), F.round(ranking.reciprocal(F.col("y")), 9).alias("b")).agg(F.round(F.avg(F.greatest("a", "b")), 6).alias("best_mrr"), *[F.sum(c.cast("long")).alias(n) for n, c in (("wins", F.col("a") > F.col("b")), ("losses", F.col("a") < F.col("b")), ("ties", F.col("a") == F.col("b")))]),
+    lambda s, d: ranks(s, d).withColumnRenamed("rank", "x").join(ranks(s, d, "robertson", "words").withColumnRenamed("rank", "y"), "query_id").select(F.round(ranking.reciprocal(F.col("x")), 9).alias("a"), F.round(ranking.reciprocal(F.col("y")), 9).alias("b")).agg(F.round(F.avg(F.greatest("a", "b")), 6).alias("best_mrr"), *[F.sum(c.cast("long")).alias(n) for n, c in (("wins", F.col("a") > F.col("b")), ("losses", F.col("a") < F.col("b")), ("ties", F.col("a") == F.col("b")))]),
     f"WITH {_R}, {paired_sql('robertson', _lower_ws, 'w_')}, {ranks_sql('w_')} SELECT round(avg(greatest(a, b)), 6) AS best_mrr, sum((a > b)::INT)::BIGINT AS wins, sum((a < b)::INT)::BIGINT AS losses, sum((a = b)::INT)::BIGINT AS ties FROM (SELECT round({_RR.format(p='')}, 9) AS a, round({_RR.format(p='w_')}, 9) AS b FROM rk JOIN w_rk USING (query_id))",
 )

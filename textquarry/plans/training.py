@@ -10,26 +10,38 @@ from pyspark.sql import functions as F
 from ..functions import code_ast
 from ..functions import text as tx
 from ..operators import bm25, dedup, dense, mining, ranking
-from .base import HASH, PAIRED, SHINGLES, TOK, WS, docs, index_sql, paired_queries, paired_scores, paired_sql, ranks_sql, table, truth
+from ..sources import store
+from .base import HASH, PAIRED, SHINGLES, TOK, WS, docs, index, index_sql, paired_queries, paired_scores, paired_sql, ranks_sql, signed, table, truth
 from .dense import _ALL, vectors
 from .retrieval import ranks
 
 Q: dict = {}
 _H31 = "(('0x' || substr(md5(s), 1, 8))::BIGINT % 2147483647)"
 _AB = tx.minhash_coefficients(64)
-_SIG = f"""sh AS (SELECT doc_id, {SHINGLES('w')} AS g FROM (SELECT doc_id, {WS('lower(text)')} AS w FROM documents)),
-hs AS (SELECT DISTINCT doc_id, {_H31} AS h FROM (SELECT doc_id, unnest(g) AS s FROM sh)),
-co(i, a, b) AS (VALUES {', '.join(f'({i}, {a}::BIGINT, {b}::BIGINT)' for i, (a, b) in enumerate(_AB))}),
-sg AS (SELECT doc_id, list(m ORDER BY i) AS sig FROM (SELECT doc_id, i, min((a * h + b) % 2147483647) AS m FROM hs, co GROUP BY doc_id, i) GROUP BY doc_id)"""
+
+
+def sig_sql(p: str = "", text: str = "text") -> str:
+    """CTEs sh(doc_id, g) and sg(doc_id, sig), with a prefix p, of an expression over documents."""
+    return f"""{p}sh AS (SELECT doc_id, {SHINGLES('w')} AS g FROM (SELECT doc_id, {WS(f'lower({text})')} AS w FROM documents)),
+{p}hs AS (SELECT DISTINCT doc_id, {_H31} AS h FROM (SELECT doc_id, unnest(g) AS s FROM {p}sh)),
+{p}co(i, a, b) AS (VALUES {', '.join(f'({i}, {a}::BIGINT, {b}::BIGINT)' for i, (a, b) in enumerate(_AB))}),
+{p}sg AS (SELECT doc_id, list(m ORDER BY i) AS sig FROM (SELECT doc_id, i, min((a * h + b) % 2147483647) AS m FROM {p}hs, {p}co GROUP BY doc_id, i) GROUP BY doc_id)"""
+
+
+_SIG = sig_sql()
 _BANDS = "bd AS (SELECT doc_id, k::INT AS band, array_to_string(sig[k * 4 + 1:k * 4 + 4], ',') AS key FROM sg, unnest(range(16)) AS r(k))"
+TRAIN, TEST = "doc_id % 10 < 8", "doc_id % 10 = 9"
 
 
-def signed(s, d, where: str = "true"):
-    return dedup.signatures(docs(s, d).where(where))
+def _joined(sig):
+    return F.array_join(F.transform(sig, lambda x: x.cast("string")), ",")
 
 
-Q["minhash_signature"] = (lambda s, d: signed(s, d).where(F.size("shingles") > 0).select("doc_id", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("sig")), f"WITH {_SIG} SELECT doc_id, array_to_string(sig, ',') AS sig FROM sg")
-Q["lsh_bands"] = (lambda s, d: dedup.bands(signed(s, d).where(F.size("shingles") > 0)), f"WITH {_SIG}, {_BANDS} SELECT * FROM bd")
+Q["minhash_signature"] = (
+    lambda s, d: dedup.signatures(docs(s, d)).where("n_shingles > 0").select("doc_id", _joined("sig").alias("sig")),
+    f"WITH {_SIG} SELECT doc_id, array_to_string(sig, ',') AS sig FROM sg",
+)
+Q["lsh_bands"] = (lambda s, d: dedup.bands(signed(s, d).where("n_shingles > 0")), f"WITH {_SIG}, {_BANDS} SELECT * FROM bd")
 
 
 def _agreement(s, d):
@@ -38,30 +50,48 @@ def _agreement(s, d):
     return sig.join(other, "doc_id").select("doc_id", mining.agreement(F.col("sig"), F.col("other")).cast("long").alias("agree"))
 
 
-Q["minhash_agreement"] = (_agreement, f"WITH {_SIG} SELECT a.doc_id, len(list_filter(list_zip(a.sig, b.sig), lambda p: p[1] = p[2]))::BIGINT AS agree FROM sg a JOIN sg b ON b.doc_id = a.doc_id + 1")
+Q["minhash_agreement"] = (
+    _agreement,
+    f"""WITH {_SIG} SELECT a.doc_id, len(list_filter(list_zip(a.sig, b.sig), lambda p: p[1] = p[2]))::BIGINT AS agree
+FROM sg a JOIN sg b ON b.doc_id = a.doc_id + 1 WHERE len(a.sig) > 0""",
+)
 
 
 def minhash_cross_dedup(s, d, threshold: float = 0.85):
     """Test documents without a train document whose shingles reach the threshold among those sharing a band."""
-    test, train = signed(s, d, "doc_id % 10 = 9"), signed(s, d, "doc_id % 10 < 8")
-    near = dedup.near_pairs(test, train, threshold).select("doc_id").distinct()
-    return docs(s, d).where("doc_id % 10 = 9").select("doc_id").join(near, "doc_id", "left_anti")
+    test, train = (docs(s, d).where(part) for part in (TEST, TRAIN))
+    sig = signed(s, d)
+    near = dedup.near_pairs(sig.where(TEST), sig.where(TRAIN), test, train, threshold).select("doc_id").distinct()
+    return test.select("doc_id").join(near, "doc_id", "left_anti")
 
 
 Q["minhash_cross_dedup"] = (
     minhash_cross_dedup,
-    f"WITH {_SIG}, {_BANDS}, cand AS (SELECT DISTINCT x.doc_id, y.doc_id AS o FROM bd x JOIN bd y USING (band, key) WHERE x.doc_id % 10 = 9 AND y.doc_id % 10 < 8), near AS (SELECT DISTINCT c.doc_id FROM cand c JOIN sh a ON a.doc_id = c.doc_id JOIN sh b ON b.doc_id = c.o WHERE round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) >= 0.85) SELECT doc_id FROM documents WHERE doc_id % 10 = 9 AND doc_id NOT IN (SELECT doc_id FROM near)",
+    f"""WITH {_SIG}, {_BANDS},
+cand AS (SELECT DISTINCT x.doc_id, y.doc_id AS o FROM bd x JOIN bd y USING (band, key) WHERE x.doc_id % 10 = 9 AND y.doc_id % 10 < 8),
+near AS (SELECT DISTINCT c.doc_id FROM cand c JOIN sh a ON a.doc_id = c.doc_id JOIN sh b ON b.doc_id = c.o
+  WHERE round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) >= 0.85)
+SELECT doc_id FROM documents WHERE doc_id % 10 = 9 AND doc_id NOT IN (SELECT doc_id FROM near)""",
 )
 
 
 def nearest(s, d):
-    return dedup.exact_nearest(signed(s, d, "doc_id % 10 = 9").select("doc_id", "shingles"), signed(s, d, "doc_id % 10 < 8").select("doc_id", "shingles"))
+    sh = store.cut(dedup.shingled(docs(s, d)))
+    return dedup.exact_nearest(sh.where(TEST), sh.where(TRAIN))
 
 
-_NN = f"""WITH sh AS (SELECT doc_id, {SHINGLES('w')} AS g FROM (SELECT doc_id, {WS('lower(text)')} AS w FROM documents)), ex AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sh),
-jp AS (SELECT a.doc_id, b.doc_id AS other_id, round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM ex a JOIN ex b USING (s) WHERE a.doc_id % 10 = 9 AND b.doc_id % 10 < 8 GROUP BY a.doc_id, b.doc_id),
-nn AS (SELECT sh.doc_id, coalesce(other_id, -1) AS other_id, coalesce(jaccard, 0) AS jaccard FROM sh LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, other_id) AS r FROM jp) WHERE r = 1) b ON b.doc_id = sh.doc_id WHERE sh.doc_id % 10 = 9)"""
+_NN = f"""WITH sh AS (SELECT doc_id, {SHINGLES('w')} AS g FROM (SELECT doc_id, {WS('lower(text)')} AS w FROM documents)),
+ex AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sh),
+jp AS (SELECT a.doc_id, b.doc_id AS other_id, round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard
+  FROM ex a JOIN ex b USING (s) WHERE a.doc_id % 10 = 9 AND b.doc_id % 10 < 8 GROUP BY a.doc_id, b.doc_id),
+nn AS (SELECT sh.doc_id, coalesce(other_id, -1) AS other_id, coalesce(jaccard, 0) AS jaccard
+  FROM sh LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, other_id) AS r FROM jp) WHERE r = 1) b
+  ON b.doc_id = sh.doc_id WHERE sh.doc_id % 10 = 9)"""
 Q["exact_nn_jaccard"] = (nearest, f"{_NN} SELECT * FROM nn")
+Q["rule_of_three"] = (
+    lambda s, d: nearest(s, d).agg(F.count("*").alias("n"), F.sum((F.col("jaccard") >= 0.85).cast("long")).alias("n_near")).select("n", "n_near", F.round(ranking.upper_bound(F.col("n")), 9).alias("bound")),
+    f"{_NN} SELECT count(*) AS n, sum((jaccard >= 0.85)::INT)::BIGINT AS n_near, round(1 - pow(0.05::DOUBLE, 1.0::DOUBLE / count(*)), 9) AS bound FROM nn",
+)
 
 
 def jaccard_histogram(s, d):
@@ -71,51 +101,66 @@ def jaccard_histogram(s, d):
 
 
 Q["jaccard_histogram"] = (jaccard_histogram, f"{_NN} SELECT b AS bin, count(doc_id) AS n FROM range(10) AS r(b) LEFT JOIN nn ON least(floor(jaccard * 10), 9) = b GROUP BY b")
+ADDED = " added words at the end"
 
 
 def dedup_positive_control(s, d):
     """Copies of train documents of at least 25 shingles with words added: how many of those at 0.85 are found."""
-    train = signed(s, d, "doc_id % 10 < 8").where(F.size("shingles") >= 25)
-    changed = dedup.signatures(docs(s, d).where("doc_id % 10 < 8").select("doc_id", F.concat("text", F.lit(" added words at the end")).alias("text")))
-    pairs = changed.join(train.select("doc_id", F.col("shingles").alias("other")), "doc_id").select("doc_id", tx.jaccard(F.col("shingles"), F.col("other")).alias("j")).where("j >= 0.85")
-    found = dedup.near_pairs(changed, train).select("doc_id").distinct()
+    texts = docs(s, d).where(TRAIN)
+    sig = signed(s, d).where(TRAIN).where("n_shingles >= 25")
+    texts = texts.join(sig.select("doc_id"), "doc_id", "left_semi")
+    changed = texts.select("doc_id", F.concat("text", F.lit(ADDED)).alias("text"))
+    both = store.cut(dedup.shingled(texts)).join(store.cut(dedup.shingled(changed)).withColumnRenamed("shingles", "other"), "doc_id")
+    pairs = both.select("doc_id", tx.jaccard(F.col("shingles"), F.col("other")).alias("j")).where("j >= 0.85")
+    found = dedup.near_pairs(store.cut(dedup.signatures(changed)), sig, changed, texts).select("doc_id").distinct()
     return pairs.join(found.withColumn("hit", F.lit(1)), "doc_id", "left").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
 
 
-Q["dedup_positive_control"] = (dedup_positive_control, None)
+_BOTH = "len(list_intersect(x.g, y.g))::DOUBLE / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))"
+_CUT = "SELECT doc_id, k::INT AS band, array_to_string(sig[k * 4 + 1:k * 4 + 4], ',') AS key FROM {} JOIN big USING (doc_id), unnest(range(16)) AS r(k)"
+Q["dedup_positive_control"] = (
+    dedup_positive_control,
+    f"""WITH {_SIG}, {sig_sql('c', f"(text || '{ADDED}')")}, big AS (SELECT doc_id FROM sh WHERE len(g) >= 25 AND doc_id % 10 < 8),
+bd AS ({_CUT.format('sg')}), cb AS ({_CUT.format('csg')}), met AS (SELECT DISTINCT cb.doc_id, bd.doc_id AS o FROM cb JOIN bd USING (band, key)),
+near AS (SELECT DISTINCT met.doc_id FROM met JOIN csh x ON x.doc_id = met.doc_id JOIN sh y ON y.doc_id = met.o WHERE round({_BOTH}, 6) >= 0.85),
+own AS (SELECT x.doc_id FROM csh x JOIN sh y ON x.doc_id = y.doc_id JOIN big ON big.doc_id = x.doc_id WHERE {_BOTH} >= 0.85)
+SELECT count(*) AS n, count(near.doc_id) AS found FROM own LEFT JOIN near ON near.doc_id = own.doc_id""",
+)
 
 # resampling
 Q["seeded_sample"] = (lambda s, d: docs(s, d).select("doc_id", tx.unit_hash(F.lit(42), F.col("doc_id")).alias("h")).orderBy("h", "doc_id").limit(100).select("doc_id"), f"SELECT doc_id FROM documents ORDER BY {HASH('42', 'doc_id')}, doc_id LIMIT 100")
-TIMES = 200
+TIMES, PAIRED_TIMES = 1000, 2000
 _R = f"{PAIRED}, {paired_sql()}, {ranks_sql()}"
-_DRAW = f"nr AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS row FROM {{src}}), dr AS (SELECT b, floor({HASH('42', 'b', 'j')} * (SELECT count(*) FROM nr))::BIGINT AS row FROM range({TIMES}) AS x(b), (SELECT row AS j FROM nr)), bs AS (SELECT b, {{aggs}} FROM dr JOIN nr USING (row) GROUP BY b)"
+_DRAW = f"nr AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS row FROM {{src}}), dr AS (SELECT b, floor({HASH('42', 'b', 'j')} * (SELECT count(*) FROM nr))::BIGINT AS row FROM range({{times}}) AS x(b), (SELECT row AS j FROM nr)), bs AS (SELECT b, {{aggs}} FROM dr JOIN nr USING (row) GROUP BY b)"
 _EXPR = {"mrr": "CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END"} | {f"recall_{k}": f"CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE ELSE 0 END" for k in (1, 5, 10)} | {f"ndcg_{k}": f"CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END" for k in (1, 5, 10)}
 _CI = "round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.975), 6) AS high"
-_SUITE = f"WITH {_R}, " + _DRAW.format(src="rk", aggs=", ".join(f"avg({e}) AS {m}" for m, e in _EXPR.items()))
+_SUITE = f"WITH {_R}, " + _DRAW.format(times=TIMES, src="rk", aggs=", ".join(f"avg({e}) AS {m}" for m, e in _EXPR.items()))
 Q["bootstrap_mrr_ci"] = (lambda s, d: ranking.bootstrap(ranks(s, d), TIMES).where("metric = 'mrr'").select("low", "high"), f"{_SUITE} SELECT {_CI.format('mrr')} FROM bs")
 Q["bootstrap_suite"] = (lambda s, d: ranking.bootstrap(ranks(s, d), TIMES), f"{_SUITE} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {_CI.format(m)} FROM bs" for m in _EXPR))
 _e = lambda m, c: _EXPR[m].replace("rank", c)
 Q["paired_bootstrap"] = (
-    lambda s, d: ranking.paired_bootstrap(ranks(s, d, "atire"), ranks(s, d, "robertson", tx.lower_words), TIMES),
+    lambda s, d: ranking.paired_bootstrap(ranks(s, d, "atire"), ranks(s, d, "robertson", "words"), PAIRED_TIMES),
     f"WITH {_R.replace('rk AS', 'unused AS')}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', lambda x: WS(f'lower({x})'), 'w_')}, {ranks_sql('w_')}, pairs AS (SELECT query_id, a_rk.rank AS ra, w_rk.rank AS rb FROM a_rk JOIN w_rk USING (query_id)), "
-    + _DRAW.format(src="pairs", aggs=f"round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 9) AS dd")
+    + _DRAW.format(times=PAIRED_TIMES, src="pairs", aggs=f"round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 9) AS dd")
     + f", mn AS (SELECT round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 6) AS delta_rr, round(avg(({_e('recall_1', 'ra')}) - ({_e('recall_1', 'rb')})), 6) AS delta_r1 FROM pairs), ci AS (SELECT {_CI.format('dd')}, least(1.0::DOUBLE, 2 * least(avg((dd <= 0)::INT::DOUBLE), avg((dd >= 0)::INT::DOUBLE))) AS p FROM bs) SELECT *, low >= -0.03 AS equivalent, low > 0 OR high < 0 AS significant FROM mn, ci",
 )
 
 # mining: the skeleton of prose is its source and number of lines
-K, POOL = 7, 100
+K, POOL, SIMPLE = 7, 100, 50
 
 
 def prints(s, d):
-    base = table(s, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("query_text"), F.concat_ws(":", "source", F.size(F.split("text", "\n")).cast("string")).alias("skeleton"))
+    """(doc_id, query_text, skeleton, sig) of all documents."""
+    lines = F.size(F.split("text", "\n")).cast("string")
+    base = table(s, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("query_text"), F.concat_ws(":", "source", lines).alias("skeleton"))
     return base.join(signed(s, d).select("doc_id", "sig"), "doc_id")
 
 
 def _pruned_scores(s, d):
-    index = bm25.build(docs(s, d), "atire")
+    own = index(s, d, "atire")
     q = paired_queries(s, d).select("query_id", tx.identifier_tokens(F.col("query")).alias("tokens"))
-    kept = bm25.prune_terms(q, index.vocab).groupBy("query_id").agg(F.collect_list("term").alias("tokens"))
-    return bm25.scores(kept, index)
+    kept = bm25.prune_terms(q, own.vocab).groupBy("query_id").agg(F.collect_list("term").alias("tokens"))
+    return bm25.scores(kept, own)
 
 
 def _truth(s, d):
@@ -126,46 +171,82 @@ def judged(s, d):
     return mining.judged(_pruned_scores(s, d), _truth(s, d), prints(s, d), POOL)
 
 
-def _fillers(s, d):
-    return docs(s, d).where("doc_id < 200").select("doc_id")
-
-
 _JUDGED = f"""WITH {PAIRED}, {index_sql('atire')}, {_SIG},
-pt AS (SELECT query_id, term, 1 AS qtf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, term) AS place FROM (SELECT DISTINCT query_id, unnest({{tok}}) AS term FROM qs) JOIN vocab USING (term) WHERE idf >= 1) WHERE place <= 8),
-sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score FROM tf JOIN vocab USING (term) JOIN pt USING (term), st GROUP BY query_id, doc_id),
+pt AS (SELECT query_id, term, 1 AS qtf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, term) AS place
+  FROM (SELECT DISTINCT query_id, unnest({TOK("query")}) AS term FROM qs) JOIN vocab USING (term) WHERE idf >= 1) WHERE place <= 8),
+sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
+  FROM tf JOIN vocab USING (term) JOIN pt USING (term), st GROUP BY query_id, doc_id),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM sc) WHERE place <= {POOL}),
-pr AS (SELECT d.doc_id, split_part(text, chr(10), 1) AS q, source || ':' || len(string_split(text, chr(10)))::VARCHAR AS k, coalesce(sig, list_transform(range(64), lambda i: 0)) AS sig FROM documents d LEFT JOIN sg USING (doc_id)),
-jd AS (SELECT p.query_id, p.doc_id, p.place, CASE WHEN p.doc_id = p.query_id THEN 'self' WHEN c.q = t.q THEN 'query_text' WHEN c.k = t.k THEN 'skeleton' WHEN len(list_filter(list_zip(c.sig, t.sig), lambda x: x[1] = x[2])) >= 45 THEN 'signature' END AS tier FROM pool p JOIN pr c ON c.doc_id = p.doc_id JOIN pr t ON t.doc_id = p.query_id)"""
-_JUDGED = _JUDGED.replace("{tok}", TOK("query"))
-_NEG = f"ng AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY src, key, doc_id) AS neg_pos, doc_id FROM (SELECT query_id, doc_id, 0 AS src, place::DOUBLE AS key FROM jd WHERE tier IS NULL UNION ALL SELECT q.query_id, f.doc_id, 1, {HASH('42', 'q.query_id', 'f.doc_id')} FROM qs q, documents f WHERE f.doc_id < 200 AND f.doc_id != q.query_id AND NOT EXISTS (SELECT 1 FROM jd WHERE jd.query_id = q.query_id AND jd.doc_id = f.doc_id)))"
+pr AS (SELECT d.doc_id, split_part(text, chr(10), 1) AS q, source || ':' || len(string_split(text, chr(10)))::VARCHAR AS k,
+  coalesce(sig, list_transform(range(64), lambda i: 0)) AS sig FROM documents d LEFT JOIN sg USING (doc_id))"""
+_TIER = """CASE WHEN c.doc_id = t.doc_id THEN 'self' WHEN c.q = t.q THEN 'query_text' WHEN c.k = t.k THEN 'skeleton'
+  WHEN len(list_filter(list_zip(c.sig, t.sig), lambda x: x[1] = x[2])) >= 45 THEN 'signature' END"""
+_JUDGED += f""",
+jd AS (SELECT p.query_id, p.doc_id, p.place, {_TIER} AS tier FROM pool p JOIN pr c ON c.doc_id = p.doc_id JOIN pr t ON t.doc_id = p.query_id)"""
+#: Draws of a fill that the SQL looks at; the rounds of the operator go on until none is missing.
+_SQL_DRAWS = 400
+
+
+def _filled(kept: str, k: int, where: str) -> str:
+    """CTEs up to ng(query_id, neg_pos, doc_id), from kept(query_id, doc_id, place)."""
+    return f"""kp AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS neg_pos FROM ({kept})),
+hv AS (SELECT qs.query_id, count(kp.doc_id) AS have FROM qs LEFT JOIN kp ON kp.query_id = qs.query_id AND neg_pos <= {k} GROUP BY qs.query_id HAVING count(kp.doc_id) < {k}),
+nd AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+dw AS (SELECT query_id, have, j, floor({HASH('42', 'query_id', 'j')} * (SELECT count(*) FROM documents))::BIGINT AS pos FROM hv, range({_SQL_DRAWS}) AS r(j)),
+fl AS (SELECT dw.query_id, any_value(have) AS have, nd.doc_id, min(j) AS j FROM dw JOIN nd USING (pos) {where}
+  GROUP BY dw.query_id, nd.doc_id HAVING NOT EXISTS (SELECT 1 FROM kp WHERE kp.query_id = dw.query_id AND kp.doc_id = nd.doc_id AND neg_pos <= {k})),
+ng AS (SELECT query_id, neg_pos, doc_id FROM kp WHERE neg_pos <= {k}
+  UNION ALL SELECT query_id, have + row_number() OVER (PARTITION BY query_id ORDER BY j), doc_id FROM fl QUALIFY have + row_number() OVER (PARTITION BY query_id ORDER BY j) <= {k})"""
+
+
+_NEG = _filled("SELECT query_id, doc_id, place FROM jd WHERE tier IS NULL", K, f"JOIN pr c ON c.doc_id = nd.doc_id JOIN pr t ON t.doc_id = dw.query_id WHERE {_TIER} IS NULL")
 
 
 def mine(s, d):
-    return mining.negatives(judged(s, d), _truth(s, d), _fillers(s, d), K)
+    """The BM25 miner: 7 of the pool of 100 that no tier excludes, else fillers from the whole corpus."""
+    made = mining.negatives(judged(s, d), _truth(s, d), prints(s, d), K)
+    return mining.checked(store.cut(made), _truth(s, d), docs(s, d))
+
+
+Q["mine_bm25_negatives"] = (mine, f"{_JUDGED}, {_NEG} SELECT * FROM ng")
+Q["mining_drop_counts"] = (
+    lambda s, d: judged(s, d).groupBy(F.coalesce("tier", F.lit("kept")).alias("tier")).agg(F.count("*").alias("n")),
+    f"{_JUDGED} SELECT coalesce(tier, 'kept') AS tier, count(*) AS n FROM jd GROUP BY 1",
+)
+
+
+def mine_simple(s, d):
+    """The 50 best by BM25 but the own document, then fillers that need only be others."""
+    ranked = bm25.top_k(paired_scores(s, d).where("doc_id != query_id"), SIMPLE).select("query_id", "doc_id", F.col("rank").alias("place"))
+    return mining.filled(ranked, _truth(s, d), prints(s, d), SIMPLE, judge=False)
 
 
-Q["mine_bm25_negatives"] = (mine, f"{_JUDGED}, {_NEG} SELECT * FROM ng WHERE neg_pos <= {K}")
-Q["mining_drop_counts"] = (lambda s, d: judged(s, d).groupBy(F.coalesce("tier", F.lit("kept")).alias("tier")).agg(F.count("*").alias("n")), f"{_JUDGED} SELECT coalesce(tier, 'kept') AS tier, count(*) AS n FROM jd GROUP BY 1")
 Q["mine_simple_negatives"] = (
-    lambda s, d: bm25.top_k(paired_scores(s, d).where("doc_id != query_id"), 50).select("query_id", F.col("rank").alias("neg_pos"), "doc_id"),
-    f"WITH {_R} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS neg_pos, doc_id FROM sc WHERE doc_id != query_id) WHERE neg_pos <= 50",
+    mine_simple,
+    f"WITH {_R}, "
+    + _filled("SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM sc WHERE doc_id != query_id", SIMPLE, "WHERE nd.doc_id != dw.query_id")
+    + " SELECT * FROM ng",
 )
 
 
 def mine_dense(s, d):
-    """The 7 best of all vectors of another label (so never the own one)."""
+    """The 7 best of all vectors of another label (so never the own one), checked."""
     v = vectors(s, d)
     own = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "v", "label")
-    return bm25.top_k(dense.scores(own, v, keep=K, other_label=True), K).select("query_id", F.col("rank").alias("neg_pos"), "doc_id")
+    made = bm25.top_k(dense.scores(own, v, keep=K, other_label=True), K).select("query_id", F.col("rank").alias("neg_pos"), "doc_id")
+    return mining.checked(store.cut(made), own.select("query_id", F.col("query_id").alias("target")), v)
 
 
 Q["mine_dense_negatives"] = (
     mine_dense,
-    f"WITH a AS ({_ALL.format(6)}), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM a) SELECT query_id, neg_pos, doc_id FROM (SELECT p.query_id, p.doc_id, row_number() OVER (PARTITION BY p.query_id ORDER BY score DESC, p.doc_id) AS neg_pos FROM p JOIN embeddings x ON x.vec_id = p.doc_id JOIN embeddings y ON y.vec_id = p.query_id WHERE r <= 50 AND p.doc_id != p.query_id AND x.label != y.label) WHERE neg_pos <= {K}",
+    f"""WITH a AS ({_ALL.format(6)}) SELECT query_id, neg_pos, doc_id FROM (
+SELECT a.query_id, a.doc_id, row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, a.doc_id) AS neg_pos
+FROM a JOIN embeddings x ON x.vec_id = a.doc_id JOIN embeddings y ON y.vec_id = a.query_id WHERE x.label != y.label) WHERE neg_pos <= {K}""",
 )
 Q["gather_negatives"] = (
-    lambda s, d: mining.gather(mine(s, d), docs(s, d)).select("query_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.md5(F.array_join("texts", "|").cast("binary")).alias("digest")),
-    f"{_JUDGED}, {_NEG} SELECT query_id, string_agg(ng.doc_id::VARCHAR, ',' ORDER BY neg_pos) AS ids, md5(string_agg(text, '|' ORDER BY neg_pos)) AS digest FROM ng JOIN documents d ON d.doc_id = ng.doc_id WHERE neg_pos <= {K} GROUP BY query_id",
+    lambda s, d: mining.gather(mine(s, d), docs(s, d)).select("query_id", _joined("ids").alias("ids"), F.md5(F.array_join("texts", "|").cast("binary")).alias("digest")),
+    f"""{_JUDGED}, {_NEG} SELECT query_id, string_agg(ng.doc_id::VARCHAR, ',' ORDER BY neg_pos) AS ids, md5(string_agg(text, '|' ORDER BY neg_pos)) AS digest
+FROM ng JOIN documents d ON d.doc_id = ng.doc_id GROUP BY query_id""",
 )
 
 # functions over source code: literal snippets, since the tables hold prose
