@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import code_ast
 from textquarry.functions import text as tx
-from textquarry.operators import bm25, dedup, fusion, mining, ranking
+from textquarry.operators import bm25, dedup, fusion, mining, numbering, ranking
 from textquarry.sources import store
 
 
@@ -151,7 +151,7 @@ def test_fillers_obey_the_tiers(spark):
 
 def test_numbers_follow_the_order(spark):
     df = spark.range(0, 5000, 7).repartition(5)
-    assert sorted((r.id, r.at) for r in mining.numbered(df, "id", "at").collect()) == [(x, i) for i, x in enumerate(range(0, 5000, 7))]
+    assert sorted((r.id, r.at) for r in numbering.numbered(df, "id", "at").collect()) == [(x, i) for i, x in enumerate(range(0, 5000, 7))]
 
 
 def test_rank_options(spark):

@@ -38,6 +38,12 @@ def lower_words(text: Column) -> Column:
     return space_words(F.lower(text))
 
 
+def letter_words(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores of any script, longer than one."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda t: F.length(t) > 1)
+
+
 def content_tokens(tokens: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Tokens of more than one letter that are no stop words."""
     return F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*stopwords))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,16 +36,23 @@ class Index:
         Robertson's. Raises FileNotFoundError where no index was written."""
         if not store.finished(spark, f"{path}/stats"):
             raise FileNotFoundError(f"no index in {path}: write one first")
-        stats = spark.read.parquet(f"{path}/stats").first()
+        stats = Stats(*spark.read.parquet(f"{path}/stats").select("n", "avgdl", "mean_raw").first())
         vocab = spark.read.parquet(f"{path}/vocab")
-        return Index(spark.read.parquet(f"{path}/postings"), vocab.withColumn("idf", _idf(stats, method)), stats.n, stats.avgdl)
+        return Index(spark.read.parquet(f"{path}/postings"), vocab.withColumn("idf", idf(stats, method)), stats.n, stats.avgdl)
 
 
-def _idf(stats, method: str) -> Column:
+class Stats(NamedTuple):
+    n: int
+    avgdl: float
+    mean_raw: float | None
+
+
+def idf(stats: Stats, method: str) -> Column:
+    """The IDF of a column df."""
     n, df = F.lit(stats.n), F.col("df")
     if method not in ("atire", "rank_bm25"):
         return robertson(n, df)
-    return F.when(raw_idf(n, df) < 0, F.lit(0.25 * stats.mean_raw)).otherwise(raw_idf(n, df))
+    return F.when(raw_idf(n, df) < 0, F.lit(0.25 * (stats.mean_raw or 0.0))).otherwise(raw_idf(n, df))
 
 
 def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens) -> DataFrame:

@@ -18,7 +18,7 @@ BLOCK_FLOATS = 4_000_000
 def scores(queries: DataFrame, corpus: DataFrame, keep: int | None = None, other_label: bool = False) -> DataFrame:
     """(query_id, doc_id, score) of queries (query_id, v) with corpus (doc_id, v), unit vectors of one length.
 
-    Queries are read in blocks of bounded size; each is multiplied with every batch of the corpus. With `keep`, a
+    Queries are read in blocks of bounded size; each is broadcast and multiplied with every batch of the corpus. With `keep`, a
     batch only returns each query's `keep` best, so that the exact top k needs no all-pairs result. With `other_label`,
     both have an integer label, and only pairs of different labels count (null differs from none).
     """
@@ -39,7 +39,10 @@ def scores(queries: DataFrame, corpus: DataFrame, keep: int | None = None, other
         matrix = np.array([r.v for r in block], np.float64).reshape(len(block), -1)
         own = np.array([r.label for r in block], np.int64) if other_label else None
 
-        def multiply(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, own=own) -> Iterator[pa.RecordBatch]:
+        shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix, own))
+
+        def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix, own = shared.value
             for batch in batches:
                 if not batch.num_rows or not ids.size:
                     continue
@@ -49,10 +52,16 @@ def scores(queries: DataFrame, corpus: DataFrame, keep: int | None = None, other
                 if own is not None:
                     s[own[:, None] == np.asarray(batch.column(2))[None, :]] = -np.inf
                 if keep is not None and keep < len(docs):
-                    order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :keep]
+                    # all that reach the score in place `keep`, ties included: the exact cut is made by the caller
+                    least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
+                    q, at = np.nonzero(s >= least)
+                    if q.size > 2 * keep * len(ids):  # many ties: the first documents of them do
+                        order = np.lexsort((docs[at], -s[q, at], q))
+                        q, at = q[order], at[order]
+                        place = np.arange(q.size) - np.searchsorted(q, q)
+                        q, at = q[place < keep], at[place < keep]
                 else:
-                    order = np.broadcast_to(np.arange(len(docs)), s.shape)
-                q, at = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
+                    q, at = (x.ravel() for x in np.indices(s.shape))
                 if own is not None:
                     other = s[q, at] > -np.inf
                     q, at = q[other], at[other]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unit_hash
 from ..sources import store
+from .numbering import numbered
 
 #: Draws of the first round of a fill; each further round has eight times as many.
 DRAWS = 32
@@ -45,19 +46,6 @@ def judged(scored: DataFrame, truth: DataFrame, prints: DataFrame, pool: int, le
     return joined.select("query_id", "doc_id", "score", "place", tier(least_agreement).alias("tier"))
 
 
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with the place of each row, from 0, in the order of a unique key: range partitions are counted, and each adds to
-    its own numbers what stands before it."""
-    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
-    parts = store.cut(parts)
-    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    # as many rows as partitions
-    starts = F.broadcast(counts.select("part", before.alias("before")))
-    return parts.withColumn("inside", inside).join(starts, "part").withColumn(name, (F.col("inside") + F.col("before")).cast("long")).drop("part", "inside", "before")
-
-
 def fill(short: DataFrame, taken: DataFrame, prints: DataFrame, seed: int = 42, judge: bool = True) -> DataFrame:
     """(query_id, doc_id, draw) of fillers for short (query_id, target, missing), from all documents of prints: the j-th
     draw of a query is the document at place floor(hash(seed, query, j) * n). As a candidate, a filler must pass the tiers

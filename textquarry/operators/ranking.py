@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unit_hash
+from ..sources import store
+from .numbering import numbered
 
 
 def harmonic(spark, n: int) -> DataFrame:
-    """(n, h): harmonic numbers from 0."""
+    """(n, h): harmonic numbers from 0; a window over n + 1 numbers."""
     return spark.range(n + 1).select(F.col("id").alias("n"), F.coalesce(F.sum(F.when(F.col("id") > 0, 1.0 / F.col("id"))).over(Window.orderBy("id")), F.lit(0.0)).alias("h"))
 
 
@@ -84,19 +87,25 @@ def metrics(ranks: DataFrame, by: list[str] | None = None, ks: tuple[int, ...] =
 
 
 def resamples(ranks: DataFrame, times: int, seed: int = 42) -> DataFrame:
-    """ranks with replacement, `times` times: the j-th draw of sample b is the row number floor(n * hash(seed, b, j))."""
-    numbered = ranks.withColumn("row", F.row_number().over(Window.orderBy("query_id")) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
+    """ranks with replacement, `times` times, as (b, times a row was drawn, columns of ranks): the j-th draw of sample b is
+    the row at place floor(n * hash(seed, b, j)) in the order of query_id. Draws are counted before they meet the rows."""
+    rows = store.cut(numbered(ranks, "query_id", "row"))
+    n = rows.count()
     spark = ranks.sparkSession
-    draws = spark.range(times).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).where("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    draws = draws.select("b", F.floor(unit_hash(F.lit(seed), F.col("b"), F.col("j")) * F.col("n")).cast("int").alias("row"))
-    return draws.join(numbered, "row")
+    draws = store.spread(spark.range(times).select(F.col("id").alias("b"))).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))).alias("j"))
+    place = F.floor(unit_hash(F.lit(seed), F.col("b"), F.col("j")) * F.lit(n)).cast("long")
+    return draws.select("b", place.alias("row")).groupBy("b", "row").agg(F.count("*").alias("times")).join(rows, "row")
+
+
+def mean_of(column: Column) -> Column:
+    """Mean of a column over the rows of a sample, each as often as it was drawn."""
+    return F.sum(column * F.col("times")) / F.sum("times")
 
 
 def bootstrap(ranks: DataFrame, times: int = 1000, level: float = 0.95, seed: int = 42, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """(metric, low, high): percentile intervals of all metrics, from one set of samples; (0, 0) without ranks."""
     names = [name for name, _ in suite(F.col("rank"), ks)]
-    means = resamples(ranks, times, seed).groupBy("b").agg(*[F.avg(c).alias(name) for name, c in suite(F.col("rank"), ks)])
+    means = resamples(ranks, times, seed).groupBy("b").agg(*[mean_of(c).alias(name) for name, c in suite(F.col("rank"), ks)])
     long = means.unpivot(["b"], names, "metric", "value")
     edge = (1 - level) / 2
     found = long.groupBy("metric").agg(F.percentile("value", F.lit(edge)).alias("low"), F.percentile("value", F.lit(1 - edge)).alias("high"))
@@ -104,12 +113,24 @@ def bootstrap(ranks: DataFrame, times: int = 1000, level: float = 0.95, seed: in
     return every.join(found, "metric", "left").select("metric", F.round(F.coalesce("low", F.lit(0.0)), 6).alias("low"), F.round(F.coalesce("high", F.lit(0.0)), 6).alias("high"))
 
 
+def bootstrap_metric(ranks: DataFrame, metric_fn, times: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(low, high): percentile interval of any function from an array of ranks (NaN: unretrieved) to a number, over the
+    same samples as bootstrap(); (0, 0) without ranks."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"value": [float(metric_fn(frame["rank"].to_numpy(dtype=float)))]})
+
+    values = resamples(ranks, times, seed).select("b", F.explode(F.array_repeat("rank", F.col("times").cast("int"))).alias("rank")).groupBy("b").applyInPandas(one, "value double")
+    edge = (1 - level) / 2
+    return values.agg(F.round(F.coalesce(F.percentile("value", F.lit(edge)), F.lit(0.0)), 6).alias("low"), F.round(F.coalesce(F.percentile("value", F.lit(1 - edge)), F.lit(0.0)), 6).alias("high"))
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, times: int = 2000, level: float = 0.95, seed: int = 42, margin: float = 0.03) -> DataFrame:
     """One row: mean difference of reciprocal rank and of recall@1 (a minus b), interval, two-sided p, and decisions."""
     both = a.select("query_id", F.col("rank").alias("ra")).join(b.select("query_id", F.col("rank").alias("rb")), "query_id")
     drr, dr1 = reciprocal(F.col("ra")) - reciprocal(F.col("rb")), recall(F.col("ra"), 1) - recall(F.col("rb"), 1)
     mean = both.agg(F.round(F.avg(drr), 6).alias("delta_rr"), F.round(F.avg(dr1), 6).alias("delta_r1"))
     edge = (1 - level) / 2
-    means = resamples(both, times, seed).groupBy("b").agg(F.round(F.avg(drr), 9).alias("d"))
+    means = resamples(both, times, seed).groupBy("b").agg(F.round(mean_of(drr), 9).alias("d"))
     ci = means.agg(F.round(F.percentile("d", F.lit(edge)), 6).alias("low"), F.round(F.percentile("d", F.lit(1 - edge)), 6).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))).alias("p"))
     return mean.crossJoin(ci).withColumns({"equivalent": F.col("low") >= -margin, "significant": (F.col("low") > 0) | (F.col("high") < 0)})

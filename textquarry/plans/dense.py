@@ -41,23 +41,63 @@ def batches(s, d, size: int = BATCH):
     return made.withColumn("full", full).where("full").drop("full", "i")
 
 
-def similarities(s, d, temperature: float = 0.07):
-    """All pairs inside each batch, with the mask of false negatives (same label, not the own pair)."""
-    b = batches(s, d)
+def in_batch(b, temperature: float = 0.07):
+    """All pairs inside each batch of b (batch, query_id, label, q, c), with the mask of false negatives: same label, not
+    the own pair. The pairs of a batch are its size squared, whatever the table's size."""
+    if temperature <= 0:
+        raise ValueError("temperature must be above 0")
     other = b.select("batch", F.col("query_id").alias("other_id"), F.col("label").alias("other_label"), F.col("c").alias("oc"))
     sim = b.join(other, "batch").select("batch", "query_id", "other_id", (F.col("label") == F.col("other_label")).alias("same"), (vx.dot(F.col("q"), F.col("oc")) / temperature).alias("raw"))
     masked = F.col("same") & (F.col("query_id") != F.col("other_id"))
     return sim.select("batch", "query_id", "other_id", masked.alias("masked"), F.when(masked, F.lit(-1e4)).otherwise(F.col("raw")).alias("sim"))
 
 
+def similarities(s, d, temperature: float = 0.07):
+    return in_batch(batches(s, d), temperature)
+
+
+def cross_entropy(sim, side: str, extra=None):
+    """(batch, loss) of each row of a side: log-sum-exp, taken from the largest, of its similarities (and of those of
+    `extra` (batch, side, sim), which hold no target) less the similarity of its own pair."""
+    rows = sim.select("batch", F.col(side).alias("a"), "sim", (F.col("query_id") == F.col("other_id")).alias("own"))
+    if extra is not None:
+        rows = rows.unionByName(extra.select("batch", F.col(side).alias("a"), "sim", F.lit(False).alias("own")))
+    top = rows.groupBy("batch", "a").agg(F.max("sim").alias("m"))
+    spread = rows.join(top, ["batch", "a"]).groupBy("batch", "a", "m")
+    loss = F.log(F.sum(F.exp(F.col("sim") - F.col("m")))) + F.col("m") - F.sum(F.when(F.col("own"), F.col("sim")).otherwise(0.0))
+    return spread.agg(loss.alias("loss")).select("batch", "loss")
+
+
+def symmetric_loss(sim, extra=None):
+    """Mean of both directions' cross-entropy, by batch; hard negatives extend the queries' direction only."""
+    both = cross_entropy(sim, "query_id", extra).unionAll(cross_entropy(sim, "other_id"))
+    return both.groupBy("batch").agg(F.round(F.avg("loss"), 5).alias("loss"))
+
+
 def infonce(s, d):
-    """Mean of both directions' cross-entropy, by batch, with the log-sum-exp taken from the largest similarity."""
-    sim = similarities(s, d)
-    out = []
-    for side in ("query_id", "other_id"):
-        top = sim.withColumn("m", F.max("sim").over(Window.partitionBy("batch", side)))
-        out.append(top.groupBy("batch", side).agg((F.log(F.sum(F.exp(F.col("sim") - F.col("m")))) + F.max("m") - F.sum(F.when(F.col("query_id") == F.col("other_id"), F.col("sim")).otherwise(0.0))).alias("loss")).select("batch", "loss"))
-    return out[0].unionAll(out[1]).groupBy("batch").agg(F.round(F.avg("loss"), 5).alias("loss"))
+    return symmetric_loss(similarities(s, d))
+
+
+HARD = 3
+
+
+def hard_negatives(b, k: int = HARD):
+    """(batch, query_id, n): k vectors for each query of a batch: those of the next k pairs in it, in a ring by id."""
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("query_id")) - 1
+    size = F.count("*").over(Window.partitionBy("batch"))
+    placed = b.select("batch", "query_id", "q", "c", place.alias("i"), size.alias("size"))
+    wanted = placed.select("batch", "query_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: (F.col("i") + j) % F.col("size"))).alias("i"))
+    return wanted.join(placed.select("batch", "i", F.col("q").alias("n")), ["batch", "i"]).select("batch", "query_id", "n")
+
+
+def hard_loss(s, d, shared: bool = False, temperature: float = 0.07):
+    """InfoNCE with hard negatives: each query's own, or (shared) those of all queries of its batch."""
+    b = batches(s, d)
+    hard = hard_negatives(b)
+    asks = b.select("batch", "query_id", "q")
+    met = asks.join(hard.drop("query_id"), "batch") if shared else asks.join(hard, ["batch", "query_id"])
+    extra = met.select("batch", "query_id", (vx.dot(F.col("q"), F.col("n")) / temperature).alias("sim"))
+    return symmetric_loss(in_batch(b, temperature), extra)
 
 
 def inbatch_accuracy(s, d):
@@ -71,6 +111,14 @@ _B = f"p AS (SELECT q.vec_id AS query_id, q.label, q.embedding AS q, c.embedding
 _S = f"WITH {_B}, raw AS (SELECT x.batch, x.query_id, y.query_id AS other_id, x.label = y.label AND x.query_id != y.query_id AS masked, {DOT('x.q', 'y.c')} / 0.07::DOUBLE AS r FROM b x JOIN b y ON x.batch = y.batch), s AS (SELECT batch, query_id, other_id, masked, CASE WHEN masked THEN -10000.0::DOUBLE ELSE r END AS sim FROM raw)"
 _LOSS = "SELECT batch, ln(sum(exp(sim - m))) + max(m) - sum(CASE WHEN query_id = other_id THEN sim ELSE 0 END) AS loss FROM (SELECT *, max(sim) OVER (PARTITION BY batch, {0}) AS m FROM s) GROUP BY batch, {0}"
 Q["infonce_loss"] = (infonce, f"{_S} SELECT batch, round(avg(loss), 5) AS loss FROM ({_LOSS.format('query_id')} UNION ALL {_LOSS.format('other_id')}) GROUP BY batch")
+_HARD = f"""{_S}, pl AS (SELECT batch, query_id, q, row_number() OVER (PARTITION BY batch ORDER BY query_id) - 1 AS i FROM b),
+hn AS (SELECT x.batch, x.query_id, y.q AS n FROM pl x, range(1, {HARD + 1}) AS r(j), pl y WHERE y.batch = x.batch AND y.i = (x.i + j) % {BATCH}),
+ex AS (SELECT b.batch, b.query_id, {DOT('b.q', 'hn.n')} / 0.07::DOUBLE AS sim FROM b JOIN hn ON hn.batch = b.batch {{}}),
+al AS (SELECT batch, query_id, sim, query_id = other_id AS own FROM s UNION ALL SELECT batch, query_id, sim, false FROM ex),
+lf AS (SELECT batch, ln(sum(exp(sim - m))) + max(m) - sum(CASE WHEN own THEN sim ELSE 0 END) AS loss FROM (SELECT *, max(sim) OVER (PARTITION BY batch, query_id) AS m FROM al) GROUP BY batch, query_id)
+SELECT batch, round(avg(loss), 5) AS loss FROM (SELECT * FROM lf UNION ALL {_LOSS.format('other_id')}) GROUP BY batch"""
+Q["hard_negative_loss"] = (hard_loss, _HARD.format("AND hn.query_id = b.query_id"))
+Q["shared_hard_negative_loss"] = (lambda s, d: hard_loss(s, d, shared=True), _HARD.format(""))
 Q["inbatch_accuracy"] = (
     inbatch_accuracy,
     f"{_S}, f AS (SELECT batch, query_id AS a, other_id AS b, row_number() OVER (PARTITION BY batch, query_id ORDER BY round(sim, 6) DESC, other_id) AS r FROM s), g AS (SELECT batch, other_id AS a, query_id AS b, row_number() OVER (PARTITION BY batch, other_id ORDER BY round(sim, 6) DESC, query_id) AS r FROM s) SELECT x.batch, forward, backward FROM (SELECT batch, round(avg((a = b)::INT::DOUBLE), 6) AS forward FROM f WHERE r = 1 GROUP BY batch) x JOIN (SELECT batch, round(avg((a = b)::INT::DOUBLE), 6) AS backward FROM g WHERE r = 1 GROUP BY batch) y ON x.batch = y.batch",
@@ -79,18 +127,59 @@ Q["false_negative_mask"] = (lambda s, d: similarities(s, d).where("masked").sele
 Q["batch_assign"] = (lambda s, d: batches(s, d).select("batch", "query_id"), f"WITH {_B} SELECT batch, query_id FROM b")
 
 
+def _pca(s, d, k: int = 2):
+    v = vectors(s, d).where("v is not null").select("doc_id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("v"))
+    return PCA(k=k, inputCol="v", outputCol="p").fit(v), v
+
+
 def pca_2d(s, d):
-    """Centred coordinates on the first two principal components (signs are the solver's)."""
-    v = vectors(s, d).select("doc_id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("v"))
-    model = PCA(k=2, inputCol="v", outputCol="p").fit(v)
+    """Centred coordinates on the first two principal components; each component's largest loading is positive."""
+    model, v = _pca(s, d)
+    loads = model.pc.toArray()
+    sign = [1.0 if column[abs(column).argmax()] > 0 else -1.0 for column in loads.T]
     made = model.transform(v).select("doc_id", vector_to_array("p").alias("p"))
     mean = made.agg(F.avg(F.col("p")[0]).alias("mx"), F.avg(F.col("p")[1]).alias("my"))
-    return made.crossJoin(F.broadcast(mean)).select("doc_id", (F.col("p")[0] - F.col("mx")).alias("x"), (F.col("p")[1] - F.col("my")).alias("y"))
+    return made.crossJoin(F.broadcast(mean)).select("doc_id", (sign[0] * (F.col("p")[0] - F.col("mx"))).alias("x"), (sign[1] * (F.col("p")[1] - F.col("my"))).alias("y"))
 
 
 Q["pca_2d"] = (pca_2d, None)
 
 
+def pca_variance(s, d, k: int = 2):
+    """(component, share) of the variance that the first k principal components explain."""
+    shares = [float(x) for x in _pca(s, d, k)[0].explainedVariance.toArray()]
+    return s.createDataFrame(list(enumerate(shares, 1)), "component long, share double")
+
+
+Q["pca_variance"] = (pca_variance, None)
+POSITIONS = 8
+
+
+def masked(s, d, size: int = POSITIONS):
+    """(label, states, mask): for each label a sequence of the vectors of its first `size` ids, by id, filled up with zero
+    vectors that the mask tells. Only ids and vectors up to that place are gathered."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("doc_id"))
+    first = vectors(s, d).withColumn("i", place).where(F.col("i") <= size)
+    rows = first.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("r"))
+    mask = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i <= F.size("r")).cast("int"))
+    zero = F.transform(F.get("r", F.lit(0))["v"], lambda x: F.lit(0.0).cast("float"))
+    return rows.select("label", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.get("r.v", i), zero)).alias("states"), mask.alias("mask"))
+
+
+def _pooled(df, v):
+    return df.select("label", F.posexplode(v).alias("dim", "x")).select("label", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+Q["masked_mean_pool"] = (
+    lambda s, d: _pooled(masked(s, d), vx.masked_mean(F.col("states"), F.col("mask"))),
+    f"SELECT label, i::BIGINT - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS x FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place <= {POSITIONS} GROUP BY label, i",
+)
+Q["first_position_pool"] = (
+    lambda s, d: _pooled(masked(s, d), F.transform(vx.first_position(F.col("states")), lambda x: x.cast("double"))),
+    "SELECT label, i::BIGINT - 1 AS dim, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place = 1",
+)
+
+
 def lr_schedule(s, d, peak: float = 5e-4, warmup: int = 100, total: int = 1000):
     step = F.col("id")
     return s.range(total + 1).select(step.alias("step"), F.round(F.when(step < warmup, peak * step / warmup).otherwise(peak * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (step - warmup) / (total - warmup)))), 9).alias("rate"))

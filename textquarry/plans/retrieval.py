@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import bm25, fusion, mining, ranking
+from ..operators import bm25, fusion, numbering, ranking
 from ..sources import store
 from .base import BENCH, CONTENT, METRICS, PAIRED, SQL_BODY, TOK, WS, bench_queries, body, docs, index, index_sql, paired_queries, paired_scores, paired_sql, ranks_sql, scores_sql, table, truth
 
@@ -193,7 +193,7 @@ def overlap_pairs(s, d):
     and those of another query's document: the next one by id, the first for the last. Numbers come from the ids'
     order in range partitions, so nothing is gathered."""
     base = docs(s, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), tx.content_tokens(tx.identifier_tokens(F.substring_index("text", "\n", 1))).alias("q"), tx.identifier_tokens(body()).alias("body"))
-    own = store.cut(mining.numbered(base, "query_id", "i"))
+    own = store.cut(numbering.numbered(base, "query_id", "i"))
     n = own.count()
     other = own.select(F.col("i").alias("j"), F.col("body").alias("null_body"))
     return own.withColumn("j", (F.col("i") + 1) % F.lit(max(n, 1))).join(other, "j").select("query_id", "q", "body", "null_body")

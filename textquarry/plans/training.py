@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-
-import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import code_ast
+from ..functions import bpe, code_ast
 from ..functions import text as tx
 from ..operators import bm25, dedup, dense, mining, ranking
 from ..sources import store
@@ -253,6 +250,7 @@ FROM ng JOIN documents d ON d.doc_id = ng.doc_id GROUP BY query_id""",
 SNIPPETS = (
     ("plain", 'def f(a):\n    """Adds one."""\n    return a + 1\n'),
     ("method", '    def g(self, x):\n        """Doc\n        string."""\n        return x * 2\n'),
+    ("nested", 'def f():\n    """a"""\n    def g():\n        """b"""\n        return 1\n    return g\n'),
     ("one_line", 'def h(x): "doc"; return x\n'),
     ("stub", 'def s():\n    """only doc"""\n'),
     ("none", "def n(x):\n    return [y for y in x if y > 3]\n"),
@@ -266,25 +264,29 @@ def snippets(s):
     return s.createDataFrame(SNIPPETS, "name string, code string")
 
 
-Q["ast_strip"] = (lambda s, d: snippets(s).withColumn("r", code_ast.strip_docstrings("code")).select("name", "r.stripped", "r.status"), None)
-Q["ast_skeleton"] = (lambda s, d: snippets(s).select("name", code_ast.skeleton_hashes("code").alias("skeleton")), None)
+def stripped(s):
+    return snippets(s).withColumn("r", code_ast.strip_docstrings("code")).select("name", "r.stripped", "r.status")
 
 
-@functools.lru_cache(maxsize=1)
-def _bpe(path: str):
-    from tokenizers import Tokenizer
+Q["ast_strip"] = (lambda s, d: stripped(s), None)
+Q["ast_keep_success"] = (lambda s, d: stripped(s).where("status = 'success'"), None)
+Q["ast_status_counts"] = (lambda s, d: stripped(s).groupBy("status").agg(F.count("*").alias("n")), None)
+Q["ast_skeleton"] = (lambda s, d: snippets(s).select("name", code_ast.skeleton_hashes("code").alias("skeleton")), None)
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
-    return Tokenizer.from_file(path)
 
+def bpe_encode(s, d, path: str = VOCABULARY, size: int = 256):
+    """doc_id, ids and mask (padded or cut to `size`) and n_tokens of all texts, prefixed as text."""
+    return bpe.encode(docs(s, d), path, size, modality="text")
 
-def bpe_encode(s, d, path: str = "/opt/tokenizers/byte_bpe_50k.json", size: int = 256):
-    """doc_id, ids (padded or cut to `size`) and n_tokens, by a public vocabulary file at `path` on every worker."""
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([e.ids for e in _bpe(path).encode_batch([t or "" for t in texts], add_special_tokens=False)])
 
-    made = docs(s, d).select("doc_id", encode(F.concat(F.lit("<TEXT> "), F.coalesce("text", F.lit("")))).alias("all"))
-    return made.select("doc_id", tx.pad_truncate(F.transform("all", lambda x: x.cast("long")), size).alias("ids"), F.size("all").cast("long").alias("n_tokens"))
+def bpe_decode(s, d, path: str = VOCABULARY):
+    """doc_id and whether the text comes back, byte for byte, from all its ids."""
+    made = bpe.decode(bpe.encode(docs(s, d), path, None, modality="code"), path)
+    back = F.expr("substring(decoded, 8)")
+    return made.join(docs(s, d), "doc_id").select("doc_id", back.eqNullSafe(F.coalesce("text", F.lit(""))).alias("same"))
 
 
 Q["bpe_encode"] = (bpe_encode, None)
+Q["bpe_decode"] = (bpe_decode, "SELECT doc_id, true AS same FROM documents")

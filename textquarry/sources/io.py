@@ -35,6 +35,27 @@ def metric_rows(report: DataFrame, keys: list[str]) -> DataFrame:
     return report.unpivot(keys, names, "metric", "value").withColumn("metric", F.replace(F.col("metric"), F.lit("@"), F.lit("_at_")))
 
 
+def table_lines(report: DataFrame, keys: list[str]) -> DataFrame:
+    """(line, text): a report's metrics, in the order of its columns, as the lines of a Markdown table. A metric named
+    x_low beside x and x_high is shown as its interval."""
+    names = [c for c in report.columns if c not in keys]
+    whole = [n for n in names if not (n.endswith(("_low", "_high")) and n.rsplit("_", 1)[0] in names)]
+    with_interval = any(f"{n}_low" in names for n in whole)
+    head = ["| Metric | Score |" + " 95% interval |" * with_interval, "| :--- | :---: |" + " :---: |" * with_interval]
+    lines = [F.lit(h) for h in head]
+    for n in whole:
+        if f"{n}_low" in names and f"{n}_high" in names:
+            lines.append(F.format_string("| %-12s | %.4f | [%.4f, %.4f] |", F.lit(n.upper()), F.col(f"`{n}`"), F.col(f"`{n}_low`"), F.col(f"`{n}_high`")))
+        else:
+            lines.append(F.format_string("| %-12s | %.4f |" + " - |" * with_interval, F.lit(n.upper()), F.col(f"`{n}`")))
+    return report.select(F.posexplode(F.array(*lines)).alias("line", "text")).select(F.col("line").cast("long").alias("line"), "text")
+
+
+def project(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """The wanted columns that df has, in the order wanted."""
+    return df.select(*[F.col(f"`{c}`") for c in wanted if c in df.columns])
+
+
 def row_digest(df: DataFrame):
     """sha256 of a row's columns in name order; nulls are told from empty strings."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in sorted(df.columns)]), 256)
