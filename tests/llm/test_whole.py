@@ -33,6 +33,24 @@ def test_licenses_across_lines_paragraphs_and_within_lines(spark):
     assert texts[2][slice(*got[2][0][:2])] == "Released under the MIT License"
 
 
+def test_whole_licences_in_prose(spark):
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice(["river", "stone", "of", "the", "and", "to", "a", "cloud", "tree", "it", "is"]) for _ in range(n))
+    names = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"]
+    whole = {n: licenses.TEMPLATES[n][-1] for n in names}
+    assert all(len(t) > 1000 for t in whole.values())
+    texts = [f"{prose(200)}\n\n{whole[n]}\n{prose(300)}" for n in names] + [prose(2000)]
+    texts.append(whole["Apache-2.0"][: whole["Apache-2.0"].index("APPENDIX")])  # without its appendix
+    texts.append(f"{whole['MPL-2.0']} {prose(50)} {whole['BSD-3-Clause'].upper()}")
+    made = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [m.license for m in r.license_matches if m.end - m.start > 1000] for r in made}
+    assert [got[i] for i in range(7)] == [[n] for n in names] and got[7] == [] and got[8] == ["Apache-2.0"] and got[9] == ["MPL-2.0", "BSD-3-Clause"]
+    for r in made[:7]:
+        m = max(r.license_matches, key=lambda m: m.end - m.start)
+        found = texts[r.doc_id].encode()[m.start : m.end].decode()
+        assert m.dice > 0.98 and abs(len(found) - len(whole[names[r.doc_id]].strip())) < 200
+
+
 def test_language_id_learns_every_language(spark, monkeypatch):
     r = random.Random(0)
     word = lambda k: "".join(chr(0x4E00 + 20 * k + r.randrange(20)) for _ in range(3))

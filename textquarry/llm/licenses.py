@@ -9,6 +9,8 @@ templates, the one that shares most bigrams claims them, and others stay if at m
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +55,11 @@ for _name, _rest in {
     TEMPLATES[_name].append(TEMPLATES[_name][-1] + " " + _rest)
 
 
+# Whole public licences, a file each, named by its identifier; they too are fixed values.
+for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+    TEMPLATES.setdefault(_file.stem, []).append(_file.read_text(encoding="utf-8"))
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bigram hashes of consecutive words, the byte where each bigram starts and where it ends."""
     data = common.LOWER[data]
@@ -187,6 +194,8 @@ def brute_force(text: str | None, threshold: float = THRESHOLD, templates: dict[
     wordings = [(name, [g for g, *_ in grams(t.encode())]) for name, texts in sorted(templates.items()) for t in texts]
     for t, (_, wording) in enumerate(wordings):
         known, best = set(wording), []
+        if len(known & {g for g, *_ in own}) * (2 - threshold) < threshold * len(known) - 1e-6:
+            continue  # not even the whole text has enough of it
         for a in range(len(own)):
             seen, top = set(), None
             for b in range(a, min(len(own), a + int(len(wording) * (2 - threshold) / threshold + 1e-9))) if own[a][0] in known else ():
