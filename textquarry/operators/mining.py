@@ -51,26 +51,27 @@ def fill(short: DataFrame, taken: DataFrame, prints: DataFrame, seed: int = 42,
     draw of a query is the document at place floor(hash(seed, query, j) * n). As a candidate, a filler must pass the tiers
     (with judge; without, only not be the target), and it must not be in taken (query_id, doc_id). Rounds of more and
     more draws go on for queries that still miss some; where draws outnumber the corpus eight times, all is drawn."""
-    own = targets(short.select("query_id", "target"), prints).join(short.select("query_id", "missing"), "query_id")
-    own = store.cut(own)
-    places = store.cut(numbered(prints, "doc_id", "at"))
+    own = store.cut(targets(short.select("query_id", "target"), prints).join(short.select("query_id", "missing"), "query_id"))
+    if not own.limit(1).count():
+        return own.select("query_id", F.col("target").alias("doc_id"), F.lit(0).cast("long").alias("draw"))
+    # only ids are numbered; what the tiers need is looked up for the documents drawn
+    places = store.cut(numbered(prints.select("doc_id"), "doc_id", "at"))
     n, draws, low, out = places.count(), DRAWS, 0, None
-    while n and own.limit(1).count():
+    while True:
         rows = own.select("query_id", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
         rows = rows.withColumn("at", F.floor(unit_hash(F.lit(seed), F.col("query_id"), F.col("draw")) * F.lit(n)).cast("long"))
-        rows = store.cut(rows)
-        side = F.broadcast(rows) if rows.count() <= BROADCAST_DRAWS else rows
-        met = places.join(side, "at").join(own.select("query_id", "target", "q1", "k1", "s1"), "query_id")
-        fine = met.where(tier().isNull()) if judge else met.where("doc_id != target")
-        fine = fine.groupBy("query_id", "doc_id").agg(F.min("draw").alias("draw")).join(taken, ["query_id", "doc_id"], "left_anti")
+        drawn = rows.groupBy("query_id", "at").agg(F.min("draw").alias("draw")).join(places, "at").join(taken, ["query_id", "doc_id"], "left_anti")
+        drawn = store.cut(drawn.select("query_id", "doc_id", "draw"))
+        side = F.broadcast(drawn) if drawn.count() <= BROADCAST_DRAWS else drawn
+        met = prints.join(side, "doc_id").join(own.select("query_id", "target", "q1", "k1", "s1"), "query_id")
+        fine = met.where(tier().isNull() if judge else F.col("doc_id") != F.col("target")).select("query_id", "doc_id", "draw")
         out = fine if out is None else out.unionByName(fine).groupBy("query_id", "doc_id").agg(F.min("draw").alias("draw"))
         out = store.cut(out)
         found = out.groupBy("query_id").agg(F.count("*").alias("found"))
         own = store.cut(own.join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < F.col("missing")).drop("found"))
-        if low > 8 * n:
-            break
+        if low > 8 * n or not own.limit(1).count():
+            return out
         low, draws = draws, draws * 8
-    return own.select("query_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("draw")).where("false") if out is None else out
 
 
 def filled(ranked: DataFrame, truth: DataFrame, prints: DataFrame, k: int, seed: int = 42, judge: bool = True) -> DataFrame:

@@ -90,7 +90,9 @@ def index_sql(method: str = "robertson", tok=TOK, p: str = "") -> str:
     if method == "robertson":
         idf = f"{p}vocab AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM {p}df, {p}st)"
     else:
-        idf = f"{p}raw AS (SELECT term, df, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS raw FROM {p}df, {p}st), {p}vocab AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT round(avg(raw), 9) FROM {p}raw) ELSE raw END AS idf FROM {p}raw)"
+        idf = f"""{p}raw AS (SELECT term, df, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS raw
+FROM {p}df, {p}st), {p}vocab AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT round(avg(raw), 9)
+FROM {p}raw) ELSE raw END AS idf FROM {p}raw)"""
     return f"""{p}toks AS (SELECT doc_id, {tok('text')} AS w FROM documents), {p}st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {p}toks),
 {p}tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM {p}toks) GROUP BY doc_id, term),
 {p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term), {idf}"""
@@ -118,7 +120,8 @@ def ranks_sql(p: str = "") -> str:
 METRICS = ", ".join(
     ["round(coalesce(avg(CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END), 0), 6) AS mrr"]
     + [f"round(coalesce(avg(CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 0), 6) AS recall_{k}" for k in (1, 5, 10)]
-    + [f"round(coalesce(avg(CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END), 0), 6) AS ndcg_{k}" for k in (1, 5, 10)]
+    + [f"""round(coalesce(avg(CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE / log2(rank + 1)
+ELSE 0 END), 0), 6) AS ndcg_{k}""" for k in (1, 5, 10)]
 )
 
 
@@ -128,4 +131,5 @@ def HASH(*parts: str) -> str:
 
 def SHINGLES(w: str) -> str:
     """Distinct word 3-grams in order of a list expression that is a column name."""
-    return f"list_distinct(CASE WHEN len({w}) >= 3 THEN list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i + 2], ' ')) ELSE {w} END)"
+    return f"""list_distinct(CASE WHEN len({w}) >= 3
+THEN list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i + 2], ' ')) ELSE {w} END)"""

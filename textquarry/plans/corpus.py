@@ -20,14 +20,17 @@ def words(c: str = "text"):
     return F.size(tx.space_words(F.col(c)))
 
 
-Q["scan_documents"] = (lambda s, d: table(s, d, "documents").select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("len")), "SELECT doc_id, lang, source, n_chars, length(text)::BIGINT AS len FROM documents")
+Q["scan_documents"] = (
+    lambda s, d: table(s, d, "documents").select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("len")),
+    "SELECT doc_id, lang, source, n_chars, length(text)::BIGINT AS len FROM documents")
 Q["scan_pruned"] = (lambda s, d: table(s, d, "documents").select("doc_id", "source"), "SELECT doc_id, source FROM documents")
 Q["union_sources"] = (
     lambda s, d: docs(s, d).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest")).unionByName(table(s, d, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"))),
     "SELECT 'documents' AS origin, doc_id AS id, md5(text) AS digest FROM documents UNION ALL SELECT 'benchmark', item_id, md5(text) FROM benchmark",
 )
 _pieces = ", ',', ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(4))
-Q["table_digest"] = (lambda s, d: io.table_digest(docs(s, d)), f"SELECT count(*) AS n, sha256(concat({_pieces})) AS digest FROM (SELECT sha256(coalesce('v' || doc_id::VARCHAR, 'n') || '|' || coalesce('v' || text, 'n')) AS h FROM documents)")
+Q["table_digest"] = (lambda s, d: io.table_digest(docs(s, d)), f"""SELECT count(*) AS n, sha256(concat({_pieces})) AS digest
+FROM (SELECT sha256(coalesce('v' || doc_id::VARCHAR, 'n') || '|' || coalesce('v' || text, 'n')) AS h FROM documents)""")
 BOILERPLATE = ("blog.", ".html")
 
 
@@ -47,8 +50,13 @@ Q["project_if_exists"] = (
     lambda s, d: io.project(table(s, d, "documents"), ["doc_id", "func_name", "lang", "path"]),
     "SELECT doc_id, lang FROM documents",
 )
-Q["filter_min_words"] = (lambda s, d: docs(s, d).where((words() >= 3) & ~F.lower(F.trim("text")).isin(*JUNK)).select("doc_id", words().cast("long").alias("n_words")), f"SELECT doc_id, len({WS('text')})::BIGINT AS n_words FROM documents WHERE len({WS('text')}) >= 3 AND lower(trim(text)) NOT IN ('todo', 'none', 'pass', 'fixme')")
-Q["filter_len_band"] = (lambda s, d: docs(s, d).where(words().between(10, 2048)).select("doc_id"), f"SELECT doc_id FROM documents WHERE len({WS('text')}) BETWEEN 10 AND 2048")
+Q["filter_min_words"] = (
+    lambda s, d: docs(s, d).where((words() >= 3) & ~F.lower(F.trim("text")).isin(*JUNK)).select("doc_id", words().cast("long").alias("n_words")),
+    f"""SELECT doc_id, len({WS('text')})::BIGINT AS n_words
+FROM documents WHERE len({WS('text')}) >= 3 AND lower(trim(text)) NOT IN ('todo', 'none', 'pass', 'fixme')""")
+Q["filter_len_band"] = (
+    lambda s, d: docs(s, d).where(words().between(10, 2048)).select("doc_id"),
+    f"SELECT doc_id FROM documents WHERE len({WS('text')}) BETWEEN 10 AND 2048")
 
 
 def reason():
@@ -60,7 +68,8 @@ def _reasoned(s, d):
     return table(s, d, "documents").select("doc_id", "text", "source", "lang", reason().alias("reason"))
 
 
-_REASON = f"CASE WHEN text IS NULL THEN 'null' WHEN len({WS('text')}) < 10 THEN 'short' WHEN len({WS('text')}) > 2048 THEN 'long' WHEN lower(source) LIKE '%src1%' THEN 'source' END"
+_REASON = f"""CASE WHEN text IS NULL THEN 'null' WHEN len({WS('text')}) < 10 THEN 'short' WHEN len({WS('text')}) > 2048
+THEN 'long' WHEN lower(source) LIKE '%src1%' THEN 'source' END"""
 
 
 def clean_pipeline(s, d):
@@ -74,9 +83,11 @@ def drop_stats(s, d):
     return r.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
 
 
-_COPY = f"(SELECT doc_id, source, text, reason, row_number() OVER (PARTITION BY reason, text ORDER BY doc_id) AS c FROM (SELECT doc_id, source, text, {_REASON} AS reason FROM documents))"
+_COPY = f"""(SELECT doc_id, source, text, reason, row_number() OVER (PARTITION BY reason, text ORDER BY doc_id) AS c
+FROM (SELECT doc_id, source, text, {_REASON} AS reason FROM documents))"""
 Q["clean_pipeline"] = (clean_pipeline, f"SELECT doc_id, md5(text) AS digest, source FROM {_COPY} WHERE reason IS NULL AND c = 1")
-Q["drop_stats"] = (drop_stats, f"SELECT CASE WHEN reason IS NULL AND c > 1 THEN 'duplicate' ELSE coalesce(reason, 'kept') END AS reason, count(*) AS n FROM {_COPY} GROUP BY 1")
+Q["drop_stats"] = (drop_stats, f"""SELECT CASE WHEN reason IS NULL AND c > 1 THEN 'duplicate'
+ELSE coalesce(reason, 'kept') END AS reason, count(*) AS n FROM {_COPY} GROUP BY 1""")
 Q["exact_dedup"] = (lambda s, d: dedup.keep_first(docs(s, d)).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 
 
@@ -84,10 +95,16 @@ def _split(s, d):
     return docs(s, d).withColumn("split", dedup.split_name(F.col("doc_id")))
 
 
-Q["exact_cross_dedup"] = (lambda s, d: dedup.purge(_split(s, d).where("split = 'test'"), _split(s, d).where("split = 'train'")).select("doc_id"), "SELECT doc_id FROM documents t WHERE doc_id % 10 = 9 AND NOT EXISTS (SELECT 1 FROM documents r WHERE r.doc_id % 10 < 8 AND r.text = t.text)")
+Q["exact_cross_dedup"] = (
+    lambda s, d: dedup.purge(_split(s, d).where("split = 'test'"), _split(s, d).where("split = 'train'")).select("doc_id"),
+    """SELECT doc_id
+FROM documents t WHERE doc_id % 10 = 9 AND NOT EXISTS (SELECT 1 FROM documents r WHERE r.doc_id % 10 < 8 AND r.text = t.text)""")
 Q["cross_split_purge"] = (
     lambda s, d: dedup.cross_split_purge(_split(s, d)).select("doc_id", "split"),
-    "WITH tr AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 < 8), te AS (SELECT doc_id, text FROM documents t WHERE doc_id % 10 = 9 AND text NOT IN (SELECT text FROM tr)) SELECT doc_id, 'train' AS split FROM tr UNION ALL SELECT doc_id, 'test' FROM te UNION ALL SELECT doc_id, 'val' FROM documents WHERE doc_id % 10 = 8 AND text NOT IN (SELECT text FROM tr) AND text NOT IN (SELECT text FROM te)",
+    """WITH tr AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 < 8), te AS (SELECT doc_id, text FROM documents t
+WHERE doc_id % 10 = 9 AND text NOT IN (SELECT text FROM tr)) SELECT doc_id, 'train' AS split FROM tr UNION ALL
+SELECT doc_id, 'test' FROM te UNION ALL SELECT doc_id, 'val' FROM documents WHERE doc_id % 10 = 8
+AND text NOT IN (SELECT text FROM tr) AND text NOT IN (SELECT text FROM te)""",
 )
 Q["join_dedup_build"] = (
     lambda s, d: table(s, d, "documents").select("doc_id", "text", "lang").join(dedup.keep_first(table(s, d, "documents").select("doc_id", "text", "lang").withColumn("key", F.concat_ws("|", "lang", "text")), "key").select("text", "lang", F.col("doc_id").alias("first_id")), ["text", "lang"]).select("doc_id", "first_id"),
@@ -95,10 +112,16 @@ Q["join_dedup_build"] = (
 )
 Q["kept_vs_dropped"] = (
     lambda s, d: table(s, d, "documents").join(table(s, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select(F.lit("kept").alias("side"), "n_chars").unionByName(table(s, d, "documents").join(table(s, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti").select(F.lit("dropped").alias("side"), "n_chars")).groupBy("side").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars")),
-    "SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'kept' ELSE 'dropped' END AS side, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY 1",
+    """SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'kept'
+ELSE 'dropped' END AS side, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY 1""",
 )
-Q["duplicate_stats"] = (lambda s, d: docs(s, d).agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_distinct"), F.round(100.0 * (F.count("*") - F.countDistinct("text")) / F.count("*"), 6).alias("duplicate_pct")), "SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, round(100.0::DOUBLE * (count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_pct FROM documents")
-Q["top_sources"] = (lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10), "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10")
+Q["duplicate_stats"] = (
+    lambda s, d: docs(s, d).agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_distinct"), F.round(100.0 * (F.count("*") - F.countDistinct("text")) / F.count("*"), 6).alias("duplicate_pct")),
+    """SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, round(100.0::DOUBLE * (count(*) - count(DISTINCT text)) / count(*), 6) AS duplicate_pct
+FROM documents""")
+Q["top_sources"] = (
+    lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10),
+    "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10")
 _P = (10, 25, 50, 75, 90, 95, 99)
 
 
@@ -111,7 +134,8 @@ def length_distribution(s, d):
 Q["length_distribution"] = (length_distribution, "SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least, max(n) AS most, " + ", ".join(f"round(quantile_cont(n, {p / 100}), 6) AS p{p}" for p in _P) + f" FROM (SELECT len({WS('text')})::DOUBLE AS n FROM documents)")
 Q["length_coverage"] = (
     lambda s, d: docs(s, d).select(words().alias("n")).agg(*[F.avg((F.col("n") <= k).cast("double")).alias(f"c{k}") for k in (128, 256, 384, 512)]).unpivot([], [f"c{k}" for k in (128, 256, 384, 512)], "most", "share").select(F.substring("most", 2, 9).cast("long").alias("most"), F.round(100 * F.col("share"), 6).alias("pct")),
-    f"SELECT k::BIGINT AS most, round(100 * avg((n <= k)::INT::DOUBLE), 6) AS pct FROM (SELECT len({WS('text')}) AS n FROM documents), unnest([128, 256, 384, 512]) AS r(k) GROUP BY k",
+    f"""SELECT k::BIGINT AS most, round(100 * avg((n <= k)::INT::DOUBLE), 6) AS pct FROM (SELECT len({WS('text')}) AS n
+FROM documents), unnest([128, 256, 384, 512]) AS r(k) GROUP BY k""",
 )
 
 
@@ -119,10 +143,21 @@ def _joined(expr):
     return F.array_join(expr, " ")
 
 
-Q["tokenize_code"] = (lambda s, d: docs(s, d).select("doc_id", F.md5(_joined(tx.identifier_tokens(F.col("text"))).cast("binary")).alias("digest"), F.size(tx.identifier_tokens(F.col("text"))).cast("long").alias("n")), f"SELECT doc_id, md5(array_to_string(w, ' ')) AS digest, len(w)::BIGINT AS n FROM (SELECT doc_id, {TOK('text')} AS w FROM documents)")
-Q["tokenize_text"] = (lambda s, d: table(s, d, "benchmark").select("item_id", _joined(tx.identifier_tokens(F.col("text"))).alias("tokens")), f"SELECT item_id, array_to_string({TOK('text')}, ' ') AS tokens FROM benchmark")
-Q["tokens_nonstop"] = (lambda s, d: table(s, d, "benchmark").select("item_id", _joined(tx.content_tokens(tx.identifier_tokens(F.col("text")))).alias("tokens")), f"SELECT item_id, array_to_string(list_filter({TOK('text')}, lambda t: length(t) > 1 AND t NOT IN {STOP}), ' ') AS tokens FROM benchmark")
-Q["shingles"] = (lambda s, d: docs(s, d).select("doc_id", tx.lower_words(F.col("text")).alias("w")).select("doc_id", tx.shingles(F.col("w")).alias("g")).select("doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("g"), "|").cast("binary")).alias("digest")), f"SELECT doc_id, len(g)::BIGINT AS n, md5(array_to_string(list_sort(g), '|')) AS digest FROM (SELECT doc_id, {SHINGLES('w')} AS g FROM (SELECT doc_id, {WS('lower(text)')} AS w FROM documents))")
+Q["tokenize_code"] = (
+    lambda s, d: docs(s, d).select("doc_id", F.md5(_joined(tx.identifier_tokens(F.col("text"))).cast("binary")).alias("digest"), F.size(tx.identifier_tokens(F.col("text"))).cast("long").alias("n")),
+    f"""SELECT doc_id, md5(array_to_string(w, ' ')) AS digest, len(w)::BIGINT AS n
+FROM (SELECT doc_id, {TOK('text')} AS w FROM documents)""")
+Q["tokenize_text"] = (
+    lambda s, d: table(s, d, "benchmark").select("item_id", _joined(tx.identifier_tokens(F.col("text"))).alias("tokens")),
+    f"SELECT item_id, array_to_string({TOK('text')}, ' ') AS tokens FROM benchmark")
+Q["tokens_nonstop"] = (
+    lambda s, d: table(s, d, "benchmark").select("item_id", _joined(tx.content_tokens(tx.identifier_tokens(F.col("text")))).alias("tokens")),
+    f"""SELECT item_id, array_to_string(list_filter({TOK('text')}, lambda t: length(t) > 1
+AND t NOT IN {STOP}), ' ') AS tokens FROM benchmark""")
+Q["shingles"] = (
+    lambda s, d: docs(s, d).select("doc_id", tx.lower_words(F.col("text")).alias("w")).select("doc_id", tx.shingles(F.col("w")).alias("g")).select("doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("g"), "|").cast("binary")).alias("digest")),
+    f"""SELECT doc_id, len(g)::BIGINT AS n, md5(array_to_string(list_sort(g), '|')) AS digest
+FROM (SELECT doc_id, {SHINGLES('w')} AS g FROM (SELECT doc_id, {WS('lower(text)')} AS w FROM documents))""")
 HITS = 10
 
 
@@ -171,14 +206,21 @@ def _AW(x: str) -> str:
 
 Q["token_attribution"] = (
     lambda s, d: _pairs(s, d, tx.letter_words).select("item_id", "doc_id", F.array_join(F.array_sort(F.array_intersect("a", "b")), " ").alias("shared")),
-    f"{_PAIRS(_AW('q.text'), _AW('d.text'))} SELECT item_id, doc_id, coalesce(array_to_string(list_sort(list_intersect(a, b)), ' '), '') AS shared FROM pairs",
+    f"""{_PAIRS(_AW('q.text'), _AW('d.text'))}
+SELECT item_id, doc_id, coalesce(array_to_string(list_sort(list_intersect(a, b)), ' '), '') AS shared FROM pairs""",
 )
-Q["truncate_seq"] = (lambda s, d: docs(s, d).select("doc_id", _joined(F.slice(tx.space_words(F.col("text")), 1, 16)).alias("head")), f"SELECT doc_id, array_to_string(({WS('text')})[1:16], ' ') AS head FROM documents")
+Q["truncate_seq"] = (
+    lambda s, d: docs(s, d).select("doc_id", _joined(F.slice(tx.space_words(F.col("text")), 1, 16)).alias("head")),
+    f"SELECT doc_id, array_to_string(({WS('text')})[1:16], ' ') AS head FROM documents")
 Q["pad_truncate"] = (
     lambda s, d: docs(s, d).select("doc_id", tx.pad_truncate(F.transform(tx.space_words(F.col("text")), lambda w: F.length(w).cast("long")), 32).alias("ids")).select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.size(F.filter("ids", lambda x: x > 0)).cast("long").alias("mask")),
-    f"SELECT doc_id, array_to_string(ids, ',') AS ids, len(list_filter(ids, lambda x: x > 0))::BIGINT AS mask FROM (SELECT doc_id, (list_transform({WS('text')}, lambda w: length(w)) || list_transform(range(32), lambda i: 0))[1:32] AS ids FROM documents)",
+    f"""SELECT doc_id, array_to_string(ids, ',') AS ids, len(list_filter(ids, lambda x: x > 0))::BIGINT AS mask
+FROM (SELECT doc_id, (list_transform({WS('text')}, lambda w: length(w)) || list_transform(range(32), lambda i: 0))[1:32] AS ids
+FROM documents)""",
 )
-Q["result_snippet"] = (lambda s, d: docs(s, d).select("doc_id", tx.snippet(F.col("text")).alias("snippet")), "SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END AS snippet FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)")
+Q["result_snippet"] = (lambda s, d: docs(s, d).select("doc_id", tx.snippet(F.col("text")).alias("snippet")), """SELECT doc_id,
+CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END AS snippet
+FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)""")
 
 
 # sinks, and what is read back from them
@@ -203,7 +245,8 @@ def split_sink(s, d):
     return s.read.parquet(at).select("doc_id", F.col("split").cast("string").alias("split"), F.length("text").cast("long").alias("n"))
 
 
-Q["split_sink"] = (split_sink, "SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, length(text)::BIGINT AS n FROM documents")
+Q["split_sink"] = (split_sink, """SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val'
+ELSE 'test' END AS split, length(text)::BIGINT AS n FROM documents""")
 
 
 def _report(s, d):
@@ -225,7 +268,8 @@ def report_sink(s, d):
 Q["report_sink"] = (report_sink, f"{_REPORT} SELECT 'bm25' AS arm, mrr, recall_10 FROM m")
 Q["tracker_rows"] = (
     lambda s, d: io.metric_rows(_report(s, d), ["arm"]),
-    f"{_REPORT} SELECT 'bm25' AS arm, x.metric, x.value FROM m, LATERAL (VALUES ('MRR', mrr), ('Recall_at_1', recall_1), ('Recall_at_10', recall_10)) AS x(metric, value)",
+    f"""{_REPORT} SELECT 'bm25' AS arm, x.metric, x.value
+FROM m, LATERAL (VALUES ('MRR', mrr), ('Recall_at_1', recall_1), ('Recall_at_10', recall_10)) AS x(metric, value)""",
 )
 
 
@@ -259,5 +303,9 @@ def index_reload(s, d):
     return own.vocab.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.round(F.sum("idf"), 4).alias("idf")).select(F.lit(own.n).alias("n"), F.round(F.lit(own.avgdl), 6).alias("avgdl"), "n_terms", "n_postings", "idf")
 
 
-Q["index_reload"] = (index_reload, f"WITH {index_sql()} SELECT any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, count(*) AS n_terms, sum(df)::BIGINT AS n_postings, round(sum(idf), 4) AS idf FROM vocab, st")
-Q["file_digests"] = (lambda s, d: io.file_digests(s, f"{d}/documents.parquet").select(F.substring_index("path", "/", -1).alias("file"), "sha256"), None)
+Q["index_reload"] = (index_reload, f"""WITH {index_sql()}
+SELECT any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, count(*) AS n_terms, sum(df)::BIGINT AS n_postings, round(sum(idf), 4) AS idf
+FROM vocab, st""")
+Q["file_digests"] = (
+    lambda s, d: io.file_digests(s, f"{d}/documents.parquet").select(F.substring_index("path", "/", -1).alias("file"), "sha256"),
+    None)

@@ -23,11 +23,21 @@ def queries(s, d):
 
 
 DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
-_ALL = f"SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round({DOT('q.embedding', 'c.embedding')}, {{}}) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0"
+_ALL = f"""SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round({DOT('q.embedding', 'c.embedding')}, {{}}) AS score
+FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0"""
 Q["cosine_all_pairs"] = (lambda s, d: dense.scores(queries(s, d), vectors(s, d)), _ALL.format(6))
-Q["topk_dense"] = (lambda s, d: dense.search(queries(s, d), vectors(s, d), 10), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_ALL.format(6)})) WHERE rank <= 10")
-Q["l2_normalize"] = (lambda s, d: vectors(s, d).select("doc_id", vx.l2_normalize(F.transform("v", lambda x: x * 3)).alias("u")).select("doc_id", F.round(vx.dot(F.col("u"), F.col("u")), 6).alias("norm2"), F.round(F.col("u")[0], 5).alias("first")), f"SELECT vec_id AS doc_id, round({DOT('u', 'u')}, 6) AS norm2, round(u[1], 5) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt({DOT('embedding', 'embedding')})) AS u FROM embeddings)")
-Q["mean_pool"] = (lambda s, d: vectors(s, d).select("label", F.posexplode("v").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")).withColumn("dim", F.col("dim").cast("long")), "SELECT label, i::BIGINT - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY label, i")
+Q["topk_dense"] = (lambda s, d: dense.search(queries(s, d), vectors(s, d), 10), f"""SELECT *
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_ALL.format(6)}))
+WHERE rank <= 10""")
+Q["l2_normalize"] = (
+    lambda s, d: vectors(s, d).select("doc_id", vx.l2_normalize(F.transform("v", lambda x: x * 3)).alias("u")).select("doc_id", F.round(vx.dot(F.col("u"), F.col("u")), 6).alias("norm2"), F.round(F.col("u")[0], 5).alias("first")),
+    f"""SELECT vec_id AS doc_id, round({DOT('u', 'u')}, 6) AS norm2, round(u[1], 5) AS first
+FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt({DOT('embedding', 'embedding')})) AS u
+FROM embeddings)""")
+Q["mean_pool"] = (
+    lambda s, d: vectors(s, d).select("label", F.posexplode("v").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")).withColumn("dim", F.col("dim").cast("long")),
+    """SELECT label, i::BIGINT - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean
+FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY label, i""")
 BATCH = 32
 
 
@@ -107,10 +117,16 @@ def inbatch_accuracy(s, d):
     return q.join(c, "batch")
 
 
-_B = f"p AS (SELECT q.vec_id AS query_id, q.label, q.embedding AS q, c.embedding AS c, q.vec_id // 2 // {BATCH} AS batch FROM embeddings q JOIN embeddings c ON c.vec_id = q.vec_id + 1 WHERE q.vec_id % 2 = 0), b AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY batch) AS n FROM p) WHERE n = {BATCH})"
-_S = f"WITH {_B}, raw AS (SELECT x.batch, x.query_id, y.query_id AS other_id, x.label = y.label AND x.query_id != y.query_id AS masked, {DOT('x.q', 'y.c')} / 0.07::DOUBLE AS r FROM b x JOIN b y ON x.batch = y.batch), s AS (SELECT batch, query_id, other_id, masked, CASE WHEN masked THEN -10000.0::DOUBLE ELSE r END AS sim FROM raw)"
-_LOSS = "SELECT batch, ln(sum(exp(sim - m))) + max(m) - sum(CASE WHEN query_id = other_id THEN sim ELSE 0 END) AS loss FROM (SELECT *, max(sim) OVER (PARTITION BY batch, {0}) AS m FROM s) GROUP BY batch, {0}"
-Q["infonce_loss"] = (infonce, f"{_S} SELECT batch, round(avg(loss), 5) AS loss FROM ({_LOSS.format('query_id')} UNION ALL {_LOSS.format('other_id')}) GROUP BY batch")
+_B = f"""p AS (SELECT q.vec_id AS query_id, q.label, q.embedding AS q, c.embedding AS c, q.vec_id // 2 // {BATCH} AS batch
+FROM embeddings q JOIN embeddings c ON c.vec_id = q.vec_id + 1 WHERE q.vec_id % 2 = 0), b AS (SELECT *
+FROM (SELECT *, count(*) OVER (PARTITION BY batch) AS n FROM p) WHERE n = {BATCH})"""
+_S = f"""WITH {_B}, raw AS (SELECT x.batch, x.query_id, y.query_id AS other_id, x.label = y.label
+AND x.query_id != y.query_id AS masked, {DOT('x.q', 'y.c')} / 0.07::DOUBLE AS r FROM b x JOIN b y ON x.batch = y.batch),
+s AS (SELECT batch, query_id, other_id, masked, CASE WHEN masked THEN -10000.0::DOUBLE ELSE r END AS sim FROM raw)"""
+_LOSS = """SELECT batch, ln(sum(exp(sim - m))) + max(m) - sum(CASE WHEN query_id = other_id THEN sim ELSE 0 END) AS loss
+FROM (SELECT *, max(sim) OVER (PARTITION BY batch, {0}) AS m FROM s) GROUP BY batch, {0}"""
+Q["infonce_loss"] = (infonce, f"""{_S} SELECT batch, round(avg(loss), 5) AS loss FROM ({_LOSS.format('query_id')}
+UNION ALL {_LOSS.format('other_id')}) GROUP BY batch""")
 _HARD = f"""{_S}, pl AS (SELECT batch, query_id, q, row_number() OVER (PARTITION BY batch ORDER BY query_id) - 1 AS i FROM b),
 hn AS (SELECT x.batch, x.query_id, y.q AS n FROM pl x, range(1, {HARD + 1}) AS r(j), pl y WHERE y.batch = x.batch AND y.i = (x.i + j) % {BATCH}),
 ex AS (SELECT b.batch, b.query_id, {DOT('b.q', 'hn.n')} / 0.07::DOUBLE AS sim FROM b JOIN hn ON hn.batch = b.batch {{}}),
@@ -121,9 +137,16 @@ Q["hard_negative_loss"] = (hard_loss, _HARD.format("AND hn.query_id = b.query_id
 Q["shared_hard_negative_loss"] = (lambda s, d: hard_loss(s, d, shared=True), _HARD.format(""))
 Q["inbatch_accuracy"] = (
     inbatch_accuracy,
-    f"{_S}, f AS (SELECT batch, query_id AS a, other_id AS b, row_number() OVER (PARTITION BY batch, query_id ORDER BY round(sim, 6) DESC, other_id) AS r FROM s), g AS (SELECT batch, other_id AS a, query_id AS b, row_number() OVER (PARTITION BY batch, other_id ORDER BY round(sim, 6) DESC, query_id) AS r FROM s) SELECT x.batch, forward, backward FROM (SELECT batch, round(avg((a = b)::INT::DOUBLE), 6) AS forward FROM f WHERE r = 1 GROUP BY batch) x JOIN (SELECT batch, round(avg((a = b)::INT::DOUBLE), 6) AS backward FROM g WHERE r = 1 GROUP BY batch) y ON x.batch = y.batch",
+    f"""{_S}, f AS (SELECT batch, query_id AS a, other_id AS b, row_number() OVER (PARTITION BY batch, query_id
+ORDER BY round(sim, 6) DESC, other_id) AS r FROM s),
+g AS (SELECT batch, other_id AS a, query_id AS b, row_number() OVER (PARTITION BY batch, other_id
+ORDER BY round(sim, 6) DESC, query_id) AS r FROM s) SELECT x.batch, forward, backward
+FROM (SELECT batch, round(avg((a = b)::INT::DOUBLE), 6) AS forward FROM f WHERE r = 1 GROUP BY batch) x
+JOIN (SELECT batch, round(avg((a = b)::INT::DOUBLE), 6) AS backward FROM g WHERE r = 1 GROUP BY batch) y ON x.batch = y.batch""",
 )
-Q["false_negative_mask"] = (lambda s, d: similarities(s, d).where("masked").select("batch", "query_id", "other_id"), f"{_S} SELECT batch, query_id, other_id FROM s WHERE masked")
+Q["false_negative_mask"] = (
+    lambda s, d: similarities(s, d).where("masked").select("batch", "query_id", "other_id"),
+    f"{_S} SELECT batch, query_id, other_id FROM s WHERE masked")
 Q["batch_assign"] = (lambda s, d: batches(s, d).select("batch", "query_id"), f"WITH {_B} SELECT batch, query_id FROM b")
 
 
@@ -172,11 +195,15 @@ def _pooled(df, v):
 
 Q["masked_mean_pool"] = (
     lambda s, d: _pooled(masked(s, d), vx.masked_mean(F.col("states"), F.col("mask"))),
-    f"SELECT label, i::BIGINT - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS x FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place <= {POSITIONS} GROUP BY label, i",
+    f"""SELECT label, i::BIGINT - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS x
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place
+FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place <= {POSITIONS} GROUP BY label, i""",
 )
 Q["first_position_pool"] = (
     lambda s, d: _pooled(masked(s, d), F.transform(vx.first_position(F.col("states")), lambda x: x.cast("double"))),
-    "SELECT label, i::BIGINT - 1 AS dim, round(embedding[i]::DOUBLE, 6) AS x FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place = 1",
+    """SELECT label, i::BIGINT - 1 AS dim, round(embedding[i]::DOUBLE, 6) AS x
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place
+FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place = 1""",
 )
 
 
@@ -185,4 +212,5 @@ def lr_schedule(s, d, peak: float = 5e-4, warmup: int = 100, total: int = 1000):
     return s.range(total + 1).select(step.alias("step"), F.round(F.when(step < warmup, peak * step / warmup).otherwise(peak * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (step - warmup) / (total - warmup)))), 9).alias("rate"))
 
 
-Q["lr_schedule"] = (lr_schedule, "SELECT step, round(CASE WHEN step < 100 THEN 0.0005::DOUBLE * step / 100 ELSE 0.0005::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * (step - 100) / 900)) END, 9) AS rate FROM range(1001) AS r(step)")
+Q["lr_schedule"] = (lr_schedule, """SELECT step, round(CASE WHEN step < 100 THEN 0.0005::DOUBLE * step / 100
+ELSE 0.0005::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * (step - 100) / 900)) END, 9) AS rate FROM range(1001) AS r(step)""")

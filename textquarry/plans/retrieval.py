@@ -21,7 +21,9 @@ def _round(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-Q["corpus_stats"] = (lambda s, d: _round(bm25.corpus_stats(_tokens(s, d)), "avgdl"), f"WITH {index_sql()} SELECT n, round(avgdl, 6) AS avgdl FROM st")
+Q["corpus_stats"] = (
+    lambda s, d: _round(bm25.corpus_stats(_tokens(s, d)), "avgdl"),
+    f"WITH {index_sql()} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 Q["term_freq"] = (lambda s, d: bm25.term_freq(_tokens(s, d)), f"WITH {index_sql()} SELECT doc_id, term, tf, dl::BIGINT AS dl FROM tf")
 Q["doc_freq"] = (lambda s, d: index(s, d).vocab.select("term", "df"), f"WITH {index_sql()} SELECT term, df FROM df")
 for _m in ("robertson", "atire"):
@@ -34,14 +36,20 @@ def _bench_scores(s, d, method="robertson"):
 
 Q["bm25_scores"] = (_bench_scores, f"WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT * FROM sc")
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
-Q["topk_bm25"] = (lambda s, d: bm25.top_k(_bench_scores(s, d), 10), f"WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT * FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= 10")
+Q["topk_bm25"] = (lambda s, d: bm25.top_k(_bench_scores(s, d), 10), f"""WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT *
+FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= 10""")
 Q["query_term_prune"] = (
     lambda s, d: _round(bm25.prune_terms(bench_queries(s, d), index(s, d).vocab), "idf"),
-    f"WITH {BENCH}, {index_sql()} SELECT query_id, term, round(idf, 6) AS idf, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, term) AS place FROM (SELECT DISTINCT query_id, unnest({TOK('query')}) AS term FROM qs) JOIN vocab USING (term) WHERE idf >= 1) WHERE place <= 8",
+    f"""WITH {BENCH}, {index_sql()} SELECT query_id, term, round(idf, 6) AS idf, place
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, term) AS place
+FROM (SELECT DISTINCT query_id, unnest({TOK('query')}) AS term FROM qs) JOIN vocab USING (term) WHERE idf >= 1)
+WHERE place <= 8""",
 )
 Q["variant_parity"] = (
     lambda s, d: _bench_scores(s, d).withColumnRenamed("score", "a").join(_bench_scores(s, d, "atire").withColumnRenamed("score", "b"), ["query_id", "doc_id"]).agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 6).alias("pearson"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mean_diff"), F.round(F.max(F.abs(F.col("a") - F.col("b"))), 5).alias("max_diff")),
-    f"WITH {BENCH}, {paired_sql()}, {paired_sql('atire', p='a_')} SELECT count(*) AS n, round(corr(x.score, y.score), 6) AS pearson, round(avg(abs(x.score - y.score)), 6) AS mean_diff, round(max(abs(x.score - y.score)), 5) AS max_diff FROM sc x JOIN a_sc y USING (query_id, doc_id)",
+    f"""WITH {BENCH}, {paired_sql()}, {paired_sql('atire', p='a_')}
+SELECT count(*) AS n, round(corr(x.score, y.score), 6) AS pearson, round(avg(abs(x.score - y.score)), 6) AS mean_diff, round(max(abs(x.score - y.score)), 5) AS max_diff
+FROM sc x JOIN a_sc y USING (query_id, doc_id)""",
 )
 
 
@@ -61,13 +69,21 @@ def _lower_ws(x):
     return WS(f"lower({x})")
 
 
-_ARMS = f"{PAIRED}, {paired_sql()}, {ranks_sql()}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', _lower_ws, 'w_')}, {ranks_sql('w_')}, arms AS (" + " UNION ALL ".join(f"SELECT '{n}' AS arm, mrr, recall_10 FROM (SELECT {METRICS} FROM {p}rk)" for n, p in (("atire", "a_"), ("robertson", ""), ("spaces", "w_"))) + ")"
-Q["leaderboard"] = (lambda s, d: _arms(s, d).withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), "arm")).cast("long")), f"WITH {_ARMS} SELECT *, row_number() OVER (ORDER BY mrr DESC, arm) AS place FROM arms")
-Q["best_variant"] = (lambda s, d: _arms(s, d).where("arm != 'spaces'").orderBy(F.desc("mrr"), "arm").limit(1).select("arm", "mrr"), f"WITH {_ARMS} SELECT arm, mrr FROM arms WHERE arm != 'spaces' ORDER BY mrr DESC, arm LIMIT 1")
-Q["harmonic_table"] = (lambda s, d: _round(ranking.harmonic(s, 200), "h"), "SELECT n, round(coalesce(sum(CASE WHEN n > 0 THEN 1.0::DOUBLE / n END) OVER (ORDER BY n), 0), 6) AS h FROM range(201) AS r(n)")
+_ARMS = f"""{PAIRED}, {paired_sql()}, {ranks_sql()}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', _lower_ws, 'w_')}, {ranks_sql('w_')},
+arms AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS arm, mrr, recall_10 FROM (SELECT {METRICS} FROM {p}rk)" for n, p in (("atire", "a_"), ("robertson", ""), ("spaces", "w_"))) + ")"
+Q["leaderboard"] = (
+    lambda s, d: _arms(s, d).withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), "arm")).cast("long")),
+    f"WITH {_ARMS} SELECT *, row_number() OVER (ORDER BY mrr DESC, arm) AS place FROM arms")
+Q["best_variant"] = (
+    lambda s, d: _arms(s, d).where("arm != 'spaces'").orderBy(F.desc("mrr"), "arm").limit(1).select("arm", "mrr"),
+    f"WITH {_ARMS} SELECT arm, mrr FROM arms WHERE arm != 'spaces' ORDER BY mrr DESC, arm LIMIT 1")
+Q["harmonic_table"] = (lambda s, d: _round(ranking.harmonic(s, 200), "h"), """SELECT n, round(coalesce(sum(CASE WHEN n > 0
+THEN 1.0::DOUBLE / n END) OVER (ORDER BY n), 0), 6) AS h FROM range(201) AS r(n)""")
 _R = f"{PAIRED}, {paired_sql()}, {ranks_sql()}"
 Q["harmonic_ranks"] = (lambda s, d: _round(ranks(s, d), "rank"), f"WITH {_R} SELECT query_id, round(rank, 6) AS rank FROM rk")
-Q["optimistic_ranks"] = (lambda s, d: ranking.optimistic_ranks(paired_scores(s, d), truth(s, d)), f"WITH {_R} SELECT query_id, rank FROM (SELECT query_id, doc_id, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM sc) WHERE doc_id = query_id")
+Q["optimistic_ranks"] = (lambda s, d: ranking.optimistic_ranks(paired_scores(s, d), truth(s, d)), f"""WITH {_R}
+SELECT query_id, rank FROM (SELECT query_id, doc_id, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM sc)
+WHERE doc_id = query_id""")
 Q["metrics_all"] = (lambda s, d: ranking.metrics(ranks(s, d)), f"WITH {_R} SELECT count(*) AS n, {METRICS} FROM rk")
 
 
@@ -125,12 +141,24 @@ def _body_tok(x: str) -> str:
 _BR = f"""{PAIRED}, {paired_sql('atire', _body_tok, 'b_')}, {ranks_sql('b_').replace('b_rk AS', 'b_all AS')},
 rk AS (SELECT query_id, CASE WHEN rank <= {CUTOFF} THEN rank END AS rank FROM b_all)"""
 _RS = f"WITH {_BR}, {_STRATA}, rs AS (SELECT * FROM strata JOIN rk USING (query_id))"
-Q["rank_join_strata"] = (lambda s, d: _round(ranked_strata(s, d), "rank"), f"{_RS} SELECT query_id, coverage, overlap_bin, round(rank, 6) AS rank FROM rs")
-Q["metrics_by_stratum"] = (lambda s, d: ranking.metrics(ranked_strata(s, d), ["overlap_bin"]).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6)), f"{_RS} SELECT overlap_bin, count(*) AS n, {METRICS}, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM rs GROUP BY overlap_bin")
-Q["metrics_rollup"] = (lambda s, d: ranked_strata(s, d).rollup("overlap_bin").agg(F.count("*").alias("n"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(m) for m, c in ranking.suite(F.col("rank"))]).withColumn("overlap_bin", F.coalesce("overlap_bin", F.lit("Overall"))), f"{_RS} SELECT coalesce(overlap_bin, 'Overall') AS overlap_bin, count(*) AS n, {METRICS} FROM rs GROUP BY ROLLUP (overlap_bin)")
+Q["rank_join_strata"] = (
+    lambda s, d: _round(ranked_strata(s, d), "rank"),
+    f"{_RS} SELECT query_id, coverage, overlap_bin, round(rank, 6) AS rank FROM rs")
+Q["metrics_by_stratum"] = (
+    lambda s, d: ranking.metrics(ranked_strata(s, d), ["overlap_bin"]).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6)),
+    f"""{_RS}
+SELECT overlap_bin, count(*) AS n, {METRICS}, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM rs
+GROUP BY overlap_bin""")
+Q["metrics_rollup"] = (
+    lambda s, d: ranked_strata(s, d).rollup("overlap_bin").agg(F.count("*").alias("n"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(m) for m, c in ranking.suite(F.col("rank"))]).withColumn("overlap_bin", F.coalesce("overlap_bin", F.lit("Overall"))),
+    f"""{_RS}
+SELECT coalesce(overlap_bin, 'Overall') AS overlap_bin, count(*) AS n, {METRICS} FROM rs GROUP BY ROLLUP (overlap_bin)""")
 Q["pilot_gate"] = (
     lambda s, d: ranked_strata(s, d).agg(F.round(F.avg(ranking.reciprocal(F.col("rank"))), 6).alias("mrr"), F.round(F.coalesce(F.avg(F.when(F.col("overlap_bin") == "Low", ranking.reciprocal(F.col("rank")))), F.lit(0.0)), 6).alias("low_mrr")).withColumn("passed", (F.col("mrr") >= 0.75 * 0.5214) | (F.col("low_mrr") > 0.2489)),
-    f"{_RS}, g AS (SELECT round(avg(CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, round(coalesce(avg(CASE WHEN overlap_bin = 'Low' THEN CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END END), 0), 6) AS low_mrr FROM rs) SELECT mrr, low_mrr, mrr >= 0.75::DOUBLE * 0.5214::DOUBLE OR low_mrr > 0.2489 AS passed FROM g",
+    f"""{_RS}, g AS (SELECT round(avg(CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank
+ELSE 0 END), 6) AS mrr, round(coalesce(avg(CASE WHEN overlap_bin = 'Low' THEN CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank
+ELSE 0 END END), 0), 6) AS low_mrr FROM rs)
+SELECT mrr, low_mrr, mrr >= 0.75::DOUBLE * 0.5214::DOUBLE OR low_mrr > 0.2489 AS passed FROM g""",
 )
 # First words of under-specified queries.
 GENERIC = ("get", "set", "return", "update", "check", "create", "initialize", "reset", "clear")
@@ -177,7 +205,8 @@ def worst_failures(s, d, n: int = 3):
 
 Q["worst_failures"] = (
     worst_failures,
-    f"{_RS} SELECT query_id, round(rank, 6) AS rank FROM rs WHERE rank IS NULL OR rank > 50 ORDER BY coalesce(rank, 'inf'::DOUBLE) DESC, query_id LIMIT 3",
+    f"""{_RS} SELECT query_id, round(rank, 6) AS rank FROM rs WHERE rank IS NULL OR rank > 50
+ORDER BY coalesce(rank, 'inf'::DOUBLE) DESC, query_id LIMIT 3""",
 )
 
 
@@ -200,11 +229,16 @@ def overlap_pairs(s, d):
 
 
 _GR = lambda w: f"list_transform(range(1, len({w}) - 6), lambda i: array_to_string({w}[i:i + 7], ' '))"
-_HIT = lambda c: f"coalesce(CASE WHEN len(q) >= 8 AND len({c}) >= 8 THEN list_has_any({_GR('q')}, {_GR(c)}) WHEN len(q) >= 4 AND len(q) < 8 THEN list_has_all({c}, q) END, false)"
-_OV = f"ov AS (SELECT *, lead(body, 1, NULL) OVER (ORDER BY query_id) AS nx, first_value(body) OVER (ORDER BY query_id) AS fb, row_number() OVER (ORDER BY query_id DESC) AS rn FROM (SELECT doc_id AS query_id, {CONTENT('split_part(text, chr(10), 1)')} AS q, {TOK(SQL_BODY)} AS body FROM documents WHERE doc_id % 20 = 0)), ovp AS (SELECT query_id, q, body, CASE WHEN rn = 1 THEN fb ELSE nx END AS null_body FROM ov)"
+_HIT = lambda c: f"""coalesce(CASE WHEN len(q) >= 8 AND len({c}) >= 8 THEN list_has_any({_GR('q')}, {_GR(c)})
+WHEN len(q) >= 4 AND len(q) < 8 THEN list_has_all({c}, q) END, false)"""
+_OV = f"""ov AS (SELECT *, lead(body, 1, NULL) OVER (ORDER BY query_id) AS nx, first_value(body) OVER (ORDER BY query_id) AS fb, row_number() OVER (ORDER BY query_id DESC) AS rn
+FROM (SELECT doc_id AS query_id, {CONTENT('split_part(text, chr(10), 1)')} AS q, {TOK(SQL_BODY)} AS body FROM documents
+WHERE doc_id % 20 = 0)), ovp AS (SELECT query_id, q, body, CASE WHEN rn = 1 THEN fb ELSE nx END AS null_body FROM ov)"""
 Q["overlap_diagnostic"] = (
     lambda s, d: overlap_pairs(s, d).agg(F.count("*").alias("n"), F.round(F.avg(contains_ngram(F.col("q"), F.col("body")).cast("double")), 6).alias("true_rate"), F.round(F.avg(contains_ngram(F.col("q"), F.col("null_body")).cast("double")), 6).alias("null_rate")),
-    f"WITH {_OV} SELECT count(*) AS n, round(avg({_HIT('body')}::INT::DOUBLE), 6) AS true_rate, round(avg({_HIT('null_body')}::INT::DOUBLE), 6) AS null_rate FROM ovp",
+    f"""WITH {_OV}
+SELECT count(*) AS n, round(avg({_HIT('body')}::INT::DOUBLE), 6) AS true_rate, round(avg({_HIT('null_body')}::INT::DOUBLE), 6) AS null_rate
+FROM ovp""",
 )
 
 
@@ -249,13 +283,15 @@ FROM x GROUP BY 1""",
 )
 Q["hits_vs_nonhits"] = (
     lambda s, d: ranking.metrics(overlap_pairs(s, d).select("query_id", contains_ngram(F.col("q"), F.col("body")).alias("hit")).join(ranks(s, d), "query_id"), ["hit"]),
-    f"WITH {_R}, {_OV} SELECT hit, count(*) AS n, {METRICS} FROM (SELECT query_id, {_HIT('body')} AS hit FROM ovp) JOIN rk USING (query_id) GROUP BY hit",
+    f"""WITH {_R}, {_OV} SELECT hit, count(*) AS n, {METRICS} FROM (SELECT query_id, {_HIT('body')} AS hit FROM ovp)
+JOIN rk USING (query_id) GROUP BY hit""",
 )
 
 
 Q["leakage_delta"] = (
     lambda s, d: ranking.metrics(ranks(s, d)).select(F.lit("with").alias("corpus"), "mrr").unionByName(ranking.metrics(ranks(s, d, part="body")).select(F.lit("without").alias("corpus"), "mrr")),
-    f"WITH {_R}, {paired_sql('robertson', _body_tok, 'b_')}, {ranks_sql('b_')} SELECT 'with' AS corpus, mrr FROM (SELECT {METRICS} FROM rk) UNION ALL SELECT 'without', mrr FROM (SELECT {METRICS} FROM b_rk)",
+    f"""WITH {_R}, {paired_sql('robertson', _body_tok, 'b_')}, {ranks_sql('b_')} SELECT 'with' AS corpus, mrr
+FROM (SELECT {METRICS} FROM rk) UNION ALL SELECT 'without', mrr FROM (SELECT {METRICS} FROM b_rk)""",
 )
 
 # fusion: BM25 over identifier tokens (a) with BM25 over lower-cased words (b)
@@ -267,18 +303,35 @@ def _lists(s, d):
     return bm25.top_k(_bench_scores(s, d), POOL), bm25.top_k(bm25.scores(q, index(s, d, tokenizer="words")), POOL)
 
 
-_L = f"{BENCH}, {paired_sql()}, {paired_sql('robertson', _lower_ws, 'w_')}, la AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= {POOL}), lb AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM w_sc) WHERE rank <= {POOL}), m AS (SELECT query_id, doc_id, la.score AS sa, la.rank AS ra, lb.score AS sb, lb.rank AS rb FROM la FULL JOIN lb USING (query_id, doc_id))"
-_RRF = f"WITH {_L}, f AS (SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / ({{k}} + ra), {{miss}}) + coalesce(1.0::DOUBLE / ({{k}} + rb), {{miss}}), 9) AS score FROM m) SELECT * FROM (SELECT *, {_TOP} AS rank FROM f) WHERE rank <= 10"
+_L = f"""{BENCH}, {paired_sql()}, {paired_sql('robertson', _lower_ws, 'w_')}, la AS (SELECT * FROM (SELECT *, {_TOP} AS rank
+FROM sc) WHERE rank <= {POOL}), lb AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM w_sc) WHERE rank <= {POOL}),
+m AS (SELECT query_id, doc_id, la.score AS sa, la.rank AS ra, lb.score AS sb, lb.rank AS rb FROM la FULL
+JOIN lb USING (query_id, doc_id))"""
+_RRF = f"""WITH {_L},
+f AS (SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / ({{k}} + ra), {{miss}}) + coalesce(1.0::DOUBLE / ({{k}} + rb), {{miss}}), 9) AS score
+FROM m) SELECT * FROM (SELECT *, {_TOP} AS rank FROM f) WHERE rank <= 10"""
 Q["rrf_fusion"] = (lambda s, d: fusion.rrf(*_lists(s, d), 10), _RRF.format(k=60, miss="0.0::DOUBLE"))
-Q["rrf_fusion_imputed"] = (lambda s, d: fusion.rrf(*_lists(s, d), 10, 20, POOL + 10), _RRF.format(k=20, miss=f"1.0::DOUBLE / {20 + POOL + 10}"))
+Q["rrf_fusion_imputed"] = (
+    lambda s, d: fusion.rrf(*_lists(s, d), 10, 20, POOL + 10),
+    _RRF.format(k=20, miss=f"1.0::DOUBLE / {20 + POOL + 10}"))
 _N = lambda c: f"coalesce(({c} - min({c}) OVER (PARTITION BY query_id)) / (max({c}) OVER (PARTITION BY query_id) - min({c}) OVER (PARTITION BY query_id) + 1e-9), 0)"
-_CX = f"WITH {_L}, z AS (SELECT query_id, doc_id, {_N('sa')} AS na, {_N('sb')} AS nb FROM m), f AS (SELECT query_id, doc_id, round(na, 9) AS norm_a, round(nb, 9) AS norm_b, round(0.7::DOUBLE * na + (1 - 0.7::DOUBLE) * nb, 9) AS score FROM z), x AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM f) WHERE rank <= {{}})"
+_CX = f"""WITH {_L}, z AS (SELECT query_id, doc_id, {_N('sa')} AS na, {_N('sb')} AS nb FROM m),
+f AS (SELECT query_id, doc_id, round(na, 9) AS norm_a, round(nb, 9) AS norm_b, round(0.7::DOUBLE * na + (1 - 0.7::DOUBLE) * nb, 9) AS score
+FROM z), x AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM f) WHERE rank <= {{}})"""
 Q["convex_fusion"] = (lambda s, d: fusion.convex(*_lists(s, d), 10), _CX.format(10) + " SELECT * FROM x")
-Q["score_decomposition"] = (lambda s, d: fusion.convex(*_lists(s, d), 10).select("query_id", "doc_id", F.round(F.coalesce(100 * 0.7 * F.col("norm_a") / F.nullif("score", F.lit(0.0)), F.lit(0.0)), 4).alias("pct_a")), _CX.format(10) + " SELECT query_id, doc_id, round(coalesce(100 * 0.7::DOUBLE * norm_a / nullif(score, 0), 0), 4) AS pct_a FROM x")
+Q["score_decomposition"] = (
+    lambda s, d: fusion.convex(*_lists(s, d), 10).select("query_id", "doc_id", F.round(F.coalesce(100 * 0.7 * F.col("norm_a") / F.nullif("score", F.lit(0.0)), F.lit(0.0)), 4).alias("pct_a")),
+    _CX.format(10) + """ SELECT query_id, doc_id, round(coalesce(100 * 0.7::DOUBLE * norm_a / nullif(score, 0), 0), 4) AS pct_a
+FROM x""")
 _QUAD = lambda a, b: [("both", a & b), ("only_a", a & ~b), ("only_b", ~a & b), ("neither", ~a & ~b)]
-Q["discordance_quadrants"] = (lambda s, d: fusion.convex(*_lists(s, d), 1000).agg(*[F.sum(c.cast("long")).alias(n) for n, c in _QUAD(F.col("norm_a") >= 0.5, F.col("norm_b") >= 0.5)]), _CX.format(1000) + " SELECT " + ", ".join(f"sum(({'' if x else 'NOT '}norm_a >= 0.5 AND {'' if y else 'NOT '}norm_b >= 0.5)::INT)::BIGINT AS {n}" for n, x, y in (("both", 1, 1), ("only_a", 1, 0), ("only_b", 0, 1), ("neither", 0, 0))) + " FROM x")
+Q["discordance_quadrants"] = (
+    lambda s, d: fusion.convex(*_lists(s, d), 1000).agg(*[F.sum(c.cast("long")).alias(n) for n, c in _QUAD(F.col("norm_a") >= 0.5, F.col("norm_b") >= 0.5)]),
+    _CX.format(1000) + " SELECT " + ", ".join(f"""sum(({'' if x else 'NOT '}norm_a >= 0.5
+AND {'' if y else 'NOT '}norm_b >= 0.5)::INT)::BIGINT AS {n}""" for n, x, y in (("both", 1, 1), ("only_a", 1, 0), ("only_b", 0, 1), ("neither", 0, 0))) + " FROM x")
 _RR = "CASE WHEN {p}rk.rank >= 1 THEN 1.0::DOUBLE / {p}rk.rank ELSE 0 END"
 Q["oracle_bound"] = (
     lambda s, d: ranks(s, d).withColumnRenamed("rank", "x").join(ranks(s, d, "robertson", "words").withColumnRenamed("rank", "y"), "query_id").select(F.round(ranking.reciprocal(F.col("x")), 9).alias("a"), F.round(ranking.reciprocal(F.col("y")), 9).alias("b")).agg(F.round(F.avg(F.greatest("a", "b")), 6).alias("best_mrr"), *[F.sum(c.cast("long")).alias(n) for n, c in (("wins", F.col("a") > F.col("b")), ("losses", F.col("a") < F.col("b")), ("ties", F.col("a") == F.col("b")))]),
-    f"WITH {_R}, {paired_sql('robertson', _lower_ws, 'w_')}, {ranks_sql('w_')} SELECT round(avg(greatest(a, b)), 6) AS best_mrr, sum((a > b)::INT)::BIGINT AS wins, sum((a < b)::INT)::BIGINT AS losses, sum((a = b)::INT)::BIGINT AS ties FROM (SELECT round({_RR.format(p='')}, 9) AS a, round({_RR.format(p='w_')}, 9) AS b FROM rk JOIN w_rk USING (query_id))",
+    f"""WITH {_R}, {paired_sql('robertson', _lower_ws, 'w_')}, {ranks_sql('w_')}
+SELECT round(avg(greatest(a, b)), 6) AS best_mrr, sum((a > b)::INT)::BIGINT AS wins, sum((a < b)::INT)::BIGINT AS losses, sum((a = b)::INT)::BIGINT AS ties
+FROM (SELECT round({_RR.format(p='')}, 9) AS a, round({_RR.format(p='w_')}, 9) AS b FROM rk JOIN w_rk USING (query_id))""",
 )

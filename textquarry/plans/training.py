@@ -87,7 +87,9 @@ nn AS (SELECT sh.doc_id, coalesce(other_id, -1) AS other_id, coalesce(jaccard, 0
 Q["exact_nn_jaccard"] = (nearest, f"{_NN} SELECT * FROM nn")
 Q["rule_of_three"] = (
     lambda s, d: nearest(s, d).agg(F.count("*").alias("n"), F.sum((F.col("jaccard") >= 0.85).cast("long")).alias("n_near")).select("n", "n_near", F.round(ranking.upper_bound(F.col("n")), 9).alias("bound")),
-    f"{_NN} SELECT count(*) AS n, sum((jaccard >= 0.85)::INT)::BIGINT AS n_near, round(1 - pow(0.05::DOUBLE, 1.0::DOUBLE / count(*)), 9) AS bound FROM nn",
+    f"""{_NN}
+SELECT count(*) AS n, sum((jaccard >= 0.85)::INT)::BIGINT AS n_near, round(1 - pow(0.05::DOUBLE, 1.0::DOUBLE / count(*)), 9) AS bound
+FROM nn""",
 )
 
 
@@ -97,7 +99,8 @@ def jaccard_histogram(s, d):
     return s.range(10).select(F.col("id").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-Q["jaccard_histogram"] = (jaccard_histogram, f"{_NN} SELECT b AS bin, count(doc_id) AS n FROM range(10) AS r(b) LEFT JOIN nn ON least(floor(jaccard * 10), 9) = b GROUP BY b")
+Q["jaccard_histogram"] = (jaccard_histogram, f"""{_NN} SELECT b AS bin, count(doc_id) AS n FROM range(10) AS r(b) LEFT
+JOIN nn ON least(floor(jaccard * 10), 9) = b GROUP BY b""")
 ADDED = " added words at the end"
 
 
@@ -114,7 +117,8 @@ def dedup_positive_control(s, d):
 
 
 _BOTH = "len(list_intersect(x.g, y.g))::DOUBLE / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))"
-_CUT = "SELECT doc_id, k::INT AS band, array_to_string(sig[k * 4 + 1:k * 4 + 4], ',') AS key FROM {} JOIN big USING (doc_id), unnest(range(16)) AS r(k)"
+_CUT = """SELECT doc_id, k::INT AS band, array_to_string(sig[k * 4 + 1:k * 4 + 4], ',') AS key FROM {}
+JOIN big USING (doc_id), unnest(range(16)) AS r(k)"""
 Q["dedup_positive_control"] = (
     dedup_positive_control,
     f"""WITH {_SIG}, {sig_sql('c', f"(text || '{ADDED}')")}, big AS (SELECT doc_id FROM sh WHERE len(g) >= 25 AND doc_id % 10 < 8),
@@ -125,21 +129,34 @@ SELECT count(*) AS n, count(near.doc_id) AS found FROM own LEFT JOIN near ON nea
 )
 
 # resampling
-Q["seeded_sample"] = (lambda s, d: docs(s, d).select("doc_id", tx.unit_hash(F.lit(42), F.col("doc_id")).alias("h")).orderBy("h", "doc_id").limit(100).select("doc_id"), f"SELECT doc_id FROM documents ORDER BY {HASH('42', 'doc_id')}, doc_id LIMIT 100")
+Q["seeded_sample"] = (
+    lambda s, d: docs(s, d).select("doc_id", tx.unit_hash(F.lit(42), F.col("doc_id")).alias("h")).orderBy("h", "doc_id").limit(100).select("doc_id"),
+    f"SELECT doc_id FROM documents ORDER BY {HASH('42', 'doc_id')}, doc_id LIMIT 100")
 TIMES, PAIRED_TIMES = 1000, 2000
 _R = f"{PAIRED}, {paired_sql()}, {ranks_sql()}"
-_DRAW = f"nr AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS row FROM {{src}}), dr AS (SELECT b, floor({HASH('42', 'b', 'j')} * (SELECT count(*) FROM nr))::BIGINT AS row FROM range({{times}}) AS x(b), (SELECT row AS j FROM nr)), bs AS (SELECT b, {{aggs}} FROM dr JOIN nr USING (row) GROUP BY b)"
+_DRAW = f"""nr AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS row FROM {{src}}),
+dr AS (SELECT b, floor({HASH('42', 'b', 'j')} * (SELECT count(*) FROM nr))::BIGINT AS row
+FROM range({{times}}) AS x(b), (SELECT row AS j FROM nr)), bs AS (SELECT b, {{aggs}} FROM dr JOIN nr USING (row) GROUP BY b)"""
 _EXPR = {"mrr": "CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END"} | {f"recall_{k}": f"CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE ELSE 0 END" for k in (1, 5, 10)} | {f"ndcg_{k}": f"CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END" for k in (1, 5, 10)}
 _CI = "round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.975), 6) AS high"
 _SUITE = f"WITH {_R}, " + _DRAW.format(times=TIMES, src="rk", aggs=", ".join(f"avg({e}) AS {m}" for m, e in _EXPR.items()))
-Q["bootstrap_mrr_ci"] = (lambda s, d: ranking.bootstrap(ranks(s, d), TIMES).where("metric = 'mrr'").select("low", "high"), f"{_SUITE} SELECT {_CI.format('mrr')} FROM bs")
-Q["bootstrap_suite"] = (lambda s, d: ranking.bootstrap(ranks(s, d), TIMES), f"{_SUITE} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {_CI.format(m)} FROM bs" for m in _EXPR))
+Q["bootstrap_mrr_ci"] = (
+    lambda s, d: ranking.bootstrap(ranks(s, d), TIMES).where("metric = 'mrr'").select("low", "high"),
+    f"{_SUITE} SELECT {_CI.format('mrr')} FROM bs")
+Q["bootstrap_suite"] = (
+    lambda s, d: ranking.bootstrap(ranks(s, d), TIMES),
+    f"{_SUITE} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {_CI.format(m)} FROM bs" for m in _EXPR))
 _e = lambda m, c: _EXPR[m].replace("rank", c)
 Q["paired_bootstrap"] = (
     lambda s, d: ranking.paired_bootstrap(ranks(s, d, "atire"), ranks(s, d, "robertson", "words"), PAIRED_TIMES),
-    f"WITH {_R.replace('rk AS', 'unused AS')}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', lambda x: WS(f'lower({x})'), 'w_')}, {ranks_sql('w_')}, pairs AS (SELECT query_id, a_rk.rank AS ra, w_rk.rank AS rb FROM a_rk JOIN w_rk USING (query_id)), "
+    f"""WITH {_R.replace('rk AS', 'unused AS')}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', lambda x: WS(f'lower({x})'), 'w_')}, {ranks_sql('w_')},
+pairs AS (SELECT query_id, a_rk.rank AS ra, w_rk.rank AS rb FROM a_rk JOIN w_rk USING (query_id)), """
     + _DRAW.format(times=PAIRED_TIMES, src="pairs", aggs=f"round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 9) AS dd")
-    + f", mn AS (SELECT round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 6) AS delta_rr, round(avg(({_e('recall_1', 'ra')}) - ({_e('recall_1', 'rb')})), 6) AS delta_r1 FROM pairs), ci AS (SELECT {_CI.format('dd')}, least(1.0::DOUBLE, 2 * least(avg((dd <= 0)::INT::DOUBLE), avg((dd >= 0)::INT::DOUBLE))) AS p FROM bs) SELECT *, low >= -0.03 AS equivalent, low > 0 OR high < 0 AS significant FROM mn, ci",
+    + f""",
+mn AS (SELECT round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 6) AS delta_rr, round(avg(({_e('recall_1', 'ra')}) - ({_e('recall_1', 'rb')})), 6) AS delta_r1
+FROM pairs),
+ci AS (SELECT {_CI.format('dd')}, least(1.0::DOUBLE, 2 * least(avg((dd <= 0)::INT::DOUBLE), avg((dd >= 0)::INT::DOUBLE))) AS p
+FROM bs) SELECT *, low >= -0.03 AS equivalent, low > 0 OR high < 0 AS significant FROM mn, ci""",
 )
 
 # mining: the skeleton of prose is its source and number of lines
@@ -221,7 +238,8 @@ def mine_simple(s, d):
 Q["mine_simple_negatives"] = (
     mine_simple,
     f"WITH {_R}, "
-    + _filled("SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM sc WHERE doc_id != query_id", SIMPLE, "WHERE nd.doc_id != dw.query_id")
+    + _filled("""SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place
+FROM sc WHERE doc_id != query_id""", SIMPLE, "WHERE nd.doc_id != dw.query_id")
     + " SELECT * FROM ng",
 )
 
