@@ -37,7 +37,7 @@ class Index:
         if not store.finished(spark, f"{path}/stats"):
             raise FileNotFoundError(f"no index in {path}: write one first")
         stats = Stats(*spark.read.parquet(f"{path}/stats").select("n", "avgdl", "mean_raw").first())
-        vocab = spark.read.parquet(f"{path}/vocab")
+        vocab = spark.read.parquet(f"{path}/vocab").select("term", "df")
         return Index(spark.read.parquet(f"{path}/postings"), vocab.withColumn("idf", idf(stats, method)), stats.n, stats.avgdl)
 
 
@@ -89,15 +89,14 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     """Writes the index of docs to a folder. Each file of postings is sorted by term, so that a search for a few terms
     skips most row groups; an empty corpus gives an empty index."""
     spark = docs.sparkSession
-    docs = store.spread(docs.select(doc_id, text))
-    term_freq(tokenized(docs, doc_id, text, tokenizer)).sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/vocab")
-    counts = docs.select(doc_id).agg(F.count("*").alias("n")).crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))
-    counts = counts.select("n", F.coalesce(F.col("all") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"))
-    raw = spark.read.parquet(f"{path}/vocab").crossJoin(F.broadcast(counts.select("n")))
-    mean = raw.agg(F.round(F.avg(raw_idf(F.col("n"), F.col("df"))), 9).alias("mean_raw"))
-    counts.crossJoin(mean).coalesce(1).write.parquet(f"{path}/stats")
+    docs = docs.select(doc_id, text)
+    term_freq(tokenized(store.spread(docs), doc_id, text, tokenizer)).sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms.write.parquet(f"{path}/vocab")
+    n = docs.select(doc_id).count()
+    sums = spark.read.parquet(f"{path}/vocab").agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("all"), F.round(F.avg(raw_idf(F.lit(n), F.col("df"))), 9).alias("mean_raw"))
+    avgdl = F.coalesce(F.col("all") / F.nullif(F.lit(n), F.lit(0)), F.lit(0.0))
+    sums.select(F.lit(n).cast("long").alias("n"), avgdl.alias("avgdl"), "mean_raw").coalesce(1).write.parquet(f"{path}/stats")
 
 
 def build(docs: DataFrame, method: str = "robertson", doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens) -> Index:
@@ -118,13 +117,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return exploded.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(queries: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score) of all documents that share a term with queries (query_id, tokens). Repeated query
-    terms add again; scores are rounded to 6 places, so that equal documents tie."""
-    weighted = query_terms(queries).join(index.vocab.select("term", "idf"), "term")
-    weighted = store.cut(weighted.select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("qw")))
-    few = weighted.count() <= BROADCAST_TERMS
-    met = index.postings.join(F.broadcast(weighted) if few else weighted, "term")
+def weighted_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """(term, query_id, qw) of queries (query_id, tokens): what each term weighs in its query; run once."""
+    met = query_terms(queries).join(index.vocab.select("term", "idf"), "term")
+    return store.cut(met.select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("qw")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def scores(queries: DataFrame | None, index: Index, k1: float = K1, b: float = B, weighted: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of all documents that share a term with queries (query_id, tokens), or with weighted terms
+    made of them. Repeated query terms add again; scores are rounded to 6 places, so that equal documents tie."""
+    weighted = weighted_terms(queries, index) if weighted is None else weighted
+    return _summed(index.postings.join(_small(weighted), "term"), index, k1, b)
+
+
+def pair_scores(weighted: DataFrame, index: Index, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """The scores of given pairs (query_id, doc_id) alone; of the postings only theirs leave the scan."""
+    wanted = store.cut(weighted.join(pairs.select("query_id", "doc_id"), "query_id"))
+    return _summed(index.postings.join(_small(wanted), ["term", "doc_id"]), index, k1, b)
+
+
+def _summed(met: DataFrame, index: Index, k1: float, b: float) -> DataFrame:
     part = F.col("qw") * weight(F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b)
     return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 

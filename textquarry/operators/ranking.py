@@ -21,10 +21,17 @@ def upper_bound(n: Column, level: float = 0.95) -> Column:
     return F.when(n > 0, 1 - F.pow(F.lit(1 - level), 1.0 / n)).otherwise(1.0)
 
 
-def tie_counts(scored: DataFrame, truth: DataFrame) -> DataFrame:
-    """(query_id, greater, equal) of the target's score among a query's; targets without a score are left out."""
-    target = scored.join(truth, ["query_id", "doc_id"]).where("score > 0").select("query_id", F.col("score").alias("own"))
-    return scored.join(target, "query_id").groupBy("query_id").agg(F.sum((F.col("score") > F.col("own")).cast("long")).alias("greater"), F.sum((F.col("score") == F.col("own")).cast("long")).alias("equal"))
+#: Targets are broadcast up to so many; more are joined by shuffle.
+BROADCAST_TARGETS = 400_000
+
+
+def tie_counts(scored: DataFrame, truth: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(query_id, greater, equal) of the target's score among a query's; targets without a score are left out. `own` may
+    give the targets' scores (query_id, doc_id, score); without it scored is run twice."""
+    target = (scored.join(truth, ["query_id", "doc_id"]) if own is None else own).where("score > 0").select("query_id", F.col("score").alias("own"))
+    target = F.broadcast(target) if truth.count() <= BROADCAST_TARGETS else target
+    greater, equal = (F.sum(c.cast("long")) for c in (F.col("score") > F.col("own"), F.col("score") == F.col("own")))
+    return scored.join(target, "query_id").groupBy("query_id").agg(greater.alias("greater"), equal.alias("equal"))
 
 
 def expected_rr(greater: Column, equal: Column) -> Column:
@@ -32,15 +39,15 @@ def expected_rr(greater: Column, equal: Column) -> Column:
     return F.aggregate(F.sequence(greater + 1, greater + equal), F.lit(0.0), lambda s, i: s + 1.0 / i) / equal
 
 
-def harmonic_ranks(scored: DataFrame, truth: DataFrame, max_candidates: int | None = None, zero_policy: str = "unretrieved", n_docs: int | None = None) -> DataFrame:
+def harmonic_ranks(scored: DataFrame, truth: DataFrame, max_candidates: int | None = None, zero_policy: str = "unretrieved", n_docs: int | None = None, own: DataFrame | None = None) -> DataFrame:
     """(query_id, rank) of truth (query_id, doc_id): the inverse of the expected reciprocal rank, null if unretrieved or
     beyond max_candidates. A target without a score is unretrieved, or, with zero_policy "ties", one of all documents of
-    the n_docs that the query doesn't score, on the places behind those it does."""
+    the n_docs that the query doesn't score, on the places behind those it does. `own` as in tie_counts."""
     if zero_policy not in ("unretrieved", "ties") or (zero_policy == "ties" and n_docs is None):
         raise ValueError("zero_policy is unretrieved, or ties with n_docs")
     if max_candidates is not None and max_candidates < 1:
         raise ValueError("max_candidates must be at least 1")
-    counts = tie_counts(scored, truth)
+    counts = tie_counts(scored, truth, own)
     found = truth.select("query_id").join(counts, "query_id", "left")
     if zero_policy == "ties":
         positive = scored.where("score > 0").groupBy("query_id").agg(F.count("*").alias("positive"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import bm25, dedup
+from ..operators import bm25, dedup, ranking
 from ..sources import store
 
 
@@ -133,3 +133,13 @@ def SHINGLES(w: str) -> str:
     """Distinct word 3-grams in order of a list expression that is a column name."""
     return f"""list_distinct(CASE WHEN len({w}) >= 3
 THEN list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i + 2], ' ')) ELSE {w} END)"""
+
+
+def paired_ranks(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text", **options) -> DataFrame:
+    """Ranks of the paired queries' own documents. Their scores are found first, from their own postings; then all scores
+    are compared with them where they are made."""
+    own = index(spark, sf, method, tokenizer, part)
+    queries = paired_queries(spark, sf).select("query_id", TOKENIZERS[tokenizer](F.col("query")).alias("tokens"))
+    weighted, pairs = bm25.weighted_terms(queries, own), truth(spark, sf)
+    targets = store.cut(bm25.pair_scores(weighted, own, pairs))
+    return ranking.harmonic_ranks(bm25.scores(None, own, weighted=weighted), pairs, own=targets, **options)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import bm25, dedup, ranking
 from ..sources import io, store
-from .base import BENCH, METRICS, PAIRED, SHINGLES, STOP, TOK, WS, bench_queries, docs, index, index_sql, paired_scores, paired_sql, ranks_sql, scores_sql, table, truth
+from .base import BENCH, METRICS, PAIRED, SHINGLES, STOP, TOK, WS, bench_queries, docs, index, index_sql, paired_ranks, paired_sql, ranks_sql, scores_sql, table
 
 Q: dict = {}
 JUNK = ("todo", "none", "pass", "fixme")
@@ -251,7 +251,7 @@ ELSE 'test' END AS split, length(text)::BIGINT AS n FROM documents""")
 
 def _report(s, d):
     names = {"mrr": "MRR", "recall_1": "Recall@1", "recall_10": "Recall@10"}
-    found = ranking.metrics(ranking.harmonic_ranks(paired_scores(s, d), truth(s, d)))
+    found = ranking.metrics(paired_ranks(s, d))
     return found.select(F.lit("bm25").alias("arm"), *[F.col(a).alias(b) for a, b in names.items()])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import bm25, fusion, numbering, ranking
 from ..sources import store
-from .base import BENCH, CONTENT, METRICS, PAIRED, SQL_BODY, TOK, WS, bench_queries, body, docs, index, index_sql, paired_queries, paired_scores, paired_sql, ranks_sql, scores_sql, table, truth
+from .base import BENCH, CONTENT, METRICS, PAIRED, SQL_BODY, TOK, WS, bench_queries, body, docs, index, index_sql, paired_queries, paired_ranks, paired_scores, paired_sql, ranks_sql, scores_sql, table, truth
 
 Q: dict = {}
 
@@ -54,7 +54,7 @@ FROM sc x JOIN a_sc y USING (query_id, doc_id)""",
 
 
 def ranks(s, d, method="robertson", tokenizer="identifiers", part="text"):
-    return ranking.harmonic_ranks(paired_scores(s, d, method, tokenizer, part), truth(s, d))
+    return paired_ranks(s, d, method, tokenizer, part)
 
 
 def _arms(s, d):
@@ -127,7 +127,7 @@ CUTOFF = 1000
 
 def body_ranks(s, d):
     """Ranks of the paired queries over documents without their first lines, none beyond the first 1000 places."""
-    return ranking.harmonic_ranks(paired_scores(s, d, "atire", part="body"), truth(s, d), max_candidates=CUTOFF)
+    return paired_ranks(s, d, "atire", part="body", max_candidates=CUTOFF)
 
 
 def ranked_strata(s, d):

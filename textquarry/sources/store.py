@@ -39,7 +39,7 @@ def finished(spark, folder: str) -> bool:
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores where it is read in fewer parts than there are (so it is small): only then is it shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def files_digest(spark, path: str) -> str:
@@ -69,8 +69,11 @@ def kept(spark, name: str, made_from: str, build: Callable[[str], None]) -> str:
         own = f"{shared_folder(spark)}/kept/_{uuid.uuid4().hex}"
         build(own)
         _, source = _file_system(spark, own)
-        if not fs.rename(source, path) and not fs.exists(path):
-            raise OSError(f"could not rename {own} to {folder}")
+        # if another build was faster, its table stays; one that slips in here would be put inside it, where no reader looks
+        if fs.exists(path) or not fs.rename(source, path):
+            fs.delete(source, True)
+            if not fs.exists(path):
+                raise OSError(f"could not rename {own} to {folder}")
     return folder
 
 
