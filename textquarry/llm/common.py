@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text handled at once by a vectorised step; a longer document forms a block of its own.
 BLOCK_BYTES = 1 << 19
+#: Tables of powers of up to so many entries (64 MB) are kept by a worker.
+KEPT_POWERS = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -155,15 +157,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or _powers[0].size < n:
-        size = max(n, BLOCK_BYTES + 1)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
+    """Powers of the base and of its inverse; those for a long text aren't kept behind it."""
+    if _powers and _powers[0].size >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= KEPT_POWERS:
         _powers[:] = made
-    return _powers[0], _powers[1]
+    return made[0], made[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
