@@ -6,8 +6,8 @@ around it. A long line is looked up by itself. Of equal pairs the one at the sma
 first place of a line is never removed. Blank lines are lines.
 
 A pair is told by the 64-bit hashes of its two lines. That equal hashes mean equal bytes is checked on the bytes of all
-lines: least and greatest bytes of a hash, with partial aggregation, so a line that a third of all documents hold is
-compared where it stands. Lines whose hash stands for different bytes are told by SHA-256 instead.
+lines: the distinct ones of a hash, with partial aggregation, so a line that a third of all documents hold is compared
+where it stands. Lines whose hash stands for different bytes are told by SHA-256 instead.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from . import common
 #: A line of more words, or of at least so many bytes, is looked up by itself.
 LONG_WORDS = 50
 LONG_BYTES = 400
+#: Longer lines travel as zstd frames to be compared: different bytes have different frames, and should equal ones too (of
+#: workers with different libraries), the line counts as a clash and is told by its SHA-256.
+PACKED_BYTES = 64
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,10 +65,26 @@ def _line_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in common.text_blocks(batch.column(0)):
             starts, _, bare, _ = lines_of(data, offsets)
             h, at = np.unique(line_hashes(data, starts, bare, nothing), return_inverse=True)
-            raw, made = data.tobytes(), {}
+            raw, made, codec = data.tobytes(), {}, pa.Codec("zstd")
             for k, x, y in zip(at.tolist(), starts.tolist(), bare.tolist()):
                 made.setdefault((k, raw[x:y]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[[k for k, _ in made]] if made else nothing), pa.array([b for _, b in made], pa.binary())], names=["h", "bytes"])
+            packed = [codec.compress(b, asbytes=True) if len(b) > PACKED_BYTES else b for _, b in made]
+            yield pa.RecordBatch.from_arrays([pa.array(h[[k for k, _ in made]] if made else nothing), pa.array(packed, pa.binary())], names=["h", "bytes"])
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        texts = [v.as_buffer() if v.is_valid else None for v in batch.column(2)]
+        sizes = pa.array([None if v is None else v.size for v in texts], pa.int64())
+        packed = pa.array([None if v is None else codec.compress(v, asbytes=True) for v in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, packed], names=["doc_id", "key", "size", "packed"])
+
+
+def _unpacked(sizes: pa.Array, packed: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    raw = [(codec.decompress(v.as_buffer(), n, asbytes=True) if n else b"") if v.is_valid else None for n, v in zip(sizes.to_pylist(), packed)]
+    return pa.array(raw, pa.binary()).cast(pa.string())
 
 
 def _unit_rows(clashes: np.ndarray):
@@ -98,8 +117,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     Columns are taken by name, so others don't matter.
     """
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
-    seen = slim.select("text").mapInArrow(_line_bytes, "h long, bytes binary").groupBy("h").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
-    clashes = np.sort(np.array([r.h for r in seen.where("least != most").select("h").collect()], np.int64))
+    # a hash has one line's bytes, but for clashes: a set of them travels as one copy
+    seen = slim.select("text").mapInArrow(_line_bytes, "h long, bytes binary").groupBy("h").agg(F.collect_set("bytes").alias("lines"))
+    clashes = np.sort(np.array([r.h for r in seen.where(F.size("lines") > 1).select("h").collect()], np.int64))
     base = [slim.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("single", T.BooleanType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
     units = slim.mapInArrow(_unit_rows(clashes), T.StructType(base))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
@@ -110,12 +130,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     found = units.join(keepers, ["single", "a", "b"]).where(place != F.col("low")).select("doc_id", "key", (F.col("start") * 2 + F.col("single").cast("long")).alias("unit"))
     gone = found.groupBy("doc_id", "key").agg(F.collect_set("unit").alias("units"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "units")
-    joined = slim.join(gone, slim.doc_id.eqNullSafe(gone.gone_id) & slim.key.eqNullSafe(gone.gone_key), "left").select("doc_id", "text", "units")
+    # texts travel compressed
+    packed = slim.mapInArrow(_packed_texts, T.StructType([slim.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("packed", T.BinaryType())]))
+    joined = packed.join(gone, packed.doc_id.eqNullSafe(gone.gone_id) & packed.key.eqNullSafe(gone.gone_key), "left").select("doc_id", "size", "packed", "units")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            hits = batch.column(2)
+            column = _unpacked(batch.column(1), batch.column(2))
+            hits = batch.column(3)
             kept, n_lines, n_removed, removed = [], [], [], []
             for row, stop, data, offsets in common.text_blocks(column):
                 starts, ends, _, doc = lines_of(data, offsets)
