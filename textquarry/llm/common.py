@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -65,6 +66,16 @@ def delete(spark, folder: str) -> None:
     fs.delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch(spark) -> Iterator[str]:
+    """A folder of its own in the shared folder, deleted behind the block: what is read from it must be cut inside."""
+    folder = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        delete(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Runs df once and cuts its lineage with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontamination, language_id, licenses, line_dedup, media, mixing, quality, repeats, sharding, simhash
+from . import decontamination, language_id, licenses, line_dedup, lm_scoring, media, mixing, quality, repeats, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
+    "op12_lm_scoring": lm_scoring.op12_lm_scoring,
 }
 SQL = {**decontamination.SQL, **sharding.SQL, **repeats.SQL, **mixing.SQL, **line_dedup.SQL}
