@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, for the entry module."""
 
-from . import decontamination, language_id, licenses, line_dedup, lm_scoring, media, mixing, quality, repeats, sharding, simhash
+from . import decontamination, filter_audit, language_id, licenses, line_dedup, lm_scoring, media, merkle, mixing, quality, repeats, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_lm_scoring": lm_scoring.op12_lm_scoring,
+    "op13_merkle": merkle.op13_merkle,
 }
-SQL = {**decontamination.SQL, **sharding.SQL, **repeats.SQL, **mixing.SQL, **line_dedup.SQL}
+SQL = {**decontamination.SQL, **sharding.SQL, **repeats.SQL, **mixing.SQL, **line_dedup.SQL, **filter_audit.SQL, **merkle.SQL}
