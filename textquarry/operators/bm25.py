@@ -1,7 +1,9 @@
-"""BM25 over a long table of postings: an index on disk, both IDF variants, scores of many queries at once, top k.
+"""BM25: an index on disk, both IDF variants, and scores of many queries at once, without a row per query and document.
 
-An index is three Parquet tables. Postings are made where a document stands, without a shuffle: its tokens are sorted and
-counted in place. Queries bring their weighted terms to the postings, not the postings to the queries.
+An index has its postings twice. `blocks` holds them by ranges of documents (see blocks.py): a batch of queries is joined to
+them by term and scored block by block, so that a task returns the k best of each query, or counts, and nothing is
+shuffled by pairs. `lookup` holds them by hash of the term, each bucket in a folder of its own: a single search reads only
+the buckets of its terms. Blocks are made where documents stand, without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,20 +17,29 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identifier_tokens
 from ..sources import store
+from . import blocks as bk
 
 K1, B = 1.5, 0.75
 #: Up to so many weighted query terms (some 20 MB) are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 400_000
 
 
+#: Buckets of the lookup table; a bucket's lists of up to so many blocks are written by one task.
+BUCKETS, LOOKUP_BLOCKS = 64, 256
+
+
 @dataclass
 class Index:
-    """postings(term, doc_id, tf, dl), vocab(term, df, idf), n documents and their mean length."""
+    """blocks (see blocks.py), vocab(term, df, idf), n documents and their mean length; lookup(bucket, term, n, ids, tf, dl),
+    if it was written."""
 
-    postings: DataFrame
+    blocks: DataFrame
     vocab: DataFrame
     n: int
     avgdl: float
+    lookup: DataFrame | None = None
+    stats: Stats | None = None
+    method: str = "robertson"
 
     @staticmethod
     def load(spark, path: str, method: str = "robertson") -> Index:
@@ -37,8 +48,18 @@ class Index:
         if not store.finished(spark, f"{path}/stats"):
             raise FileNotFoundError(f"no index in {path}: write one first")
         stats = Stats(*spark.read.parquet(f"{path}/stats").select("n", "avgdl", "mean_raw").first())
-        vocab = spark.read.parquet(f"{path}/vocab").select("term", "df")
-        return Index(spark.read.parquet(f"{path}/postings"), vocab.withColumn("idf", idf(stats, method)), stats.n, stats.avgdl)
+        vocab = spark.read.parquet(f"{path}/vocab").select("term", "df").withColumn("idf", idf(stats, method))
+        lookup = spark.read.schema(LOOKUP).parquet(f"{path}/lookup")
+        return Index(spark.read.schema(bk.SCHEMA).parquet(f"{path}/blocks"), vocab, stats.n, stats.avgdl, lookup, stats, method)
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc_id, tf, dl), a row each, from the lookup table."""
+        lists = self.lookup.select("term", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p"))
+        return lists.select("term", F.col("p.ids").alias("doc_id"), F.col("p.tf").cast("long").alias("tf"), F.col("p.dl").cast("long").alias("dl"))
+
+
+LOOKUP = "bucket int, term string, n int, ids array<long>, tf array<int>, dl array<int>"
 
 
 class Stats(NamedTuple):
@@ -85,15 +106,67 @@ def raw_idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5))
 
 
+def block_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens) -> DataFrame:
+    """The rows of blocks of docs, whose ids are numbers."""
+    return tokenized(docs, doc_id, text, tokenizer).select(F.col("doc_id").cast("long"), "tokens").mapInArrow(bk.cut, bk.SCHEMA)
+
+
+def write_blocks(rows: DataFrame, path: str) -> None:
+    rows.write.option("parquet.block.size", bk.ROW_GROUP_BYTES).parquet(path)
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def lookup_rows(blocks: DataFrame) -> DataFrame:
+    """(bucket, term, n, ids, tf, dl, range) of blocks: each list with the ids and lengths of its documents; range tells
+    blocks apart, for dealing them out."""
+
+    def resolve(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        number, ids, dl = TaskContext.get().partitionId() << 20, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            column = lambda name, batch=batch: batch.column(batch.schema.names.index(name))
+            starts = np.flatnonzero(np.asarray(column("ids").is_valid())).tolist()
+            for low, high in zip([0, *starts], [*starts, batch.num_rows]):
+                if low in starts and high > low:
+                    number += 1
+                    ids, dl = (np.asarray(column(c).slice(low, 1).flatten()).astype(np.int64) for c in ("ids", "dl"))
+                    low += 1
+                if high <= low:
+                    continue
+                at = column("at").slice(low, high - low)
+                sizes = pa.array(np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(at)))]).astype(np.int32))
+                place = np.asarray(at.flatten())
+                lists = [pa.ListArray.from_arrays(sizes, x) for x in (pa.array(ids[place]), column("tf").slice(low, high - low).flatten(), pa.array(dl[place], pa.int32()))]
+                yield pa.RecordBatch.from_arrays([column("term").slice(low, high - low), column("n").slice(low, high - low), *lists, pa.array(np.full(high - low, number))], names=["term", "n", "ids", "tf", "dl", "range"])
+
+    made = blocks.select("term", "n", "at", "tf", "ids", "dl").mapInArrow(resolve, "term string, n int, ids array<long>, tf array<int>, dl array<int>, range long")
+    return made.select(bucket(F.col("term")).alias("bucket"), "term", "n", "ids", "tf", "dl", "range")
+
+
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens) -> None:
-    """Writes the index of docs to a folder. Each file of postings is sorted by term, so that a search for a few terms
-    skips most row groups; an empty corpus gives an empty index."""
+    """Writes the index of docs to a folder; an empty corpus gives an empty index."""
     spark = docs.sparkSession
     docs = docs.select(doc_id, text)
-    term_freq(tokenized(store.spread(docs), doc_id, text, tokenizer)).sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    terms.write.parquet(f"{path}/vocab")
-    n = docs.select(doc_id).count()
+    write_blocks(block_rows(store.spread(docs), doc_id, text, tokenizer), f"{path}/blocks")
+    blocks = spark.read.schema(bk.SCHEMA).parquet(f"{path}/blocks")
+    # lists of a bucket are dealt by ranges of blocks, so that a term of every document is written by many tasks
+    rows = lookup_rows(blocks).repartition("bucket", F.floor(F.col("range") / LOOKUP_BLOCKS)).sortWithinPartitions("bucket", "term").drop("range")
+    rows.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(f"{path}/lookup")
+    write_vocab(blocks, path)
+
+
+def write_vocab(blocks: DataFrame, path: str) -> None:
+    """The terms of blocks with their frequencies, and what IDF and weights need of all documents."""
+    spark = blocks.sparkSession
+    blocks.where("term != ''").groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")).write.parquet(f"{path}/vocab")
+    n = blocks.where("term = ''").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
     sums = spark.read.parquet(f"{path}/vocab").agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("all"), F.round(F.avg(raw_idf(F.lit(n), F.col("df"))), 9).alias("mean_raw"))
     avgdl = F.coalesce(F.col("all") / F.nullif(F.lit(n), F.lit(0)), F.lit(0.0))
     sums.select(F.lit(n).cast("long").alias("n"), avgdl.alias("avgdl"), "mean_raw").coalesce(1).write.parquet(f"{path}/stats")
@@ -123,26 +196,55 @@ def weighted_terms(queries: DataFrame, index: Index) -> DataFrame:
     return store.cut(met.select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("qw")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+def _asked(weighted: DataFrame, marks: DataFrame | None) -> list[DataFrame]:
+    """(term, asked) of weighted terms and marks (query_id, mark, target), in groups of queries of a bounded size, each of
+    which can be broadcast; the empty term, of which a block's documents are the row, is always asked for."""
+    spark = weighted.sparkSession
+    groups = max(1, -(-weighted.count() // BROADCAST_TERMS))
+    entry = lambda value, target: F.struct(F.col("query_id").cast("long").alias("query_id"), value.cast("double").alias("value"), target.cast("long").alias("target"))
+    rows = weighted.select("query_id", "term", entry(F.col("qw"), F.lit(None)).alias("e"))
+    if marks is not None:
+        rows = rows.unionByName(marks.select("query_id", F.lit("").alias("term"), entry(F.col("mark"), F.col("target")).alias("e")))
+    none = spark.range(1).select(F.lit("").alias("term"), F.lit(None).cast(rows.schema["e"].dataType).alias("e"))
+    parts = [rows.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else rows for g in range(groups)]
+    # no list is longer than its group, which is bounded
+    return [p.select("term", "e").unionByName(none).groupBy("term").agg(F.collect_list("e").alias("asked")) for p in parts]
+
+
+def walked(weighted: DataFrame, index: Index, kind, schema: str, marks: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """What kind() makes of all blocks of the index, for all queries: a scan of the blocks per bounded group of queries."""
+    out = None
+    for asked in _asked(weighted, marks):
+        met = index.blocks.select("term", "max_tf", "min_dl", "at", "tf", "ids", "dl").join(F.broadcast(asked), "term")
+        part = met.mapInArrow(bk.walk(kind, index.avgdl, k1, b), schema)
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def scores(queries: DataFrame | None, index: Index, k1: float = K1, b: float = B, weighted: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with queries (query_id, tokens), or with weighted terms
     made of them. Repeated query terms add again; scores are rounded to 6 places, so that equal documents tie."""
+    return walked(weighted_terms(queries, index) if weighted is None else weighted, index, bk.Every, bk.PAIRS, None, k1, b)
+
+
+def best(queries: DataFrame | None, index: Index, k: int, k1: float = K1, b: float = B, weighted: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): top_k(scores(...), k), of which no task makes more than its own k best."""
     weighted = weighted_terms(queries, index) if weighted is None else weighted
-    return _summed(index.postings.join(_small(weighted), "term"), index, k1, b)
+    return top_k(walked(weighted, index, lambda: bk.Best(k), bk.PAIRS, None, k1, b), k)
 
 
 def pair_scores(weighted: DataFrame, index: Index, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """The scores of given pairs (query_id, doc_id) alone; of the postings only theirs leave the scan."""
-    wanted = store.cut(weighted.join(pairs.select("query_id", "doc_id"), "query_id"))
-    return _summed(index.postings.join(_small(wanted), ["term", "doc_id"]), index, k1, b)
+    """The scores of given pairs (query_id, doc_id), one a query, alone."""
+    marks = pairs.select("query_id", F.lit(None).alias("mark"), F.col("doc_id").alias("target"))
+    return walked(weighted, index, bk.Marked, bk.PAIRS, marks, k1, b)
 
 
-def _summed(met: DataFrame, index: Index, k1: float, b: float) -> DataFrame:
-    part = F.col("qw") * weight(F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b)
-    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+def counts(weighted: DataFrame, index: Index, own: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, greater, equal, positive): how many of a query's scores are above own (query_id, score), equal to it, and
+    above 0; null scores count nothing above or equal."""
+    marks = own.select("query_id", F.coalesce("score", F.lit(float("nan"))).alias("mark"), F.lit(None).alias("target"))
+    made = walked(weighted, index, bk.Counts, bk.COUNTS, marks, k1, b)
+    return made.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in ("greater", "equal", "positive")])
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -151,13 +253,35 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
-def search(text: str, index: Index, k: int = 10, tokenizer=identifier_tokens) -> DataFrame:
-    """Top k of one query string. Its terms are pushed down to the scans."""
-    spark = index.postings.sparkSession
+def _summed(lists: DataFrame, index: Index, k1: float, b: float) -> DataFrame:
+    """Scores of the lists (query_id, qw, ids, tf, dl) of few queries: one row per document met."""
+    each = lists.select("query_id", "qw", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p"))
+    part = F.col("qw") * weight(F.col("p.tf"), F.col("p.dl"), F.lit(index.avgdl), k1, b)
+    return each.groupBy("query_id", F.col("p.ids").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def search(text: str, index: Index, k: int = 10, tokenizer=identifier_tokens, k1: float = K1, b: float = B) -> DataFrame:
+    """Top k of one query string, from the buckets of its terms alone: one small job finds the terms' frequencies, the
+    result is another."""
+    spark = index.blocks.sparkSession
     one = spark.range(1).select(F.col("id").alias("query_id"), tokenizer(F.lit(text)).alias("tokens"))
-    terms = [r.term for r in query_terms(one).select("term").collect()]
-    narrow = Index(index.postings.where(F.col("term").isin(terms)), index.vocab.where(F.col("term").isin(terms)), index.n, index.avgdl)
-    return top_k(scores(one, narrow), k)
+    if index.lookup is None:
+        return best(one, index, k, k1, b)
+    terms = query_terms(one).select("term", "qtf", bucket(F.col("term")).alias("bucket")).collect()
+    met = index.lookup.where(F.col("bucket").isin(sorted({r.bucket for r in terms})) & F.col("term").isin([r.term for r in terms]))
+    df = {r.term: r.df for r in met.groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    weights = spark.createDataFrame([(r.term, r.qtf, df[r.term]) for r in terms if r.term in df], "term string, qtf long, df long")
+    weights = weights.select("term", (F.col("qtf") * idf(index.stats, index.method)).alias("qw"))
+    lists = met.select("term", "ids", "tf", "dl").join(F.broadcast(weights), "term").withColumn("query_id", F.lit(0).cast("long"))
+    found = _summed(lists, index, k1, b).orderBy(F.desc("score"), "doc_id").limit(k)
+    return top_k(found, k)
+
+
+def lookups(queries: DataFrame, index: Index, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """Top k of a few short queries (query_id, tokens), from the lookup table: which buckets are read follows the terms, at run
+    time. For many queries best() makes fewer rows."""
+    wanted = weighted_terms(queries, index).withColumn("bucket", bucket(F.col("term")))
+    return top_k(_summed(index.lookup.join(F.broadcast(wanted), ["bucket", "term"]), index, k1, b), k)
 
 
 def prune_terms(queries: DataFrame, vocab: DataFrame, least_idf: float = 1.0, most: int = 8) -> DataFrame:

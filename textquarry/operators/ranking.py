@@ -25,35 +25,59 @@ def upper_bound(n: Column, level: float = 0.95) -> Column:
 BROADCAST_TARGETS = 400_000
 
 
-def tie_counts(scored: DataFrame, truth: DataFrame, own: DataFrame | None = None) -> DataFrame:
-    """(query_id, greater, equal) of the target's score among a query's; targets without a score are left out. `own` may
-    give the targets' scores (query_id, doc_id, score); without it scored is run twice."""
-    target = (scored.join(truth, ["query_id", "doc_id"]) if own is None else own).where("score > 0").select("query_id", F.col("score").alias("own"))
+def tie_counts(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id, greater, equal) of the target's score among a query's; targets without a score are left out. Scored is run
+    twice; where scores come from an index, bm25.counts() makes no row per score."""
+    target = scored.join(truth, ["query_id", "doc_id"]).where("score > 0").select("query_id", F.col("score").alias("own"))
     target = F.broadcast(target) if truth.count() <= BROADCAST_TARGETS else target
     greater, equal = (F.sum(c.cast("long")) for c in (F.col("score") > F.col("own"), F.col("score") == F.col("own")))
     return scored.join(target, "query_id").groupBy("query_id").agg(greater.alias("greater"), equal.alias("equal"))
 
 
+#: Ties of up to so many places are added up one by one; sums over longer ones come from an asymptotic series.
+SHORT_TIE = 64
+
+
+def harmonic_number(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n, by its asymptotic series: for n from 16 on, exact to some 1e-13."""
+    x = n.cast("double")
+    return F.log(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+
+
 def expected_rr(greater: Column, equal: Column) -> Column:
     """Mean of 1 / rank over the places that a tie may fall on."""
-    return F.aggregate(F.sequence(greater + 1, greater + equal), F.lit(0.0), lambda s, i: s + 1.0 / i) / equal
+    short = lambda n: F.aggregate(F.sequence(greater + 1, greater + n), F.lit(0.0), lambda s, i: s + 1.0 / i)
+    first = greater + F.lit(SHORT_TIE)
+    long = short(F.lit(SHORT_TIE)) + harmonic_number(greater + equal) - harmonic_number(first)
+    return F.when(equal <= SHORT_TIE, short(F.least(equal, F.lit(SHORT_TIE)))).otherwise(long) / equal
 
 
-def harmonic_ranks(scored: DataFrame, truth: DataFrame, max_candidates: int | None = None, zero_policy: str = "unretrieved", n_docs: int | None = None, own: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank) of truth (query_id, doc_id): the inverse of the expected reciprocal rank, null if unretrieved or
-    beyond max_candidates. A target without a score is unretrieved, or, with zero_policy "ties", one of all documents of
-    the n_docs that the query doesn't score, on the places behind those it does. `own` as in tie_counts."""
+def harmonic_ranks(scored: DataFrame, truth: DataFrame, max_candidates: int | None = None, zero_policy: str = "unretrieved", n_docs: int | None = None) -> DataFrame:
+    """(query_id, rank) of truth (query_id, doc_id) among scored (query_id, doc_id, score); see ranks_of()."""
+    counts = tie_counts(scored, truth)
+    if zero_policy == "ties":
+        positive = scored.where("score > 0").groupBy("query_id").agg(F.count("*").alias("positive"))
+        counts = counts.join(positive, "query_id", "full_outer")
+    return ranks_of(counts, truth, max_candidates, zero_policy, n_docs)
+
+
+def ranks_of(counts: DataFrame, truth: DataFrame, max_candidates: int | None = None, zero_policy: str = "unretrieved", n_docs: int | None = None) -> DataFrame:
+    """(query_id, rank) of truth (query_id, doc_id) from counts (query_id, greater, equal, positive) of its score: the inverse
+    of the expected reciprocal rank, null if unretrieved or beyond max_candidates. A target without a score (equal is null or
+    0) is unretrieved, or, with zero_policy "ties", one of all documents of the n_docs that the query doesn't score, on the
+    places behind those it does."""
     if zero_policy not in ("unretrieved", "ties") or (zero_policy == "ties" and n_docs is None):
         raise ValueError("zero_policy is unretrieved, or ties with n_docs")
     if max_candidates is not None and max_candidates < 1:
         raise ValueError("max_candidates must be at least 1")
-    counts = tie_counts(scored, truth, own)
     found = truth.select("query_id").join(counts, "query_id", "left")
+    met = F.coalesce("equal", F.lit(0)) > 0
+    greater, equal = F.when(met, F.col("greater")), F.when(met, F.col("equal"))
     if zero_policy == "ties":
-        positive = scored.where("score > 0").groupBy("query_id").agg(F.count("*").alias("positive"))
-        found = found.join(positive, "query_id", "left").withColumn("positive", F.coalesce("positive", F.lit(0)))
-        found = found.select("query_id", F.coalesce("greater", "positive").alias("greater"), F.coalesce("equal", F.lit(n_docs) - F.col("positive")).alias("equal"))
-    ranks = found.select("query_id", (1.0 / expected_rr(F.col("greater"), F.col("equal"))).alias("rank"))
+        positive = F.coalesce("positive", F.lit(0))
+        greater, equal = F.coalesce(greater, positive), F.coalesce(equal, F.lit(n_docs) - positive)
+    ranks = found.select("query_id", greater.alias("greater"), equal.alias("equal"))
+    ranks = ranks.select("query_id", (1.0 / expected_rr(F.col("greater"), F.col("equal"))).alias("rank"))
     return ranks if max_candidates is None else ranks.withColumn("rank", F.when(F.col("rank") <= max_candidates, F.col("rank")))
 
 

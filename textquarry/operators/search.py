@@ -42,7 +42,7 @@ def search(mode: str, k: int, index: bm25.Index | None = None, words: DataFrame
         raise ValueError(f"{mode} needs a corpus of vectors and query vectors")
     pool = k if mode in ("dense", "bm25") else 5 * k if mode == "hybrid" else max(50, 5 * k)
     by_vector = dense.search(vectors, corpus, pool) if mode != "bm25" else None
-    by_words = bm25.top_k(bm25.scores(words, index), pool) if mode != "dense" else None
+    by_words = bm25.best(words, index, pool) if mode != "dense" else None
     if mode == "dense":
         return by_vector
     if mode == "bm25":

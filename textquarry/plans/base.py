@@ -47,7 +47,9 @@ def index(spark, sf: str, method: str = "robertson", tokenizer: str = "identifie
     if part == "body":
         corpus = corpus.select("doc_id", body().alias("text"))
     digest = store.files_digest(spark, f"{sf}/documents.parquet")
-    path = store.kept(spark, f"bm25-{tokenizer}-{part}", digest, lambda at: bm25.write(corpus, at, tokenizer=TOKENIZERS[tokenizer]))
+    # another tokenizer, by its expression, makes another index
+    made_from = f"{digest}|{TOKENIZERS[tokenizer](F.col('text'))}"
+    path = store.kept(spark, f"bm25-{tokenizer}-{part}", made_from, lambda at: bm25.write(corpus, at, tokenizer=TOKENIZERS[tokenizer]))
     return bm25.Index.load(spark, path, method)
 
 
@@ -58,11 +60,6 @@ def signed(spark, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def paired_scores(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text") -> DataFrame:
-    tokens = TOKENIZERS[tokenizer](F.col("query")).alias("tokens")
-    return bm25.scores(paired_queries(spark, sf).select("query_id", tokens), index(spark, sf, method, tokenizer, part))
-
-
 def TOK(x: str) -> str:
     return rf"list_transform(regexp_extract_all(regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z0-9])', '\1 \2', 'g'), '[a-zA-Z0-9]+'), lambda t: lower(t))"
 
@@ -135,11 +132,20 @@ def SHINGLES(w: str) -> str:
 THEN list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i + 2], ' ')) ELSE {w} END)"""
 
 
-def paired_ranks(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text", **options) -> DataFrame:
-    """Ranks of the paired queries' own documents. Their scores are found first, from their own postings; then all scores
-    are compared with them where they are made."""
+def paired_counts(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text") -> DataFrame:
+    """How many scores are above and equal to that of a paired query's own document. Own scores are found first, from their
+    own postings; then blocks of the index return counts."""
     own = index(spark, sf, method, tokenizer, part)
     queries = paired_queries(spark, sf).select("query_id", TOKENIZERS[tokenizer](F.col("query")).alias("tokens"))
     weighted, pairs = bm25.weighted_terms(queries, own), truth(spark, sf)
     targets = store.cut(bm25.pair_scores(weighted, own, pairs))
-    return ranking.harmonic_ranks(bm25.scores(None, own, weighted=weighted), pairs, own=targets, **options)
+    return bm25.counts(weighted, own, targets.where("score > 0"))
+
+
+def paired_ranks(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text", **options) -> DataFrame:
+    return ranking.ranks_of(paired_counts(spark, sf, method, tokenizer, part), truth(spark, sf), **options)
+
+
+def paired_best(spark, sf: str, k: int, method: str = "robertson", tokenizer: str = "identifiers") -> DataFrame:
+    tokens = TOKENIZERS[tokenizer](F.col("query")).alias("tokens")
+    return bm25.best(paired_queries(spark, sf).select("query_id", tokens), index(spark, sf, method, tokenizer), k)

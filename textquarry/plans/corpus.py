@@ -163,7 +163,7 @@ HITS = 10
 
 def _hits(s, d):
     """The benchmark texts with the texts of their 10 best documents."""
-    found = bm25.top_k(bm25.scores(bench_queries(s, d), index(s, d)), HITS).select(F.col("query_id").alias("item_id"), "doc_id")
+    found = bm25.best(bench_queries(s, d), index(s, d), HITS).select(F.col("query_id").alias("item_id"), "doc_id")
     items = table(s, d, "benchmark").select("item_id", F.col("text").alias("query"))
     return found.join(items, "item_id").join(docs(s, d), "doc_id")
 

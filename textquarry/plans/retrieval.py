@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import bm25, fusion, numbering, ranking
 from ..sources import store
-from .base import BENCH, CONTENT, METRICS, PAIRED, SQL_BODY, TOK, WS, bench_queries, body, docs, index, index_sql, paired_queries, paired_ranks, paired_scores, paired_sql, ranks_sql, scores_sql, table, truth
+from .base import BENCH, CONTENT, METRICS, PAIRED, SQL_BODY, TOK, WS, bench_queries, body, docs, index, index_sql, paired_counts, paired_queries, paired_ranks, paired_sql, ranks_sql, scores_sql, table, truth
 
 Q: dict = {}
 
@@ -36,8 +36,9 @@ def _bench_scores(s, d, method="robertson"):
 
 Q["bm25_scores"] = (_bench_scores, f"WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT * FROM sc")
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
-Q["topk_bm25"] = (lambda s, d: bm25.top_k(_bench_scores(s, d), 10), f"""WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT *
+Q["topk_bm25"] = (lambda s, d: bm25.best(bench_queries(s, d), index(s, d), 10), f"""WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT *
 FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= 10""")
+Q["topk_lookup"] = (lambda s, d: bm25.lookups(bench_queries(s, d), index(s, d), 10), Q["topk_bm25"][1])
 Q["query_term_prune"] = (
     lambda s, d: _round(bm25.prune_terms(bench_queries(s, d), index(s, d).vocab), "idf"),
     f"""WITH {BENCH}, {index_sql()} SELECT query_id, term, round(idf, 6) AS idf, place
@@ -81,7 +82,7 @@ Q["harmonic_table"] = (lambda s, d: _round(ranking.harmonic(s, 200), "h"), """SE
 THEN 1.0::DOUBLE / n END) OVER (ORDER BY n), 0), 6) AS h FROM range(201) AS r(n)""")
 _R = f"{PAIRED}, {paired_sql()}, {ranks_sql()}"
 Q["harmonic_ranks"] = (lambda s, d: _round(ranks(s, d), "rank"), f"WITH {_R} SELECT query_id, round(rank, 6) AS rank FROM rk")
-Q["optimistic_ranks"] = (lambda s, d: ranking.optimistic_ranks(paired_scores(s, d), truth(s, d)), f"""WITH {_R}
+Q["optimistic_ranks"] = (lambda s, d: paired_counts(s, d).where("equal > 0").select("query_id", (F.col("greater") + 1).alias("rank")), f"""WITH {_R}
 SELECT query_id, rank FROM (SELECT query_id, doc_id, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM sc)
 WHERE doc_id = query_id""")
 Q["metrics_all"] = (lambda s, d: ranking.metrics(ranks(s, d)), f"WITH {_R} SELECT count(*) AS n, {METRICS} FROM rk")
@@ -300,7 +301,7 @@ POOL = 50
 
 def _lists(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.lower_words(F.col("text")).alias("tokens"))
-    return bm25.top_k(_bench_scores(s, d), POOL), bm25.top_k(bm25.scores(q, index(s, d, tokenizer="words")), POOL)
+    return bm25.best(bench_queries(s, d), index(s, d), POOL), bm25.best(q, index(s, d, tokenizer="words"), POOL)
 
 
 _L = f"""{BENCH}, {paired_sql()}, {paired_sql('robertson', _lower_ws, 'w_')}, la AS (SELECT * FROM (SELECT *, {_TOP} AS rank

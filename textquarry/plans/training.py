@@ -8,7 +8,7 @@ from ..functions import bpe, code_ast
 from ..functions import text as tx
 from ..operators import bm25, dedup, dense, mining, ranking
 from ..sources import store
-from .base import HASH, PAIRED, SHINGLES, TOK, WS, docs, index, index_sql, paired_queries, paired_scores, paired_sql, ranks_sql, signed, table, truth
+from .base import HASH, PAIRED, SHINGLES, TOK, WS, docs, index, index_sql, paired_best, paired_queries, paired_sql, ranks_sql, signed, table, truth
 from .dense import _ALL, vectors
 from .retrieval import ranks
 
@@ -170,11 +170,11 @@ def prints(s, d):
     return base.join(signed(s, d).select("doc_id", "sig"), "doc_id")
 
 
-def _pruned_scores(s, d):
+def _pool(s, d):
     own = index(s, d, "atire")
     q = paired_queries(s, d).select("query_id", tx.identifier_tokens(F.col("query")).alias("tokens"))
     kept = bm25.prune_terms(q, own.vocab).groupBy("query_id").agg(F.collect_list("term").alias("tokens"))
-    return bm25.scores(kept, own)
+    return bm25.best(kept, own, POOL)
 
 
 def _truth(s, d):
@@ -182,7 +182,7 @@ def _truth(s, d):
 
 
 def judged(s, d):
-    return mining.judged(_pruned_scores(s, d), _truth(s, d), prints(s, d), POOL)
+    return mining.judged(_pool(s, d), _truth(s, d), prints(s, d), POOL)
 
 
 _JUDGED = f"""WITH {PAIRED}, {index_sql('atire')}, {_SIG},
@@ -231,7 +231,7 @@ Q["mining_drop_counts"] = (
 
 def mine_simple(s, d):
     """The 50 best by BM25 but the own document, then fillers that need only be others."""
-    ranked = bm25.top_k(paired_scores(s, d).where("doc_id != query_id"), SIMPLE).select("query_id", "doc_id", F.col("rank").alias("place"))
+    ranked = bm25.top_k(paired_best(s, d, SIMPLE + 1).drop("rank").where("doc_id != query_id"), SIMPLE).select("query_id", "doc_id", F.col("rank").alias("place"))
     return mining.filled(ranked, _truth(s, d), prints(s, d), SIMPLE, judge=False)
 
 

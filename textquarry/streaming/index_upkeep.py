@@ -5,33 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import blocks as bk
 from ..operators import bm25
 
 
 def keep_index(docs: DataFrame, path: str, checkpoint: str):
-    """Starts a query that writes each batch's postings, and how many documents it had, under its batch id; a batch that is
-    run again overwrites its own folders, so retries add nothing twice. docs is a streaming frame of (doc_id, text)."""
+    """Starts a query that writes each batch's blocks of postings under its batch id; a batch that is run again overwrites
+    its own folder, so retries add nothing twice. docs is a streaming frame of (doc_id, text)."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        bm25.term_freq(bm25.tokenized(batch)).write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
-        batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+        bm25.block_rows(batch).write.mode("overwrite").option("parquet.block.size", bk.ROW_GROUP_BYTES).parquet(f"{path}/blocks/batch={batch_id}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_blocks(spark, path: str) -> DataFrame:
+    return spark.read.schema(f"{bk.SCHEMA}, batch long").parquet(f"{path}/blocks").drop("batch")
+
+
 def read_postings(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/postings").drop("batch")
+    lists = bm25.lookup_rows(read_blocks(spark, path))
+    return bm25.Index(lists, lists, 0, 0.0, lists).postings
 
 
 def read_index(spark, path: str, method: str = "robertson") -> bm25.Index:
-    """The index of all batches so far: document frequencies and the mean length are summed from their postings."""
-    postings = read_postings(spark, path)
-    vocab = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n = spark.read.parquet(f"{path}/counts").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    """The index of all batches so far: document frequencies and the mean length are summed from their blocks."""
+    blocks = read_blocks(spark, path)
+    vocab = blocks.where("term != ''").groupBy("term").agg(F.sum("n").alias("df"))
+    n = blocks.where("term = ''").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    total = blocks.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
     raw = vocab.agg(F.round(F.avg(bm25.raw_idf(F.lit(n), F.col("df"))), 9).alias("m")).first().m
     stats = bm25.Stats(n, total / n if n else 0.0, raw)
-    return bm25.Index(postings, vocab.withColumn("idf", bm25.idf(stats, method)), stats.n, stats.avgdl)
+    return bm25.Index(blocks, vocab.withColumn("idf", bm25.idf(stats, method)), stats.n, stats.avgdl, None, stats, method)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
