@@ -70,6 +70,20 @@ def test_dense_top_k_with_ties(spark):
     assert [got[0, r] for r in range(1, 6)] == [0, 1, 2, 3, 4] and [got[1, r] for r in range(1, 6)] == [30, 31, 32, 0, 1]
 
 
+def test_dense_blocks_laid_out_in_chunks(spark):
+    """Query blocks that are sent to chunks give what broadcast ones give: with ties, labels, and without a cut."""
+    r = np.random.default_rng(3)
+    v = np.round(r.normal(size=(500, 4)), 1)
+    rows = [(i, v[i].tolist(), int(i % 3)) if i % 50 else (i, None, None) for i in range(500)]
+    corpus = spark.createDataFrame(rows, "doc_id long, v array<double>, label int").repartition(7)
+    queries = corpus.where("doc_id < 60").withColumnRenamed("doc_id", "query_id")
+    for options in ({"keep": 3}, {"keep": 5, "other_label": True}, {"keep": None}):
+        k = options["keep"] or 1000
+        rows = lambda limit, options=options, k=k: sorted(map(tuple, bm25.top_k(dense.scores(queries, corpus, broadcast_bytes=limit, **options), k).collect()))
+        assert rows(0) == rows(1 << 20) and len(rows(0)) == 58 * min(k, 490)
+    assert "BatchEvalPython" not in dense.scores(queries, corpus, 3)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_any_metric_can_be_resampled(spark):
     ranks = spark.createDataFrame([(i, float(i % 4 + 1) if i % 5 else None) for i in range(20)], "query_id long, rank double")
     mrr = lambda r: float(np.mean(np.where(r >= 1, 1 / r, 0)))

@@ -11,11 +11,6 @@ from ..sources import store
 from .numbering import numbered
 
 
-def harmonic(spark, n: int) -> DataFrame:
-    """(n, h): harmonic numbers from 0; a window over n + 1 numbers."""
-    return spark.range(n + 1).select(F.col("id").alias("n"), F.coalesce(F.sum(F.when(F.col("id") > 0, 1.0 / F.col("id"))).over(Window.orderBy("id")), F.lit(0.0)).alias("h"))
-
-
 def upper_bound(n: Column, level: float = 0.95) -> Column:
     """The rate that none of n trials showing an event still allows at a level (the rule of three); 1 for no trial."""
     return F.when(n > 0, 1 - F.pow(F.lit(1 - level), 1.0 / n)).otherwise(1.0)

@@ -21,10 +21,10 @@ def encoded(rows: DataFrame, key: str, encode_fn: Callable[[list[str]], np.ndarr
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = np.asarray(encode_fn(frame.iloc[:, 1].fillna("").tolist()), np.float32) if len(frame) else np.zeros((0, 1), np.float32)
+            made = np.asarray(encode_fn(frame.iloc[:, 1].fillna("").tolist()), np.float64) if len(frame) else np.zeros((0, 1))
             yield pd.DataFrame({"key": frame.iloc[:, 0], "v": list(made)})
 
-    return rows.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInPandas(run, "key long, v array<float>").withColumnRenamed("key", key)
+    return rows.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInPandas(run, "key long, v array<double>").withColumnRenamed("key", key)
 
 
 def search(mode: str, k: int, index: bm25.Index | None = None, words: DataFrame | None = None, corpus: DataFrame | None = None, vectors: DataFrame | None = None, alpha: float = 0.7, constant: int = 60) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import encoder
 from ..functions import text as tx
-from ..operators import bm25, dedup, ranking
+from ..operators import bm25, dedup, ranking, search
 from ..sources import store
 
 
@@ -60,6 +61,15 @@ def signed(spark, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def encoded_docs(spark, sf: str) -> DataFrame:
+    """The kept vectors (doc_id, v) of all documents by the hashing encoder, trusted only with a row per document."""
+    corpus = docs(spark, sf)
+    digest = store.files_digest(spark, f"{sf}/documents.parquet")
+    made_from = f"{digest}|{encoder.SIZE}|{encoder.PLACES}|{encoder.MOST}"
+    build = lambda at: search.encoded(store.spread(corpus), "doc_id", encoder.encode).write.parquet(at)
+    return spark.read.parquet(store.kept(spark, "hashed-vectors", made_from, build, corpus.count()))
+
+
 def TOK(x: str) -> str:
     return rf"list_transform(regexp_extract_all(regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z0-9])', '\1 \2', 'g'), '[a-zA-Z0-9]+'), lambda t: lower(t))"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import dense
+from ..operators.numbering import numbered
 from .base import table
 
 Q: dict = {}
@@ -207,10 +208,20 @@ FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place = 1""",
 )
 
 
-def lr_schedule(s, d, peak: float = 5e-4, warmup: int = 100, total: int = 1000):
-    step = F.col("id")
-    return s.range(total + 1).select(step.alias("step"), F.round(F.when(step < warmup, peak * step / warmup).otherwise(peak * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (step - warmup) / (total - warmup)))), 9).alias("rate"))
+def lr_schedule(s, d, peak: float = 5e-4, warm: float = 0.1):
+    """(batch, step, rate) of the batches of the table's pairs: the rate climbs over the first tenth of them and falls along
+    half a cosine to 0 behind the last. A batch's step is its place among the batches that are full."""
+    full = batches(s, d).select("batch").distinct()
+    steps = numbered(full, "batch", "step")
+    total = F.lit(full.count()).cast("double")
+    step, warmup = F.col("step").cast("double"), F.ceil(total * warm)
+    rate = F.when(step < warmup, peak * step / warmup).otherwise(peak * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (step - warmup) / (total - warmup))))
+    return steps.select("batch", "step", F.round(rate, 9).alias("rate"))
 
 
-Q["lr_schedule"] = (lr_schedule, """SELECT step, round(CASE WHEN step < 100 THEN 0.0005::DOUBLE * step / 100
-ELSE 0.0005::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * (step - 100) / 900)) END, 9) AS rate FROM range(1001) AS r(step)""")
+Q["lr_schedule"] = (
+    lr_schedule,
+    f"""WITH {_B}, st AS (SELECT batch, row_number() OVER (ORDER BY batch) - 1 AS step, count(*) OVER ()::DOUBLE AS n FROM (SELECT DISTINCT batch FROM b)),
+w AS (SELECT *, ceil(n * 0.1::DOUBLE) AS w FROM st)
+SELECT batch, step, round(CASE WHEN step < w THEN 0.0005::DOUBLE * step / w ELSE 0.0005::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * (step - w) / (n - w))) END, 9) AS rate FROM w""",
+)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import encoder
 from ..functions import text as tx
-from ..operators import bm25, fusion, numbering, ranking
+from ..operators import bm25, dense, fusion, numbering, ranking, search
 from ..sources import store
-from .base import BENCH, CONTENT, METRICS, PAIRED, SQL_BODY, TOK, WS, bench_queries, body, docs, index, index_sql, paired_counts, paired_queries, paired_ranks, paired_sql, ranks_sql, scores_sql, table, truth
+from .base import BENCH, CONTENT, METRICS, PAIRED, SQL_BODY, TOK, WS, bench_queries, body, docs, encoded_docs, index, index_sql, paired_counts, paired_queries, paired_ranks, paired_sql, ranks_sql, scores_sql, table, truth
 
 Q: dict = {}
 
@@ -78,9 +79,12 @@ Q["leaderboard"] = (
 Q["best_variant"] = (
     lambda s, d: _arms(s, d).where("arm != 'spaces'").orderBy(F.desc("mrr"), "arm").limit(1).select("arm", "mrr"),
     f"WITH {_ARMS} SELECT arm, mrr FROM arms WHERE arm != 'spaces' ORDER BY mrr DESC, arm LIMIT 1")
-Q["harmonic_table"] = (lambda s, d: _round(ranking.harmonic(s, 200), "h"), """SELECT n, round(coalesce(sum(CASE WHEN n > 0
-THEN 1.0::DOUBLE / n END) OVER (ORDER BY n), 0), 6) AS h FROM range(201) AS r(n)""")
 _R = f"{PAIRED}, {paired_sql()}, {ranks_sql()}"
+Q["harmonic_table"] = (
+    lambda s, d: paired_counts(s, d).where("equal > 0").select("query_id", "greater", "equal", F.round(F.col("equal") * ranking.expected_rr(F.col("greater"), F.col("equal")), 6).alias("h")),
+    f"""WITH {_R} SELECT query_id, g::BIGINT AS greater, e::BIGINT AS equal, round(sum(1.0::DOUBLE / (g + i)), 6) AS h
+FROM ties, unnest(range(1, e::BIGINT + 1)) AS r(i) GROUP BY query_id, g, e""",
+)
 Q["harmonic_ranks"] = (lambda s, d: _round(ranks(s, d), "rank"), f"WITH {_R} SELECT query_id, round(rank, 6) AS rank FROM rk")
 Q["optimistic_ranks"] = (lambda s, d: paired_counts(s, d).where("equal > 0").select("query_id", (F.col("greater") + 1).alias("rank")), f"""WITH {_R}
 SELECT query_id, rank FROM (SELECT query_id, doc_id, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM sc)
@@ -336,3 +340,53 @@ Q["oracle_bound"] = (
 SELECT round(avg(greatest(a, b)), 6) AS best_mrr, sum((a > b)::INT)::BIGINT AS wins, sum((a < b)::INT)::BIGINT AS losses, sum((a = b)::INT)::BIGINT AS ties
 FROM (SELECT round({_RR.format(p='')}, 9) AS a, round({_RR.format(p='w_')}, 9) AS b FROM rk JOIN w_rk USING (query_id))""",
 )
+
+
+# words with vectors: BM25 over identifier tokens and the hashing encoder, over all documents
+def hybrid(s, d, mode: str, k: int = 10):
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vectors = search.encoded(asked, "query_id", encoder.encode)
+    return search.search(mode, k, index(s, d), bench_queries(s, d), encoded_docs(s, d), vectors).select("query_id", "doc_id", "score", "rank")
+
+
+_E = f"""tx AS (SELECT 'd' AS kind, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+ht AS (SELECT kind, id, term, count(*) AS tf FROM (SELECT kind, id, unnest({CONTENT('t')}) AS term FROM tx) GROUP BY kind, id, term),
+hp AS (SELECT kind, id, tf, ('0x' || substr(md5(term), 4 * j + 1, 4))::BIGINT AS h FROM ht, unnest(range({encoder.PLACES})) AS r(j)),
+hv AS (SELECT kind, id, h % {encoder.SIZE} AS dim, sum((1 - 2 * (h // {encoder.SIZE} % 2)) * least(tf, {encoder.MOST}))::DOUBLE AS x FROM hp GROUP BY kind, id, dim),
+hn AS (SELECT kind, id, sqrt(sum(x * x)) AS norm FROM hv GROUP BY kind, id),
+dp AS (SELECT a.id AS query_id, b.id AS doc_id, sum(a.x * b.x) AS p FROM hv a JOIN hv b USING (dim) WHERE a.kind = 'q' AND b.kind = 'd' GROUP BY a.id, b.id),
+de AS (SELECT q.id AS query_id, c.id AS doc_id, round(coalesce(p / nullif(x.norm * y.norm, 0), 0), 6) AS score
+  FROM tx q JOIN tx c ON q.kind = 'q' AND c.kind = 'd' LEFT JOIN dp ON dp.query_id = q.id AND dp.doc_id = c.id
+  LEFT JOIN hn x ON x.kind = 'q' AND x.id = q.id LEFT JOIN hn y ON y.kind = 'd' AND y.id = c.id)"""
+_DENSE = f"SELECT * FROM (SELECT *, {_TOP} AS rank FROM de)"
+_H = f"""WITH {BENCH}, {paired_sql()}, {_E}, la AS ({_DENSE} WHERE rank <= {POOL}), lb AS (SELECT * FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= {POOL}),
+m AS (SELECT query_id, doc_id, la.score AS sa, la.rank AS ra, lb.score AS sb, lb.rank AS rb FROM la FULL JOIN lb USING (query_id, doc_id))"""
+_HRRF = f"""{_H},
+f AS (SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + ra), {{miss}}) + coalesce(1.0::DOUBLE / (60 + rb), {{miss}}), 9) AS score
+FROM m) SELECT * FROM (SELECT *, {_TOP} AS rank FROM f) WHERE rank <= 10"""
+Q["dense_documents"] = (lambda s, d: hybrid(s, d, "dense"), f"WITH {_E} {_DENSE} WHERE rank <= 10")
+Q["hybrid_documents"] = (lambda s, d: hybrid(s, d, "hybrid"), _HRRF.format(miss="0.0::DOUBLE"))
+Q["hybrid_rrf_documents"] = (lambda s, d: hybrid(s, d, "hybrid_rrf"), _HRRF.format(miss=f"1.0::DOUBLE / {60 + POOL + 10}"))
+Q["hybrid_convex_documents"] = (
+    lambda s, d: hybrid(s, d, "hybrid_convex"),
+    f"""{_H}, z AS (SELECT query_id, doc_id, {_N('sa')} AS na, {_N('sb')} AS nb FROM m),
+f AS (SELECT query_id, doc_id, round(0.7::DOUBLE * na + (1 - 0.7::DOUBLE) * nb, 9) AS score FROM z)
+SELECT * FROM (SELECT *, {_TOP} AS rank FROM f) WHERE rank <= 10""",
+)
+
+
+def searched_results(s, d):
+    """What a reader is shown of a hybrid search: snippets, and how many words query and document share."""
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.presented(hybrid(s, d, "hybrid_rrf"), asked, docs(s, d)).select("query_id", "rank", "doc_id", "snippet", "jaccard")
+
+
+_SET = lambda x: f"list_distinct({WS(f'lower({x})')})"
+_BOTHSETS = f"len(list_intersect({_SET('b.text')}, {_SET('t.text')}))"
+Q["search_results"] = (
+    searched_results,
+    f"""{_HRRF.format(miss=f"1.0::DOUBLE / {60 + POOL + 10}").replace(") SELECT * FROM (SELECT", "), rs AS (SELECT * FROM (SELECT")})
+SELECT query_id, rank, rs.doc_id, CASE WHEN length(t.text) > 120 THEN substr(replace(t.text, chr(10), ' '), 1, 120) || '...' ELSE replace(t.text, chr(10), ' ') END AS snippet,
+  round(coalesce({_BOTHSETS}::DOUBLE / nullif(len({_SET('b.text')}) + len({_SET('t.text')}) - {_BOTHSETS}, 0), 0), 6) AS jaccard
+FROM rs JOIN benchmark b ON b.item_id = query_id JOIN documents t ON t.doc_id = rs.doc_id""",
+)

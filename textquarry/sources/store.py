@@ -59,15 +59,22 @@ def files_digest(spark, path: str) -> str:
     return digest.hexdigest()
 
 
-def kept(spark, name: str, made_from: str, build: Callable[[str], None]) -> str:
+def kept(spark, name: str, made_from: str, build: Callable[[str], None], rows: int | None = None) -> str:
     """The folder of a kept table: found, or built by build(folder) under a name of its own and then renamed, so that a
-    build that failed or was overtaken by another is never taken for the table."""
+    build that failed or was overtaken by another is never taken for the table. With `rows`, a table found with another
+    number of rows is not trusted: it is deleted and built again, and a built one of another number is an error."""
     digest = hashlib.sha256(f"{LAYOUT}|{name}|{made_from}".encode()).hexdigest()[:24]
     folder = f"{shared_folder(spark)}/kept/{name}-{digest}"
     fs, path = _file_system(spark, folder)
+    wrong = lambda at: rows is not None and spark.read.parquet(at).count() != rows
+    if fs.exists(path) and wrong(folder):
+        fs.delete(path, True)
     if not fs.exists(path):
         own = f"{shared_folder(spark)}/kept/_{uuid.uuid4().hex}"
         build(own)
+        if wrong(own):
+            fs.delete(_file_system(spark, own)[1], True)
+            raise ValueError(f"{name} was built with another number of rows than {rows}")
         _, source = _file_system(spark, own)
         # if another build was faster, its table stays; one that slips in here would be put inside it, where no reader looks
         if fs.exists(path) or not fs.rename(source, path):
