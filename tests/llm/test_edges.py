@@ -33,7 +33,7 @@ def folder(spark, request, tmp_path_factory):
     return made
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"op11_filter_audit"}))  # its rows are parts and orders
 def test_query_gives_a_row_per_document(spark, folder, name):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     made = registry.QUERIES[name](spark, folder)

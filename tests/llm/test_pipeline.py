@@ -3,11 +3,13 @@
 import hashlib
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 import pytest
 
 import corpus_pipeline
-from textquarry.llm import decontamination, mixing, quality, simhash
+from textquarry.llm import decontamination, mixing, quality, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,3 +112,21 @@ def test_a_failed_run_goes_on(spark, tmp_path, monkeypatch):
     folder = str(told.value).split("'")[1]
     assert corpus_pipeline.run(spark, str(tmp_path), folder).count() == 1 and calls == ["a", "b", "b", "c"]
     assert not os.path.exists(f"{folder.removeprefix('file://')}/a") and os.path.exists(f"{folder.removeprefix('file://')}/c")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_runs_at_once_have_stores_of_their_own(spark):
+    """Two runs in one driver end with a store each, whose manifest lists the files that the rows are read from."""
+    root = corpus_pipeline.common.checkpoint_dir(spark)
+    folders = [f"{root}/pipeline-at-once-{i}" for i in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        made = list(pool.map(lambda f: corpus_pipeline.run(spark, SF, f), folders))
+    rows = [sorted((r.doc_id, r.shard_place) for r in m.select("doc_id", "shard_place").collect()) for m in made]
+    assert rows[0] == rows[1] and rows[0]
+    for folder, m in zip(folders, made):
+        store = sharding.ShardStore(spark, f"{folder}/sharding", ordered=True)
+        listed = store.manifest().collect()
+        assert sum(r["rows"] for r in listed) == len(rows[0]) and {r.path.removeprefix("file:") for r in listed} == {unquote(f).removeprefix("file://") for f in m.inputFiles()}
+        assert sorted((r.doc_id, r.shard_place) for r in store.read().select("doc_id", "shard_place").collect()) == rows[0]
+        again = corpus_pipeline.run(spark, SF, folder)  # finished: read from the store
+        assert again.count() == len(rows[0]) and store.manifest().collect() == listed

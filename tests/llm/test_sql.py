@@ -18,7 +18,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for f in ("documents", "benchmark"):
+    for f in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {f} AS SELECT * FROM '{SF}/{f}.parquet'")
     cursor = con.execute(registry.SQL[name])
     columns = [c[0] for c in cursor.description]

@@ -61,6 +61,11 @@ def finished(spark, folder: str) -> bool:
     return fs.exists(path)
 
 
+def mark_finished(spark, folder: str) -> None:
+    fs, path = _file_system(spark, f"{folder}/_SUCCESS")
+    fs.create(path, True).close()
+
+
 def delete(spark, folder: str) -> None:
     fs, path = _file_system(spark, folder)
     fs.delete(path, True)

@@ -9,7 +9,7 @@ templates, the one that shares most bigrams claims them, and others stay if at m
 
 from __future__ import annotations
 
-from pathlib import Path
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +55,23 @@ for _name, _rest in {
     TEMPLATES[_name].append(TEMPLATES[_name][-1] + " " + _rest)
 
 
-# Whole public licences, a file each, named by its identifier; they too are fixed values.
-for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
-    TEMPLATES.setdefault(_file.stem, []).append(_file.read_text(encoding="utf-8"))
+#: Whole public licences, a file each in license_texts, named by its identifier; they too are fixed values.
+WHOLE = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")
+
+
+def _whole() -> None:
+    """Adds the whole wordings, read as resources of the package, so that they come along in a zip too; one that is missing
+    is an error, never a smaller set."""
+    folder = resources.files(__package__).joinpath("license_texts")
+    for name in WHOLE:
+        try:
+            text = folder.joinpath(f"{name}.txt").read_text(encoding="utf-8")
+        except (FileNotFoundError, KeyError) as error:
+            raise RuntimeError(f"the package lacks license_texts/{name}.txt") from error
+        TEMPLATES.setdefault(name, []).append(text)
+
+
+_whole()
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: Model, folder: str) -> DataFrame:
     parts = F.array(*[F.col(n) / UNIT + F.lit(float(p)) for n, p in zip(names, share)])
     most = F.array_max(parts)
     total = most + F.log(F.aggregate(F.transform(parts, lambda x: F.exp(x - most)), F.lit(0.0), lambda a, x: a + x))
-    return summed.select("doc_id", "flag", "n_tokens", "n_known", F.round("base", 8).alias("base_score"), (total / float(np.log(10))).alias("score"))
+    return summed.select("doc_id", "flag", "n_tokens", "n_known", F.round("base", 10).alias("base_score"), (total / float(np.log(10))).alias("score"))
 
 
 def op12_lm_scoring(spark, sf_dir: str) -> DataFrame:
