@@ -38,16 +38,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, through a compacted shard store that keeps the order of the files of docs. shard_arrival tells a row's
-    arrival, shard_place (sortable) its place in that order; either has an underscore more where docs has its name."""
-    store = f"{common.checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
-    _stores.append(store)
-    return sharding.shard_table(docs, name="shard_arrival", place_name="shard_place", root=store)
+def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str, root: str | None = None) -> DataFrame:
+    """All rows, read from a compacted shard store (at root, else at a place of its own in the shared folder) that keeps the
+    order of the files of docs. shard_arrival tells a row's arrival, shard_place (sortable) its place in that order; either
+    has an underscore more where docs has its name. The store is the caller's, as is its deletion."""
+    root = root or f"{common.checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return sharding.shard_table(docs, name="shard_arrival", place_name="shard_place", root=root)
 
 
-_stores: list[str] = []
-
 STAGES = [
     ("quality", keep_quality),
     ("near_dedup", keep_one_of_each),
@@ -62,18 +60,33 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """The rows of the last stage. If a stage fails, the error names a folder; given that, run() goes on behind the last
-    finished stage. Once all are finished, only the last one's files stay."""
+    finished stage. Once all are finished, only what the last one made stays: a sharding stage's store, in
+    `folder`/<its name>, with its manifest and shards of the target size, of which the rows are read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = folder or f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        if not common.finished(spark, f"{folder}/{name}"):
-            try:
-                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
-            except Exception as error:
-                raise RuntimeError(f"stage {name} failed; run(spark, sf_dir, {folder!r}) goes on with it") from error
-        docs = spark.read.parquet(f"{folder}/{name}")
-    while _stores:
-        common.delete(spark, _stores.pop())
+        at = f"{folder}/{name}"
+        try:
+            docs = _stored(spark, stage, docs, sf_dir, at) if stage is write_shards else _written(spark, stage, docs, sf_dir, at)
+        except Exception as error:
+            raise RuntimeError(f"stage {name} failed; run(spark, sf_dir, {folder!r}) goes on with it") from error
     for name, _ in STAGES[:-1]:
         common.delete(spark, f"{folder}/{name}")
     return docs
+
+
+def _written(spark: SparkSession, stage, docs: DataFrame, sf_dir: str, at: str) -> DataFrame:
+    if not common.finished(spark, at):
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def _stored(spark: SparkSession, stage, docs: DataFrame, sf_dir: str, at: str) -> DataFrame:
+    if common.finished(spark, at):
+        kept = sharding.ShardStore(spark, at, ordered=True).read()
+        if kept is not None:
+            return kept
+    common.delete(spark, at)  # what a failed run left
+    made = stage(spark, docs, sf_dir, at)
+    common.mark_finished(spark, at)
+    return made
