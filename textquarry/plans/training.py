@@ -159,15 +159,60 @@ ci AS (SELECT {_CI.format('dd')}, least(1.0::DOUBLE, 2 * least(avg((dd <= 0)::IN
 FROM bs) SELECT *, low >= -0.03 AS equivalent, low > 0 OR high < 0 AS significant FROM mn, ci""",
 )
 
-# mining: the skeleton of prose is its source and number of lines
+# source code made of the documents, since the tables hold prose: a function whose docstring is the first line, with a
+# statement per line, of a kind that the line's length decides; of seven documents one is a method, one has its docstring
+# before a semicolon, one nothing but a docstring, one none, one is broken, one blank
+_STATEMENTS = ("    total += {}\n", "    if total > {}:\n        total -= 1\n", "    for i in range({}):\n        total += i\n")
+_HEAD = "def shape(words, start=0, step=1):\n"
+_BEGIN = "    total = start * 2 + step\n"
+
+
+def codes(s, d):
+    """(doc_id, code) of all documents."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    doc = F.regexp_replace(F.get(lines, F.lit(0)), "[^A-Za-z0-9 ]", "")
+    filled = lambda i, x: F.concat(F.lit(_STATEMENTS[i].split("{}")[0]), F.length(x), F.lit(_STATEMENTS[i].split("{}")[1]))
+    statement = lambda x: F.when(F.length(x) % 3 == 0, filled(0, x)).when(F.length(x) % 3 == 1, filled(1, x)).otherwise(filled(2, x))
+    body = F.concat(F.lit(_BEGIN), F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), statement), ""), F.lit("    return total\n"))
+    head, quoted = F.lit(_HEAD), F.concat(F.lit('    """'), doc, F.lit('"""\n'))
+    plain = F.concat(head, quoted, body)
+    kind = F.pmod("doc_id", F.lit(7))
+    code = (
+        F.when(kind == 0, plain)
+        .when(kind == 1, F.concat(F.lit("    "), F.regexp_replace(F.rtrim(plain, F.lit("\n")), "\n", "\n    "), F.lit("\n")))
+        .when(kind == 2, F.concat(head, F.lit('    "'), doc, F.lit('"; '), F.ltrim(body)))
+        .when(kind == 3, F.concat(head, quoted))
+        .when(kind == 4, F.concat(head, body))
+        .when(kind == 5, F.concat(F.lit("def (:\n"), body))
+        .otherwise(F.lit("  "))
+    )
+    return docs(s, d).select("doc_id", code.alias("code"))
+
+
+def skeletons(s, d):
+    """(doc_id, skeleton) of the documents' code without docstrings; null where it can't be parsed."""
+    made = codes(s, d).withColumn("r", code_ast.strip_docstrings("code"))
+    return made.select("doc_id", code_ast.skeleton_hashes("r.stripped").alias("skeleton"))
+
+
+def _SQL_TEXT(x: str) -> str:
+    return "'" + x.replace("\n", "' || chr(10) || '") + "'"
+
+
+_ONE = " ".join(f"WHEN length(x) % 3 = {i} THEN {_SQL_TEXT(t.split('{}')[0])} || length(x)::VARCHAR || {_SQL_TEXT(t.split('{}')[1])}" for i, t in enumerate(_STATEMENTS))
+_STATUS = "CASE WHEN kind IN (0, 1, 2, 4) THEN 'success' WHEN kind = 3 THEN 'syntax_error_after_strip' WHEN kind = 5 THEN 'parse_error' ELSE 'empty_input' END"
+_CODE = f"""cl AS (SELECT doc_id, doc_id % 7 AS kind, string_split(coalesce(text, ''), chr(10))[2:] AS ls FROM documents),
+cd AS (SELECT doc_id, kind, {_SQL_TEXT(_HEAD)} AS head, {_SQL_TEXT(_BEGIN)} || array_to_string(list_transform(ls, lambda x: CASE {_ONE} END), '') || {_SQL_TEXT('    return total' + chr(10))} AS body,
+  array_to_string(list_transform(ls, lambda x: (length(x) % 3)::VARCHAR), '') AS shape FROM cl)"""
+
+# mining
 K, POOL, SIMPLE = 7, 100, 50
 
 
 def prints(s, d):
     """(doc_id, query_text, skeleton, sig) of all documents."""
-    lines = F.size(F.split("text", "\n")).cast("string")
-    base = table(s, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("query_text"), F.concat_ws(":", "source", lines).alias("skeleton"))
-    return base.join(signed(s, d).select("doc_id", "sig"), "doc_id")
+    base = docs(s, d).select("doc_id", F.substring_index("text", "\n", 1).alias("query_text"))
+    return base.join(skeletons(s, d), "doc_id").join(signed(s, d).select("doc_id", "sig"), "doc_id")
 
 
 def _pool(s, d):
@@ -185,14 +230,14 @@ def judged(s, d):
     return mining.judged(_pool(s, d), _truth(s, d), prints(s, d), POOL)
 
 
-_JUDGED = f"""WITH {PAIRED}, {index_sql('atire')}, {_SIG},
+_JUDGED = f"""WITH {PAIRED}, {_CODE}, {index_sql('atire')}, {_SIG},
 pt AS (SELECT query_id, term, 1 AS qtf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(idf, 9) DESC, term) AS place
   FROM (SELECT DISTINCT query_id, unnest({TOK("query")}) AS term FROM qs) JOIN vocab USING (term) WHERE idf >= 1) WHERE place <= 8),
 sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
   FROM tf JOIN vocab USING (term) JOIN pt USING (term), st GROUP BY query_id, doc_id),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM sc) WHERE place <= {POOL}),
-pr AS (SELECT d.doc_id, split_part(text, chr(10), 1) AS q, source || ':' || len(string_split(text, chr(10)))::VARCHAR AS k,
-  coalesce(sig, list_transform(range(64), lambda i: 0)) AS sig FROM documents d LEFT JOIN sg USING (doc_id))"""
+pr AS (SELECT d.doc_id, split_part(text, chr(10), 1) AS q, CASE WHEN kind IN (0, 1, 2, 4) THEN shape END AS k,
+  coalesce(sig, list_transform(range(64), lambda i: 0)) AS sig FROM documents d JOIN cd USING (doc_id) LEFT JOIN sg USING (doc_id))"""
 _TIER = """CASE WHEN c.doc_id = t.doc_id THEN 'self' WHEN c.q = t.q THEN 'query_text' WHEN c.k = t.k THEN 'skeleton'
   WHEN len(list_filter(list_zip(c.sig, t.sig), lambda x: x[1] = x[2])) >= 45 THEN 'signature' END"""
 _JUDGED += f""",
@@ -264,32 +309,24 @@ Q["gather_negatives"] = (
 FROM ng JOIN documents d ON d.doc_id = ng.doc_id GROUP BY query_id""",
 )
 
-# functions over source code: literal snippets, since the tables hold prose
-SNIPPETS = (
-    ("plain", 'def f(a):\n    """Adds one."""\n    return a + 1\n'),
-    ("method", '    def g(self, x):\n        """Doc\n        string."""\n        return x * 2\n'),
-    ("nested", 'def f():\n    """a"""\n    def g():\n        """b"""\n        return 1\n    return g\n'),
-    ("one_line", 'def h(x): "doc"; return x\n'),
-    ("stub", 'def s():\n    """only doc"""\n'),
-    ("none", "def n(x):\n    return [y for y in x if y > 3]\n"),
-    ("broken", "def (:\n"),
-    ("multibyte", 'def m():\n    """déjà vu"""\n    return "é"\n'),
-    ("empty", "  "),
-)
+def stripped(s, d):
+    return codes(s, d).withColumn("r", code_ast.strip_docstrings("code")).select("doc_id", "r.stripped", "r.status")
 
 
-def snippets(s):
-    return s.createDataFrame(SNIPPETS, "name string, code string")
+_ST = f"WITH {_CODE}, st AS (SELECT doc_id, CASE WHEN kind IN (0, 1, 2, 4) THEN head || body END AS stripped, {_STATUS} AS status, shape FROM cd)"
+Q["ast_strip"] = (stripped, f"{_ST} SELECT doc_id, stripped, status FROM st")
+Q["ast_keep_success"] = (lambda s, d: stripped(s, d).where("status = 'success'"), f"{_ST} SELECT doc_id, stripped, status FROM st WHERE status = 'success'")
+Q["ast_status_counts"] = (lambda s, d: stripped(s, d).groupBy("status").agg(F.count("*").alias("n")), f"{_ST} SELECT status, count(*) AS n FROM st GROUP BY status")
 
 
-def stripped(s):
-    return snippets(s).withColumn("r", code_ast.strip_docstrings("code")).select("name", "r.stripped", "r.status")
+def skeleton_groups(s, d):
+    """(doc_id, first): the smallest document of the same skeleton, found with partial sums by skeleton."""
+    own = store.cut(skeletons(s, d).where("skeleton is not null"))
+    first = own.groupBy("skeleton").agg(F.min("doc_id").alias("first"))
+    return own.join(first, "skeleton").select("doc_id", "first")
 
 
-Q["ast_strip"] = (lambda s, d: stripped(s), None)
-Q["ast_keep_success"] = (lambda s, d: stripped(s).where("status = 'success'"), None)
-Q["ast_status_counts"] = (lambda s, d: stripped(s).groupBy("status").agg(F.count("*").alias("n")), None)
-Q["ast_skeleton"] = (lambda s, d: snippets(s).select("name", code_ast.skeleton_hashes("code").alias("skeleton")), None)
+Q["ast_skeleton"] = (skeleton_groups, f"{_ST} SELECT doc_id, min(doc_id) OVER (PARTITION BY shape) AS first FROM st WHERE status = 'success'")
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
