@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Modulus of the MinHash permutations: products of two residues stay below 2^62.
-MERSENNE_31 = 2147483647
+#: Modulus of the MinHash permutations, 2^61 - 1.
+MERSENNE_61 = (1 << 61) - 1
 # The English stop words, dropped wherever content tokens are asked for.
 STOPWORDS = tuple(
     """
@@ -55,9 +55,9 @@ def shingles(words: Column, n: int = 3) -> Column:
     return F.array_distinct(F.when(F.size(words) >= n, grams).otherwise(words))
 
 
-def hash31(value: Column) -> Column:
-    """31 bits of an md5, the same in any engine."""
-    return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(MERSENNE_31)
+def hash60(value: Column) -> Column:
+    """60 bits of an md5, the same in any engine."""
+    return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -82,9 +82,9 @@ def pad_truncate(values: Column, size: int, filler: int = 0) -> Column:
 
 
 def minhash_coefficients(n: int, seed: int = 42) -> list[tuple[int, int]]:
-    """Multipliers and offsets modulo 2^31 - 1, from md5 of the seed and their place."""
+    """Multipliers and offsets modulo 2^61 - 1, from md5 of the seed and their place."""
     import hashlib
 
-    p = MERSENNE_31
-    value = lambda s: int(hashlib.md5(f"{seed}:{s}".encode()).hexdigest()[:8], 16) % p
+    p = MERSENNE_61
+    value = lambda s: int(hashlib.md5(f"{seed}:{s}".encode()).hexdigest()[:16], 16) % p
     return [(1 + value(f"a{i}") % (p - 1), value(f"b{i}")) for i in range(n)]

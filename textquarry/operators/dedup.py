@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -45,24 +45,37 @@ def shingled(docs: DataFrame, n_words: int = 3) -> DataFrame:
     return words.select("doc_id", tx.shingles(F.col("w"), n_words).alias("shingles"))
 
 
+_HALF = np.uint64((1 << 31) - 1)
+_LOW30 = np.uint64((1 << 30) - 1)
+_P = np.uint64(tx.MERSENNE_61)
+
+
+def affine(h: np.ndarray, a: int, b: int) -> np.ndarray:
+    """(a * h + b) mod 2^61 - 1 of hashes below 2^60, with a and b below 2^61, by halves of 31 bits: 2^62 is 2 there, and a sum
+    of middle products m stands for (m >> 30) + (m mod 2^30) * 2^31; no partial sum reaches 2^64."""
+    a1, a0 = np.uint64(a >> 31), np.uint64(a) & _HALF
+    h1, h0 = h >> np.uint64(31), h & _HALF
+    middle = a1 * h0 + a0 * h1
+    x = np.uint64(2) * (a1 * h1) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + a0 * h0 + np.uint64(b)
+    x = (x & _P) + (x >> np.uint64(61))
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
 def _smallest(h: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Least (a * h + b) mod 2^31 - 1 of each run of hashes: 2^31 is 1 there, so the halves of a product add up."""
-    p = np.uint64(tx.MERSENNE_31)
-    x = h * np.uint64(a) + np.uint64(b)
-    x = (x & p) + (x >> np.uint64(31))
-    x = (x & p) + (x >> np.uint64(31))
-    return np.minimum.reduceat(np.where(x >= p, x - p, x), starts).astype(np.int64)
+    """Least affine image of each run of hashes."""
+    return np.minimum.reduceat(affine(h, a, b), starts).astype(np.int64)
 
 
 def signatures(docs: DataFrame, n: int = 64, n_words: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, sig): n smallest affine images modulo 2^31 - 1 of the shingles' 31-bit hashes; zeros for none.
+    """(doc_id, n_shingles, sig): n smallest affine images modulo 2^61 - 1 of the shingles' 60-bit hashes; zeros for none.
 
     Shingles and hashes are made by built-in expressions; their minima, n of them over one array, in an Arrow stage, which
     also keeps Spark from pushing what is done with a signature into the lambdas that make it.
     """
     ab = tx.minhash_coefficients(n)
     hashed = shingled(store.spread(docs.select("doc_id", "text")), n_words)
-    hashed = hashed.select("doc_id", F.transform("shingles", tx.hash31).alias("h"))
+    hashed = hashed.select("doc_id", F.transform("shingles", tx.hash60).alias("h"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,13 +121,80 @@ def near_pairs(a: DataFrame, b: DataFrame, texts_a: DataFrame, texts_b: DataFram
     return joined.select("doc_id", "other_id", jaccard).where(F.col("jaccard") >= threshold)
 
 
-def exact_nearest(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def near_any(a: DataFrame, b: DataFrame, texts_a: DataFrame, texts_b: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(doc_id) of the documents of a that are near to one of b, as near_pairs() finds them, without listing pairs.
+
+    First, each document is held against one representative of each of its bands: members of a large group of near copies
+    meet one document, not each other. The rest is found by the rarest of their shingles: two sets that reach the threshold
+    share one among so many of the rarest of each as the threshold lets them differ in, and one more. Of equal sets of b one
+    is looked at."""
+    a, b = a.where("n_shingles > 0"), b.where("n_shingles > 0")
+    left = store.cut(shingled(texts_a.join(a.select("doc_id"), "doc_id", "left_semi")).join(a.select("doc_id", "sig"), "doc_id"))
+    right = store.cut(shingled(texts_b.join(b.select("doc_id"), "doc_id", "left_semi")).join(b.select("doc_id", "sig"), "doc_id"))
+    # a row per band and key, by partial minima
+    stars = bands(right).groupBy("band", "key").agg(F.min("doc_id").alias("other_id"))
+    pairs = bands(left).join(stars, ["band", "key"]).select("doc_id", "other_id").distinct()
+    reach = lambda x: F.round(tx.jaccard(F.col("shingles"), F.col("other")), 6) >= x
+    other = right.select(F.col("doc_id").alias("other_id"), F.col("shingles").alias("other"), F.col("sig").alias("other_sig"))
+    met = pairs.join(left.select("doc_id", "shingles"), "doc_id").join(other, "other_id")
+    found = store.cut(met.where(reach(threshold)).select("doc_id").distinct())
+    rest = left.join(found, "doc_id", "left_anti")
+
+    one = right.groupBy(F.array_sort("shingles").alias("set"), "sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sig", F.col("set").alias("shingles"))
+    one = store.cut(one)
+    wanted = rest.select(F.explode("shingles").alias("s")).distinct()
+    each = one.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    df = each.groupBy("s").agg(F.count("*").alias("df"))
+
+    def prefix(rows: DataFrame, key: str) -> DataFrame:
+        """(key, s) of each row's rarest shingles, as many as may be missing and one more."""
+        long = rows.select(F.col("doc_id").alias(key), F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(df, "s", "left")
+        rarest = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "s")
+        return long.withColumn("i", F.row_number().over(rarest)).where(F.col("i") <= F.floor(F.col("n") * (1 - threshold + 1e-6)) + 1).select(key, "n", "s")
+
+    mine, theirs = prefix(rest, "doc_id"), prefix(one, "other_id").join(wanted, "s", "left_semi").withColumnRenamed("n", "m")
+    close = (F.col("m") >= F.col("n") * threshold - 1e-3) & (F.col("n") >= F.col("m") * threshold - 1e-3)
+    pairs = mine.join(theirs, "s").where(close).select("doc_id", "other_id").distinct()
+    banded = F.exists(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("sig", i * 4 + 1, 4) == F.slice("other_sig", i * 4 + 1, 4))
+    other = one.select(F.col("doc_id").alias("other_id"), F.col("shingles").alias("other"), F.col("sig").alias("other_sig"))
+    more = pairs.join(rest, "doc_id").join(other, "other_id").where(reach(threshold) & banded).select("doc_id").distinct()
+    return found.unionByName(more)
+
+
+#: A shingle of more corpus documents is frequent: no documents are paired by it.
+FREQUENT = 1000
+
+
+def exact_nearest(queries: DataFrame, corpus: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, other_id, jaccard): the most similar corpus document by shingles (ties: smallest id), -1 and 0 if
-    none shares one. Both sides have (doc_id, shingles); only shingles of queries are looked at."""
-    q = queries.select("doc_id", F.size("shingles").alias("nq"), F.explode("shingles").alias("s"))
+    none shares one. Both sides have (doc_id, shingles); only shingles of queries are looked at.
+
+    Documents are paired by shared shingles that aren't frequent; how many frequent ones a pair shares is told by the lists
+    of these. A document that shares frequent ones only can't be more similar than their share of the query's shingles: where
+    that may beat the best found so far, the query is held against the classes of documents of equal frequent shingles, of
+    each of which the one of fewest shingles is the most similar."""
+    q = store.cut(queries.select("doc_id", F.size("shingles").alias("nq"), F.explode("shingles").alias("s")))
     c = corpus.select(F.col("doc_id").alias("other_id"), F.size("shingles").alias("nc"), F.explode("shingles").alias("s"))
-    c = c.join(q.select("s").distinct(), "s", "left_semi")
-    pairs = q.join(c, "s").groupBy("doc_id", "other_id", "nq", "nc").agg(F.count("*").alias("both"))
-    sims = pairs.select("doc_id", "other_id", F.round(F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")), 6).alias("jaccard"))
-    best = sims.groupBy("doc_id").agg(F.max_by(F.struct("other_id", "jaccard"), F.struct("jaccard", (-F.col("other_id")).alias("o"))).alias("m"))
-    return queries.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("m.other_id", F.lit(-1)).alias("other_id"), F.coalesce("m.jaccard", F.lit(0.0)).alias("jaccard"))
+    c = store.cut(c.join(q.select("s").distinct(), "s", "left_semi"))
+    hot = store.cut(c.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > frequent).select("s"))
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    rare = q.join(hot, "s", "left_anti").join(c.join(hot, "s", "left_anti"), "s")
+    rare = rare.groupBy("doc_id", "other_id", "nq", "nc").agg(F.count("*").alias("rare"))
+    hot_q = store.cut(q.join(hot, "s", "left_semi").groupBy("doc_id", "nq").agg(F.collect_set("s").alias("hq")))
+    hot_c = store.cut(c.join(hot, "s", "left_semi").groupBy("other_id", "nc").agg(F.array_sort(F.collect_set("s")).alias("hc")))
+    pairs = rare.join(hot_q.select("doc_id", "hq"), "doc_id", "left").join(hot_c.select("other_id", "hc"), "other_id", "left")
+    pairs = pairs.withColumn("both", F.col("rare") + F.coalesce(F.size(F.array_intersect("hq", "hc")), F.lit(0)))
+
+    def best(rows: DataFrame) -> DataFrame:
+        jaccard = F.round(F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")), 6).alias("jaccard")
+        sims = rows.select("doc_id", "other_id", jaccard)
+        return sims.groupBy("doc_id").agg(F.max_by(F.struct("other_id", "jaccard"), F.struct("jaccard", (-F.col("other_id")).alias("o"))).alias("m")).select("doc_id", "m.other_id", "m.jaccard")
+
+    found = store.cut(best(pairs))
+    open_ = hot_q.join(found.select("doc_id", "jaccard"), "doc_id", "left").where(F.round(F.size("hq") / F.col("nq"), 6) >= F.coalesce("jaccard", F.lit(0.0)))
+    classes = hot_c.groupBy("hc").agg(F.min(F.struct("nc", "other_id")).alias("m")).select("m.nc", "m.other_id", F.explode("hc").alias("s"))
+    shared = open_.select("doc_id", "nq", F.explode("hq").alias("s")).join(classes, "s")
+    shared = shared.groupBy("doc_id", "other_id", "nq", "nc").agg(F.count("*").alias("both"))
+    rows = found.unionByName(best(shared))
+    top = rows.groupBy("doc_id").agg(F.max_by(F.struct("other_id", "jaccard"), F.struct("jaccard", (-F.col("other_id")).alias("o"))).alias("m"))
+    return queries.select("doc_id").join(top, "doc_id", "left").select("doc_id", F.coalesce("m.other_id", F.lit(-1)).alias("other_id"), F.coalesce("m.jaccard", F.lit(0.0)).alias("jaccard"))

@@ -9,10 +9,12 @@ from ..functions.text import unit_hash
 from ..sources import store
 from .numbering import numbered
 
-#: Draws of the first round of a fill; each further round has eight times as many.
-DRAWS = 32
-#: Draws are broadcast up to so many; more are joined by shuffle.
+#: Draws of a fill: the second round goes on behind the first. Of a query that still misses some after them, few documents
+#: can be taken: these are listed.
+DRAWS = (32, 288)
+#: Draws, and the queries whose documents are listed at once, are broadcast up to so many; more draws are joined by shuffle.
 BROADCAST_DRAWS = 400_000
+LISTED_QUERIES = 10_000
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -47,31 +49,45 @@ def judged(scored: DataFrame, truth: DataFrame, prints: DataFrame, pool: int, le
 
 
 def fill(short: DataFrame, taken: DataFrame, prints: DataFrame, seed: int = 42, judge: bool = True) -> DataFrame:
-    """(query_id, doc_id, draw) of fillers for short (query_id, target, missing), from all documents of prints: the j-th
-    draw of a query is the document at place floor(hash(seed, query, j) * n). As a candidate, a filler must pass the tiers
-    (with judge; without, only not be the target), and it must not be in taken (query_id, doc_id). Rounds of more and
-    more draws go on for queries that still miss some; where draws outnumber the corpus eight times, all is drawn."""
+    """(query_id, doc_id, place) of fillers for short (query_id, target, missing), in the order of place, from all documents of
+    prints; at least as many as are missing, or all there are. As a candidate, a filler must pass the tiers (with
+    judge; without, only not be the target), and it must not be in taken (query_id, doc_id).
+
+    The j-th draw of a query is the document at place floor(hash(seed, query, j) * n). Where the draws don't do, because
+    nearly all documents are excluded, the ones that aren't are listed in one scan, in the order of hash(seed, query, doc).
+    """
     own = store.cut(targets(short.select("query_id", "target"), prints).join(short.select("query_id", "missing"), "query_id"))
+    out = own.select("query_id", F.col("target").alias("doc_id"), F.lit(0.0).alias("place")).where("false")
     if not own.limit(1).count():
-        return own.select("query_id", F.col("target").alias("doc_id"), F.lit(0).cast("long").alias("draw"))
+        return out
+    excluded = tier().isNotNull() if judge else F.col("doc_id") == F.col("target")
     # only ids are numbered; what the tiers need is looked up for the documents drawn
     places = store.cut(numbered(prints.select("doc_id"), "doc_id", "at"))
-    n, draws, low, out = places.count(), DRAWS, 0, None
-    while True:
-        rows = own.select("query_id", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+    n, low = places.count(), 0
+    for high in DRAWS:
+        rows = own.select("query_id", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))).alias("draw"))
         rows = rows.withColumn("at", F.floor(unit_hash(F.lit(seed), F.col("query_id"), F.col("draw")) * F.lit(n)).cast("long"))
         drawn = rows.groupBy("query_id", "at").agg(F.min("draw").alias("draw")).join(places, "at").join(taken, ["query_id", "doc_id"], "left_anti")
-        drawn = store.cut(drawn.select("query_id", "doc_id", "draw"))
+        drawn = store.cut(drawn.join(out, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "draw"))
         side = F.broadcast(drawn) if drawn.count() <= BROADCAST_DRAWS else drawn
-        met = prints.join(side, "doc_id").join(own.select("query_id", "target", "q1", "k1", "s1"), "query_id")
-        fine = met.where(tier().isNull() if judge else F.col("doc_id") != F.col("target")).select("query_id", "doc_id", "draw")
-        out = fine if out is None else out.unionByName(fine).groupBy("query_id", "doc_id").agg(F.min("draw").alias("draw"))
-        out = store.cut(out)
+        met = prints.join(side, "doc_id").join(own.select("query_id", "target", "q1", "k1", "s1"), "query_id").where(~excluded)
+        out = store.cut(out.unionByName(met.select("query_id", "doc_id", F.col("draw").cast("double").alias("place"))))
         found = out.groupBy("query_id").agg(F.count("*").alias("found"))
-        own = store.cut(own.join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < F.col("missing")).drop("found"))
-        if low > 8 * n or not own.limit(1).count():
+        own = store.cut(own.drop("found").join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < F.col("missing")))
+        left, low = own.count(), high
+        if not left:
             return out
-        low, draws = draws, draws * 8
+    groups = -(-left // LISTED_QUERIES)
+    for g in range(groups):
+        # a stated, bounded set of queries against all rows; of each query and task no more leave than are missing
+        asking = own.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+        met = prints.join(F.broadcast(asking), ~excluded).select("query_id", "doc_id", F.col("missing") - F.coalesce("found", F.lit(0)))
+        met = met.toDF("query_id", "doc_id", "missing").join(taken.unionByName(out.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_anti")
+        order = unit_hash(F.lit(seed), F.col("query_id"), F.col("doc_id"))
+        first = Window.partitionBy("query_id").orderBy("order", "doc_id")
+        met = met.withColumn("order", order).withColumn("i", F.row_number().over(first)).where(F.col("i") <= F.col("missing"))
+        out = out.unionByName(met.select("query_id", "doc_id", (F.lit(DRAWS[-1]) + F.col("i")).cast("double").alias("place")))
+    return store.cut(out)
 
 
 def filled(ranked: DataFrame, truth: DataFrame, prints: DataFrame, k: int, seed: int = 42, judge: bool = True) -> DataFrame:
@@ -83,7 +99,7 @@ def filled(ranked: DataFrame, truth: DataFrame, prints: DataFrame, k: int, seed:
     missing = F.lit(k) - F.coalesce("have", F.lit(0))
     short = truth.join(have, "query_id", "left").select("query_id", "target", missing.alias("missing")).where("missing > 0")
     more = fill(short, kept.select("query_id", "doc_id"), prints, seed, judge).join(short.select("query_id", "missing"), "query_id")
-    drawn = Window.partitionBy("query_id").orderBy("draw")
+    drawn = Window.partitionBy("query_id").orderBy("place")
     more = more.withColumn("i", F.row_number().over(drawn)).where(F.col("i") <= F.col("missing"))
     return kept.unionByName(more.select("query_id", (F.lit(k) - F.col("missing") + F.col("i")).cast("long").alias("neg_pos"), "doc_id"))
 

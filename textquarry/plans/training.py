@@ -13,16 +13,16 @@ from .dense import _ALL, vectors
 from .retrieval import ranks
 
 Q: dict = {}
-_H31 = "(('0x' || substr(md5(s), 1, 8))::BIGINT % 2147483647)"
+_H60 = "('0x' || substr(md5(s), 1, 15))::BIGINT"
 _AB = tx.minhash_coefficients(64)
 
 
 def sig_sql(p: str = "", text: str = "text") -> str:
     """CTEs sh(doc_id, g) and sg(doc_id, sig), with a prefix p, of an expression over documents."""
     return f"""{p}sh AS (SELECT doc_id, {SHINGLES('w')} AS g FROM (SELECT doc_id, {WS(f'lower({text})')} AS w FROM documents)),
-{p}hs AS (SELECT DISTINCT doc_id, {_H31} AS h FROM (SELECT doc_id, unnest(g) AS s FROM {p}sh)),
-{p}co(i, a, b) AS (VALUES {', '.join(f'({i}, {a}::BIGINT, {b}::BIGINT)' for i, (a, b) in enumerate(_AB))}),
-{p}sg AS (SELECT doc_id, list(m ORDER BY i) AS sig FROM (SELECT doc_id, i, min((a * h + b) % 2147483647) AS m FROM {p}hs, {p}co GROUP BY doc_id, i) GROUP BY doc_id)"""
+{p}hs AS (SELECT DISTINCT doc_id, {_H60} AS h FROM (SELECT doc_id, unnest(g) AS s FROM {p}sh)),
+{p}co(i, a, b) AS (VALUES {', '.join(f'({i}, {a}::HUGEINT, {b}::HUGEINT)' for i, (a, b) in enumerate(_AB))}),
+{p}sg AS (SELECT doc_id, list(m ORDER BY i) AS sig FROM (SELECT doc_id, i, min((a * h + b) % 2305843009213693951)::BIGINT AS m FROM {p}hs, {p}co GROUP BY doc_id, i) GROUP BY doc_id)"""
 
 
 _SIG = sig_sql()
@@ -58,7 +58,7 @@ def minhash_cross_dedup(s, d, threshold: float = 0.85):
     """Test documents without a train document whose shingles reach the threshold among those sharing a band."""
     test, train = (docs(s, d).where(part) for part in (TEST, TRAIN))
     sig = signed(s, d)
-    near = dedup.near_pairs(sig.where(TEST), sig.where(TRAIN), test, train, threshold).select("doc_id").distinct()
+    near = dedup.near_any(sig.where(TEST), sig.where(TRAIN), test, train, threshold)
     return test.select("doc_id").join(near, "doc_id", "left_anti")
 
 
@@ -72,6 +72,32 @@ SELECT doc_id FROM documents WHERE doc_id % 10 = 9 AND doc_id NOT IN (SELECT doc
 )
 
 
+def minhash_split_purge(s, d, threshold: float = 0.85):
+    """(doc_id, split) without near-duplicates across splits: train whole; test without what is near to train; val without
+    what is near to train, then to the test documents that stay."""
+    sig, val = signed(s, d), "doc_id % 10 = 8"
+    train, test, later = (docs(s, d).where(part) for part in (TRAIN, TEST, val))
+    kept = store.cut(test.select("doc_id").join(dedup.near_any(sig.where(TEST), sig.where(TRAIN), test, train, threshold), "doc_id", "left_anti"))
+    left = store.cut(later.select("doc_id").join(dedup.near_any(sig.where(val), sig.where(TRAIN), later, train, threshold), "doc_id", "left_anti"))
+    only = lambda df, ids: df.join(ids, "doc_id", "left_semi")
+    again = dedup.near_any(only(sig, left), only(sig, kept), only(later, left), only(test, kept), threshold)
+    parts = ((train, "train"), (kept, "test"), (left.join(again, "doc_id", "left_anti"), "val"))
+    first, second, third = (df.select("doc_id", F.lit(name).alias("split")) for df, name in parts)
+    return first.unionByName(second).unionByName(third)
+
+
+_NEAR = "round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) >= 0.85"
+Q["minhash_split_purge"] = (
+    minhash_split_purge,
+    f"""WITH {_SIG}, {_BANDS}, cand AS (SELECT DISTINCT x.doc_id, y.doc_id AS o FROM bd x JOIN bd y USING (band, key) WHERE x.doc_id % 10 >= 8 AND y.doc_id % 10 != 8 AND x.doc_id != y.doc_id),
+nr AS (SELECT c.doc_id, c.o FROM cand c JOIN sh a ON a.doc_id = c.doc_id JOIN sh b ON b.doc_id = c.o WHERE {_NEAR}),
+te AS (SELECT doc_id FROM documents WHERE doc_id % 10 = 9 AND doc_id NOT IN (SELECT doc_id FROM nr WHERE o % 10 < 8)),
+va AS (SELECT doc_id FROM documents WHERE doc_id % 10 = 8 AND doc_id NOT IN (SELECT doc_id FROM nr WHERE o % 10 < 8)
+  AND doc_id NOT IN (SELECT doc_id FROM nr WHERE o IN (SELECT doc_id FROM te)))
+SELECT doc_id, 'train' AS split FROM documents WHERE doc_id % 10 < 8 UNION ALL SELECT doc_id, 'test' FROM te UNION ALL SELECT doc_id, 'val' FROM va""",
+)
+
+
 def nearest(s, d):
     sh = store.cut(dedup.shingled(docs(s, d)))
     return dedup.exact_nearest(sh.where(TEST), sh.where(TRAIN))
@@ -112,7 +138,7 @@ def dedup_positive_control(s, d):
     changed = texts.select("doc_id", F.concat("text", F.lit(ADDED)).alias("text"))
     both = store.cut(dedup.shingled(texts)).join(store.cut(dedup.shingled(changed)).withColumnRenamed("shingles", "other"), "doc_id")
     pairs = both.select("doc_id", tx.jaccard(F.col("shingles"), F.col("other")).alias("j")).where("j >= 0.85")
-    found = dedup.near_pairs(store.cut(dedup.signatures(changed)), sig, changed, texts).select("doc_id").distinct()
+    found = dedup.near_any(store.cut(dedup.signatures(changed)), sig, changed, texts)
     return pairs.join(found.withColumn("hit", F.lit(1)), "doc_id", "left").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
 
 
@@ -242,20 +268,20 @@ _TIER = """CASE WHEN c.doc_id = t.doc_id THEN 'self' WHEN c.q = t.q THEN 'query_
   WHEN len(list_filter(list_zip(c.sig, t.sig), lambda x: x[1] = x[2])) >= 45 THEN 'signature' END"""
 _JUDGED += f""",
 jd AS (SELECT p.query_id, p.doc_id, p.place, {_TIER} AS tier FROM pool p JOIN pr c ON c.doc_id = p.doc_id JOIN pr t ON t.doc_id = p.query_id)"""
-#: Draws of a fill that the SQL looks at; the rounds of the operator go on until none is missing.
-_SQL_DRAWS = 400
-
-
 def _filled(kept: str, k: int, where: str) -> str:
     """CTEs up to ng(query_id, neg_pos, doc_id), from kept(query_id, doc_id, place)."""
+    fresh = f"NOT EXISTS (SELECT 1 FROM kp WHERE kp.query_id = dw.query_id AND kp.doc_id = nd.doc_id AND neg_pos <= {k})"
     return f"""kp AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS neg_pos FROM ({kept})),
 hv AS (SELECT qs.query_id, count(kp.doc_id) AS have FROM qs LEFT JOIN kp ON kp.query_id = qs.query_id AND neg_pos <= {k} GROUP BY qs.query_id HAVING count(kp.doc_id) < {k}),
 nd AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
-dw AS (SELECT query_id, have, j, floor({HASH('42', 'query_id', 'j')} * (SELECT count(*) FROM documents))::BIGINT AS pos FROM hv, range({_SQL_DRAWS}) AS r(j)),
-fl AS (SELECT dw.query_id, any_value(have) AS have, nd.doc_id, min(j) AS j FROM dw JOIN nd USING (pos) {where}
-  GROUP BY dw.query_id, nd.doc_id HAVING NOT EXISTS (SELECT 1 FROM kp WHERE kp.query_id = dw.query_id AND kp.doc_id = nd.doc_id AND neg_pos <= {k})),
+dw AS (SELECT query_id, have, j, floor({HASH('42', 'query_id', 'j')} * (SELECT count(*) FROM documents))::BIGINT AS pos FROM hv, range({mining.DRAWS[-1]}) AS r(j)),
+fl AS (SELECT dw.query_id, any_value(have) AS have, nd.doc_id, min(j) AS j FROM dw JOIN nd USING (pos) {where} AND {fresh} GROUP BY dw.query_id, nd.doc_id),
+h2 AS (SELECT query_id, any_value(hv.have) + count(fl.doc_id) AS have FROM hv LEFT JOIN fl USING (query_id) GROUP BY query_id HAVING any_value(hv.have) + count(fl.doc_id) < {k}),
+rs AS (SELECT dw.query_id, have, nd.doc_id FROM h2 dw JOIN nd ON true {where} AND {fresh} AND NOT EXISTS (SELECT 1 FROM fl WHERE fl.query_id = dw.query_id AND fl.doc_id = nd.doc_id)),
 ng AS (SELECT query_id, neg_pos, doc_id FROM kp WHERE neg_pos <= {k}
-  UNION ALL SELECT query_id, have + row_number() OVER (PARTITION BY query_id ORDER BY j), doc_id FROM fl QUALIFY have + row_number() OVER (PARTITION BY query_id ORDER BY j) <= {k})"""
+  UNION ALL SELECT query_id, have + row_number() OVER (PARTITION BY query_id ORDER BY j), doc_id FROM fl QUALIFY have + row_number() OVER (PARTITION BY query_id ORDER BY j) <= {k}
+  UNION ALL SELECT query_id, have + row_number() OVER (PARTITION BY query_id ORDER BY {HASH('42', 'query_id', 'doc_id')}, doc_id), doc_id FROM rs
+    QUALIFY have + row_number() OVER (PARTITION BY query_id ORDER BY {HASH('42', 'query_id', 'doc_id')}, doc_id) <= {k})"""
 
 
 _NEG = _filled("SELECT query_id, doc_id, place FROM jd WHERE tier IS NULL", K, f"JOIN pr c ON c.doc_id = nd.doc_id JOIN pr t ON t.doc_id = dw.query_id WHERE {_TIER} IS NULL")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 #: Part of every name: raise it when the layout of a kept table changes.
-LAYOUT = 2
+LAYOUT = 3
 
 
 def shared_folder(spark) -> str:
