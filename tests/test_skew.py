@@ -7,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textquarry.functions import text as tx
-from textquarry.operators import dedup, mining
+from textquarry.functions.modular import MERSENNE_61, affine
+from textquarry.operators import dedup, mining, ranking, resampling
 
 BOILER = " ".join(f"boiler{i}" for i in range(12))
 SIDE = " ".join(f"side{i}" for i in range(9))
@@ -60,10 +60,10 @@ def test_a_band_of_many_near_copies(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, tx.MERSENNE_61 - 1), st.integers(0, tx.MERSENNE_61 - 1), st.lists(st.integers(0, (1 << 60) - 1), min_size=1, max_size=20))
+@given(st.integers(0, MERSENNE_61 - 1), st.integers(0, MERSENNE_61 - 1), st.lists(st.integers(0, MERSENNE_61 - 1), min_size=1, max_size=20))
 def test_affine_images(a, b, h):
-    got = dedup.affine(np.array(h, np.uint64), a, b)
-    assert got.tolist() == [(a * x + b) % tx.MERSENNE_61 for x in h]
+    got = affine(np.array(h, np.uint64), a, b)
+    assert got.tolist() == [(a * x + b) % MERSENNE_61 for x in h]
 
 
 def test_a_fill_ends_where_few_may_be_taken(spark):
@@ -77,3 +77,29 @@ def test_a_fill_ends_where_few_may_be_taken(spark):
     assert time.time() - began < 90
     assert {q: {r.doc_id for r in got if r.query_id == q} for q in (0, 1)} == {q: {7, 50_007, 100_007, 150_007} for q in (0, 1)}
     assert sorted(r.neg_pos for r in got) == [1, 1, 2, 2, 3, 3, 4, 4] and [r.doc_id for r in got if r.query_id == 0 and r.neg_pos == 1] == [50_007]
+
+
+def test_every_sample_draws_as_many_rows_as_there_are():
+    for n, times in ((1, 5), (2, 400), (37, 300), (1500, 40)):
+        counts = np.zeros((n, times), np.int64)
+        for i, m in resampling.draws(np.arange(n), n, times, 42):
+            counts[i] += m
+        assert (counts.sum(axis=0) == n).all() and counts.min() >= 0
+        # a task that holds some of the places gives them the same counts
+        some = np.arange(0, n, 3)
+        for i, m in resampling.draws(some, n, times, 42):
+            assert (m == counts[some[i]]).all()
+    # counts of a place over samples are binomial: their mean and variance are near 1
+    assert abs(counts.mean() - 1) < 1e-12 and abs(counts.var() - 1) < 0.05
+    u = resampling.uniforms(np.arange(20_000), 5, 0, 42)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u[1:], u[:-1])[0, 1]) < 0.03
+    assert abs(np.corrcoef(u, resampling.uniforms(np.arange(20_000), 10, 0, 42))[0, 1]) < 0.03
+
+
+def test_intervals_do_not_depend_on_partitions(spark):
+    rows = [(i, float(i % 7 + 1) if i % 4 else None) for i in range(90)]
+    made = [tuple(map(tuple, ranking.bootstrap(spark.createDataFrame(rows, "query_id long, rank double").repartition(p), 200).orderBy("metric").collect())) for p in (1, 6)]
+    assert made[0] == made[1]
+    low, high = next((r[1], r[2]) for r in made[0] if r[0] == "mrr")
+    true = float(np.mean([1 / r if r else 0 for _, r in rows]))
+    assert low < true < high and high - low < 0.3

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Modulus of the MinHash permutations, 2^61 - 1.
-MERSENNE_61 = (1 << 61) - 1
+from .modular import MERSENNE_61
+
 # The English stop words, dropped wherever content tokens are asked for.
 STOPWORDS = tuple(
     """

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.modular import affine
 from ..sources import store
 
 
@@ -45,23 +46,6 @@ def shingled(docs: DataFrame, n_words: int = 3) -> DataFrame:
     return words.select("doc_id", tx.shingles(F.col("w"), n_words).alias("shingles"))
 
 
-_HALF = np.uint64((1 << 31) - 1)
-_LOW30 = np.uint64((1 << 30) - 1)
-_P = np.uint64(tx.MERSENNE_61)
-
-
-def affine(h: np.ndarray, a: int, b: int) -> np.ndarray:
-    """(a * h + b) mod 2^61 - 1 of hashes below 2^60, with a and b below 2^61, by halves of 31 bits: 2^62 is 2 there, and a sum
-    of middle products m stands for (m >> 30) + (m mod 2^30) * 2^31; no partial sum reaches 2^64."""
-    a1, a0 = np.uint64(a >> 31), np.uint64(a) & _HALF
-    h1, h0 = h >> np.uint64(31), h & _HALF
-    middle = a1 * h0 + a0 * h1
-    x = np.uint64(2) * (a1 * h1) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + a0 * h0 + np.uint64(b)
-    x = (x & _P) + (x >> np.uint64(61))
-    x = (x & _P) + (x >> np.uint64(61))
-    return np.where(x >= _P, x - _P, x)
-
-
 def _smallest(h: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
     """Least affine image of each run of hashes."""
     return np.minimum.reduceat(affine(h, a, b), starts).astype(np.int64)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import unit_hash
 from ..sources import store
+from . import resampling
 from .numbering import numbered
 
 
@@ -112,26 +116,53 @@ def metrics(ranks: DataFrame, by: list[str] | None = None, ks: tuple[int, ...] =
     return ranks.groupBy(*(by or [])).agg(F.count("*").alias("n"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(name) for name, c in suite(F.col("rank"), ks)])
 
 
-def resamples(ranks: DataFrame, times: int, seed: int = 42) -> DataFrame:
-    """ranks with replacement, `times` times, as (b, times a row was drawn, columns of ranks): the j-th draw of sample b is
-    the row at place floor(n * hash(seed, b, j)) in the order of query_id. Draws are counted before they meet the rows."""
+def _numbered(ranks: DataFrame) -> tuple[DataFrame, int]:
+    """ranks with the place of each row in the order of query_id, and their number."""
     rows = store.cut(numbered(ranks, "query_id", "row"))
-    n = rows.count()
-    spark = ranks.sparkSession
-    draws = store.spread(spark.range(times).select(F.col("id").alias("b"))).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))).alias("j"))
-    place = F.floor(unit_hash(F.lit(seed), F.col("b"), F.col("j")) * F.lit(n)).cast("long")
-    return draws.select("b", place.alias("row")).groupBy("b", "row").agg(F.count("*").alias("times")).join(rows, "row")
+    return rows, rows.count()
 
 
-def mean_of(column: Column) -> Column:
-    """Mean of a column over the rows of a sample, each as often as it was drawn."""
-    return F.sum(column * F.col("times")) / F.sum("times")
+def resamples(ranks: DataFrame, times: int, seed: int = 42) -> DataFrame:
+    """ranks with replacement, `times` times, as (b, times a row was drawn, columns of ranks): a row per row that a sample
+    holds. Where sums will do, sample_means() makes none."""
+    rows, n = _numbered(ranks)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.unique(np.asarray(batch.column(0)))
+            for i, m in resampling.draws(places, n, times, seed):
+                b = np.flatnonzero(m)
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(m[b]), pa.array(np.full(b.size, places[i]))], names=["b", "times", "row"])
+
+    return rows.select("row").mapInArrow(draw, "b long, times long, row long").join(rows, "row")
+
+
+def sample_means(ranks: DataFrame, values: dict[str, Column], times: int, seed: int = 42) -> DataFrame:
+    """(b, a mean of each of the values): means over `times` samples of ranks with replacement. Each task returns a row per
+    sample, whatever the number of rows."""
+    rows, n = _numbered(ranks)
+    names = list(values)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, any_ = np.zeros((times, len(names))), False
+        for batch in batches:
+            place = np.asarray(batch.column(0))
+            order = np.argsort(place)
+            own = np.stack([np.asarray(batch.column(i + 1)) for i in range(len(names))], axis=1)[order]
+            for i, m in resampling.draws(place[order], n, times, seed):
+                sums += m[:, None] * own[i]
+                any_ = True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(times)), *(pa.array(sums[:, i]) for i in range(len(names)))], names=["b", *names])
+
+    made = rows.select("row", *[c.cast("double").alias(x) for x, c in values.items()]).mapInArrow(draw, "b long, " + ", ".join(f"{x} double" for x in names))
+    return made.groupBy("b").agg(*[(F.sum(x) / max(1, n)).alias(x) for x in names])
 
 
 def bootstrap(ranks: DataFrame, times: int = 1000, level: float = 0.95, seed: int = 42, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """(metric, low, high): percentile intervals of all metrics, from one set of samples; (0, 0) without ranks."""
     names = [name for name, _ in suite(F.col("rank"), ks)]
-    means = resamples(ranks, times, seed).groupBy("b").agg(*[mean_of(c).alias(name) for name, c in suite(F.col("rank"), ks)])
+    means = sample_means(ranks, dict(suite(F.col("rank"), ks)), times, seed)
     long = means.unpivot(["b"], names, "metric", "value")
     edge = (1 - level) / 2
     found = long.groupBy("metric").agg(F.percentile("value", F.lit(edge)).alias("low"), F.percentile("value", F.lit(1 - edge)).alias("high"))
@@ -157,6 +188,6 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, times: int = 2000, level: float
     drr, dr1 = reciprocal(F.col("ra")) - reciprocal(F.col("rb")), recall(F.col("ra"), 1) - recall(F.col("rb"), 1)
     mean = both.agg(F.round(F.avg(drr), 6).alias("delta_rr"), F.round(F.avg(dr1), 6).alias("delta_r1"))
     edge = (1 - level) / 2
-    means = resamples(both, times, seed).groupBy("b").agg(F.round(mean_of(drr), 9).alias("d"))
+    means = sample_means(both, {"d": drr}, times, seed).select(F.round("d", 9).alias("d"))
     ci = means.agg(F.round(F.percentile("d", F.lit(edge)), 6).alias("low"), F.round(F.percentile("d", F.lit(1 - edge)), 6).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))).alias("p"))
     return mean.crossJoin(ci).withColumns({"equivalent": F.col("low") >= -margin, "significant": (F.col("low") > 0) | (F.col("high") < 0)})

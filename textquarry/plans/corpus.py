@@ -224,15 +224,11 @@ FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)""")
 
 
 # sinks, and what is read back from them
-def _folder(s, name: str) -> str:
-    return f"{store.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
-
-
 def jsonl_scan(s, d):
     """Documents written as gzipped JSON lines into several files, and read from them."""
-    at = _folder(s, "jsonl")
-    docs(s, d).repartition(3).write.option("compression", "gzip").json(at)
-    return io.read_jsonl(s, at, "doc_id long, text string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    with store.scratch(s) as at:
+        docs(s, d).repartition(3).write.option("compression", "gzip").json(at)
+        return store.cut(io.read_jsonl(s, at, "doc_id long, text string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")))
 
 
 Q["jsonl_scan"] = (jsonl_scan, "SELECT doc_id, md5(text) AS digest FROM documents")
@@ -240,9 +236,9 @@ Q["jsonl_scan"] = (jsonl_scan, "SELECT doc_id, md5(text) AS digest FROM document
 
 def split_sink(s, d):
     """Documents written as a Parquet folder for each split, and read from them."""
-    at = _folder(s, "splits")
-    io.write_splits(_split(s, d), at)
-    return s.read.parquet(at).select("doc_id", F.col("split").cast("string").alias("split"), F.length("text").cast("long").alias("n"))
+    with store.scratch(s) as at:
+        io.write_splits(_split(s, d), at)
+        return store.cut(s.read.parquet(at).select("doc_id", F.col("split").cast("string").alias("split"), F.length("text").cast("long").alias("n")))
 
 
 Q["split_sink"] = (split_sink, """SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val'
@@ -260,9 +256,9 @@ _REPORT = f"WITH {PAIRED}, {paired_sql()}, {ranks_sql()}, m AS (SELECT {METRICS}
 
 def report_sink(s, d):
     """A report written as JSON, and read back."""
-    at = _folder(s, "report")
-    io.write_report(_report(s, d), at)
-    return io.read_report(s, at).select("arm", F.col("MRR").alias("mrr"), F.col("`Recall@10`").alias("recall_10"))
+    with store.scratch(s) as at:
+        io.write_report(_report(s, d), at)
+        return store.cut(io.read_report(s, at).select("arm", F.col("MRR").alias("mrr"), F.col("`Recall@10`").alias("recall_10")))
 
 
 Q["report_sink"] = (report_sink, f"{_REPORT} SELECT 'bm25' AS arm, mrr, recall_10 FROM m")
@@ -288,10 +284,10 @@ UNION ALL SELECT 4, printf('| %-12s | %.4f |', 'RECALL@10', recall_10) FROM m)""
 
 def skip_processed(s, d):
     """Documents of which a results table, appended to as they are done, doesn't tell yet."""
-    at = _folder(s, "results")
-    docs(s, d).where("doc_id % 3 = 0").select("doc_id", F.length("text").alias("n")).write.parquet(at)
-    io.new_only(docs(s, d).where("doc_id % 3 = 1"), s.read.parquet(at), ["doc_id"]).select("doc_id", F.length("text").alias("n")).write.mode("append").parquet(at)
-    return io.new_only(docs(s, d), s.read.parquet(at), ["doc_id"]).select("doc_id")
+    with store.scratch(s) as at:
+        docs(s, d).where("doc_id % 3 = 0").select("doc_id", F.length("text").alias("n")).write.parquet(at)
+        io.new_only(docs(s, d).where("doc_id % 3 = 1"), s.read.parquet(at), ["doc_id"]).select("doc_id", F.length("text").alias("n")).write.mode("append").parquet(at)
+        return store.cut(io.new_only(docs(s, d), s.read.parquet(at), ["doc_id"]).select("doc_id"))
 
 
 Q["skip_processed"] = (skip_processed, "SELECT doc_id FROM documents WHERE doc_id % 3 = 2")

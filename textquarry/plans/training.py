@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bpe, code_ast
 from ..functions import text as tx
-from ..operators import bm25, dedup, dense, mining, ranking
+from ..operators import bm25, dedup, dense, mining, ranking, resampling
 from ..sources import store
 from .base import HASH, PAIRED, SHINGLES, TOK, WS, docs, index, index_sql, paired_best, paired_queries, paired_sql, ranks_sql, signed, table, truth
 from .dense import _ALL, vectors
@@ -42,15 +42,20 @@ Q["lsh_bands"] = (lambda s, d: dedup.bands(signed(s, d).where("n_shingles > 0"))
 
 
 def _agreement(s, d):
-    sig = signed(s, d).select("doc_id", "sig")
-    other = sig.select((F.col("doc_id") - 1).alias("doc_id"), F.col("sig").alias("other"))
-    return sig.join(other, "doc_id").select("doc_id", mining.agreement(F.col("sig"), F.col("other")).cast("long").alias("agree"))
+    """(doc_id, other_id, agree): each document against the smallest one of each of its bands."""
+    sig = signed(s, d).where("n_shingles > 0")
+    own = dedup.bands(sig)
+    stars = own.groupBy("band", "key").agg(F.min("doc_id").alias("other_id"))
+    pairs = own.join(stars, ["band", "key"]).where("doc_id != other_id").select("doc_id", "other_id").distinct()
+    other = sig.select(F.col("doc_id").alias("other_id"), F.col("sig").alias("other"))
+    return pairs.join(sig.select("doc_id", "sig"), "doc_id").join(other, "other_id").select("doc_id", "other_id", mining.agreement(F.col("sig"), F.col("other")).cast("long").alias("agree"))
 
 
 Q["minhash_agreement"] = (
     _agreement,
-    f"""WITH {_SIG} SELECT a.doc_id, len(list_filter(list_zip(a.sig, b.sig), lambda p: p[1] = p[2]))::BIGINT AS agree
-FROM sg a JOIN sg b ON b.doc_id = a.doc_id + 1 WHERE len(a.sig) > 0""",
+    f"""WITH {_SIG}, {_BANDS}, pr AS (SELECT DISTINCT doc_id, other_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, key) AS other_id FROM bd) WHERE doc_id != other_id)
+SELECT pr.doc_id, other_id, len(list_filter(list_zip(a.sig, b.sig), lambda p: p[1] = p[2]))::BIGINT AS agree
+FROM pr JOIN sg a ON a.doc_id = pr.doc_id JOIN sg b ON b.doc_id = other_id""",
 )
 
 
@@ -160,12 +165,24 @@ Q["seeded_sample"] = (
     f"SELECT doc_id FROM documents ORDER BY {HASH('42', 'doc_id')}, doc_id LIMIT 100")
 TIMES, PAIRED_TIMES = 1000, 2000
 _R = f"{PAIRED}, {paired_sql()}, {ranks_sql()}"
+# the tree of draws, for up to resampling.MOST_DRAWS rows: its splits' cumulative probabilities cl, its nodes tr
+_M = resampling.MULTIPLIERS
+_MIX = lambda x, shift, a: f"((xor(({x})::BIGINT, ({x})::BIGINT >> {shift})::HUGEINT * {a} + 1) % {resampling.P})"
+_H0 = f"((b::HUGEINT * {_M[0]} + (node::HUGEINT * {_M[1]} + 42) % {resampling.P}) % {resampling.P})"
 _DRAW = f"""nr AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS row FROM {{src}}),
-dr AS (SELECT b, floor({HASH('42', 'b', 'j')} * (SELECT count(*) FROM nr))::BIGINT AS row
-FROM range({{times}}) AS x(b), (SELECT row AS j FROM nr)), bs AS (SELECT b, {{aggs}} FROM dr JOIN nr USING (row) GROUP BY b)"""
+nn AS (SELECT count(*) AS n FROM nr), sz(size) AS (SELECT n FROM nn UNION SELECT unnest([size // 2, size - size // 2]) FROM sz WHERE size > 1),
+cd AS (SELECT size, m, k, exp(lgamma(m + 1) - CASE WHEN k > 0 THEN lgamma(k + 1) ELSE 0 END - lgamma(m - k + 1) + k * ln((size // 2) / size) + (m - k) * ln(1 - (size // 2) / size)) AS p
+  FROM sz, nn, unnest(range(1, n + 1)) AS r(m), unnest(range(m)) AS q(k) WHERE size > 1),
+cl AS (SELECT size, m, list(c ORDER BY k) AS c FROM (SELECT size, m, k, sum(p) OVER (PARTITION BY size, m ORDER BY k) AS c FROM cd) GROUP BY size, m
+  UNION ALL SELECT size, 0, []::DOUBLE[] FROM sz WHERE size > 1),
+tr(b, node, low, size, m) AS (SELECT b, 1::BIGINT, 0::BIGINT, n, n FROM range({{times}}) AS x(b), nn WHERE n > 0 UNION ALL
+  SELECT b, 2 * node + side, low + side * (size // 2), CASE WHEN side = 0 THEN size // 2 ELSE size - size // 2 END, CASE WHEN side = 0 THEN k ELSE m - k END
+  FROM (SELECT b, node, low, tr.size, tr.m, side, len(list_filter(c, lambda x: x < u)) AS k
+    FROM (SELECT *, {_MIX(_MIX(_H0, 29, _M[1]), 31, _M[2])}::DOUBLE / {resampling.P} AS u FROM tr WHERE size > 1) tr JOIN cl ON cl.size = tr.size AND cl.m = tr.m, (VALUES (0), (1)) AS s(side))),
+dr AS (SELECT b, low AS row, m FROM tr WHERE size = 1 AND m > 0), bs AS (SELECT b, {{aggs}} FROM dr JOIN nr USING (row) GROUP BY b)"""
 _EXPR = {"mrr": "CASE WHEN rank >= 1 THEN 1.0::DOUBLE / rank ELSE 0 END"} | {f"recall_{k}": f"CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE ELSE 0 END" for k in (1, 5, 10)} | {f"ndcg_{k}": f"CASE WHEN rank >= 1 AND rank <= {k} THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END" for k in (1, 5, 10)}
 _CI = "round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.975), 6) AS high"
-_SUITE = f"WITH {_R}, " + _DRAW.format(times=TIMES, src="rk", aggs=", ".join(f"avg({e}) AS {m}" for m, e in _EXPR.items()))
+_SUITE = f"WITH RECURSIVE {_R}, " + _DRAW.format(times=TIMES, src="rk", aggs=", ".join(f"sum(m * ({e})) / sum(m) AS {m}" for m, e in _EXPR.items()))
 Q["bootstrap_mrr_ci"] = (
     lambda s, d: ranking.bootstrap(ranks(s, d), TIMES).where("metric = 'mrr'").select("low", "high"),
     f"{_SUITE} SELECT {_CI.format('mrr')} FROM bs")
@@ -175,9 +192,9 @@ Q["bootstrap_suite"] = (
 _e = lambda m, c: _EXPR[m].replace("rank", c)
 Q["paired_bootstrap"] = (
     lambda s, d: ranking.paired_bootstrap(ranks(s, d, "atire"), ranks(s, d, "robertson", "words"), PAIRED_TIMES),
-    f"""WITH {_R.replace('rk AS', 'unused AS')}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', lambda x: WS(f'lower({x})'), 'w_')}, {ranks_sql('w_')},
+    f"""WITH RECURSIVE {_R.replace('rk AS', 'unused AS')}, {paired_sql('atire', p='a_')}, {ranks_sql('a_')}, {paired_sql('robertson', lambda x: WS(f'lower({x})'), 'w_')}, {ranks_sql('w_')},
 pairs AS (SELECT query_id, a_rk.rank AS ra, w_rk.rank AS rb FROM a_rk JOIN w_rk USING (query_id)), """
-    + _DRAW.format(times=PAIRED_TIMES, src="pairs", aggs=f"round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 9) AS dd")
+    + _DRAW.format(times=PAIRED_TIMES, src="pairs", aggs=f"round(sum(m * (({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')}))) / sum(m), 9) AS dd")
     + f""",
 mn AS (SELECT round(avg(({_e('mrr', 'ra')}) - ({_e('mrr', 'rb')})), 6) AS delta_rr, round(avg(({_e('recall_1', 'ra')}) - ({_e('recall_1', 'rb')})), 6) AS delta_r1
 FROM pairs),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -84,8 +85,24 @@ def kept(spark, name: str, made_from: str, build: Callable[[str], None], rows: i
     return folder
 
 
+def delete(spark, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark) -> Iterator[str]:
+    """A folder of its own in the shared folder, deleted behind the block: what is read from it must be cut inside."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        delete(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Runs df once and cuts its lineage with a reliable checkpoint in the shared folder."""
+    """Runs df once and cuts its lineage with a reliable checkpoint in the shared folder. Spark deletes it once nothing
+    refers to it, where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     folder = shared_folder(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(folder)
