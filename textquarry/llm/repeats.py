@@ -5,7 +5,8 @@ starts. Shards of suffixes must hold equal windows together, whichever documents
 shard of its minimizer, the smallest hash of its `gram`-byte grams. Consecutive windows with one minimizer travel as
 one segment, the bytes they cover. Each shard's segments form one text whose suffixes are sorted by induced sorting;
 neighbours with a common prefix of `width` are equal windows, and the smallest document among them keeps its own. The
-sort holds a budget of queue entries below a shard's, so its queues are on disk in every run of any size.
+sort holds a budget of queue entries and blocks of bounded size: a shard's bytes, its segments' ids and masks, the text,
+its types and the queues are files, read by blocks or mapped, so that a shard may be larger than memory.
 
 Most text repeats nowhere, so minimizers are counted first: each group of documents sends the distinct ones it holds
 (32 bits each, in hashed buckets), and is told which of them another group sent too. Only segments of those, and of
@@ -16,6 +17,10 @@ passes over them reuse one exchange); what is recomputed is derived from a group
 
 from __future__ import annotations
 
+import contextlib
+import os
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -129,39 +134,172 @@ def _row_key(table: pa.Table):
     return lambda i: (ids[i] is None, ids[i] or 0, keys[i] is None, keys[i] or 0)
 
 
-def shard_masks(text: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, width: int, budget: int = induced.MEMORY_ENTRIES) -> np.ndarray:
+#: Segments that are handled at once where a shard's are read, pooled or written.
+CHUNK = 1 << 15
+
+
+class Run:
+    """Positions of one run of equal windows, in a file beyond a block of them, and the smallest id among them."""
+
+    def __init__(self, path: str):
+        self.path, self.held, self.size, self.least = path, [], 0, _NO_ID
+
+    def add(self, at: np.ndarray, least: int) -> None:
+        self.held.append(at)
+        self.size += at.size
+        self.least = min(self.least, least)
+        if self.size > induced.BLOCK:
+            with open(self.path, "ab") as out:
+                for x in self.held:
+                    x.astype(np.int64, copy=False).tofile(out)
+            self.held, self.size = [], 0
+
+    def end(self) -> Iterator[np.ndarray]:
+        if os.path.exists(self.path):
+            n = os.path.getsize(self.path) // 8
+            for low in range(0, n, induced.BLOCK):
+                yield np.fromfile(self.path, np.int64, min(induced.BLOCK, n - low), offset=8 * low)
+            os.unlink(self.path)
+        yield from self.held
+        self.held, self.size, self.least = [], 0, _NO_ID
+
+
+def shard_masks(text: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, width: int, budget: int = induced.MEMORY_ENTRIES, masks: np.ndarray | None = None) -> np.ndarray:
     """For each segment, bits of the windows that also start in a segment of a smaller id. `text` holds the segments
-    (bytes plus one) with 0 behind each; `start` tells where a segment begins."""
-    masks = np.zeros(start.size, np.uint32)
+    (bytes plus one) with 0 behind each; `start` tells where a segment begins. All of them, and `masks` (zeros), may be
+    files mapped into memory."""
+    masks = np.zeros(start.size, np.uint32) if masks is None else masks
     segment_of = lambda at: np.searchsorted(start, at, "right") - 1
 
-    def settle(at: np.ndarray, new: np.ndarray) -> None:
-        first = np.flatnonzero(new)
+    def mark(at: np.ndarray, least: np.ndarray | int) -> None:
         segment = segment_of(at)
-        least = np.minimum.reduceat(ids[segment], first)
-        own = ids[segment] > np.repeat(least, np.diff(np.append(first, at.size)))
+        own = ids[segment] > least
         np.bitwise_or.at(masks, segment[own], np.uint32(1) << (at[own] - start[segment[own]]).astype(np.uint32))
 
-    carried: tuple[np.ndarray, np.ndarray] | None = None
-    for at, prefix in induced.scan_suffixes(text, width, budget):
-        owner = segment_of(at)
-        starts_here = at - start[owner] < count[owner]  # whole windows only
-        at, new = at[starts_here], np.asarray(prefix)[starts_here] < width
-        if not at.size:
-            continue
-        # the run at the end of a block may go on in the next
-        if carried is not None:
-            at, new = np.concatenate([carried[0], at]), np.concatenate([carried[1], new])
-        new[0] = True
-        last = int(np.flatnonzero(new)[-1])
-        carried = at[last:].copy(), new[last:].copy()
-        if last:
-            settle(at[:last], new[:last])
-    if carried is not None:
-        settle(*carried)
+    with induced.scratch() as folder:
+        run = Run(os.path.join(folder, "run"))
+
+        def close() -> None:
+            least = run.least
+            for at in run.end():
+                mark(at, least)
+
+        for at, prefix in induced.scan_suffixes(text, width, budget):
+            owner = segment_of(at)
+            starts_here = at - start[owner] < count[owner]  # whole windows only
+            at, new, own = at[starts_here], np.asarray(prefix)[starts_here] < width, ids[owner[starts_here]]
+            if not at.size:
+                continue
+            first = np.flatnonzero(new)
+            # what stands before the first new run goes on with the one that is open
+            head = int(first[0]) if first.size else at.size
+            if head:
+                run.add(at[:head], int(own[:head].min()))
+            if first.size:
+                close()
+                last = int(first[-1])
+                if head < last:
+                    at_, own_, first = at[head:last], own[head:last], first[:-1] - head
+                    least = np.minimum.reduceat(own_, first)
+                    mark(at_, np.repeat(least, np.diff(np.append(first, at_.size))))
+                run.add(at[last:], int(own[last:].min()))
+        close()
     return masks
 
 
+class Shard:
+    """A shard's segments in files: nothing of its size is held in memory. add() takes them as they come; masks() gives the
+    bits of each added lot, in their order."""
+
+    def __init__(self, folder: str, width: int, budget: int = induced.MEMORY_ENTRIES):
+        self.folder, self.width, self.budget, self.lots = folder, width, budget, []
+
+    def _path(self, name: str) -> str:
+        return os.path.join(self.folder, name)
+
+    def _made(self, name: str, kind: type, n: int) -> np.ndarray:
+        return np.memmap(self._path(name), kind, "w+", shape=(n,)) if n else np.zeros(0, kind)
+
+    def _kept(self, name: str, kind: type) -> np.ndarray:
+        return np.memmap(self._path(name), kind, "r") if os.path.getsize(self._path(name)) else np.zeros(0, kind)
+
+    def add(self, data: bytes, count: bytes, ids: bytes) -> None:
+        for name, blob in (("bytes", data), ("count", count), ("ids", ids)):
+            with open(self._path(name), "ab") as out:
+                out.write(blob)
+        self.lots.append(len(count))
+
+    def _pool(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of equal segments are dealt to files that fit in memory; of each kind the segment of the smallest id is the
+        head. Returns each segment's head, counts and ids."""
+        data, count, ids = self._kept("bytes", np.uint8), self._kept("count", np.uint8), self._kept("ids", np.int64)
+        n = count.size
+        parts = max(1, -(-n // (4 * CHUNK)))
+        at = 0
+        for low in range(0, n, CHUNK):
+            size = count[low : low + CHUNK].astype(np.int64) + self.width - 1
+            ends = np.cumsum(size)
+            h = common.span_hashes(np.asarray(data[at : at + int(ends[-1])]), ends - size, ends)
+            at += int(ends[-1])
+            rows = np.stack([h.view(np.int64), ids[low : low + CHUNK], np.arange(low, low + h.size)], axis=1)
+            part = (h >> np.uint64(40)) % np.uint64(parts)
+            for p in np.unique(part).tolist():
+                with open(self._path(f"pool-{p}"), "ab") as out:
+                    rows[part == p].tofile(out)
+        head = self._made("head", np.int64, n)
+        for p in range(parts):
+            if not os.path.exists(self._path(f"pool-{p}")):
+                continue
+            rows = np.fromfile(self._path(f"pool-{p}"), np.int64).reshape(-1, 3)
+            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            head[rows[:, 2]] = np.repeat(rows[first, 2], np.diff(np.append(first, len(rows))))
+            os.unlink(self._path(f"pool-{p}"))
+        return head, count, ids
+
+    def _write_text(self, head: np.ndarray, count: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The heads' bytes, each plus one, with 0 behind every segment; where they begin, their counts and ids. Returns the
+        number of each head among the heads."""
+        data, rank = self._kept("bytes", np.uint8), self._made("rank", np.int64, head.size)
+        at = position = known = 0
+        outs = {name: open(self._path(name), "wb") for name in ("text", "start", "head_count", "head_ids")}
+        try:
+            for low in range(0, head.size, CHUNK):
+                own = np.asarray(head[low : low + CHUNK]) == np.arange(low, min(low + CHUNK, head.size))
+                size = count[low : low + CHUNK].astype(np.int64) + self.width - 1
+                begin = np.cumsum(size) - size
+                chunk = np.asarray(data[at : at + int(size.sum())])
+                at += chunk.size
+                rank[low : low + CHUNK] = known + np.cumsum(own) - own
+                known += int(own.sum())
+                pooled = size[own]
+                owner, place = common.expand(begin[own], begin[own] + pooled)
+                joined = np.zeros(owner.size + pooled.size, np.uint8)
+                joined[np.arange(owner.size) + owner] = chunk[place] + np.uint8(1)
+                joined.tofile(outs["text"])
+                (position + np.cumsum(pooled + 1) - pooled - 1).tofile(outs["start"])
+                position += joined.size
+                np.asarray(count[low : low + CHUNK])[own].astype(np.int64).tofile(outs["head_count"])
+                np.asarray(ids[low : low + CHUNK])[own].tofile(outs["head_ids"])
+        finally:
+            for out in outs.values():
+                out.close()
+        return rank
+
+    def masks(self) -> Iterator[bytes | None]:
+        """A blob of 32 bits per segment for each lot; None for one that loses nothing."""
+        head, count, ids = self._pool()
+        rank = self._write_text(head, count, ids)
+        start, own = self._kept("start", np.int64), self._kept("head_ids", np.int64)
+        bits = shard_masks(self._kept("text", np.uint8), start, self._kept("head_count", np.int64), own, self.width, self.budget, self._made("masks", np.uint32, start.size))
+        low = 0
+        for n in self.lots:
+            heads = np.asarray(rank[np.asarray(head[low : low + n])])
+            made = np.where(ids[low : low + n] > own[heads], np.uint32(0xFFFFFFFF), bits[heads])
+            yield made.tobytes() if made.any() else None
+            low += n
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, spans (flat starts and ends of the maximal removed runs) and kept
     (the remaining bytes, which need not be whole characters).
@@ -213,31 +351,28 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             "count": pa.array([g.count[r].astype(np.uint8).tobytes() for r in rows], pa.binary()), "ids": pa.array([g.ids[g.doc[r]].tobytes() for r in rows], pa.binary()),
         })
 
-    def sort_shard(table: pa.Table) -> pa.Table:
-        counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table.column("count").to_pylist()]
-        count = np.concatenate(counts)
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
-        # equal segments of several groups are pooled: the sort sees one of each, that of the smallest document
-        size = count + width - 1
-        begin = np.cumsum(size) - size
-        h = common.span_hashes(data, begin, begin + size)
-        order = np.lexsort((ids, h))
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        kind = np.empty(order.size, np.int64)
-        kind[order] = np.cumsum(new) - 1
-        head = order[new]
-        pooled = size[head]
-        start = np.cumsum(pooled + 1) - pooled - 1
-        joined = np.zeros(int(pooled.sum()) + head.size, np.uint8)
-        owner, at = common.expand(begin[head], begin[head] + pooled)
-        joined[np.arange(owner.size) + owner] = data[at] + np.uint8(1)
-        masks = shard_masks(joined, start, count[head], ids[head], width)
-        masks = np.where(ids > ids[head][kind], np.uint32(0xFFFFFFFF), masks[kind])
-        cut = np.cumsum([0, *(c.size for c in counts)])
-        blobs = [masks[a:b].tobytes() if masks[a:b].any() else None for a, b in zip(cut[:-1], cut[1:])]
-        made = pa.table({"part": table.column("part"), "shard": table.column("shard"), "masks": pa.array(blobs, pa.binary())})
-        return made.filter(pc.is_valid(made.column("masks")))
+    def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come shard by shard, each goes to the files of its shard as it comes."""
+        with contextlib.ExitStack() as stack:
+            number, parts, shard = None, [], None
+            for batch in batches:
+                columns = [batch.column(batch.schema.names.index(c)) for c in ("shard", "part", "bytes", "count", "ids")]
+                for own, part, data, count, ids in zip(*columns):
+                    if own.as_py() != number:
+                        if shard is not None:
+                            yield from sorted_shard(number, parts, shard)
+                            stack.close()
+                        number, parts = own.as_py(), []
+                        shard = Shard(stack.enter_context(induced.scratch()), width)
+                    parts.append(part.as_py())
+                    shard.add(data.as_buffer(), count.as_buffer(), ids.as_buffer())
+            if shard is not None:
+                yield from sorted_shard(number, parts, shard)
+
+    def sorted_shard(number: int, parts: list[int], shard: Shard) -> Iterator[pa.RecordBatch]:
+        for part, blob in zip(parts, shard.masks()):
+            if blob is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["part", "shard", "masks"])
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
         g = Group(table, width, gram)
@@ -276,7 +411,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     replies = slim.groupBy("part").applyInArrow(send, "part long, bucket long, x binary").groupBy("bucket").applyInArrow(tell, "part long, bucket long, bits binary")
     sent = slim.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(ship, "part long, shard long, bytes binary, count binary, ids binary")
-    masks = sent.groupBy("shard").applyInArrow(sort_shard, "part long, shard long, masks binary")
+    # as by groupBy, but rows of a shard stream in instead of arriving as one table
+    dealt = sent.repartition("shard").sortWithinPartitions("shard", "part")
+    masks = dealt.mapInArrow(sort_shards, "part long, shard long, masks binary")
     told = replies.select("part", "bucket", "bits", F.lit(None).cast("binary").alias("masks")).unionByName(masks.select("part", F.col("shard").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "masks"))
     return slim.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<long>, kept binary")
 
