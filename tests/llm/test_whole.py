@@ -68,3 +68,32 @@ def test_language_id_learns_every_language(spark, monkeypatch):
     language_id.fit(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
     learnable = sum(1 for i, *_ in rare[:9] if zlib.crc32(str(i).encode()) % 3 != 1)
     assert read["rare"] == learnable and 5 <= read["often"] <= 60
+
+
+def test_a_passage_of_many_items_and_documents(spark):
+    """Items and documents that all share a passage: the joined form lists what the broadcast form lists."""
+    from pyspark.sql import functions as F
+
+    from textquarry.llm import decontamination
+
+    shared = " ".join(f"common{i}" for i in range(15))
+    docs = spark.createDataFrame([(i, f"{shared} own{i} " + " ".join(f"x{i}y{j}" for j in range(i % 40)) if i % 3 else f"other text {i}") for i in range(150)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"Q{i} {shared} end{i}" if i % 2 else f"short item {i}") for i in range(100)] + [(200, "other text 6")], "item_id long, text string")
+    made = [sorted(decontamination.annotate(docs, items, block_chars=n).select("doc_id", "contamination.n_words", "contamination.n_hit", F.array_join("contamination.items", ",")).collect()) for n in (0, 1 << 20)]
+    assert made[0] == made[1] and sum(r.n_hit > 0 for r in made[0]) == 101
+    # no stage pairs documents with items but for those it lists
+    plan = decontamination.annotate(docs, items, block_chars=0)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_samples_are_bounded_where_one_id_repeats(spark, monkeypatch):
+    from textquarry.llm import language_id, quality
+
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda x, y, **k: taken.append(len(y)))
+    docs = spark.createDataFrame([(0, f"a text {i}") for i in range(6000)], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int"), sample_rows=500)
+    assert 300 < taken[0] < 800
+    monkeypatch.setattr(language_id, "train", lambda texts, langs: taken.append(len(texts)))
+    language_id.fit(docs.selectExpr("doc_id", "text", "'en' AS lang"))
+    assert taken[1] < 1500

@@ -179,6 +179,11 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     return common.append_columns(docs, [T.StructField(name, _KIND)], compute)
 
 
+def _tagged(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of grams of n words, apart from those of other lengths."""
+    return common.mix(h ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
 def _keys(text: bytes | None, window: int, gram: int, lengths: list[int] | None) -> np.ndarray:
     """What a text and an item that hits it share. Of an item (lengths None): its fingerprints, or, if it is short, the
     hash of its words; of a document: its fingerprints, and the hashes of its grams of the lengths of short items."""
@@ -187,9 +192,8 @@ def _keys(text: bytes | None, window: int, gram: int, lengths: list[int] | None)
     if not starts.size:
         return np.zeros(0, np.int64)
     words = common.span_hashes(data, starts, ends)
-    tag = lambda h, n: common.mix(h ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     own = [words.size] if lengths is None and words.size < window else lengths or []
-    made = [tag(common.gram_hashes(words, n), n) for n in own]
+    made = [_tagged(common.gram_hashes(words, n), n) for n in own]
     if lengths is not None or words.size >= window:
         made.append(winnow(words, np.zeros(words.size, np.int64), gram, window - gram + 1)[0])
     return np.unique(np.concatenate(made)).view(np.int64) if made else np.zeros(0, np.int64)
@@ -207,50 +211,62 @@ def _keyed(rows: DataFrame, window: int, gram: int, lengths: list[int] | None) -
     return rows.mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), rows.schema["at"]]))
 
 
+def _windows(rows: DataFrame, window: int, gram: int, lengths: list[int] | None) -> DataFrame:
+    """(at, start, words) of the windows of rows (at, text, keys), the words lower-cased and set apart by spaces. Of an item
+    (lengths None) all of them; of a document those whose fingerprint is one of keys, and its grams of the lengths of short
+    items whose hash is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (text, keys) in enumerate(zip(batch.column(1), batch.column(2))):
+                data = common.LOWER[np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)]
+                starts, ends, _ = common.word_spans(data, np.array([0, data.size]), common.ALNUM_BYTE)
+                own, words, made = np.asarray(keys.values) if lengths is not None else None, common.span_hashes(data, starts, ends) if starts.size else np.zeros(0, np.uint64), []
+                for n in {window, *lengths} if lengths is not None else {min(window, starts.size)} - {0}:
+                    if own is None:
+                        at = np.arange(starts.size - n + 1)
+                    elif n == window:
+                        grams = common.gram_hashes(words, gram)
+                        if grams.size < window - gram + 1:
+                            continue
+                        at = np.flatnonzero(np.isin(common.sliding(grams, window - gram + 1, np.minimum).view(np.int64), own))
+                    else:
+                        at = np.flatnonzero(np.isin(_tagged(common.gram_hashes(words, n), n).view(np.int64), own))
+                    made += [(int(k), b" ".join(data[x:y].tobytes() for x, y in zip(starts[k : k + n], ends[k : k + n])).decode()) for k in at]
+                if made:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(made), i))), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string())], names=["at", "start", "words"])
+
+    return rows.select("at", "text", "keys").mapInArrow(run, T.StructType([rows.schema["at"], T.StructField("start", T.LongType()), T.StructField("words", T.StringType())]))
+
+
 def annotate_joined(docs: DataFrame, items: DataFrame, text: str, window: int = WINDOW, gram: int = GRAM, name: str = "contamination") -> DataFrame:
-    """As annotate, for items (id, words) of any number: a shuffled join of fingerprints finds pairs of a document and an
-    item, each pair is compared by itself, and what it hits is put together by document."""
+    """As annotate, for items (id, words) of any number. A shuffled join tells which of a document's fingerprints some item
+    has; windows of these alone are then joined, word by word, with the distinct windows of all items. Either join has one
+    row a key on the items' side, so a gram of many documents and many items makes no pairs of them; only the items that
+    are listed for a document are put beside it."""
     lengths = [r.n for r in items.select(F.regexp_count("words", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("n")).where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect()]
     rows = common.identified(docs)
     sources = rows.select("at", F.col("row")[text].alias("text"))
-    known = common.cut(items.distinct().withColumn("at", F.xxhash64("id", "words")))
-    left = _keyed(sources, window, gram, lengths)
-    right = _keyed(known.select("at", "words"), window, gram, None).withColumnRenamed("at", "item")
-    met = left.join(right, "key").select("at", "item").distinct()
-    pairs = met.join(known, met["item"] == known["at"]).select(met["at"], "id", "words").join(sources, "at").select("at", "id", "words", "text")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: dict[str, Index] = {}
-        for batch in batches:
-            spans: list[list[int] | None] = []
-            for words, document in zip(batch.column(2), batch.column(3)):
-                item = words.as_py()
-                if item not in index:
-                    if len(index) >= 256:
-                        index.clear()
-                    index[item] = Index([("", item)], window, gram)
-                data = np.frombuffer(document.as_buffer(), np.uint8)
-                _, _, hit, found = scan(data, np.array([0, data.size]), index[item])
-                spans.append(runs(hit) if len(found) else None)
-            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64()))], names=["at", "id", "spans"])
-            yield made.filter(made.column(2).is_valid())
-
-    kinds = T.StructType([sources.schema["at"], T.StructField("id", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType()))])
-    hits = pairs.mapInArrow(compare, kinds).groupBy("at").agg(F.array_sort(F.collect_set("id")).alias("items"), F.collect_set("spans").alias("hits"))
-    joined = rows.join(hits, "at", "left").select("row", "items", "hits")
+    known = common.cut(items.distinct())
+    fingerprints = _keyed(known.select("id", "words").toDF("at", "words"), window, gram, None).select("key").distinct()
+    keys = _keyed(sources, window, gram, lengths).join(fingerprints, "key").groupBy("at").agg(F.collect_set("key").alias("keys"))
+    found = common.cut(_windows(sources.join(keys, "at"), window, gram, lengths))
+    items_windows = common.cut(_windows(known.select(F.col("id").alias("at"), F.col("words").alias("text"), F.lit(None).cast("array<long>").alias("keys")), window, gram, None).select(F.col("at").alias("id"), "words").distinct())
+    hit = found.join(items_windows.select("words").distinct(), "words").groupBy("at").agg(F.collect_set(F.struct("start", (F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1).cast("long").alias("n"))).alias("hits"))
+    listed = found.select("at", "words").distinct().join(items_windows, "words").groupBy("at").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    joined = rows.join(hit, "at", "left").join(listed, "at", "left").select("row", "items", "hits")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).field(text)
             out = []
-            for document, found, hits in zip(pc.if_else(batch.column(0).is_valid(), texts, None), batch.column(1), batch.column(2)):
+            for document, items, hits in zip(pc.if_else(batch.column(0).is_valid(), texts, None), batch.column(1), batch.column(2)):
                 data = common.LOWER[np.frombuffer(document.as_buffer(), np.uint8)] if document.is_valid else np.zeros(0, np.uint8)
                 starts, _, _ = common.word_spans(data, np.array([0, data.size]), common.ALNUM_BYTE)
                 own = np.zeros(starts.size, bool)
-                for spans in hits.as_py() or ():
-                    for s, e in zip(spans[::2], spans[1::2]):
-                        own[s:e] = True
-                out.append({"n_words": int(starts.size), "n_hit": int(own.sum()), "items": found.as_py() or [], "spans": runs(own)})
+                for h in hits.as_py() or ():
+                    own[h["start"] : h["start"] + h["n"]] = True
+                out.append({"n_words": int(starts.size), "n_hit": int(own.sum()), "items": items.as_py() or [], "spans": runs(own)})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _ARROW)], names=["row", "hit"])
 
     made = joined.mapInArrow(settle, T.StructType([joined.schema["row"], T.StructField("hit", _KIND)]))

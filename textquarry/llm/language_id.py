@@ -26,6 +26,8 @@ SAMPLE_PER_LANG = 700
 SAMPLE_CHARS = 24_000_000
 #: Of each language at least about so many rows are read (all, if it has no more), whatever characters they hold.
 LEAST_PER_LANG = 20
+#: So many languages are learned at most.
+LEARNED_LANGS = 2_000
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -163,15 +165,19 @@ def shares(counts: list[tuple[int, int]]) -> list[float]:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
-    """Trains on a bounded sample, chosen by hash of the id, of rows that may be learned from and have text and lang;
-    rows with a null id are left out, as one hash would take or leave all of them."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & common.not_held_out("doc_id"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    """Trains on a bounded sample, chosen by hash of a row's id and place in its file, of rows that may be learned from and have an id, text
+    and lang. Of more than LEARNED_LANGS languages the commonest are learned (then by name)."""
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = common.identified(chosen).select("row.doc_id", "row.text", "row.lang", "at")
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & common.not_held_out("doc_id"))
+    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    counts = by_lang.orderBy(F.desc("n"), "lang").limit(LEARNED_LANGS).collect()
     if not counts:
         return None
+    counts.sort(key=lambda r: r.lang)
     below = [(r.lang, int(1_000_000 * min(1.0, max(share, LEAST_PER_LANG / r.n))) + 1) for r, share in zip(counts, shares([(r.n, r.chars) for r in counts]))]
     known = F.broadcast(rows.sparkSession.createDataFrame(below, "lang string, below long"))
-    sample = rows.join(known, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("below")).select("doc_id", "text", "lang").collect()
+    sample = rows.join(known, "lang").where(F.pmod(F.xxhash64("doc_id", "at.place"), F.lit(1_000_000)) < F.col("below")).select("doc_id", "text", "lang").collect()
     sample.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text, r.lang))
     return train([r.text for r in sample], [r.lang for r in sample])
 

@@ -167,13 +167,17 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Learns from about sample_rows labelled rows, by hash, that may be learned from. Labels of null, or for no
-    document, are left out; a doc_id with several labels counts with each."""
+    """Learns from about sample_rows labelled rows (twice as many where ids repeat), by hash, that may be learned from. Labels
+    of null, or for no document, are left out; a doc_id with several labels counts with each."""
     usable = labels.select(F.col("doc_id").alias("i"), F.col(target).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & common.not_held_out("i"))
     n = usable.count()
     usable = usable.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(1, n))) + 1)
-    # the sample's ids are bounded by sample_rows: they may be broadcast
-    rows = docs.select(F.col("doc_id").alias("i"), "text").join(F.broadcast(usable), "i")
+    # the sample's ids are bounded by sample_rows: they may be broadcast; ids that many rows have are thinned out by row
+    rows = common.identified(docs.select(F.col("doc_id").alias("i"), "text")).select("row.i", "row.text", "at").join(F.broadcast(usable), "i")
+    met = rows.select("i").count()
+    if met > 2 * sample_rows:
+        rows = rows.where(F.pmod(F.xxhash64("i", "at.place"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / met) + 1)
+    rows = rows.drop("at")
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         x = statistics(batch.column(batch.schema.names.index("text")))

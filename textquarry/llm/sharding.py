@@ -289,7 +289,9 @@ def shard_table(docs: DataFrame, target_bytes: int = TARGET_BYTES, name: str = "
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
     """doc_id, arrival, n_bytes and text_sha256 of all documents, read back from the compacted shards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard_table(docs).select("doc_id", "arrival", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    with common.scratch(spark) as root:
+        made = shard_table(docs, root=root)
+        return common.cut(made.select("doc_id", "arrival", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")))
 
 
 SQL = {
