@@ -30,3 +30,21 @@ def left(spark) -> list[str]:
 def test_only_kept_tables_stay(spark, name):
     registry.QUERIES[name](spark, SF).count()
     assert left(spark) == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_kept_tables_are_found_again(spark):
+    """A second use of the indexes, vectors, signatures and prints builds nothing."""
+    from textquarry.plans import base, training
+
+    def use():
+        base.index(spark, SF)
+        base.index(spark, SF, tokenizer="words", part="body")
+        base.encoded_docs(spark, SF)
+        training.prints(spark, SF)
+
+    kept = f"{store.shared_folder(spark).removeprefix('file://')}/kept"
+    use()
+    before = sorted(os.listdir(kept))
+    use()
+    assert sorted(os.listdir(kept)) == before

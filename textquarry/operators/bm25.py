@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,22 +26,27 @@ BROADCAST_TERMS = 400_000
 
 
 #: Buckets of the lookup table; a bucket's lists of up to so many blocks are written by one task.
-BUCKETS, LOOKUP_BLOCKS = 64, 256
+BUCKETS, LOOKUP_BLOCKS = 32, 256
 
 
 @dataclass
 class Index:
-    """blocks (see blocks.py), vocab(term, df, idf), n documents and their mean length; lookup(bucket, term, n, ids, tf, dl),
-    if it was written."""
+    """blocks (see blocks.py), vocab(term, df, idf), n documents and their mean length; path: the folder of
+    lookup(bucket, term, n, ids, tf, dl), if it was written."""
 
     blocks: DataFrame
     vocab: DataFrame
     n: int
     avgdl: float
-    lookup: DataFrame | None = None
+    path: str | None = None
     stats: Stats | None = None
     method: str = "robertson"
 
+    @cached_property
+    def lookup(self) -> DataFrame | None:
+        """Its folders are listed when it is first asked for, once for all searches."""
+        return None if self.path is None else self.blocks.sparkSession.read.schema(LOOKUP).parquet(self.path)
+
     @staticmethod
     def load(spark, path: str, method: str = "robertson") -> Index:
         """"atire" (or "rank_bm25") puts a quarter of the mean raw IDF where the raw one is negative; any other method is
@@ -49,13 +55,12 @@ class Index:
             raise FileNotFoundError(f"no index in {path}: write one first")
         stats = Stats(*spark.read.parquet(f"{path}/stats").select("n", "avgdl", "mean_raw").first())
         vocab = spark.read.parquet(f"{path}/vocab").select("term", "df").withColumn("idf", idf(stats, method))
-        lookup = spark.read.schema(LOOKUP).parquet(f"{path}/lookup")
-        return Index(spark.read.schema(bk.SCHEMA).parquet(f"{path}/blocks"), vocab, stats.n, stats.avgdl, lookup, stats, method)
+        return Index(spark.read.schema(bk.SCHEMA).parquet(f"{path}/blocks"), vocab, stats.n, stats.avgdl, f"{path}/lookup", stats, method)
 
     @property
     def postings(self) -> DataFrame:
-        """(term, doc_id, tf, dl), a row each, from the lookup table."""
-        lists = self.lookup.select("term", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p"))
+        """(term, doc_id, tf, dl), a row each."""
+        lists = lookup_rows(self.blocks).select("term", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p"))
         return lists.select("term", F.col("p.ids").alias("doc_id"), F.col("p.tf").cast("long").alias("tf"), F.col("p.dl").cast("long").alias("dl"))
 
 
@@ -156,8 +161,9 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     docs = docs.select(doc_id, text)
     write_blocks(block_rows(store.spread(docs), doc_id, text, tokenizer), f"{path}/blocks")
     blocks = spark.read.schema(bk.SCHEMA).parquet(f"{path}/blocks")
-    # lists of a bucket are dealt by ranges of blocks, so that a term of every document is written by many tasks
-    rows = lookup_rows(blocks).repartition("bucket", F.floor(F.col("range") / LOOKUP_BLOCKS)).sortWithinPartitions("bucket", "term").drop("range")
+    # lists of a bucket are dealt to tasks by their blocks, so that a term of every document is written by many
+    shares = blocks.where("term = ''").count() // LOOKUP_BLOCKS + 1
+    rows = lookup_rows(blocks).repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(shares))).sortWithinPartitions("bucket", "term").drop("range")
     rows.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(f"{path}/lookup")
     write_vocab(blocks, path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def index(spark, sf: str, method: str = "robertson", tokenizer: str = "identifie
     if part == "body":
         corpus = corpus.select("doc_id", body().alias("text"))
     digest = store.files_digest(spark, f"{sf}/documents.parquet")
-    # another tokenizer, by its expression, makes another index
-    made_from = f"{digest}|{TOKENIZERS[tokenizer](F.col('text'))}"
+    # another tokenizer, by its expression (without the running numbers of its variables), makes another index
+    made_from = f"{digest}|{re.sub(r'_[0-9]+', '', str(TOKENIZERS[tokenizer](F.col('text'))))}"
     path = store.kept(spark, f"bm25-{tokenizer}-{part}", made_from, lambda at: bm25.write(corpus, at, tokenizer=TOKENIZERS[tokenizer]))
     return bm25.Index.load(spark, path, method)
 

@@ -180,31 +180,29 @@ POSITIONS = 8
 
 
 def masked(s, d, size: int = POSITIONS):
-    """(label, states, mask): for each label a sequence of the vectors of its first `size` ids, by id, filled up with zero
-    vectors that the mask tells. Only ids and vectors up to that place are gathered."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("doc_id"))
-    first = vectors(s, d).withColumn("i", place).where(F.col("i") <= size)
-    rows = first.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("r"))
-    mask = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i <= F.size("r")).cast("int"))
-    zero = F.transform(F.get("r", F.lit(0))["v"], lambda x: F.lit(0.0).cast("float"))
-    return rows.select("label", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.get("r.v", i), zero)).alias("states"), mask.alias("mask"))
+    """(seq, states, mask): all vectors, cut into sequences of `size` consecutive ids; places without a vector have zeros that
+    the mask tells."""
+    seq, at = F.floor(F.col("doc_id") / size).cast("long"), F.pmod("doc_id", F.lit(size)).cast("int")
+    rows = vectors(s, d).where("v is not null").groupBy(seq.alias("seq")).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("i"), "v"))).alias("r"))
+    place = F.sequence(F.lit(0), F.lit(size - 1))
+    zero = F.transform(F.get(F.map_values("r"), F.lit(0)), lambda x: F.lit(0.0).cast("float"))
+    states = F.transform(place, lambda i: F.coalesce(F.try_element_at("r", i), zero))
+    return rows.select("seq", states.alias("states"), F.transform(place, lambda i: F.map_contains_key("r", i).cast("int")).alias("mask"))
 
 
 def _pooled(df, v):
-    return df.select("label", F.posexplode(v).alias("dim", "x")).select("label", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+    return df.select("seq", F.posexplode(v).alias("dim", "x")).select("seq", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
 Q["masked_mean_pool"] = (
     lambda s, d: _pooled(masked(s, d), vx.masked_mean(F.col("states"), F.col("mask"))),
-    f"""SELECT label, i::BIGINT - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS x
-FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place
-FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place <= {POSITIONS} GROUP BY label, i""",
+    f"""SELECT vec_id // {POSITIONS} AS seq, i::BIGINT - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS x
+FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY seq, i""",
 )
 Q["first_position_pool"] = (
     lambda s, d: _pooled(masked(s, d), F.transform(vx.first_position(F.col("states")), lambda x: x.cast("double"))),
-    """SELECT label, i::BIGINT - 1 AS dim, round(embedding[i]::DOUBLE, 6) AS x
-FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place
-FROM embeddings), unnest(range(1, 65)) AS r(i) WHERE place = 1""",
+    f"""SELECT vec_id // {POSITIONS} AS seq, i::BIGINT - 1 AS dim, round(coalesce(max(CASE WHEN vec_id % {POSITIONS} = 0 THEN embedding[i]::DOUBLE END), 0), 6) AS x
+FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY seq, i""",
 )
 
 

@@ -234,7 +234,7 @@ def codes(s, d):
 
 def skeletons(s, d):
     """(doc_id, skeleton) of the documents' code without docstrings; null where it can't be parsed."""
-    made = codes(s, d).withColumn("r", code_ast.strip_docstrings("code"))
+    made = store.spread(codes(s, d)).withColumn("r", code_ast.strip_docstrings("code"))
     return made.select("doc_id", code_ast.skeleton_hashes("r.stripped").alias("skeleton"))
 
 
@@ -253,9 +253,11 @@ K, POOL, SIMPLE = 7, 100, 50
 
 
 def prints(s, d):
-    """(doc_id, query_text, skeleton, sig) of all documents."""
+    """The kept prints (doc_id, query_text, skeleton, sig) of all documents, trusted only with a row per document."""
     base = docs(s, d).select("doc_id", F.substring_index("text", "\n", 1).alias("query_text"))
-    return base.join(skeletons(s, d), "doc_id").join(signed(s, d).select("doc_id", "sig"), "doc_id")
+    made = base.join(skeletons(s, d), "doc_id").join(signed(s, d).select("doc_id", "sig"), "doc_id")
+    made_from = f"{store.files_digest(s, f'{d}/documents.parquet')}|{_STATEMENTS}|{_HEAD}|{_BEGIN}"
+    return s.read.parquet(store.kept(s, "prints", made_from, lambda at: made.write.parquet(at), base.count()))
 
 
 def _pool(s, d):

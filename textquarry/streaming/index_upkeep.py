@@ -24,8 +24,8 @@ def read_blocks(spark, path: str) -> DataFrame:
 
 
 def read_postings(spark, path: str) -> DataFrame:
-    lists = bm25.lookup_rows(read_blocks(spark, path))
-    return bm25.Index(lists, lists, 0, 0.0, lists).postings
+    blocks = read_blocks(spark, path)
+    return bm25.Index(blocks, blocks, 0, 0.0).postings
 
 
 def read_index(spark, path: str, method: str = "robertson") -> bm25.Index:
