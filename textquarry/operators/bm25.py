@@ -55,7 +55,8 @@ class Index:
             raise FileNotFoundError(f"no index in {path}: write one first")
         stats = Stats(*spark.read.parquet(f"{path}/stats").select("n", "avgdl", "mean_raw").first())
         vocab = spark.read.parquet(f"{path}/vocab").select("term", "df").withColumn("idf", idf(stats, method))
-        return Index(spark.read.schema(bk.SCHEMA).parquet(f"{path}/blocks"), vocab, stats.n, stats.avgdl, f"{path}/lookup", stats, method)
+        lookup = f"{path}/lookup" if store.finished(spark, f"{path}/lookup") else None
+        return Index(spark.read.schema(bk.SCHEMA).parquet(f"{path}/blocks"), vocab, stats.n, stats.avgdl, lookup, stats, method)
 
     @property
     def postings(self) -> DataFrame:
@@ -155,17 +156,23 @@ def lookup_rows(blocks: DataFrame) -> DataFrame:
     return made.select(bucket(F.col("term")).alias("bucket"), "term", "n", "ids", "tf", "dl", "range")
 
 
-def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens) -> None:
-    """Writes the index of docs to a folder; an empty corpus gives an empty index."""
+def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer=identifier_tokens, lookup: bool = True) -> None:
+    """Writes the index of docs to a folder, with or without the lookup table for single searches; an empty corpus gives an
+    empty index."""
     spark = docs.sparkSession
     docs = docs.select(doc_id, text)
     write_blocks(block_rows(store.spread(docs), doc_id, text, tokenizer), f"{path}/blocks")
     blocks = spark.read.schema(bk.SCHEMA).parquet(f"{path}/blocks")
+    if lookup:
+        write_lookup(blocks, f"{path}/lookup")
+    write_vocab(blocks, path)
+
+
+def write_lookup(blocks: DataFrame, path: str) -> None:
     # lists of a bucket are dealt to tasks by their blocks, so that a term of every document is written by many
     shares = blocks.where("term = ''").count() // LOOKUP_BLOCKS + 1
     rows = lookup_rows(blocks).repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(shares))).sortWithinPartitions("bucket", "term").drop("range")
-    rows.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(f"{path}/lookup")
-    write_vocab(blocks, path)
+    rows.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(path)
 
 
 def write_vocab(blocks: DataFrame, path: str) -> None:

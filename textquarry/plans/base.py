@@ -43,17 +43,22 @@ def body():
     return F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 1)")
 
 
-def index(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text") -> bm25.Index:
+def index(spark, sf: str, method: str = "robertson", tokenizer: str = "identifiers", part: str = "text", lookup: bool = False) -> bm25.Index:
     """The kept index of all documents' texts (or of what follows their first lines): written by the query that needs it
-    first, found by the others for as long as the files of the table stay as they are."""
+    first, found by the others for as long as the files of the table stay as they are. The lookup table for single searches is
+    kept beside it, by the first query that asks for it."""
     corpus = docs(spark, sf)
     if part == "body":
         corpus = corpus.select("doc_id", body().alias("text"))
     digest = store.files_digest(spark, f"{sf}/documents.parquet")
     # another tokenizer, by its expression (without the running numbers of its variables), makes another index
     made_from = f"{digest}|{re.sub(r'_[0-9]+', '', str(TOKENIZERS[tokenizer](F.col('text'))))}"
-    path = store.kept(spark, f"bm25-{tokenizer}-{part}", made_from, lambda at: bm25.write(corpus, at, tokenizer=TOKENIZERS[tokenizer]))
-    return bm25.Index.load(spark, path, method)
+    name = f"bm25-{tokenizer}-{part}"
+    path = store.kept(spark, name, made_from, lambda at: bm25.write(corpus, at, tokenizer=TOKENIZERS[tokenizer], lookup=False))
+    own = bm25.Index.load(spark, path, method)
+    if lookup:
+        own.path = store.kept(spark, f"{name}-lookup", made_from, lambda at: bm25.write_lookup(own.blocks, at))
+    return own
 
 
 def signed(spark, sf: str) -> DataFrame:

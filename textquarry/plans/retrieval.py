@@ -39,7 +39,7 @@ Q["bm25_scores"] = (_bench_scores, f"WITH {BENCH}, {index_sql()}, {scores_sql()}
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
 Q["topk_bm25"] = (lambda s, d: bm25.best(bench_queries(s, d), index(s, d), 10), f"""WITH {BENCH}, {index_sql()}, {scores_sql()} SELECT *
 FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= 10""")
-Q["topk_lookup"] = (lambda s, d: bm25.lookups(bench_queries(s, d), index(s, d), 10), Q["topk_bm25"][1])
+Q["topk_lookup"] = (lambda s, d: bm25.lookups(bench_queries(s, d), index(s, d, lookup=True), 10), Q["topk_bm25"][1])
 Q["query_term_prune"] = (
     lambda s, d: _round(bm25.prune_terms(bench_queries(s, d), index(s, d).vocab), "idf"),
     f"""WITH {BENCH}, {index_sql()} SELECT query_id, term, round(idf, 6) AS idf, place
