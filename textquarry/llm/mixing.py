@@ -127,12 +127,15 @@ def mixed_rows(docs: DataFrame, curriculum=CURRICULUM, doc_id: str = "doc_id", t
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the first position (null if nothing is taken) of all documents."""
+    """doc_id, size, source_size, target, taken and the first position (null if nothing is taken) of all documents,
+    range-sorted by that position."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # of the text its hash is enough: it spreads rows without an id
     slim = common.cut(docs.select("doc_id", "source", words(F.col("text")).alias("n"), F.xxhash64("text").alias("text")))
     made = mix(slim, F.col("n"))
-    return made.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.when((F.col("copies") > 0) & (F.col("size") > 0), F.round(position(F.lit(0)), 6)).alias("position"))
+    made = made.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.when((F.col("copies") > 0) & (F.col("size") > 0), F.round(position(F.lit(0)), 6)).alias("position"))
+    # ids split the range of the documents that aren't taken; cut, since ranges are found by a run of their own
+    return common.cut(made).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 SQL = {
